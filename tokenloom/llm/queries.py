@@ -23,6 +23,12 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import identify_language
+
+    return identify_language(table(spark, sf_dir, "documents"), carry=["doc_id"])
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import drop_boilerplate_lines
 
@@ -51,12 +57,20 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op10_neural_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neural_lm import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
+    "op2_language_id": op2_language_id,
     "op3_line_dedup": op3_line_dedup,
     "op7_packing": op7_packing,
     "op8_decontaminate": op8_decontaminate,
     "op9_jaccard_join": op9_jaccard_join,
+    "op10_neural_lm": op10_neural_lm,
 }
 
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
