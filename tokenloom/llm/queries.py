@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from .common import table
 
@@ -36,6 +35,24 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_boilerplate_lines(docs).select("doc_id", "source", "text", "n_lines", "n_dropped")
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import scan_secrets
+
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
+def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .media import media_columns
+
+    return media_columns(table(spark, sf_dir, "documents"))
+
+
+def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_extract import extract_pages
+
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -67,6 +84,9 @@ QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_language_id": op2_language_id,
     "op3_line_dedup": op3_line_dedup,
+    "op4_secrets": op4_secrets,
+    "op5_media": op5_media,
+    "op6_html_extract": op6_html_extract,
     "op7_packing": op7_packing,
     "op8_decontaminate": op8_decontaminate,
     "op9_jaccard_join": op9_jaccard_join,
