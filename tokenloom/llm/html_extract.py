@@ -182,11 +182,9 @@ def templates(pages: DataFrame, host: str, html: str) -> DataFrame:
                 for i, (role, area, run, _) in enumerate(runs(text)):
                     run = _clean(run)
                     code = _digest(role, run)
-                    # Tags count where they are; text is of the template only where it could be extracted.
-                    if not run and "/" in role or area and run:
-                        kind = (area if run else 0, code)
-                        counts[kind] += 1
-                        first.setdefault(kind, i)
+                    kind = (area or 4 if run else 0, code)  # elements 0, text of furniture 4, else its area
+                    counts[kind] += 1
+                    first.setdefault(kind, i)
                 counts[(3, 0)] = 1  # the root, on every page
                 first.setdefault((3, 0), 0)
                 for (kind, code), c in counts.items():
@@ -214,10 +212,10 @@ def templates(pages: DataFrame, host: str, html: str) -> DataFrame:
         .where((F.col("vector") == F.col("root")) | (F.col("members") >= CLASS_TOKENS) & (F.col("first") >= F.col("open")) & (F.col("last") <= F.col("close")))
         .select("host", "vector", "root", "all_pages")
     )
-    members = vectors.where("kind in (1, 2)").join(nested, ["host", "vector"]).where(F.col("pages") >= F.col("all_pages") * CLASS_SHARE)
+    members = vectors.where("kind in (1, 2, 4)").join(nested, ["host", "vector"]).where(F.col("pages") >= F.col("all_pages") * CLASS_SHARE)
     whole = (F.col("vector") == F.col("root")) & (F.col("all_pages") >= ARTICLE_PAGES)
     return members.groupBy("host").agg(
-        F.collect_set(F.when(F.col("kind") == 1, F.col("token"))).alias("everywhere"), F.collect_set(F.when((F.col("kind") == 2) & whole, F.col("token"))).alias("in_article")
+        F.collect_set(F.when(F.col("kind") != 2, F.col("token"))).alias("everywhere"), F.collect_set(F.when((F.col("kind") == 2) & whole, F.col("token"))).alias("in_article")
     )
 
 
