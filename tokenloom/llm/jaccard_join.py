@@ -4,9 +4,9 @@
    order: ordinary shingles by hash, then those that stand in many documents, rarer first. Equal
    sets are one node from here on.
 2. Sets at or above the threshold share a shingle among their prefixes, so nodes meet on prefix
-   shingles, under length and positional bounds. First every node meets only the leader of each of its
-   shingles; links found there join most of a group of copies. Then nodes of *different*
-   components that share a prefix shingle meet. No pair inside a component is made again, so a group
+   shingles, under length and positional bounds, and a pair must share as many as prefixes of that
+   length have to. First every node meets only the leader of each of its shingles; links found there join
+   most of a group of copies. Then all nodes of *different* components that share prefix shingles meet. No pair inside a component is made again, so a group
    of copies costs its size, not its square, and no link between components is lost.
 3. A leader's candidates form a prefix tree (sequences in the global order, shared prefixes
    once); the tree is walked with the leader's set, nodes' overlaps are shared by what lies
@@ -29,12 +29,16 @@ from .common import materialise
 
 #: The order of frequent shingles is a broadcast of at most so many; the bar rises until it fits.
 FREQUENT_LIMIT = 1_000_000
-FREQUENT_FROM = 16
+FREQUENT_FROM = 4
 #: Counted while reading: shingles seen at least so often within a buffer of BUFFER shingles.
-LOCAL_FROM, BUFFER = 4, 2_000_000
+LOCAL_FROM, BUFFER = 2, 8_000_000
+#: Prefixes are longer than one common element needs, by n / SHARED_PART, and pairs must share so many more.
+SHARED_PART = 24
+#: Rounds in which nodes meet leaders only, and the share of the needed common elements asked for there.
+LEADER_ROUNDS, LEADER_SHARE = 2, 0.3
 #: Candidates of one leader that are walked in one task.
 BLOCK = 512
-#: Node lists are broadcast only up to this many.
+#: Lists of nodes are broadcast only up to so many entries.
 BROADCAST_NODES = 500_000
 _TEXT_BLOCK = 1 << 20
 _SPACE = np.zeros(256, bool)
@@ -62,17 +66,17 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def _word_hashes(data: bytes) -> np.ndarray:
+def _word_hashes(data: bytes, places: bool = False) -> np.ndarray | tuple[np.ndarray, np.ndarray]:
+    """A hash for each word of lower-cased bytes, and with ``places`` where the words start."""
     a = np.frombuffer(data, np.uint8)
     space = _SPACE[a]
     edge = np.flatnonzero(np.diff(space, prepend=True, append=True))
-    if not len(edge):
-        return np.zeros(0, np.uint64)
     start, end = edge[::2], edge[1::2]
     up, down = _powers(len(a) + 1)
     total = np.zeros(len(a) + 1, np.uint64)
     np.cumsum(_BYTE[a] * up[: len(a)], out=total[1:])
-    return _mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+    words = _mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+    return (words, start) if places else words
 
 
 def shingle_set(utf8: bytes | None, size: int = 5) -> np.ndarray:
@@ -96,6 +100,41 @@ def shingle_set(utf8: bytes | None, size: int = 5) -> np.ndarray:
     return np.unique(run)
 
 
+def shingle_sets(texts: list[bytes | None], size: int = 5) -> Iterator[np.ndarray]:
+    """``shingle_set`` of each text; short texts are hashed together."""
+    held: list[bytes] = []
+    room = _TEXT_BLOCK
+
+    def flush() -> Iterator[np.ndarray]:
+        joined = b"\n".join(held).lower()
+        ends = np.cumsum([len(t) + 1 for t in held])
+        words, start = _word_hashes(joined, True)
+        bounds = np.concatenate([[0], np.searchsorted(start, ends)])
+        m = max(0, len(words) - size + 1)
+        run = np.full(m, size, np.uint64)
+        for i in range(size):
+            run = _mix(run * _BASE + words[i : m + i])
+        for t, a, b in zip(held, bounds[:-1], bounds[1:], strict=True):
+            if b - a < size:
+                yield shingle_set(t, size)
+            else:
+                mine = np.sort(run[a : b - size + 1])
+                yield mine[np.concatenate([[True], mine[1:] != mine[:-1]])]
+
+    for text in texts:
+        text = text or b""
+        if held and len(text) > room:
+            yield from flush()
+            held, room = [], _TEXT_BLOCK
+        if len(text) > _TEXT_BLOCK:
+            yield shingle_set(text, size)
+        else:
+            held.append(text)
+            room -= len(text)
+    if held:
+        yield from flush()
+
+
 def _node(hashes: np.ndarray) -> int:
     weights = _mix(np.arange(1, len(hashes) + 1, dtype=np.uint64))
     total = _mix(np.array([(hashes * weights).sum(dtype=np.uint64) ^ np.uint64(len(hashes))], np.uint64))
@@ -111,8 +150,8 @@ def _ordered(hashes: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -> np.n
 
 
 def prefix_length(n: int, percent: int) -> int:
-    """So many first elements of a set of ``n`` meet those of any set at or above the threshold."""
-    return n - -(-percent * n // 100) + 1
+    """So many first elements of a set of ``n`` share ``shared_least(n)`` with those of any set at or above the threshold."""
+    return n - -(-percent * n // 100) + 1 + n // SHARED_PART
 
 
 def walk(query: np.ndarray, sets: list[np.ndarray], percent: int, step: int = 64) -> list[int]:
@@ -177,9 +216,9 @@ def _frequent(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
             return pa.RecordBatch.from_arrays([pa.array(hashes[often].view(np.int64)), pa.array(times[often])], ["hash", "times"])
 
         for batch in batches:
-            for text in batch.column(0):
-                held.append(shingle_set(text.as_py(), size))
-                n += len(held[-1])
+            for elements in shingle_sets(batch.column(0).to_pylist(), size):
+                held.append(elements)
+                n += len(elements)
                 if n >= BUFFER:
                     yield flush()
                     held, n = [], 0
@@ -216,8 +255,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         frequent, rank = order.value
         for batch in batches:
             nodes, sizes, prefixes = [], [], []
-            for text in batch.column(1):
-                s = shingle_set(text.as_py(), size)
+            for s in shingle_sets(batch.column(1).to_pylist(), size):
                 nodes.append(_node(s) if len(s) else None)
                 sizes.append(len(s))
                 prefixes.append(_ordered(s, frequent, rank)[: prefix_length(len(s), percent)].view(np.int64) if len(s) else [])
@@ -225,12 +263,6 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 [batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))], ["doc_id", "node", "n", "prefix"]
             )
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, rank = order.value
-        for batch in batches:
-            held = [_ordered(shingle_set(t.as_py(), size), frequent, rank).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held, pa.binary())], ["node", "elements"])
-
     signed = materialise(texts.mapInArrow(signatures, "doc_id long, node long, n long, prefix array<long>"))
     nodes = signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
 
@@ -239,11 +271,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     token = W.partitionBy("token")
     postings = (
         signed.where("node is not null").select("node", "n", F.posexplode("prefix").alias("pos", "token"))
-        .repartition("token").dropDuplicates(["token", "node"])
-        .withColumn("leader", F.min(F.struct("node", "n", "pos")).over(token)).withColumn("most", F.max("node").over(token))
-        .where("leader.node <> most")
+        .repartition("token").distinct()
+        .withColumn("low", F.min("node").over(token)).withColumn("high", F.max("node").over(token)).where("low <> high")
     )
-    postings = materialise(postings.select("token", "node", "n", "pos", "leader"))
+    postings = materialise(postings.select("token", "node", "n", "pos"))
 
     def possible(a, b):
         """Length and positional bounds for two nodes that hold a common element at their positions."""
@@ -252,46 +283,82 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         return (F.least(a["n"], b["n"]) * 100 >= F.greatest(a["n"], b["n"]) * percent) & (reach >= need)
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """Of pairs (a, b), those at or above the threshold."""
-        named = materialise(pairs.select("a").union(pairs.select("b")).distinct().join(nodes, F.col("a") == F.col("node")).select("doc_id", "node"))
-        if named.count() <= BROADCAST_NODES:
-            named = F.broadcast(named)
-        held = materialise(texts.where("doc_id is not null").join(named, "doc_id").select("node", "text").mapInArrow(sets, "node long, elements binary").dropDuplicates(["node"]))
+        """Of pairs (a, b), those at or above the threshold.
+
+        A text is read once and its set sent to every block where it is the query (b is null) or
+        a candidate."""
         blocks = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
-        left = blocks.join(held, F.col("a") == F.col("node")).select("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "elements")
-        right = pairs.join(blocks, "a").join(held, F.col("b") == F.col("node")).select(
-            F.col("a").alias("of"), F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("part"), "b", F.col("elements").alias("candidate")
-        )
-
-        def check(query: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
-            if not len(query) or not len(candidates):
-                return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-            of = [np.frombuffer(x, np.uint64) for x in candidates["candidate"]]
-            hit = walk(np.frombuffer(query["elements"].iloc[0], np.uint64), of, percent)
-            return pd.DataFrame({"a": query["a"].iloc[0], "b": candidates["b"].to_numpy()[hit]}, dtype="int64")
-
-        return materialise(left.groupBy("a", "block").cogroup(right.groupBy("of", "part")).applyInPandas(check, "a long, b long"))
-
-    lead = F.col("leader")
-    own = {"n": F.col("n"), "pos": F.col("pos")}
-    first = materialise(
-        postings.where(F.col("node") != lead["node"]).where(possible(lead, own)).select(lead["node"].alias("a"), F.col("node").alias("b")).distinct()
-    )
-    links = verified(first)
-    joined = materialise(components(links))
-    placed = postings.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    placed = placed.withColumn("low", F.min("component").over(token)).withColumn("high", F.max("component").over(token)).where("low <> high")
-    placed = materialise(placed.select("token", "node", "n", "pos", "component"))
+        queries = blocks.select(F.col("a").alias("node"), F.col("a"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(None).cast("long").alias("b"))
+        candidates = pairs.join(blocks, "a").select(F.col("b").alias("node"), "a", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block"), "b")
+        places = queries.union(candidates).groupBy("node").agg(F.collect_list(F.struct("a", "block", "b")).alias("places"))
+        named = materialise(places.join(nodes, "node").select("doc_id", "node", "places"))
+        if (named.agg(F.sum(F.size("places") + 1)).first()[0] or 0) <= BROADCAST_NODES:
+            named = F.broadcast(named)
+
+        def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            frequent, rank = order.value
+            for batch in batches:
+                rows: list[tuple] = []
+                for node, places, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), shingle_sets(batch.column(2).to_pylist(), size), strict=True):
+                    if _node(s) == node:  # else another row with this doc_id
+                        elements = _ordered(s, frequent, rank).tobytes()
+                        rows += [(p["a"], p["block"], p["b"], elements) for p in places]
+                        if len(rows) >= 2048:
+                            yield sent(rows)
+                            rows = []
+                if rows:
+                    yield sent(rows)
+
+        def sent(rows: list[tuple]) -> pa.RecordBatch:
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["a", "block", "b", "elements"])
+
+        def check(block: pd.DataFrame) -> pd.DataFrame:
+            query = block["b"].isna().to_numpy()
+            of = [np.frombuffer(x, np.uint64) for x in block["elements"][~query]]
+            hit = walk(np.frombuffer(block["elements"][query].iloc[0], np.uint64), of, percent)
+            return pd.DataFrame({"a": block["a"].iloc[0], "b": block["node"].to_numpy()[~query][hit]}, dtype="int64")
+
+        sets = texts.join(named, "doc_id").select("node", "places", "text").mapInArrow(send, "a long, block int, b long, elements binary")
+        # Pandas reads a column with nulls as doubles, so candidates' ids travel in a column without.
+        sets = sets.withColumn("node", F.coalesce("b", "a"))
+        return materialise(sets.groupBy("a", "block").applyInPandas(check, "a long, b long").distinct())
+
+    def pairs_of(met: DataFrame, share: float) -> DataFrame:
+        """Pairs with at least that share of the common elements that two such prefixes must have."""
+        need = 1 + F.floor(F.least("na", "nb") / F.lit(SHARED_PART))
+        counted = met.groupBy("a", "b").agg(F.count("*").alias("common"), F.min("na").alias("na"), F.min("nb").alias("nb"))
+        return counted.where(F.col("common") >= need * F.lit(share)).select("a", "b")
+
+    def apart(joined: DataFrame) -> DataFrame:
+        """Postings of the shingles that more than one component holds."""
+        placed = postings.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        placed = placed.withColumn("low", F.min("component").over(token)).withColumn("high", F.max("component").over(token))
+        return placed.where("low <> high").select("token", "node", "n", "pos", "component")
+
+    joined = spark.createDataFrame([], "node long, component long")
+    links = spark.createDataFrame([], "a long, b long")
+    tried = links
+    for r in range(LEADER_ROUNDS):
+        # The leader of a shingle is its node with the most links so far.
+        degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
+        placed = apart(joined).join(degree, "node", "left")
+        lead = F.max(F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), F.xxhash64("node", F.lit(r)).alias("draw"), "node", "n", "pos", "component")).over(token)
+        placed = placed.withColumn("lead", lead).where(F.col("component") != F.col("lead.component"))
+        own, other = ({"n": F.col(f"{x}n"), "pos": F.col(f"{x}pos")} for x in ("", "lead."))
+        met = placed.where(possible(other, own)).select(F.col("lead.node").alias("a"), F.col("node").alias("b"), F.col("lead.n").alias("na"), F.col("n").alias("nb"))
+        pairs = materialise(pairs_of(met, LEADER_SHARE).join(tried, ["a", "b"], "left_anti"))
+        tried = materialise(tried.union(pairs).union(pairs.select("b", "a")))
+        links = materialise(links.union(verified(pairs)))
+        joined = materialise(components(links))
+    placed = materialise(apart(joined))
     a, b = placed.alias("a"), placed.alias("b")
     sides = [{"n": F.col(f"{x}.n"), "pos": F.col(f"{x}.pos")} for x in "ab"]
-    second = (
-        a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.component") != F.col("b.component")) & possible(*sides))
-        .select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
-        .join(first, ["a", "b"], "left_anti")
-    )
-    second = materialise(second)
-    if second.limit(1).count():
-        joined = materialise(components(links.union(verified(second))))
+    met = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.component") != F.col("b.component")) & possible(*sides))
+    met = met.select(F.col("a.node").alias("a"), F.col("b.node").alias("b"), F.col("a.n").alias("na"), F.col("b.n").alias("nb"))
+    rest = materialise(pairs_of(met, 1.0).join(tried, ["a", "b"], "left_anti"))
+    if rest.limit(1).count():
+        joined = materialise(components(links.union(verified(rest))))
     named = nodes.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     labels = named.join(least, "component").select("node", "component_id")
