@@ -1,4 +1,8 @@
 """The registered queries over the given tables and their SQL twins."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from . import pages_catalog, scoring_catalog, sessions_catalog
+
+QUERIES = pages_catalog.QUERIES | sessions_catalog.QUERIES | scoring_catalog.QUERIES
+ORACLE_SQL = pages_catalog.ORACLE_SQL | sessions_catalog.ORACLE_SQL | scoring_catalog.ORACLE_SQL
