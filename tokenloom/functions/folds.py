@@ -6,8 +6,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-NEXT_FIT = "array<struct<first:int,n:int,tokens:long>>"
+#: Spelled as types, not as DDL: workers import this module without a session.
+NEXT_FIT = T.ArrayType(T.StructType([T.StructField("first", T.IntegerType()), T.StructField("n", T.IntegerType()), T.StructField("tokens", T.LongType())]))
 
 
 def next_fit_bounds(tokens: np.ndarray, cap: float) -> list[dict]:

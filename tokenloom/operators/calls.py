@@ -36,9 +36,9 @@ def split_oversize_pages(pages: DataFrame, room: Column | int, keys: tuple[str,
     """(…, piece_no, text, tokens): a page over the room is cut between lines; one over-long line stays whole."""
     room = F.lit(room) if isinstance(room, int) else room
     whole = token_count(F.col("text"))
-    marked = pages.select(*keys, "pack_id", "page_no", "text", room.cast("long").alias("room"), whole.alias("whole"))
-    cut = marked.withColumn("ls", F.when(F.col("whole") > F.col("room"), lines(F.col("text"))).otherwise(F.array("text")))
-    binned = cut.withColumn("bins", next_fit(F.when(F.col("whole") > F.col("room"), F.transform("ls", token_count)).otherwise(F.array("whole")), F.col("room")))
+    marked = pages.select(*keys, "pack_id", "page_no", "text", room.cast("long").alias("cap"), whole.alias("whole"))
+    cut = marked.withColumn("ls", F.when(F.col("whole") > F.col("cap"), lines(F.col("text"))).otherwise(F.array("text")))
+    binned = cut.withColumn("bins", next_fit(F.when(F.col("whole") > F.col("cap"), F.transform("ls", token_count)).otherwise(F.array("whole")), F.col("cap")))
     rows = binned.select(*keys, "pack_id", "page_no", "ls", F.posexplode("bins").alias("piece_no", "b"))
     return rows.select(*keys, "pack_id", "page_no", "piece_no", F.array_join(F.slice("ls", F.col("b.first") + 1, F.col("b.n")), "\n").alias("text"), F.col("b.tokens").alias("tokens"))
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import SPACE, line_shape, lines, normalise_ws, render_page, rstrip, strip, token_count
 
@@ -91,7 +92,7 @@ def boilerplate_sentences(pages: DataFrame, kinds: tuple[str, ...] = BOILERPLATE
     return whole.select("pack_id", strip(F.col("sentence")).alias("sentence")).where(F.char_length("sentence") > least).distinct()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _without(text: pd.Series, sentences: pd.Series) -> pd.Series:
     def one(t: str, found) -> str:
         for s in sorted(found, key=lambda s: (-len(s), s)):
@@ -113,10 +114,12 @@ def strip_boilerplate(pages: DataFrame, kinds: tuple[str, ...] = BOILERPLATE_KIN
     anchored = sentences.select("pack_id", "sentence", F.concat(F.size(inner).cast("string"), F.lit(" "), F.array_join(inner, " ")).alias("anchor"))
     live = ~F.col("kind").isin(*kinds) & F.col("dropped_reason").isNull()
     w = F.col("words")
-    grams = [F.array(F.lit("0 "))] + [
-        F.when(F.size(w) >= k, F.transform(F.sequence(F.lit(1), F.size(w) - k + 1), lambda i, k=k: F.concat(F.lit(f"{k} "), F.array_join(F.slice(w, i, F.lit(k)), " ")))).otherwise(F.array().cast("array<string>"))
-        for k in (1, 2, 3)
-    ]
+
+    def runs(k: int) -> Column:
+        found = F.transform(F.sequence(F.lit(1), F.size(w) - k + 1), lambda i: F.concat(F.lit(f"{k} "), F.array_join(F.slice(w, i, F.lit(k)), " ")))
+        return F.when(F.size(w) >= k, found).otherwise(F.array().cast("array<string>"))
+
+    grams = [F.array(F.lit("0 ")), *(runs(k) for k in (1, 2, 3))]
     # The words are a column of their own: inside the lambdas they would be split anew for every gram.
     split_pages = pages.where(live).select("pack_id", "page_no", F.split(strip(F.col("text")), rf"{SPACE}+").alias("words"))
     held = split_pages.select("pack_id", "page_no", F.explode(F.array_distinct(F.concat(*grams))).alias("anchor"))

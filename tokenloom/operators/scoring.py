@@ -36,8 +36,8 @@ def unwrap_leaves(reply: Column, fields: list[str]) -> Column:
 
 
 def merge_task_results(parts: DataFrame) -> DataFrame:
-    """(pack_id, grp, field, value): the latest task's value of each field; ``parts`` also has task_no."""
-    return parts.groupBy("pack_id", "grp", "field").agg(F.max_by("value", "task_no").alias("value"))
+    """(pack_id, grp, field, value): the latest task's value of each field (ties: the largest); ``parts`` also has task_no."""
+    return parts.groupBy("pack_id", "grp", "field").agg(F.max_by("value", F.struct("task_no", "value")).alias("value"))
 
 
 def usage_report(usage: DataFrame, by: tuple[str, ...] = ("pipeline",)) -> DataFrame:
@@ -50,7 +50,7 @@ def usage_report(usage: DataFrame, by: tuple[str, ...] = ("pipeline",)) -> DataF
 
 def score_scalars(truth: DataFrame, got: DataFrame, keys: list[str], kinds: dict[str, str]) -> DataFrame:
     """(keys, field_key, correct): scalar fields of ``truth`` against the text fields of ``got``."""
-    joined = truth.select(*keys, F.struct(*kinds).alias("e")).join(got.select(*keys, F.struct(*[F.col(k).cast("string") for k in kinds]).alias("g")), keys, "left")
+    joined = truth.select(*keys, F.struct(*kinds).alias("e")).join(got.select(*keys, F.struct(*[F.col(k).cast("string").alias(k) for k in kinds]).alias("g")), keys, "left")
     checks = [F.struct(F.lit(k).alias("field_key"), values_match(kind, F.col(f"e.{k}"), F.col(f"g.{k}")).alias("correct")) for k, kind in kinds.items()]
     return joined.select(*keys, F.explode(F.array(*checks)).alias("c")).select(*keys, "c.field_key", "c.correct")
 

@@ -122,7 +122,7 @@ def first_valid_reply(spark, sf_dir):
 
 def merge_task_results(spark, sf_dir):
     parts = read(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("pack_id"), F.lit("item").alias("grp"), F.col("l_shipmode").alias("field"), F.col("l_linenumber").cast("long").alias("task_no"), F.col("l_linestatus").alias("value")
+        F.col("l_orderkey").alias("pack_id"), F.lit("item").alias("grp"), F.col("l_returnflag").alias("field"), F.col("l_linenumber").cast("long").alias("task_no"), F.col("l_linestatus").alias("value")
     )
     return G.merge_task_results(parts)
 
@@ -141,11 +141,11 @@ def _invoices(spark, sf_dir, wrong=False):
     amount = F.col("l_extendedprice").cast("double")
     if wrong:
         amount = amount + F.when((F.col("l_orderkey") + F.col("l_linenumber")) % 11 == 0, 5).otherwise(0)
-    return read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("pack_id"), F.concat(F.lit("INV-"), F.col("l_linenumber").cast("string")).alias("invoice_number"), amount.alias("amount"))
+    return read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("pack_id"), F.concat_ws("-", F.lit("INV"), "l_linenumber", "l_partkey", "l_suppkey").alias("invoice_number"), amount.alias("amount"))
 
 
 def _superseded(spark, sf_dir):
-    return _invoices(spark, sf_dir).where("pack_id % 4 = 0 and invoice_number = 'INV-2'").select("pack_id", "invoice_number")
+    return _invoices(spark, sf_dir).where("pack_id % 4 = 0 and invoice_number like 'INV-2-%'").select("pack_id", "invoice_number")
 
 
 def _listed(df):
@@ -183,7 +183,7 @@ def fact_checks(spark, sf_dir):
 
 def answer_check(spark, sf_dir):
     items = read(spark, sf_dir, "benchmark")
-    answers = items.select(F.col("item_id").alias("qid"), F.when(F.col("item_id") % 3 == 0, F.substring("text", 1, 60)).otherwise(F.upper("text")).alias("answer"))
+    answers = items.select(F.col("item_id").alias("qid"), F.when(F.col("item_id") % 3 == 0, F.substring("text", 1, 60)).otherwise(F.lower("text")).alias("answer"))
     facts = items.select(F.col("item_id").alias("qid"), F.array(F.substring("text", 1, 30), F.substring("text", 50, 30)).alias("must_contain"))
     return G.answer_check(answers, facts)
 
@@ -214,7 +214,7 @@ _WS = lambda x: rf"regexp_replace({x}, '\s+', ' ', 'g')"
 _COVERED = f"covered AS (SELECT lang AS pack_id, doc_id AS call_id, 'item' || item_id AS field_key FROM documents d, benchmark b WHERE contains({_WS('d.text')}, {_WS('b.text')}))"
 _REPLIES = """replies AS (SELECT o_orderkey AS call_id, a AS attempt, CASE WHEN a = 1 AND o_orderkey % 3 = 0 THEN '{ not json' WHEN o_orderkey % 2 = 0 THEN 'Here:' || chr(10) || '```json' || chr(10) || b || chr(10) || '```'
   ELSE 'Answer ' || b || ' done' END AS text, o_custkey, o_orderstatus FROM (SELECT *, '{"custkey":{"value":' || o_custkey || ',"confidence":0.9},"status":{"value":"' || o_orderstatus || '","confidence":0.9}}' AS b FROM orders), (VALUES (1), (2)) v(a))"""
-_INV = "inv AS (SELECT l_orderkey AS pack_id, 'INV-' || l_linenumber AS invoice_number, l_extendedprice::DOUBLE AS amount, l_extendedprice::DOUBLE + CASE WHEN (l_orderkey + l_linenumber) % 11 = 0 THEN 5 ELSE 0 END AS got FROM lineitem)"
+_INV = "inv AS (SELECT l_orderkey AS pack_id, 'INV-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS invoice_number, l_extendedprice::DOUBLE AS amount, l_extendedprice::DOUBLE + CASE WHEN (l_orderkey + l_linenumber) % 11 = 0 THEN 5 ELSE 0 END AS got FROM lineitem)"
 
 
 def _pieces(by: str, source: str) -> str:
@@ -256,17 +256,17 @@ SELECT pack_id, task, model_key, coalesce(t, 0) + {PROMPT + C.FRAME} AS tokens_i
     "counter_effect": f"""SELECT sample, heuristic, chars4, words, round(chars4 / heuristic, 6) AS chars4_ratio, round(words / heuristic, 6) AS words_ratio FROM (SELECT source AS sample, sum({S.tokens('text')})::BIGINT AS heuristic,
   sum(ceil(length(text) / 4.0))::BIGINT AS chars4, sum(len(regexp_extract_all(text, '[^\\s]+')))::BIGINT AS words FROM documents GROUP BY source)""",
     "first_valid_reply": """SELECT o_orderkey AS call_id, CASE WHEN o_orderkey % 3 = 0 THEN 2 ELSE 1 END::BIGINT AS attempt, 2::BIGINT AS attempts, o_custkey AS custkey, o_orderstatus AS status FROM orders""",
-    "merge_task_results": "SELECT l_orderkey AS pack_id, 'item' AS grp, l_shipmode AS field, max_by(l_linestatus, l_linenumber) AS value FROM lineitem GROUP BY ALL",
+    "merge_task_results": "SELECT l_orderkey AS pack_id, 'item' AS grp, l_returnflag AS field, max_by(l_linestatus, l_linenumber * 1000 + ascii(l_linestatus)) AS value FROM lineitem GROUP BY ALL",
     "usage_report": f"""WITH {_REPLIES}, u AS (SELECT *, CASE WHEN call_id % 5 = 0 THEN 'full' ELSE 'routed' END AS pipeline, {S.tokens('text')} AS tin FROM replies WHERE attempt = 1 OR call_id % 3 = 0),
 s AS (SELECT pipeline, sum(tin)::BIGINT AS tokens_in, (50 * count(*))::BIGINT AS tokens_out, sum(call_id % 10)::BIGINT AS reasoning_tokens, count(*) FILTER (attempt > 1) AS retries, sum(CASE WHEN call_id % 7 = 0 THEN 0 ELSE 2 END)::BIGINT AS correct FROM u GROUP BY ALL)
 SELECT *, round_even(1000 * correct / (tokens_in + tokens_out), 3) AS correct_per_1k FROM s""",
     "score_fields": f"""WITH {_INV} SELECT pack_id, invoice_number AS field_key, bool_or(abs(got - amount) < 0.01) AS correct FROM inv GROUP BY ALL
-UNION ALL SELECT pack_id, 'no_superseded', NOT bool_or(pack_id % 4 = 0 AND invoice_number = 'INV-2') FROM inv GROUP BY pack_id""",
-    "current_invoice_totals": f"""WITH {_INV}, c AS (SELECT pack_id, invoice_number, min(amount) AS amount FROM inv WHERE NOT (pack_id % 4 = 0 AND invoice_number = 'INV-2') GROUP BY ALL)
+UNION ALL SELECT pack_id, 'no_superseded', NOT bool_or(pack_id % 4 = 0 AND invoice_number LIKE 'INV-2-%') FROM inv GROUP BY pack_id""",
+    "current_invoice_totals": f"""WITH {_INV}, c AS (SELECT pack_id, invoice_number, min(amount) AS amount FROM inv WHERE NOT (pack_id % 4 = 0 AND invoice_number LIKE 'INV-2-%') GROUP BY ALL)
 SELECT pack_id, count(*) AS n_invoices, round(sum(amount::DECIMAL(18, 2))::DOUBLE, 2) AS total, round(sum(amount::DECIMAL(18, 2))::DOUBLE, 2) > any_value(o_totalprice)::DOUBLE AS exceeds FROM c JOIN orders ON o_orderkey = pack_id GROUP BY pack_id""",
     "fact_checks": """WITH c AS (SELECT doc_id, item_id, contains(d.text, b.text[1:40])::BIGINT + contains(d.text, b.text[41:80])::BIGINT AS found, length(d.text) < 20000 AS within FROM documents d, benchmark b)
 SELECT doc_id, item_id, found, 2::BIGINT AS needed, found / 2 AS facts_present, found = 2 AND within AS answerable FROM c WHERE found > 0""",
-    "answer_check": r"""WITH a AS (SELECT item_id AS qid, text, CASE WHEN item_id % 3 = 0 THEN text[1:60] ELSE upper(text) END AS answer FROM benchmark),
+    "answer_check": r"""WITH a AS (SELECT item_id AS qid, text, CASE WHEN item_id % 3 = 0 THEN text[1:60] ELSE lower(text) END AS answer FROM benchmark),
 n AS (SELECT qid, regexp_replace(lower(answer), '[\s,]+', '', 'g') AS x, regexp_replace(lower(text[1:30]), '[\s,]+', '', 'g') AS f, regexp_replace(lower(text[50:79]), '[\s,]+', '', 'g') AS g FROM a)
 SELECT qid, contains(x, f) AND contains(x, g) AS "right" FROM n""",
 }
