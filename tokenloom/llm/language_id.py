@@ -45,6 +45,7 @@ def characters(text: str) -> np.ndarray:
     codes = np.concatenate([*parts, np.full(1, 32, np.uint32)])
     keep = (codes != 32) | (np.concatenate([[0], codes[:-1]]) != 32)
     keep[: ORDER - 1] = True
+    keep[-1] = True  # so that a text without letters still has one character
     return codes[keep]
 
 
