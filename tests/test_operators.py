@@ -22,7 +22,7 @@ PACK = [
     (2, "ACME HEALTH  ref 12\nCLAIM FORM\nMember: Chan\nAll information given here is true to the best of my knowledge.\nPage 2 of 6"),
     (3, "ACME HEALTH  ref 13\nInvoice SF-2291 replaces SF-2290.\nTotal    1,200.00\n> old mail\nPage 3 of 6"),
     (4, "ACME HEALTH  ref 14\nInvoice SF-2291 replaces SF-2290.\nTotal    1,200.00\nDUPLICATE COPY\nPage 4 of 6"),
-    (5, "ACME HEALTH  ref 15\nTerms and conditions\n1. All information given here is true to the\nbest of my knowledge. Short one.\nPage 5 of 6"),
+    (5, "ACME HEALTH  ref 15\nTerms and conditions apply.\n1. All information given here is true to the\nbest of my knowledge. Short one.\nPage 5 of 6"),
     (6, None),
 ]
 
