@@ -71,11 +71,10 @@ def brute_components(texts, percent=75):
         w = (t or "").encode().lower().split()
         sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set()))
     comp = list(range(len(texts)))
+    links = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if a and b and 100 * len(a & b) >= percent * len(a | b)]
     for _ in texts:
-        for i, a in enumerate(sets):
-            for j, b in enumerate(sets[:i]):
-                if a and b and 100 * len(a & b) >= percent * len(a | b):
-                    comp[i] = comp[j] = min(comp[i], comp[j])
+        for i, j in links:
+            comp[i] = comp[j] = min(comp[i], comp[j])
     return [(len(s), c) for s, c in zip(sets, comp)]
 
 
@@ -97,6 +96,31 @@ def test_jaccard_components(spark, odd, empty):
     assert sorted(x["doc_id"] for x in kept if x["doc_id"] is not None) == [0, 1, 2, 3, 4, 5, 6, 7]
 
 
+@pytest.mark.parametrize(("seed", "rate"), [(3, 0.04)])
+def test_jaccard_hubs(spark, monkeypatch, seed, rate):
+    """Groups whose members are near the base but mostly not near each other meet by way of a hub."""
+    monkeypatch.setattr(J, "HUB_FROM", 8)
+    r = random.Random(seed)
+    texts = []
+    for _ in range(2):
+        base = [f"w{r.randrange(5000)}" for _ in range(120)]
+        for _ in range(110):
+            texts.append(" ".join(f"w{r.randrange(5000)}" if r.random() < rate else w for w in base[: r.choice([120, 120, 110, 95])]))
+    met = []
+    differences = J.differences
+    base = [J.shingle_set(t.encode()) for t in texts[:60]]
+    for a in base[1:]:
+        for b in base[1:]:
+            (da, na, la), (db, nb, lb) = differences(base[0], a, 75), differences(base[0], b, 75)
+            near = 100 * len(np.intersect1d(a, b)) >= 75 * len(np.union1d(a, b))
+            met.append(near)
+            assert not near or (la and lb) or len(np.intersect1d(da, db))
+            assert la == (100 * len(np.intersect1d(a, base[0])) >= 75 * len(np.union1d(a, base[0])))
+    assert any(met) and not all(met)
+    got = J.jaccard_components(docs(spark, texts)).orderBy("doc_id").collect()
+    assert [(x["n_shingles"], x["component_id"]) for x in got] == brute_components(texts)
+
+
 def test_walk_prunes_exactly():
     r = np.random.default_rng(2)
     pool = r.integers(1, 2**60, 300, dtype=np.uint64)

@@ -6,8 +6,12 @@
 2. Sets at or above the threshold share a shingle among their prefixes, so nodes meet on prefix
    shingles, under length and positional bounds, and a pair must share as many as prefixes of that
    length have to. First every node meets only the leader of each of its shingles; links found there join
-   most of a group of copies. Then all nodes of *different* components that share prefix shingles meet. No pair inside a component is made again, so a group
-   of copies costs its size, not its square, and no link between components is lost.
+   most of a group of copies. Then nodes of *different* components that share prefix shingles meet. No pair inside a component is made again.
+   Where more than HUB_FROM nodes hold a shingle, each is compared with a hub, one of them, and
+   is from then on the set of its differences from the hub. The symmetric difference of two sets is that
+   of their difference sets, so two nodes that are not both linked to the hub reach the threshold only
+   if they share enough differences; these are rare, and a prefix filter over them finds the pairs.
+   So a group of copies costs its size, not its square, and no link between components is lost.
 3. A leader's candidates form a prefix tree (sequences in the global order, shared prefixes
    once); the tree is walked with the leader's set, nodes' overlaps are shared by what lies
    below, and subtrees whose remaining length cannot reach the threshold are pruned. Large
@@ -36,6 +40,8 @@ LOCAL_FROM, BUFFER = 2, 8_000_000
 SHARED_PART = 24
 #: Rounds in which nodes meet leaders only, and the share of the needed common elements asked for there.
 LEADER_ROUNDS, LEADER_SHARE = 2, 0.3
+#: Shingles that more nodes hold are met by way of a hub; at most so many nodes meet directly.
+HUB_FROM = 64
 #: Candidates of one leader that are walked in one task.
 BLOCK = 512
 #: Lists of nodes are broadcast only up to so many entries.
@@ -183,6 +189,19 @@ def walk(query: np.ndarray, sets: list[np.ndarray], percent: int, step: int = 64
     return found
 
 
+def differences(hub: np.ndarray, elements: np.ndarray, percent: int) -> tuple[np.ndarray, int, bool]:
+    """The prefix of a set's differences from the hub, their number, and whether the two link.
+
+    Elements that the hub lacks come first, then the hub's that are missing. Whatever the partner, two
+    sets at or above the threshold have at least ``least`` differences in common, which the prefix's length follows.
+    """
+    parts = np.setdiff1d(elements, hub, assume_unique=True), np.setdiff1d(hub, elements, assume_unique=True)
+    n = len(parts[0]) + len(parts[1])
+    beyond = n * (100 + percent) - (len(elements) + len(hub)) * (100 - percent)
+    least = max(1, -(-beyond // (2 * (100 + percent))))
+    return np.concatenate(parts)[: n - least + 1], n, beyond <= 0
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component): the least node reachable over ``links(a, b)``; alternating star contraction."""
     edges = materialise(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
@@ -244,7 +263,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Two documents link when ``100 * intersection >= percent * union`` of their shingle sets;
     ``component_id`` is the smallest doc_id reachable by links, the document included. Texts with
     fewer than ``size`` words are one shingle; null, empty or blank texts have none and are linked with
-    nothing. Repeated rows keep a row each; a null doc_id joins in linking but names no
+    nothing. Repeated rows keep a row each; a row without doc_id is linked with equal sets only, and names no
     component, which is null if it has no other member. Other columns are not carried. An empty table gives no rows.
     """
     spark = docs.sparkSession
@@ -270,7 +289,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     token = W.partitionBy("token")
     postings = (
-        signed.where("node is not null").select("node", "n", F.posexplode("prefix").alias("pos", "token"))
+        signed.where("node is not null and doc_id is not null").select("node", "n", F.posexplode("prefix").alias("pos", "token"))
         .repartition("token").distinct()
         .withColumn("low", F.min("node").over(token)).withColumn("high", F.max("node").over(token)).where("low <> high")
     )
@@ -282,8 +301,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         reach = F.least(a["pos"], b["pos"]) + 1 + F.least(a["n"] - a["pos"], b["n"] - b["pos"]) - 1
         return (F.least(a["n"], b["n"]) * 100 >= F.greatest(a["n"], b["n"]) * percent) & (reach >= need)
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """Of pairs (a, b), those at or above the threshold.
+    def by_block(pairs: DataFrame):
+        """The sets of pairs (a, b), grouped into blocks of candidates b with their query a.
 
         A text is read once and its set sent to every block where it is the query (b is null) or
         a candidate."""
@@ -313,16 +332,37 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["a", "block", "b", "elements"])
 
-        def check(block: pd.DataFrame) -> pd.DataFrame:
-            query = block["b"].isna().to_numpy()
-            of = [np.frombuffer(x, np.uint64) for x in block["elements"][~query]]
-            hit = walk(np.frombuffer(block["elements"][query].iloc[0], np.uint64), of, percent)
-            return pd.DataFrame({"a": block["a"].iloc[0], "b": block["node"].to_numpy()[~query][hit]}, dtype="int64")
-
         sets = texts.join(named, "doc_id").select("node", "places", "text").mapInArrow(send, "a long, block int, b long, elements binary")
         # Pandas reads a column with nulls as doubles, so candidates' ids travel in a column without.
-        sets = sets.withColumn("node", F.coalesce("b", "a"))
-        return materialise(sets.groupBy("a", "block").applyInPandas(check, "a long, b long").distinct())
+        return sets.withColumn("node", F.coalesce("b", "a")).groupBy("a", "block")
+
+    def opened(block: pd.DataFrame) -> tuple[int, np.ndarray, np.ndarray, list[np.ndarray]]:
+        """A block's query and its set, its candidates and theirs; rows that repeat a doc_id and a text count once."""
+        query = block["b"].isna().to_numpy()
+        own = np.frombuffer(block["elements"][query].iloc[0], np.uint64)
+        rest = block[~query].drop_duplicates("node")
+        return int(block["a"].iloc[0]), own, rest["node"].to_numpy(), [np.frombuffer(x, np.uint64) for x in rest["elements"]]
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Of pairs (a, b), those at or above the threshold."""
+
+        def check(block: pd.DataFrame) -> pd.DataFrame:
+            a, own, ids, sets = opened(block)
+            return pd.DataFrame({"a": a, "b": ids[walk(own, sets, percent)]}, dtype="int64")
+
+        return materialise(by_block(pairs).applyInPandas(check, "a long, b long").distinct())
+
+    def from_hubs(members: DataFrame) -> DataFrame:
+        """For pairs (a, b) of hub and node: the node's differences from the hub."""
+
+        def differ(block: pd.DataFrame) -> pd.DataFrame:
+            a, own, ids, sets = opened(block)
+            found = [differences(own, s, percent) for s in sets]
+            columns = {"tokens": [t.view(np.int64) for t, _, _ in found], "size": [k for _, k, _ in found], "linked": [x for _, _, x in found]}
+            return pd.DataFrame({"hub": a, "node": ids, "n": [len(s) for s in sets], **columns})
+
+        kinds = "hub long, node long, n long, tokens array<long>, size long, linked boolean"
+        return materialise(by_block(members).applyInPandas(differ, kinds))
 
     def pairs_of(met: DataFrame, share: float) -> DataFrame:
         """Pairs with at least that share of the common elements that two such prefixes must have."""
@@ -351,12 +391,32 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         tried = materialise(tried.union(pairs).union(pairs.select("b", "a")))
         links = materialise(links.union(verified(pairs)))
         joined = materialise(components(links))
-    placed = materialise(apart(joined))
+    placed = materialise(apart(joined).withColumn("df", F.count("*").over(token)))
+    # The hub of a shingle is the node with the largest share of common shingles: the fewest of its own.
+    common = placed.where(F.col("df") > HUB_FROM)
+    share = common.groupBy("node").agg((F.count("*") / F.first("n")).alias("share"))
+    hubs = common.join(share, "node").groupBy("token").agg(F.max(F.struct("share", F.xxhash64("node").alias("draw"), "node")).alias("hub"))
+    members = materialise(common.join(hubs, "token").select(F.col("hub.node").alias("a"), F.col("node").alias("b")).where("a <> b").distinct())
+    near = tried.limit(0)
+    if members.limit(1).count():
+        differing = from_hubs(members)
+        links = materialise(links.union(differing.where("linked").select("hub", "node")))
+        joined = materialise(components(links))
+        differing = differing.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        differing = materialise(differing.select("hub", "node", "n", "size", "component", F.posexplode("tokens").alias("pos", "token")))
+        a, b = differing.alias("a"), differing.alias("b")
+        both = (F.col("a.size") + F.col("b.size")) * (100 + percent) - (F.col("a.n") + F.col("b.n")) * (100 - percent)
+        need = F.ceil(both / F.lit(2 * (100 + percent)))
+        within = (F.col("a.size") - F.col("a.pos") >= need) & (F.col("b.size") - F.col("b.pos") >= need)
+        same = (F.col("a.hub") == F.col("b.hub")) & (F.col("a.token") == F.col("b.token"))
+        met = a.join(b, same & (F.col("a.node") < F.col("b.node")) & (F.col("a.component") != F.col("b.component")) & within)
+        near = met.select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
+    placed = placed.where(F.col("df") <= HUB_FROM).select("token", "node", "n", "pos").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     a, b = placed.alias("a"), placed.alias("b")
     sides = [{"n": F.col(f"{x}.n"), "pos": F.col(f"{x}.pos")} for x in "ab"]
     met = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.component") != F.col("b.component")) & possible(*sides))
     met = met.select(F.col("a.node").alias("a"), F.col("b.node").alias("b"), F.col("a.n").alias("na"), F.col("b.n").alias("nb"))
-    rest = materialise(pairs_of(met, 1.0).join(tried, ["a", "b"], "left_anti"))
+    rest = materialise(pairs_of(met, 1.0).union(near.select("a", "b")).distinct().join(tried, ["a", "b"], "left_anti"))
     if rest.limit(1).count():
         joined = materialise(components(links.union(verified(rest))))
     named = nodes.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
