@@ -190,16 +190,13 @@ def walk(query: np.ndarray, sets: list[np.ndarray], percent: int, step: int = 64
 
 
 def differences(hub: np.ndarray, elements: np.ndarray, percent: int) -> tuple[np.ndarray, int, bool]:
-    """The prefix of a set's differences from the hub, their number, and whether the two link.
+    """A set's differences from the hub, how many of them any partner shares at least, and whether the two link.
 
-    Elements that the hub lacks come first, then the hub's that are missing. Whatever the partner, two
-    sets at or above the threshold have at least ``least`` differences in common, which the prefix's length follows.
+    Sets at or above the threshold that are not both linked to the hub share one difference or more.
     """
-    parts = np.setdiff1d(elements, hub, assume_unique=True), np.setdiff1d(hub, elements, assume_unique=True)
-    n = len(parts[0]) + len(parts[1])
-    beyond = n * (100 + percent) - (len(elements) + len(hub)) * (100 - percent)
-    least = max(1, -(-beyond // (2 * (100 + percent))))
-    return np.concatenate(parts)[: n - least + 1], n, beyond <= 0
+    found = np.setxor1d(elements, hub, assume_unique=True)
+    beyond = len(found) * (100 + percent) - (len(elements) + len(hub)) * (100 - percent)
+    return found, max(1, -(-beyond // (2 * (100 + percent)))), beyond <= 0
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -358,10 +355,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         def differ(block: pd.DataFrame) -> pd.DataFrame:
             a, own, ids, sets = opened(block)
             found = [differences(own, s, percent) for s in sets]
-            columns = {"tokens": [t.view(np.int64) for t, _, _ in found], "size": [k for _, k, _ in found], "linked": [x for _, _, x in found]}
+            columns = {"tokens": [t.view(np.int64) for t, _, _ in found], "least": [k for _, k, _ in found], "linked": [x for _, _, x in found]}
             return pd.DataFrame({"hub": a, "node": ids, "n": [len(s) for s in sets], **columns})
 
-        kinds = "hub long, node long, n long, tokens array<long>, size long, linked boolean"
+        kinds = "hub long, node long, n long, tokens array<long>, least long, linked boolean"
         return materialise(by_block(members).applyInPandas(differ, kinds))
 
     def pairs_of(met: DataFrame, share: float) -> DataFrame:
@@ -396,6 +393,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     common = placed.where(F.col("df") > HUB_FROM)
     share = common.groupBy("node").agg((F.count("*") / F.first("n")).alias("share"))
     hubs = common.join(share, "node").groupBy("token").agg(F.max(F.struct("share", F.xxhash64("node").alias("draw"), "node")).alias("hub"))
+    # A hub need not hold the shingle: that of all shingles of the first choice is taken, so a group has few hubs.
+    better = common.join(hubs, "token").groupBy("node").agg(F.max("hub").alias("better"))
+    hubs = hubs.join(better, F.col("hub.node") == F.col("node")).select("token", F.col("better").alias("hub"))
     members = materialise(common.join(hubs, "token").select(F.col("hub.node").alias("a"), F.col("node").alias("b")).where("a <> b").distinct())
     near = tried.limit(0)
     if members.limit(1).count():
@@ -403,7 +403,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         links = materialise(links.union(differing.where("linked").select("hub", "node")))
         joined = materialise(components(links))
         differing = differing.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        differing = materialise(differing.select("hub", "node", "n", "size", "component", F.posexplode("tokens").alias("pos", "token")))
+        differing = differing.select("hub", "node", "n", F.size("tokens").cast("long").alias("size"), "least", "component", F.explode("tokens").alias("token"))
+        # Rarest differences of the hub's nodes first; only prefixes are kept.
+        differing = differing.withColumn("df", F.count("*").over(W.partitionBy("hub", "token"))).withColumn("pos", F.row_number().over(W.partitionBy("hub", "node").orderBy("df", "token")) - 1)
+        differing = materialise(differing.where("size - pos >= least"))
         a, b = differing.alias("a"), differing.alias("b")
         both = (F.col("a.size") + F.col("b.size")) * (100 + percent) - (F.col("a.n") + F.col("b.n")) * (100 - percent)
         need = F.ceil(both / F.lit(2 * (100 + percent)))
