@@ -83,9 +83,11 @@ def contamination(
         if wanted.count() <= BROADCAST_SHINGLES:
             wanted = F.broadcast(wanted)
         # One pass over the corpus: every place where a shingle of an item stands.
-        doc_words = docs.select(text_key.alias("k"), words(F.col(text_col)).alias("w")).where(F.size("w") > 0)
+        # Shingles are made below the explode, which else copies a text's words into each of its rows;
+        # the outer form has no filter that would make them twice. The join drops its null row.
+        doc_words = docs.select(text_key.alias("k"), words(F.col(text_col)).alias("w"))
         streams = [
-            doc_words.select("k", F.size("w").alias("n"), F.explode(_shingles(F.col("w"), s)).alias("x")).select(
+            doc_words.select("k", F.size("w").alias("n"), _shingles(F.col("w"), s).alias("runs")).select("k", "n", F.explode_outer("runs").alias("x")).select(
                 "k", "n", F.col("x.pos").alias("pos"), F.col("x.shingle").alias("shingle"), F.lit(s).alias("size")
             )
             for s in sizes
