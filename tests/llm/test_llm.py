@@ -13,7 +13,7 @@ from tokenloom.llm import jaccard_join as J
 from tokenloom.llm import media as M
 from tokenloom.llm import packing as K
 from tokenloom.llm import secrets as E
-from tokenloom.llm.decontaminate import contamination
+from tokenloom.llm.decontaminate import contamination, words
 from tokenloom.llm.language_id import identify_language
 from tokenloom.llm.line_dedup import drop_boilerplate_lines
 from tokenloom.llm.neural_lm import score_documents
@@ -56,6 +56,16 @@ def test_line_dedup(spark, odd, empty):
     assert kept.count() == odd.count() and kept.where("text is null").count() == 1 and drop_boilerplate_lines(empty).count() == 0
 
 
+def test_decontamination_words(spark):
+    import re
+
+    texts = ["", "..", "a", " ..A b. ", "\x00\x7f", "É ñ\U0001d4b3z 9_a", "x\u2003y-Z", "<|end|>"]
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    expected = [re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.translate(lower)) for t in texts]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(99, None)], "i int, t string")
+    assert [r[0] for r in df.orderBy("i").select(words(F.col("t"))).collect()] == [*expected, None]
+
+
 def test_decontamination(spark, odd, empty):
     items = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(12))), (2, "Tiny item"), (3, None), (None, "lone words"), (4, "")], "item_id int, text string")
     texts = ["x " + " ".join(f"W{i}" for i in range(1, 12)) + " y", "a tiny, item and tiny item", "lone words", "w1 w2 w3", None]
