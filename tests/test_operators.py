@@ -134,6 +134,38 @@ def test_windows(spark, pack):
     assert status["local"] == "no_room" and status["long"] == "one_call"
 
 
+def test_terms(spark):
+    texts = ["", "...", "The API-v2 of Café", "a", "x9  x9"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(9, None)], "i int, t string")
+    assert [r[0] for r in df.orderBy("i").select(T.terms(F.col("t"))).collect()] == [[], [], ["api", "v2", "caf"], [], ["x9", "x9"], []]
+
+
+def test_pipeline_report(spark):
+    models = spark.createDataFrame([("m", 1.0, 2.0), ("free", None, None)], "model_key string, price_in double, price_out double")
+    rows = [(m, p, n, i, o) for m in ("m", "free") for p, n, i, o in (("full", 1, 1500, 500), ("routed", 2, 300, 100), ("routed", 1, 100, 0))]
+    calls = spark.createDataFrame(rows, "model_key string, pipeline string, n_calls long, tokens_in long, tokens_out long")
+    fields = spark.createDataFrame([("m", "full", 4), ("m", "routed", 3)], "model_key string, pipeline string, fields long")
+    got = {(r["model_key"], r["pipeline"]): r for r in C.pipeline_report(calls, fields, models).collect()}
+    routed = got["m", "routed"]
+    assert (routed["calls"], routed["tokens_in"], routed["tokens_out"], routed["tokens"], routed["fields"], routed["saving"]) == (3, 400, 100, 500, 3, 0.75)
+    assert got["m", "full"]["saving"] == 0 and got["free", "full"]["cost"] is None and got["free", "full"]["fields"] == 0
+
+
+def test_strategy_summary_and_matrix(spark):
+    contexts = spark.createDataFrame(
+        [("c", "x", 10, 1), ("c", "x", 30, 2), ("d", "x", 20, 3), ("c", "y", 5, 0)], "conv_id string, strategy string, tokens long, compactions long"
+    )
+    checks = spark.createDataFrame(
+        [("q1", "x", True, True), ("q2", "x", True, False), ("q3", "x", False, False)], "qid string, strategy string, within boolean, answerable boolean"
+    )
+    got = {r["strategy"]: r for r in G.strategy_summary(contexts, checks, 25).collect()}
+    x, y = got["x"], got["y"]
+    assert (x["requests"], x["total"], x["mean"], x["peak"], x["over"], x["compactions"], x["questions"], x["answerable"], x["answerable_pct"]) == (3, 60, 20, 30, 1, 5, 3, 1, 33.3)
+    assert (y["questions"], y["answerable_pct"]) == (0, 0.0)
+    matrix = {r["qid"]: (r["x"], r["y"]) for r in G.question_matrix(checks, ["x", "y"]).collect()}
+    assert matrix == {"q1": ("yes", None), "q2": ("-", None), "q3": ("over", None)}
+
+
 def test_sources_and_sinks(spark, tmp_path):
     path = str(tmp_path / "notes")
     io.append_notes(spark.createDataFrame([(3, "Rollback target is v3.8.2")], io.NOTES), path)
