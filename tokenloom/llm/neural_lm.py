@@ -1,8 +1,8 @@
 """Language-model scoring: corpus word counts and a gated recurrent network.
 
 Word counts are taken over all training documents by Spark. The network is trained by truncated
-back-propagation in numpy, data-parallel: every worker starts from the shared weights, runs over
-its part of a hash-drawn share of the training documents, and the weights are averaged. Its
+back-propagation in numpy, data-parallel over all training documents: every worker starts from
+the shared weights, runs over its part, block by block, and the weights are averaged. Its
 output is factored into classes of words; the words outside its vocabulary form one class, inside
 which a word has its share of the corpus counts. Scoring carries the state across windows, so a
 document's log-likelihood is over its whole text.
@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import heapq
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -25,9 +25,9 @@ from .language_id import fold
 
 #: The network's words, their classes and the state's size; words with counts that workers hold.
 WORDS, CLASSES, STATE, DICTIONARY = 4096, 64, 16, 160_000
-#: Trained on 1 of so many training documents, but on at least so many documents.
-TRAIN_SHARE, TRAIN_LEAST = 50, 2000
-WORKER_DOCS, ROUNDS, WINDOW, LANES = 2048, 3, 32, 64
+#: A worker trains on about so many tokens, and holds so many of them at once.
+WORKER_TOKENS, BLOCK_TOKENS = 1_000_000, 131_072
+ROUNDS, WINDOW, LANES = 3, 32, 64
 #: No word holds a blank, so this names the end of a text.
 END = " "
 
@@ -104,16 +104,34 @@ class Network:
                     back[mine] += d @ w
         return out, back
 
-    def train(self, docs: list[np.ndarray], end: int, rate: float) -> int:
-        """One pass of truncated back-propagation; the state is carried from window to window."""
-        stream = np.concatenate([np.concatenate([d, [end]]) for d in docs])
+    def train(self, docs: Iterable[np.ndarray], end: int, rate: float) -> int:
+        """One pass of truncated back-propagation over all documents, a block of them at a time; returns the tokens."""
+        square = np.full(len(self.flat), 1e-4, np.float32)
+        held: list[np.ndarray] = []
+        size = tokens = 0
+        for d in docs:
+            held.append(np.append(d, end))
+            size += len(held[-1])
+            if size >= BLOCK_TOKENS:
+                self._train_block(np.concatenate(held), end, rate, square)
+                tokens, held, size = tokens + size, [], 0
+        if held:
+            self._train_block(np.concatenate(held), end, rate, square)
+        return tokens + size
+
+    def _train_block(self, stream: np.ndarray, end: int, rate: float, square: np.ndarray) -> None:
+        """The state is carried from window to window; what the lanes leave over is a lane of its own."""
         lanes = max(1, min(LANES, len(stream) // (2 * WINDOW)))
-        length = len(stream) // lanes
-        if length < 2:
-            return 0
-        grid = np.concatenate([[end], stream])[: lanes * length + 1]
+        grid = np.concatenate([[end], stream])
+        whole = len(stream) // lanes * lanes
+        self._train_lanes(grid[: whole + 1], lanes, end, rate, square)
+        if whole < len(stream):
+            self._train_lanes(grid[whole:], 1, end, rate, square)
+
+    def _train_lanes(self, grid: np.ndarray, lanes: int, end: int, rate: float, square: np.ndarray) -> None:
+        length = (len(grid) - 1) // lanes
         inputs, targets = grid[:-1].reshape(lanes, length).T, grid[1:].reshape(lanes, length).T
-        state, square = np.zeros((lanes, STATE), np.float32), np.full(len(self.flat), 1e-4, np.float32)
+        state = np.zeros((lanes, STATE), np.float32)
         holder = np.zeros_like(self.flat)
         grad = self.views(holder)
         for t0 in range(0, length, WINDOW):
@@ -128,20 +146,23 @@ class Network:
             _, back = self.log_probs(np.concatenate(states), y.reshape(-1), grad)
             back = back.reshape(len(x), lanes, STATE)
             carried = np.zeros_like(state)
+            dxs, drs = np.empty((len(x), lanes, 3 * STATE), np.float32), np.empty((len(x), lanes, 3 * STATE), np.float32)
             for t in range(len(x) - 1, -1, -1):
                 before, z, g, new, rec = kept[t]
                 d = back[t] + carried
                 dz, dn = d * (before - new) * z * (1 - z), d * (1 - z) * (1 - new * new)
                 dg = dn * rec * g * (1 - g)
-                dx = np.concatenate([dz, dg, dn], axis=1)
-                dr = np.concatenate([dz, dg, dn * g], axis=1)
-                np.add.at(grad["x"], x[t], dx)
-                grad["u"] += before.T @ dr
-                carried = (d * z + dr @ self.p["u"].T) * (x[t] != end)[:, None]
+                dxs[t] = np.concatenate([dz, dg, dn], axis=1)
+                drs[t] = np.concatenate([dz, dg, dn * g], axis=1)
+                carried = (d * z + drs[t] @ self.p["u"].T) * (x[t] != end)[:, None]
+            words = x.reshape(-1)
+            order = np.argsort(words, kind="stable")
+            firsts = np.flatnonzero(np.diff(words[order], prepend=-1))
+            grad["x"][words[order[firsts]]] = np.add.reduceat(dxs.reshape(-1, 3 * STATE)[order], firsts, axis=0)
+            grad["u"] += np.concatenate([k[0] for k in kept]).T @ drs.reshape(-1, 3 * STATE)
             holder /= lanes
             square += holder * holder
             self.flat -= rate * holder / np.sqrt(square)
-        return len(stream)
 
     def score(self, docs: list[np.ndarray], end: int) -> np.ndarray:
         """Log10-probability of every document (its words and the end), words outside the vocabulary as their class."""
@@ -221,26 +242,29 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         words = (utf8 or b"").lower().split()
         return np.minimum(np.fromiter((ids.get(w, size) for w in words), np.int64, len(words)), size)
 
-    share = max(1 / TRAIN_SHARE, min(1.0, TRAIN_LEAST / max(n_docs, 1)))
-    drawn = train.withColumn("key", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000))).where(F.col("key") < int(share * 1_000_000))
-    workers = max(1, round(n_docs * share / WORKER_DOCS))
-    drawn = materialise(drawn.select("key", F.col("text").cast("binary").alias("text")))
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, _ = shared.value
+        for batch in batches:
+            found = [coded(t.as_py(), ids).astype(np.uint16).tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["key", "words"])
+
+    # Dealt by a hash of the row, in a fixed order, so that the weights do not depend on the files' layout.
+    workers = max(1, -(-n // WORKER_TOKENS))
+    keyed = train.select(F.xxhash64("doc_id", "text", F.lit(3)).alias("key"), F.col("text").cast("binary").alias("text"))
+    spread = materialise(keyed.mapInArrow(code, "key long, words binary")).repartition(workers, "key").sortWithinPartitions("key", "words") if n_docs else None
     weights = Network(size).flat
     for r in range(ROUNDS if n_docs else 0):
         start = spark.sparkContext.broadcast(weights)
 
         def learn(batches: Iterator[pd.DataFrame], start=start, rate=0.3 / 2**r) -> Iterator[pd.DataFrame]:
-            ids, _ = shared.value
-            seen = [coded(t, ids) for pdf in batches for t in pdf["text"]]
-            if seen:
-                net = Network(size, start.value)
-                tokens = net.train(seen, end, rate)
-                yield pd.DataFrame({"pos": np.arange(len(net.flat)), "value": net.flat.astype(float) * tokens, "tokens": float(tokens)})
-
-        spread = drawn.coalesce(workers).sortWithinPartitions("key", "text")
-        found = spread.mapInPandas(learn, "pos long, value double, tokens double").groupBy("pos").agg((F.sum("value") / F.greatest(F.sum("tokens"), F.lit(1.0))).alias("value")).toPandas()
-        if len(found):
-            weights = found.sort_values("pos")["value"].to_numpy(np.float32)
+            net = Network(size, start.value)
+            tokens = net.train((np.frombuffer(w, np.uint16).astype(np.int64) for pdf in batches for w in pdf["words"]), end, rate)
+            if tokens:
+                yield pd.DataFrame({"tokens": [tokens], "weights": [net.flat.tobytes()]})
+
+        found = spread.mapInPandas(learn, "tokens long, weights binary").rdd.map(lambda r: (r[0], np.frombuffer(r[1], np.float32) * float(r[0])))
+        tokens, total = found.treeReduce(lambda a, b: (a[0] + b[0], a[1] + b[1]))
+        weights = (total / tokens).astype(np.float32)
     start = spark.sparkContext.broadcast(weights)
     spare = np.log10(n + 0.5 * (v + 1))
 
