@@ -296,6 +296,20 @@ def test_html_template(spark):
     assert only == {i: f"Story number {i} tells of {i * 7}" for i in range(12)}
 
 
+def test_html_template_odd_pages(spark):
+    """Pages without elements, a fragment and a notice that is missing once or stands twice leave the host its template."""
+    def page(i):
+        notice = "<p>Read our notice</p>" * (0 if i == 3 else 2 if i == 5 else 1)
+        return f"<html><body><div><span>Home</span><span>About us</span></div><article>{notice}<p>Story {i} tells of {i * 7}</p></article><div>All rights kept</div></body></html>"
+
+    plain = [(i, "http://p.com/x", page(i).replace("article", "div")) for i in range(20)] + [(90, "http://p.com/", ""), (91, "http://p.com/", "words"), (92, "http://p.com/", "<p>bit</p>")]
+    marked = [(100 + i, "http://a.com/x", page(i)) for i in range(12)] + [(190, "http://a.com/", "")]
+    got = {r["page_id"]: r["text"] for r in X.extract_pages(spark.createDataFrame(plain + marked, "page_id int, url string, html string")).collect()}
+    assert got == {
+        **{i: f"Story {i} tells of {i * 7}" for i in range(20)}, **{100 + i: f"Story {i} tells of {i * 7}" for i in range(12)}, 90: "", 91: "words", 92: "bit", 190: "",
+    }
+
+
 def test_pipeline_keeps_columns(spark):
     import corpus_pipeline
 

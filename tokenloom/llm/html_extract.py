@@ -3,8 +3,8 @@
 A page is a sequence of tokens: its elements and its runs of text, each in its role (the path of
 open elements). Tokens of a host with the same occurrence vector over the host's pages form a class;
 Spark sums a digest of (page, occurrences), so equal sums are equal vectors and no host is gathered.
-The class of the page's root is the template's skeleton; classes of several tokens that stand on
-enough pages and lie inside the skeleton's span nest in it. Text runs of the template are
+The class of elements on the most pages is the template's skeleton; classes of several tokens that
+stand on enough pages and lie inside the skeleton's span nest in it. Text runs of the template are
 furniture. The slots that remain are extracted from the article, or, in pages that mark none, from
 everywhere outside of elements that are furniture by their kind.
 """
@@ -26,8 +26,10 @@ from .url_filter import url_host
 
 #: A class nests in the template from so many tokens, pages and share of the host's pages on.
 CLASS_TOKENS, CLASS_PAGES, CLASS_SHARE = 2, 4, 0.3
-#: Text inside an article is furniture only if it stands on all of at least so many pages.
-ARTICLE_PAGES = 8
+#: The skeleton stands on at least this share of the host's pages that have elements.
+SKELETON_SHARE = 0.5
+#: What stands on this share of the pages needs no company in its class; from so many pages on, this also holds inside an article.
+WHOLE_SHARE, ARTICLE_PAGES = 0.8, 8
 #: Templates are broadcast only up to so many tokens.
 BROADCAST_TOKENS = 500_000
 
@@ -179,14 +181,16 @@ def templates(pages: DataFrame, host: str, html: str) -> DataFrame:
                 key = int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
                 first: dict[tuple[int, int], int] = {}
                 counts: Counter = Counter()
-                for i, (role, area, run, _) in enumerate(runs(text)):
+                found = runs(text)
+                for i, (role, area, run, _) in enumerate(found):
                     run = _clean(run)
                     code = _digest(role, run)
                     kind = (area or 4 if run else 0, code)  # elements 0, text of furniture 4, else its area
                     counts[kind] += 1
                     first.setdefault(kind, i)
-                counts[(3, 0)] = 1  # the root, on every page
-                first.setdefault((3, 0), 0)
+                if any(not run for _, _, run, _ in found):
+                    counts[(3, 0)] = 1  # the root, on every page with elements
+                    first.setdefault((3, 0), 0)
                 for (kind, code), c in counts.items():
                     hosts.append(h)
                     keys.append(key)
@@ -203,20 +207,23 @@ def templates(pages: DataFrame, host: str, html: str) -> DataFrame:
         F.max(F.when(F.col("kind") == 3, F.col("page"))).alias("high"), F.min(F.when(F.col("kind") == 3, F.col("page"))).alias("low"),
     )
     vectors = materialise(vectors.where((F.col("pages") >= CLASS_PAGES) & ((F.col("kind") != 3) | (F.col("high") != F.col("low")))))
-    roots = materialise(vectors.where("kind = 3").select("host", F.col("vector").alias("root"), F.col("pages").alias("all_pages")))
-    classes = vectors.where("kind <> 3").groupBy("host", "vector").agg(F.count("*").alias("members"), F.min("place").alias("first"), F.max("place").alias("last"))
+    roots = materialise(vectors.where("kind = 3").select("host", F.col("pages").alias("all_pages")))
+    elements = F.sum(F.when(F.col("kind") == 0, 1).otherwise(0))
+    classes = vectors.where("kind <> 3").groupBy("host", "vector").agg(
+        F.count("*").alias("members"), elements.alias("elements"), F.max("pages").alias("support"), F.min("place").alias("first"), F.max("place").alias("last")
+    )
     classes = materialise(classes.join(roots, "host"))
-    skeleton = classes.where("vector = root").select(F.col("host").alias("of"), F.col("first").alias("open"), F.col("last").alias("close"))
+    widest = F.max_by(F.struct("first", "last"), F.struct("support", "elements", "vector")).alias("span")
+    skeleton = classes.where((F.col("elements") > 0) & (F.col("support") >= F.col("all_pages") * SKELETON_SHARE)).groupBy(F.col("host").alias("of")).agg(widest)
+    whole = F.col("support") >= F.col("all_pages") * WHOLE_SHARE
     nested = (
         classes.join(skeleton, F.col("host") == F.col("of"), "left")
-        .where((F.col("vector") == F.col("root")) | (F.col("members") >= CLASS_TOKENS) & (F.col("first") >= F.col("open")) & (F.col("last") <= F.col("close")))
-        .select("host", "vector", "root", "all_pages")
+        .where(whole | (F.col("members") >= CLASS_TOKENS) & (F.col("first") >= F.col("span.first")) & (F.col("last") <= F.col("span.last")))
+        .select("host", "vector", "all_pages", whole.alias("whole"))
     )
     members = vectors.where("kind in (1, 2, 4)").join(nested, ["host", "vector"]).where(F.col("pages") >= F.col("all_pages") * CLASS_SHARE)
-    whole = (F.col("vector") == F.col("root")) & (F.col("all_pages") >= ARTICLE_PAGES)
-    return members.groupBy("host").agg(
-        F.collect_set(F.when(F.col("kind") != 2, F.col("token"))).alias("everywhere"), F.collect_set(F.when((F.col("kind") == 2) & whole, F.col("token"))).alias("in_article")
-    )
+    in_article = (F.col("kind") == 2) & F.col("whole") & (F.col("all_pages") >= ARTICLE_PAGES)
+    return members.groupBy("host").agg(F.collect_set(F.when(F.col("kind") != 2, F.col("token"))).alias("everywhere"), F.collect_set(F.when(in_article, F.col("token"))).alias("in_article"))
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
