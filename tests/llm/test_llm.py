@@ -285,6 +285,11 @@ def test_html_kinds():
     assert X.main_text("", none, none) == "" and X.main_text("a < b & c", none, none) == "a < b & c" and X.main_text("<p>open <!-- never", none, none) == "open"
 
 
+def test_html_empty_main():
+    none = frozenset()
+    assert X.main_text("<main> </main><div>Text</div>", none, none) == "Text" and X.main_text("<article><nav>menu</nav></article><p>Text", none, none) == "Text"
+
+
 def test_html_template(spark):
     """Pages without any telling element: what all pages of a host share is furniture, slots are text."""
     rows = [(i, "http://h.com/x", f"<html><body><div><span>Home</span><span>About us</span></div><div><p>Story number {i} tells of {i * 7}</p></div><div>All rights kept</div></body></html>") for i in range(12)]

@@ -153,22 +153,24 @@ def _clean(text: str) -> str:
 
 
 def main_text(page: str, everywhere: frozenset[int], in_article: frozenset[int]) -> str:
-    """Blocks of the slots: of the article where the page marks one, else of all that is not furniture."""
+    """Blocks of the slots: of the article where the page marks one that holds text, else of all that is not furniture."""
     found = runs(page)
-    wanted = 2 if any(area == 2 for _, area, _, _ in found) else 1
-    known = in_article if wanted == 2 else everywhere
-    blocks: list[list[str]] = []
-    last = None
-    for role, area, text, block in found:
-        if area != wanted or not text:
-            continue
-        if known and text.strip() and _digest(role, _clean(text)) in known:
-            continue
-        if block != last:
-            blocks.append([])
-            last = block
-        blocks[-1].append(text)
-    return "\n".join(x for x in (_clean("".join(b)) for b in blocks) if x)
+    for wanted, known in ((2, in_article), (1, everywhere)):
+        blocks: list[list[str]] = []
+        last = None
+        for role, area, text, block in found:
+            if area != wanted or not text:
+                continue
+            if known and text.strip() and _digest(role, _clean(text)) in known:
+                continue
+            if block != last:
+                blocks.append([])
+                last = block
+            blocks[-1].append(text)
+        lines = [x for x in (_clean("".join(b)) for b in blocks) if x]
+        if lines:
+            return "\n".join(lines)
+    return ""
 
 
 def templates(pages: DataFrame, host: str, html: str) -> DataFrame:
