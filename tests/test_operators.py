@@ -140,6 +140,15 @@ def test_terms(spark):
     assert [r[0] for r in df.orderBy("i").select(T.terms(F.col("t"))).collect()] == [[], [], ["api", "v2", "caf"], [], ["x9", "x9"], []]
 
 
+def test_routed_tokens_without_joined_text(spark, pack):
+    """The sum over pages is the count of the rendered text, which is never made."""
+    routed = P.classify_pages(pack).withColumn("task", F.lit("t"))
+    planned = C.plan_routed(routed, pack, ["none", "t"], C.profiles(spark), 100)
+    rendered = P.render_pages(routed, ("pack_id", "task")).select(T.token_count(F.col("rendered"))).first()[0]
+    assert {(r["task"], r["tokens_in"]) for r in planned.collect()} == {("none", 100 + C.FRAME), ("t", rendered + 100 + C.FRAME)}
+    assert "collect_list" not in planned._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_pipeline_report(spark):
     models = spark.createDataFrame([("m", 1.0, 2.0), ("free", None, None)], "model_key string, price_in double, price_out double")
     rows = [(m, p, n, i, o) for m in ("m", "free") for p, n, i, o in (("full", 1, 1500, 500), ("routed", 2, 300, 100), ("routed", 1, 100, 0))]

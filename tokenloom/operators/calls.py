@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.folds import next_fit
-from ..functions.text import COUNTERS, Counter, call_cost, lines, normalise_ws, per_thousand, token_count
-from .pages import render_pages
+from ..functions.text import COUNTERS, Counter, call_cost, lines, normalise_ws, per_thousand, render_page, token_count
 
 # Model profiles (prices in USD per million tokens, null where there is none).
 PROFILES = [
@@ -70,11 +69,14 @@ def chunk_packs(pages: DataFrame, models: DataFrame, overhead: int, output_share
 
 
 def plan_routed(routed: DataFrame, packs: DataFrame, tasks: list[str], models: DataFrame, prompt_tokens: int) -> DataFrame:
-    """(pack_id, task, model_key, tokens_in, max_out, fits, user): one call for every pack and task, pages or none."""
+    """(pack_id, task, model_key, tokens_in, max_out, fits): one call for every pack and task, pages or none.
+
+    Token counts add up over white space, so pages are counted one by one and their text is never joined."""
     all_tasks = packs.select("pack_id").distinct().withColumn("task", F.explode(F.array(*[F.lit(t) for t in tasks])))
-    rows = all_tasks.join(render_pages(routed, ("pack_id", "task")), ["pack_id", "task"], "left").withColumn("user", F.coalesce("rendered", F.lit("")))
-    rows = rows.withColumn("tokens_in", token_count(F.col("user")) + prompt_tokens + FRAME).crossJoin(F.broadcast(models.select("model_key", "context_window")))
-    return rows.select("pack_id", "task", "model_key", "tokens_in", F.lit(ROUTED_OUT).cast("long").alias("max_out"), (F.col("tokens_in") + ROUTED_OUT <= F.col("context_window")).alias("fits"), "user")
+    sizes = routed.groupBy("pack_id", "task").agg(F.sum(token_count(render_page(F.col("kind"), F.col("page_no"), F.col("text")))).alias("t"))
+    rows = all_tasks.join(sizes, ["pack_id", "task"], "left")
+    rows = rows.withColumn("tokens_in", F.coalesce("t", F.lit(0)) + prompt_tokens + FRAME).crossJoin(F.broadcast(models.select("model_key", "context_window")))
+    return rows.select("pack_id", "task", "model_key", "tokens_in", F.lit(ROUTED_OUT).cast("long").alias("max_out"), (F.col("tokens_in") + ROUTED_OUT <= F.col("context_window")).alias("fits"))
 
 
 def covered_fields(calls: DataFrame, evidence: DataFrame, keys: tuple[str, ...] = ("call_id",)) -> DataFrame:
