@@ -253,6 +253,23 @@ def test_secret_network_learns():
     assert hit[:300].mean() > 0.95 and hit[300:].mean() < 0.05
 
 
+def test_secret_candidates():
+    """Letters only, short tokens and further symbols are candidates, and windows cover a candidate's end."""
+    assert E.candidates("see keyOnlyOfLetters or a1b2c3d4 or p@ss!word#x", []) == [(4, 20), (24, 32), (36, 47)]
+    text = "in /home/" + "some/" * 40 + "k9X2mQ7z end"
+    assert [text[a:b] for a, b in E.candidates(text, [])] == [text[3:-4]]
+    assert any(b"k9X2mQ7z" in w for w in E.windows(text, 3, len(text) - 4)) and E.windows("abcdefgh", 0, 8) == [E.window("abcdefgh", 0, 8)]
+
+
+def test_secret_recall_below_one_half():
+    """Rare findings are calibrated to low scores; the wanted recall holds all the same."""
+    r = np.random.default_rng(6)
+    codes, label = r.integers(32, 127, (1000, E.LENGTH)), np.arange(1000) % 20 == 0
+    net = E.CharNet()
+    net.calibrate(codes, label)
+    assert (net.score(codes)[label] >= net.threshold).mean() >= E.RECALL
+
+
 def test_media(spark, odd, empty):
     got = M.media_columns(odd).collect()
     assert len(got) == odd.count()
