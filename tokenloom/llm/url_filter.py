@@ -92,9 +92,10 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", defaul
         .withColumn("digest", _digest(F.col("suffix"), F.col("prefix")))
         .select("u", "path", "digest", F.substring("digest", 1, PREFIX_DIGITS).alias("short"))
     )
-    matched = expressions.join(
-        rules, (F.col("short") == F.col("r_short")) & (F.col("digest") == F.col("r_digest")) & F.startswith("path", "r_path")
-    )
+    # The join is on the short prefix alone. Whole digests are equally long, so one that starts with the other equals it;
+    # written as an equality, the optimiser would make the whole digest a second join key.
+    confirmed = F.startswith("digest", "r_digest") & F.startswith("path", "r_path")
+    matched = expressions.join(rules, F.col("short") == F.col("r_short")).where(confirmed)
     rule = F.concat("r_host", "r_path")
     best = matched.groupBy("u").agg(
         F.max(
