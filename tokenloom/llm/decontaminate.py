@@ -1,10 +1,10 @@
 """Benchmark decontamination by a prefix-filtered set join over item-sized windows.
 
 An item's windows (``window`` consecutive words, or the whole item where it is shorter) are sets
-of positioned word shingles. Shingles are ordered by rarity in the corpus; for full containment one
-shingle, the rarest, is a sufficient prefix. Documents are joined on it, candidates are bounded by
-position and length, and a window counts once every one of its shingles stands at its place,
-word for word. Native DataFrame functions only.
+of positioned word shingles. One pass over the corpus counts them; for full containment one
+shingle, the rarest, is a sufficient prefix, and a window with a shingle that no text holds is out. A second
+pass joins the corpus to the prefixes alone, under position and length bounds. The candidate texts are then
+read once more, and a window counts where its words stand, word for word. Native DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -28,17 +28,24 @@ def words(text: Column) -> Column:
 
 
 def _shingles(tokens: Column, size: int) -> Column:
-    """(pos, shingle) for every run of ``size`` words, positions from 0."""
+    """(pos, shingle) for every run of ``size`` words, positions from 0; shingles as hashes, as windows are verified word for word."""
     n = F.size(tokens)
     return F.when(
         n >= size,
         F.transform(
             F.sequence(F.lit(0), n - size),
-            lambda i: F.struct(i.alias("pos"), F.concat_ws(" ", *[F.get(tokens, i + k) for k in range(size)]).alias("shingle")),
+            lambda i: F.struct(i.alias("pos"), F.xxhash64(*[F.get(tokens, i + k) for k in range(size)], F.lit(size)).alias("shingle")),
         ),
     )
 
 
+def _small(df: DataFrame, weight: Column | None = None) -> DataFrame:
+    """The frame, written once and marked for broadcast if its summed weight (rows by default) is small enough."""
+    df = materialise(df)
+    total = df.agg(F.sum(F.lit(1) if weight is None else weight)).first()[0] or 0
+    return F.broadcast(df) if total <= BROADCAST_SHINGLES else df
+
+
 def contamination(
     docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10
 ) -> DataFrame:
@@ -63,12 +70,11 @@ def contamination(
         ).alias("window"),
     ).distinct()
     windows = materialise(windows)
-    members = windows.groupBy("window").agg(F.collect_set("item").alias("listed"))
     tokens = F.split("window", " ")
     size = F.least(F.lit(SHINGLE), F.size(tokens))
     sizes = sorted(r[0] for r in windows.select(size.alias("s")).distinct().collect())
     parts = [
-        members.withColumn("len", F.size(tokens)).where(size == s).select("window", "len", F.explode(_shingles(tokens, s)).alias("x"), F.lit(s).alias("size"))
+        windows.select("window").distinct().withColumn("len", F.size(tokens)).where(size == s).select("window", "len", F.explode(_shingles(tokens, s)).alias("x"), F.lit(s).alias("size"))
         for s in sizes
     ]
     text_key = F.md5(F.col(text_col))
@@ -78,45 +84,43 @@ def contamination(
         placed = parts[0]
         for p in parts[1:]:
             placed = placed.unionByName(p)
-        placed = placed.select("window", "len", "size", F.col("x.pos").alias("off"), F.col("x.shingle").alias("shingle"))
-        wanted = materialise(placed.select("shingle", "size").distinct())
-        if wanted.count() <= BROADCAST_SHINGLES:
-            wanted = F.broadcast(wanted)
-        # One pass over the corpus: every place where a shingle of an item stands.
-        # Shingles are made below the explode, which else copies a text's words into each of its rows;
-        # the outer form has no filter that would make them twice. The join drops its null row.
-        doc_words = docs.select(text_key.alias("k"), words(F.col(text_col)).alias("w"))
-        streams = [
-            doc_words.select("k", F.size("w").alias("n"), _shingles(F.col("w"), s).alias("runs")).select("k", "n", F.explode_outer("runs").alias("x")).select(
-                "k", "n", F.col("x.pos").alias("pos"), F.col("x.shingle").alias("shingle"), F.lit(s).alias("size")
-            )
-            for s in sizes
-        ]
-        found = streams[0]
-        for p in streams[1:]:
-            found = found.unionByName(p)
-        found = materialise(found.join(wanted, ["shingle", "size"]).distinct())
-        rarity = found.groupBy("shingle", "size").agg(F.count("*").alias("df"))
+        placed = materialise(placed.select("window", "len", "size", F.col("x.pos").alias("off"), F.col("x.shingle").alias("shingle")))
+
+        def stream(column: Column, name: str) -> DataFrame:
+            """(name, n, pos, shingle) of every run of words of every text.
+
+            Shingles are made below the explode, which else copies a text's words into each of its rows;
+            the outer form has no filter that would make them twice. Joins drop its null row.
+            """
+            doc_words = docs.select(column.alias(name), words(F.col(text_col)).alias("w"))
+            runs = [
+                doc_words.select(name, F.size("w").alias("n"), _shingles(F.col("w"), s).alias("runs")).select(name, "n", F.explode_outer("runs").alias("x"))
+                for s in sizes
+            ]
+            found = runs[0]
+            for r in runs[1:]:
+                found = found.unionByName(r)
+            return found.select(name, "n", F.col("x.pos").alias("pos"), F.col("x.shingle").alias("shingle"))
+
+        rarity = materialise(stream(F.lit(0), "k").select("shingle").join(_small(placed.select("shingle").distinct()), "shingle").groupBy("shingle").agg(F.count("*").alias("df")))
         # Windows with a shingle that stands nowhere are out; the rarest shingle is the prefix.
-        ranked = placed.join(rarity, ["shingle", "size"]).groupBy("window", "len", "size").agg(
-            F.count("*").alias("present"), F.min(F.struct("df", "shingle", "off")).alias("rarest")
-        )
+        ranked = placed.join(rarity, "shingle").groupBy("window", "len", "size").agg(F.count("*").alias("present"), F.min(F.struct("df", "shingle", "off")).alias("rarest"))
         whole = F.col("len") - F.col("size") + 1
-        prefixes = ranked.where(F.col("present") == whole).select("window", "len", "size", F.col("rarest.shingle").alias("shingle"), F.col("rarest.off").alias("off"))
+        prefixes = ranked.where(F.col("present") == whole).select("window", "len", F.col("rarest.shingle").alias("shingle"), F.col("rarest.off").alias("off"))
         start = F.col("pos") - F.col("off")
         candidates = (
-            found.join(prefixes, ["shingle", "size"])
+            stream(text_key, "k").join(_small(prefixes), "shingle")
             .where((start >= 0) & (start + F.col("len") <= F.col("n")))
-            .select("k", "window", "len", "size", start.alias("start"))
+            .select("k", "window", "len", start.alias("start")).distinct()
         )
+        # A text's candidates are at most its positions for each length of window.
+        by_text = candidates.groupBy("k").agg(F.collect_list(F.struct("start", "len", "window")).alias("found"))
+        stands = F.filter("found", lambda c: F.array_join(F.slice("w", c["start"] + 1, c["len"]), " ") == c["window"])
         verified = (
-            candidates.join(placed.select("window", "off", "shingle"), "window")
-            .withColumn("pos", F.col("start") + F.col("off"))
-            .join(found.select("k", "pos", "shingle", "size"), ["k", "pos", "shingle", "size"])
-            .groupBy("k", "window", "len", "size", "start")
-            .agg(F.count("*").alias("agree"))
-            .where(F.col("agree") == whole)
-            .select("k", "window", "start", (F.col("start") + F.col("len")).alias("end"))
+            docs.select(text_key.alias("k"), F.col(text_col).alias("t")).join(_small(by_text, F.size("found")), "k")
+            .select("k", "found", words(F.col("t")).alias("w"))
+            .select("k", F.explode(stands).alias("c"))
+            .select("k", "c.window", "c.start", (F.col("c.start") + F.col("c.len")).alias("end")).distinct()
         )
         verified = materialise(verified)
         before = F.max("end").over(W.partitionBy("k").orderBy("start", "end").rowsBetween(W.unboundedPreceding, -1))
@@ -129,9 +133,8 @@ def contamination(
             .select("k", "item").distinct()
             .groupBy("k").agg(F.collect_list("item").alias("items"))
         )
-        hits = materialise(covered.join(listed, "k", "left").select("k", "n_hit", F.coalesce("items", F.array().cast("array<string>")).alias("items")))
-        if hits.agg(F.sum(F.size("items") + 1)).first()[0] in (None, *range(BROADCAST_SHINGLES)):
-            hits = F.broadcast(hits)
+        hits = covered.join(listed, "k", "left").select("k", "n_hit", F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+        hits = _small(hits, F.size("items") + 1)
     key, listed_ids = fresh(docs, "text_key"), fresh(docs, "listed_items")
     hits = hits.select(F.col("k").alias(key), "n_hit", F.col("items").alias(listed_ids))
     ids = F.coalesce(F.col(listed_ids), F.array().cast("array<string>"))
