@@ -1,11 +1,11 @@
 """Language-model scoring: corpus word counts and a gated recurrent network.
 
 Word counts are taken over all training documents by Spark. The network is trained by truncated
-back-propagation in numpy, data-parallel over all training documents: every worker starts from
-the shared weights, runs over its part, block by block, and the weights are averaged. Its
-output is factored into classes of words; the words outside its vocabulary form one class, inside
-which a word has its share of the corpus counts. Scoring carries the state across windows, so a
-document's log-likelihood is over its whole text.
+back-propagation in numpy, data-parallel over all training documents: they are dealt to rounds, in
+every round each worker starts from the shared weights and runs over its part, block by block, and the
+weights are averaged. Its output is factored into classes of words; the words outside its vocabulary form
+one class, inside which a word has its share of the corpus counts. Scoring carries the state across
+windows, so a document's log-likelihood is over its whole text.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from __future__ import annotations
 import heapq
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -23,17 +24,26 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, materialise
 from .language_id import fold
 
-#: The network's words, their classes and the state's size; words with counts that workers hold.
+#: The network's words, their classes and the state's size; the words with counts that workers hold are at most so many.
 WORDS, CLASSES, STATE, DICTIONARY = 4096, 64, 16, 160_000
 #: A worker trains on about so many tokens, and holds so many of them at once.
-WORKER_TOKENS, BLOCK_TOKENS = 1_000_000, 131_072
-ROUNDS, WINDOW, LANES = 3, 32, 64
+WORKER_TOKENS, BLOCK_TOKENS = 2_000_000, 262_144
+#: The share of the training documents and the learning rate of each round; every document is in one.
+ROUNDS = ((1 / 8, 0.3), (3 / 8, 0.2), (1 / 2, 0.1))
+WINDOW, LANES, SCORE_WINDOW = 32, 256, 32
+#: No weight goes beyond this, so no logit of a state within -1 and 1 can overflow its exponential.
+WEIGHT_LIMIT = 4.0
+#: Workers' weights are summed so many at a time, and so many sums may go to the driver.
+GATHER = 8
 #: No word holds a blank, so this names the end of a text.
 END = " "
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 class Network:
@@ -43,7 +53,7 @@ class Network:
         h = STATE
         self.v, self.width = v, max(1, -(-v // CLASSES))
         self.classes = -(-v // self.width) + 1  # the last: other words
-        self.shapes = {"x": (v + 1, 3 * h), "u": (h, 3 * h), "c": (h, self.classes), "cb": (self.classes,), "w": (v + 1, h), "wb": (v + 1,)}
+        self.shapes = {"x": (v + 1, 3 * h), "u": (h, 3 * h), "c": (self.classes, h), "cb": (self.classes,), "w": (v + 1, h), "wb": (v + 1,)}
         size = sum(int(np.prod(s)) for s in self.shapes.values())
         self.flat = np.array(np.random.default_rng(5).normal(0, 0.1, size) if weights is None else weights, np.float32)
         self.p = self.views(self.flat)
@@ -60,48 +70,55 @@ class Network:
     def class_of(self, words: np.ndarray) -> np.ndarray:
         return np.where(words < self.v, words // self.width, self.classes - 1)
 
-    def step(self, words: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, ...]:
+    def step(self, x: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The next state from the last word's row of ``x`` and the state, and what training needs of the step."""
         h = STATE
-        x, r = self.p["x"][words], state @ self.p["u"]
+        r = state @ self.p["u"]
         gates = _sigmoid(x[:, : 2 * h] + r[:, : 2 * h])
-        z, g = gates[:, :h], gates[:, h:]
-        new = np.tanh(x[:, 2 * h :] + g * r[:, 2 * h :])
-        return new + z * (state - new), z, g, new, r[:, 2 * h :]
+        z, g, rec = gates[:, :h], gates[:, h:], r[:, 2 * h :]
+        new = g * rec
+        new += x[:, 2 * h :]
+        np.tanh(new, out=new)
+        after = state - new
+        after *= z
+        after += new
+        return after, z, g, new, rec
+
+    @staticmethod
+    def _softmax(weights: np.ndarray, bias: np.ndarray, states: np.ndarray, wanted: np.ndarray, grads: tuple[np.ndarray, np.ndarray] | None) -> tuple[np.ndarray, np.ndarray | None]:
+        """Probabilities of the ``wanted`` rows of ``weights``; with ``grads``, also the gradient at the states."""
+        e = weights @ states.T
+        e += bias[:, None]
+        np.exp(e, out=e)
+        total, columns = e.sum(axis=0), np.arange(len(wanted))
+        out = e[wanted, columns] / total
+        if grads is None:
+            return out, None
+        e /= total
+        e[wanted, columns] -= 1
+        grads[0][:] += e @ states
+        grads[1][:] += e.sum(axis=1)
+        return out, e.T @ weights
 
     def log_probs(self, states: np.ndarray, words: np.ndarray, grad: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural logs of the words' probabilities; with ``grad``, also the gradient at the states."""
+        order = np.argsort(words.astype(np.uint16), kind="stable")  # by class, as classes are runs of words
+        states, words = states[order], words[order]
         c = self.class_of(words)
-        logits = states @ self.p["c"] + self.p["cb"]
-        logits -= logits.max(axis=1, keepdims=True)
-        e = np.exp(logits)
-        total = e.sum(axis=1)
-        rows = np.arange(len(words))
-        out = logits[rows, c] - np.log(total)
-        back = None
-        if grad is not None:
-            d = e / total[:, None]
-            d[rows, c] -= 1
-            grad["c"] += states.T @ d
-            grad["cb"] += d.sum(axis=0)
-            back = d @ self.p["c"].T
-        order = np.argsort(c, kind="stable")
-        bounds = np.searchsorted(c[order], np.arange(self.classes))
+        probs, back = self._softmax(self.p["c"], self.p["cb"], states, c, grad and (grad["c"], grad["cb"]))
+        bounds = np.searchsorted(c, np.arange(self.classes))
         for k in range(self.classes - 1):
-            mine = order[bounds[k] : bounds[k + 1]]
-            if len(mine):
+            if (mine := slice(bounds[k], bounds[k + 1])).start < mine.stop:
                 part = slice(k * self.width, min(self.v, (k + 1) * self.width))
-                w, s = self.p["w"][part], states[mine]
-                logits = s @ w.T + self.p["wb"][part]
-                logits -= logits.max(axis=1, keepdims=True)
-                e = np.exp(logits)
-                total, at = e.sum(axis=1), words[mine] - part.start
-                out[mine] += logits[np.arange(len(mine)), at] - np.log(total)
-                if grad is not None:
-                    d = e / total[:, None]
-                    d[np.arange(len(mine)), at] -= 1
-                    grad["w"][part] += d.T @ s
-                    grad["wb"][part] += d.sum(axis=0)
-                    back[mine] += d @ w
+                inside, more = self._softmax(self.p["w"][part], self.p["wb"][part], states[mine], words[mine] - part.start, grad and (grad["w"][part], grad["wb"][part]))
+                probs[mine] *= inside
+                if back is not None:
+                    back[mine] += more
+        out = np.empty(len(words), np.float32)
+        out[order] = np.log(np.maximum(probs, 1e-37))
+        if back is not None:
+            back, sorted_back = np.empty_like(back), back
+            back[order] = sorted_back
         return out, back
 
     def train(self, docs: Iterable[np.ndarray], end: int, rate: float) -> int:
@@ -130,73 +147,84 @@ class Network:
 
     def _train_lanes(self, grid: np.ndarray, lanes: int, end: int, rate: float, square: np.ndarray) -> None:
         length = (len(grid) - 1) // lanes
-        inputs, targets = grid[:-1].reshape(lanes, length).T, grid[1:].reshape(lanes, length).T
+        inputs, targets = (np.ascontiguousarray(a.reshape(lanes, length).T) for a in (grid[:-1], grid[1:]))
         state = np.zeros((lanes, STATE), np.float32)
         holder = np.zeros_like(self.flat)
         grad = self.views(holder)
         for t0 in range(0, length, WINDOW):
-            x, y, kept, states = inputs[t0 : t0 + WINDOW], targets[t0 : t0 + WINDOW], [], []
+            x, y = inputs[t0 : t0 + WINDOW], targets[t0 : t0 + WINDOW]
+            rows, goes_on = self.p["x"][x], (x != end).astype(np.float32)[:, :, None]
+            kept = []
             for t in range(len(x)):
-                state = np.where((x[t] == end)[:, None], np.float32(0), state)
-                before = state
-                state, *gates = self.step(x[t], before)
-                kept.append((before, *gates))
-                states.append(state)
+                before = state * goes_on[t]
+                state, *gates = self.step(rows[t], before)
+                kept.append((before, *gates, state))
+            before, z, g, new, rec, states = (np.stack(k) for k in zip(*kept, strict=True))
             holder[:] = 0
-            _, back = self.log_probs(np.concatenate(states), y.reshape(-1), grad)
+            _, back = self.log_probs(states.reshape(-1, STATE), y.reshape(-1), grad)
             back = back.reshape(len(x), lanes, STATE)
+            to_z, to_new, to_g = (before - new) * z * (1 - z), (1 - z) * (1 - new * new), rec * g * (1 - g)
             carried = np.zeros_like(state)
-            dxs, drs = np.empty((len(x), lanes, 3 * STATE), np.float32), np.empty((len(x), lanes, 3 * STATE), np.float32)
+            drs = np.empty((len(x), lanes, 3 * STATE), np.float32)
             for t in range(len(x) - 1, -1, -1):
-                before, z, g, new, rec = kept[t]
                 d = back[t] + carried
-                dz, dn = d * (before - new) * z * (1 - z), d * (1 - z) * (1 - new * new)
-                dg = dn * rec * g * (1 - g)
-                dxs[t] = np.concatenate([dz, dg, dn], axis=1)
-                drs[t] = np.concatenate([dz, dg, dn * g], axis=1)
-                carried = (d * z + drs[t] @ self.p["u"].T) * (x[t] != end)[:, None]
+                dr = drs[t]
+                dn = d * to_new[t]
+                np.multiply(d, to_z[t], out=dr[:, :STATE])
+                np.multiply(dn, to_g[t], out=dr[:, STATE : 2 * STATE])
+                np.multiply(dn, g[t], out=dr[:, 2 * STATE :])
+                back[t] = dn
+                carried = dr @ self.p["u"].T
+                carried += d * z[t]
+                carried *= goes_on[t]
+            drs = drs.reshape(-1, 3 * STATE)
+            grad["u"] += before.reshape(-1, STATE).T @ drs
+            drs[:, 2 * STATE :] = back.reshape(-1, STATE)  # the word's row adds to the new state directly
             words = x.reshape(-1)
-            order = np.argsort(words, kind="stable")
+            order = np.argsort(words.astype(np.uint16), kind="stable")
             firsts = np.flatnonzero(np.diff(words[order], prepend=-1))
-            grad["x"][words[order[firsts]]] = np.add.reduceat(dxs.reshape(-1, 3 * STATE)[order], firsts, axis=0)
-            grad["u"] += np.concatenate([k[0] for k in kept]).T @ drs.reshape(-1, 3 * STATE)
+            grad["x"][words[order[firsts]]] = np.add.reduceat(drs[order], firsts, axis=0)
             holder /= lanes
             square += holder * holder
-            self.flat -= rate * holder / np.sqrt(square)
+            holder *= rate
+            holder /= np.sqrt(square)
+            self.flat -= holder
+            np.clip(self.flat, -WEIGHT_LIMIT, WEIGHT_LIMIT, out=self.flat)
 
     def score(self, docs: list[np.ndarray], end: int) -> np.ndarray:
         """Log10-probability of every document (its words and the end), words outside the vocabulary as their class."""
-        out = np.zeros(len(docs))
-        total = sum(len(d) for d in docs)
-        lanes = int(np.clip(total // 4000, 1, 512))
+        lengths = np.array([len(d) for d in docs])
+        lanes = int(np.clip(lengths.sum() // 1000, 1, 1024))
         heap, plan = [(0, i) for i in range(lanes)], [[] for _ in range(lanes)]
-        for i in sorted(range(len(docs)), key=lambda i: -len(docs[i])):
+        for i in np.argsort(-lengths, kind="stable").tolist():
             load, lane = heapq.heappop(heap)
             plan[lane].append(i)
             heapq.heappush(heap, (load + len(docs[i]), lane))
-        plan = sorted((x for x in plan if x), key=lambda x: -sum(len(docs[i]) for i in x))
-        streams = [np.concatenate([docs[i] for i in x]) for x in plan]
-        owners = [np.repeat(x, [len(docs[i]) for i in x]) for x in plan]
-        lengths = np.array([len(s) for s in streams])
-        state, last = np.zeros((len(plan), STATE), np.float32), np.full(len(plan), end)
-        for t0 in range(0, lengths[0] if len(lengths) else 0, WINDOW):
-            active = int((lengths > t0).sum())
-            words = np.full((active, WINDOW), -1)
-            owner = np.full((active, WINDOW), -1)
-            for i in range(active):
-                part = streams[i][t0 : t0 + WINDOW]
-                words[i, : len(part)] = part
-                owner[i, : len(part)] = owners[i][t0 : t0 + WINDOW]
+        loads = np.array([lengths[x].sum() for x in plan])
+        longest = [x for x in np.argsort(-loads, kind="stable").tolist() if plan[x]]
+        order = [i for x in longest for i in plan[x]]
+        if not order:
+            return np.zeros(0)
+        # Lanes are runs of one array of words, the longest first.
+        flat, loads = np.concatenate([docs[i] for i in order]), loads[longest]
+        ends = np.cumsum(loads)
+        starts, logs = ends - loads, np.empty(len(flat))
+        state, last = np.zeros((len(loads), STATE), np.float32), np.full(len(loads), end)
+        for t0 in range(0, loads[0], SCORE_WINDOW):
+            active = int((loads > t0).sum())
+            at = starts[:active] + np.arange(t0, min(t0 + SCORE_WINDOW, loads[0]))[:, None]
+            real = at < ends[:active]
+            words = flat[np.where(real, at, 0)]
             state, last, states = state[:active], last[:active], []
-            for t in range(WINDOW):
-                state = np.where((last == end)[:, None], np.float32(0), state)
-                state = self.step(last, state)[0]
+            inputs = np.concatenate([last[None], words[:-1]])
+            rows, goes_on = self.p["x"][inputs], (inputs != end).astype(np.float32)[:, :, None]
+            for t in range(len(words)):
+                state = self.step(rows[t], state * goes_on[t])[0]
                 states.append(state)
-                last = np.where(words[:, t] >= 0, words[:, t], end)
-            y, who = words.T.reshape(-1), owner.T.reshape(-1)
-            real = y >= 0
-            logs, _ = self.log_probs(np.concatenate(states)[real], y[real])
-            out += np.bincount(who[real], logs, len(docs))
+            last = words[-1]
+            logs[at[real]] = self.log_probs(np.concatenate(states)[real.reshape(-1)], words[real])[0]
+        out = np.zeros(len(docs))
+        out[order] = np.add.reduceat(logs, np.cumsum([0, *lengths[order[:-1]]]))
         return out / np.log(10)
 
 
@@ -204,31 +232,58 @@ def _words(docs: DataFrame) -> DataFrame:
     return docs.select(F.explode(F.split(ascii_lower(F.col("text")), r"[\x20\x09-\x0D]+")).alias("word")).where("word <> ''")
 
 
+def _dictionary(counts: DataFrame) -> tuple[list[bytes], np.ndarray]:
+    """The most frequent words, by falling count, and their counts: all from a bar on that leaves at most DICTIONARY words.
+
+    The bar is one of a fixed number of steps (quarters of a doubling), so the driver gets a short histogram and then the words."""
+    step = F.floor(F.log2("c") * 4).cast("int")
+    bar, taken = None, 0
+    for s, words in sorted(counts.groupBy(step.alias("s")).count().collect(), reverse=True):
+        if (taken := taken + words) > DICTIONARY:
+            break
+        bar = s
+    if bar is None:
+        return [], np.zeros(0, np.int64)
+    top = counts.where(step >= bar).toPandas().sort_values(["c", "word"], ascending=[False, True])
+    return [w.encode() for w in top["word"]], top["c"].to_numpy()
+
+
+def _gathered(found: DataFrame, workers: int) -> np.ndarray:
+    """The mean of the workers' weights by their tokens; summed a few at a time, so that no task or driver holds many."""
+
+    def add(part: pd.DataFrame) -> pd.DataFrame:
+        total = np.add.reduce([np.frombuffer(w, np.float64) for w in part["weights"]])
+        return pd.DataFrame({"worker": part["worker"].iloc[:1], "tokens": [part["tokens"].sum()], "weights": [total.tobytes()]})
+
+    while workers > GATHER:
+        workers = -(-workers // GATHER)
+        found = materialise(found.withColumn("worker", F.pmod("worker", F.lit(workers))).groupBy("worker").applyInPandas(add, found.schema))
+    rows = found.orderBy("worker").collect()
+    return (np.add.reduce([np.frombuffer(r["weights"], np.float64) for r in rows]) / sum(r["tokens"] for r in rows)).astype(np.float32)
+
+
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int = 5, held_out_part: int = 1) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document.
 
     Tokens are A-Z lower-cased words and one end. Counts are over the documents whose
     crc32(id as text) mod ``parts`` is not ``held_out_part``. ``base_score`` is the smoothed unigram
     log10-probability of the tokens, ``score`` the network's. A null text is empty: its end is its only token.
-    A null id is held out. Repeated rows keep a row each. With no training document every
+    A null id is held out; ids keep their type. Repeated rows keep a row each. With no training document every
     score is 0. Other columns are not carried.
     """
     spark = docs.sparkSession
     held_out = F.coalesce(fold(id_col, parts) == held_out_part, F.lit(True))
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out.alias("held_out"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).alias("doc_id"), held_out.alias("held_out"), F.col(text_col).alias("text"))
     train = texts.where("not held_out")
     n_docs = train.select("doc_id").count()
     counts = materialise(_words(train).groupBy("word").agg(F.count("*").alias("c")))
     n_words, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     n, v = n_words + n_docs, kinds + bool(n_docs)
-    top = counts.orderBy(F.desc("c"), "word").limit(DICTIONARY).toPandas()
-    vocabulary = [w.encode() for w in top["word"]]
+    vocabulary, top_counts = _dictionary(counts)
     if n_docs:
-        at = int(np.searchsorted(-top["c"].to_numpy(), -n_docs))
+        at = int(np.searchsorted(-top_counts, -n_docs))
         vocabulary.insert(at, END.encode())
-        top_counts = np.insert(top["c"].to_numpy(), at, n_docs)
-    else:
-        top_counts = top["c"].to_numpy()
+        top_counts = np.insert(top_counts, at, n_docs)
     size = min(WORDS, len(vocabulary))
     end = vocabulary.index(END.encode()) if n_docs else 0
     if end >= size and n_docs:  # the end always is one of the network's words
@@ -238,33 +293,39 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = spark.sparkContext.broadcast(({w: i for i, w in enumerate(vocabulary)}, top_counts))
     rest_n, rest_v = n - int(top_counts[:size].sum()), v - size
 
-    def coded(utf8: bytes | None, ids: dict[bytes, int]) -> np.ndarray:
-        words = (utf8 or b"").lower().split()
-        return np.minimum(np.fromiter((ids.get(w, size) for w in words), np.int64, len(words)), size)
-
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, _ = shared.value
+        # Words outside the network's vocabulary need no dictionary here.
+        ids = {w: i for w, i in shared.value[0].items() if i < size}
         for batch in batches:
-            found = [coded(t.as_py(), ids).astype(np.uint16).tobytes() for t in batch.column(1)]
+            found = []
+            for text in batch.column(1):
+                words = (text.as_py() or b"").lower().split()
+                found.append(np.fromiter(map(ids.get, words, repeat(size)), np.uint16, len(words)).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["key", "words"])
 
     # Dealt by a hash of the row, in a fixed order, so that the weights do not depend on the files' layout.
-    workers = max(1, -(-n // WORKER_TOKENS))
     keyed = train.select(F.xxhash64("doc_id", "text", F.lit(3)).alias("key"), F.col("text").cast("binary").alias("text"))
-    spread = materialise(keyed.mapInArrow(code, "key long, words binary")).repartition(workers, "key").sortWithinPartitions("key", "words") if n_docs else None
-    weights = Network(size).flat
-    for r in range(ROUNDS if n_docs else 0):
+    spread = materialise(keyed.mapInArrow(code, "key long, words binary")) if n_docs else None
+    weights, dealt = Network(size).flat, 0.0
+    for share, rate in ROUNDS if n_docs else ():
         start = spark.sparkContext.broadcast(weights)
+        workers = max(1, -(-int(n * share) // WORKER_TOKENS))
+
+        def learn(batches: Iterator[pd.DataFrame], start=start, rate=rate) -> Iterator[pd.DataFrame]:
+            from pyspark import TaskContext
 
-        def learn(batches: Iterator[pd.DataFrame], start=start, rate=0.3 / 2**r) -> Iterator[pd.DataFrame]:
             net = Network(size, start.value)
             tokens = net.train((np.frombuffer(w, np.uint16).astype(np.int64) for pdf in batches for w in pdf["words"]), end, rate)
             if tokens:
-                yield pd.DataFrame({"tokens": [tokens], "weights": [net.flat.tobytes()]})
-
-        found = spread.mapInPandas(learn, "tokens long, weights binary").rdd.map(lambda r: (r[0], np.frombuffer(r[1], np.float32) * float(r[0])))
-        tokens, total = found.treeReduce(lambda a, b: (a[0] + b[0], a[1] + b[1]))
-        weights = (total / tokens).astype(np.float32)
+                yield pd.DataFrame({"worker": [TaskContext.get().partitionId()], "tokens": [tokens], "weights": [(net.flat * np.float64(tokens)).tobytes()]})
+
+        place = (F.pmod(F.xxhash64("key"), F.lit(1_000_000)) + 0.5) / 1_000_000
+        mine = spread.where((place >= dealt) & (place < dealt + share)).repartition(workers, "key").sortWithinPartitions("key", "words").coalesce(workers)
+        found = materialise(mine.mapInPandas(learn, "worker int, tokens long, weights binary"))
+        if found.limit(1).count():  # few documents need not reach every round
+            weights = _gathered(found, workers)
+        dealt += share
+        start.destroy()
     start = spark.sparkContext.broadcast(weights)
     spare = np.log10(n + 0.5 * (v + 1))
 
@@ -280,13 +341,10 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             coded_docs, base, extra, n_known, tails = [], [], [], [], []
             for text in batch.column(2):
                 words = (text.as_py() or b"").lower().split()
-                at = np.fromiter((ids.get(w, -1) for w in words), np.int64, len(words))
-                lost = np.flatnonzero(at < 0)
-                tails.append(list(Counter([words[i] for i in lost]).items()))
-                if len(lost):
-                    at = at[at >= 0]
-                full = np.fromiter((ids.get(w, size) for w in words), np.int64, len(words)) if len(lost) else at
-                coded_docs.append(np.append(np.minimum(full, size), end if n_docs else size))
+                at = np.fromiter(map(ids.get, words, repeat(-1)), np.int64, len(words))
+                tails.append(list(Counter([words[i] for i in np.flatnonzero(at < 0).tolist()]).items()))
+                coded_docs.append(np.append(np.where(at < 0, size, np.minimum(at, size)), end if n_docs else size))
+                at = at[at >= 0]
                 base.append(logs[at].sum() + (logs[end] if n_docs else -spare + np.log10(0.5)))
                 extra.append(inside[at].sum())
                 n_known.append(len(at) + bool(n_docs))
@@ -295,13 +353,13 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             row += len(base)
             lengths = np.cumsum([0, *map(len, tails)])
             flat = [x for t in tails for x in t]
-            words = pa.StructArray.from_arrays([pa.array([x[0].decode() for x in flat], pa.string()), pa.array([x[1] for x in flat], pa.int64())], ["word", "tf"])
+            words = pa.StructArray.from_arrays([pa.array([x[0].decode("utf-8", "replace") for x in flat], pa.string()), pa.array([x[1] for x in flat], pa.int64())], ["word", "tf"])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(rows), batch.column(0), batch.column(1), pa.array([len(c) for c in coded_docs], pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(scores, pa.float64()), pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), words)],
                 ["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "tail"],
             )
 
-    schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, tail array<struct<word string, tf long>>"
+    schema = f"row long, doc_id {dict(texts.dtypes)['doc_id']}, held_out boolean, n_tokens long, n_known long, base_score double, score double, tail array<struct<word string, tf long>>"
     scored = materialise(texts.withColumn("text", F.col("text").cast("binary")).mapInArrow(score, schema))
     # The counts of rarer words are not broadcast: documents' words are joined to them.
     c = F.coalesce("c", F.lit(0))
