@@ -240,25 +240,76 @@ def test_secrets(spark, odd, empty):
     assert E.scan_secrets(odd).count() == odd.count() and E.scan_secrets(empty).count() == 0
 
 
-def test_secret_network_learns():
-    r = random.Random(4)
-    hexes = ["".join(r.choices("0123456789abcdef", k=40)) for _ in range(300)]
-    numbers = ["".join(r.choices("0123456789", k=16)) for _ in range(300)]
-    import pandas as pd
+def test_secret_base_spans_brute_force(spark):
+    """Counts and the digest of base spans on a whole table, by the contract's patterns on every text."""
+    import re
 
-    rows = [(i, True, E.window(f"the {h} of", 4, 4 + len(h))) for i, h in enumerate(hexes)] + [(i, False, E.window(f"the {h} of", 4, 4 + len(h))) for i, h in enumerate(numbers)]
-    net = E.train(pd.DataFrame(rows, columns=["key", "label", "window"]))
-    codes = np.frombuffer(b"".join(w for _, _, w in rows), np.uint8).reshape(-1, E.LENGTH)
-    hit = net.score(codes) >= net.threshold
-    assert hit[:300].mean() > 0.95 and hit[300:].mean() < 0.05
+    frame = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    kinds = [
+        ("assign", re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), lambda m: len(m[2]) >= 6),
+        ("access", re.compile(r"AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 20), ("hex", re.compile(r"[0-9a-f]+"), lambda m: len(m[0]) >= 24),
+    ]
+    got = {r["doc_id"]: r for r in E.scan_secrets(frame).collect()}
+    assert len(got) == frame.count() and sum(r["n_assign"] for r in got.values()) > 5
+    for doc_id, text in frame.collect():
+        spans = sorted((m.start(), k, m.end()) for k, (_, p, fits) in enumerate(kinds) for m in p.finditer(text or "") if fits(m))
+        listed = [f"{kinds[k][0]}:{a}:{b}" for a, k, b in spans]
+        r = got[doc_id]
+        assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(k == j for _, k, _ in spans) for j in range(3)]
+        assert r["base_sha256"] == hashlib.sha256(",".join(listed).encode()).hexdigest() and set(listed) <= set(r["spans"].split(",")) | {""}
+
+
+def planted(r, texts):
+    """Values that no rule takes, in shapes that the network is not shown, each in a text of its own."""
+    mixed = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    shapes = [lambda: "ghp_" + "".join(r.choices(mixed, k=36)), lambda: "".join(r.choices(mixed + "+/", k=40)), lambda: "".join(r.choices(mixed[:10] + "ABCDEF", k=32)), lambda: f"xoxb-{r.randrange(10**12)}-" + "".join(r.choices(mixed, k=24))]
+    for i in range(120):
+        words, value = r.choice(texts)[:400].split(" "), shapes[i % len(shapes)]()
+        words.insert(r.randrange(len(words) + 1), value)
+        text = " ".join(words)
+        yield text, text.index(value), text.index(value) + len(value)
+
+
+def test_secret_network_finds_what_rules_do_not(spark):
+    """Held-out recall on planted secrets, and what is flagged in the same table without them."""
+    frame = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text").where("doc_id % 2 = 0")
+    texts = [r[0] for r in frame.where("length(text) > 400").limit(200).collect()]
+    made = list(planted(random.Random(8), texts))
+    both = frame.union(spark.createDataFrame([(10_000_000 + i, t) for i, (t, _, _) in enumerate(made)], "doc_id long, text string"))
+    got = E.scan_secrets(both).where("n_model > 0").collect()
+    flagged = {r["doc_id"]: [tuple(map(int, s.split(":")[1:])) for s in r["spans"].split(",") if s.startswith("model")] for r in got}
+    found = sum(any(a <= s and e <= b for a, b in flagged.get(10_000_000 + i, [])) for i, (_, s, e) in enumerate(made))
+    clean = sum(r["n_model"] for r in got if r["doc_id"] < 10_000_000)
+    assert found >= 0.9 * len(made) and clean <= 0.002 * frame.count() * 65  # of about 65 candidates a document
+
+
+def found_in(texts, base=()):
+    codes, at = E.codes_of(texts)
+    start, end = E.candidates(codes, np.array([(at[i] + a, at[i] + b) for i, a, b in base], np.int64).reshape(-1, 2))
+    return codes, start, end, [(int(np.searchsorted(at, a, "right")) - 1, int(a - at[np.searchsorted(at, a, "right") - 1]), int(b - a)) for a, b in zip(start, end, strict=True)]
 
 
 def test_secret_candidates():
-    """Letters only, short tokens and further symbols are candidates, and windows cover a candidate's end."""
-    assert E.candidates("see keyOnlyOfLetters or a1b2c3d4 or p@ss!word#x", []) == [(4, 20), (24, 32), (36, 47)]
+    """Letters only, short tokens and further symbols are candidates, spans that rules touch are none, and windows cover a candidate's end."""
+    assert found_in(["see keyOnlyOfLetters or a1b2c3d4 or p@ss!word#x"])[3] == [(0, 4, 16), (0, 24, 8), (0, 36, 11)]
+    assert found_in(["", "abcdefgh", "é?abcdefgh?", "12345678 abcdefgh"], [(3, 2, 4)])[3] == [(1, 0, 8), (2, 2, 8), (3, 9, 8)]
     text = "in /home/" + "some/" * 40 + "k9X2mQ7z end"
-    assert [text[a:b] for a, b in E.candidates(text, [])] == [text[3:-4]]
-    assert any(b"k9X2mQ7z" in w for w in E.windows(text, 3, len(text) - 4)) and E.windows("abcdefgh", 0, 8) == [E.window("abcdefgh", 0, 8)]
+    codes, start, end, found = found_in([text])
+    assert found == [(0, 3, len(text) - 7)]
+    first, own = E.windows(start, end)
+    made = E.window_codes(codes, first, end[own])
+    assert made.shape == (len(own), E.LENGTH) and any(b"k9X2mQ7z end" in bytes(w) for w in made)
+    covered = {p for f in first for p in range(f, f + E.INSIDE)}
+    assert covered == set(range(start[0], end[0]))
+    codes, start, end, _ = found_in(["é? abcdefgh ?é"])
+    whole = bytes(E.window_codes(codes, start, end)[0])
+    assert whole[: E.BEFORE].endswith(b"\0\1? ") and whole[E.BEFORE :].startswith(b"abcdefgh\0") and whole[E.BEFORE + E.INSIDE :].startswith(b" ?\1\0")
+
+
+def test_secret_scores_are_the_network_s():
+    net, codes = E.CharNet(), np.random.default_rng(1).integers(0, 128, (700, E.LENGTH)).astype(np.uint8)
+    out = net.forward(codes)[3]
+    assert np.allclose(net.score(codes), 1 / (1 + np.exp(-out)), atol=1e-4)
 
 
 def test_secret_recall_below_one_half():
