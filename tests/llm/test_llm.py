@@ -148,9 +148,12 @@ def test_packing(spark, odd, empty):
 
     path = public_tokenizers.path("word_bpe_49k.json")
     plain, cached = Tokenizer.from_file(path), K.CachedTokenizer(path)
-    samples = [*ODD, "It's <|endoftext|> they'll é ΑΣ İ <|ENDOFTEXT|> 3.14%% “x”…!", "a\x1cb c"]
+    samples = [*ODD, "é\x1c\x85a\xa0b \x1cz\x7f %%É x\u2028y ª²½ ß ŉ ǆ Ǆ ﬁ \ufffd", "It's <|endoftext|> they'll é ΑΣ İ <|ENDOFTEXT|> 3.14%% “x”…!", "a\x1cb c"]
     for t in samples:
         assert cached.encode((t or "").encode()) == np.asarray(plain.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes()
+    assert len(cached.encode(b"\xff\xfeab \xc3")) > 0  # no UTF-8
+    for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect():
+        assert cached.encode((r[0] or "").encode()) == np.asarray(plain.encode(r[0] or "", add_special_tokens=False).ids, "<u4").tobytes()
     rows = K.pack_documents(odd, path, group_docs=4).collect()
     by_sequence, by_doc = {}, {}
     for r in rows:
@@ -273,7 +276,7 @@ def planted(r, texts):
 def test_secret_network_finds_what_rules_do_not(spark):
     """Held-out recall on planted secrets, and what is flagged in the same table without them."""
     frame = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text").where("doc_id % 2 = 0")
-    texts = [r[0] for r in frame.where("length(text) > 400").limit(200).collect()]
+    texts = [r["text"] for r in frame.where("length(text) > 400").limit(200).collect()]
     made = list(planted(random.Random(8), texts))
     both = frame.union(spark.createDataFrame([(10_000_000 + i, t) for i, (t, _, _) in enumerate(made)], "doc_id long, text string"))
     got = E.scan_secrets(both).where("n_model > 0").collect()
