@@ -199,7 +199,6 @@ def test_language_model_base(spark, odd, empty):
     texts = ["the cat sat", "The dog sat\x1c", "new words only", "", None, "the the the", "cat dog", "sat"] * 3
     rows = docs(spark, texts)
     held = [zlib.crc32(str(i).encode()) % 5 == 1 for i in range(len(texts))]
-    tokens = [[*(t or "").encode().lower().split(b" "), b" "] if t else [b" "] for t in texts]
     tokens = [[*(w for w in (t or "").encode().lower().split()), b"\0end"] for t in texts]
     counts = {}
     for t, h in zip(tokens, held):
@@ -222,6 +221,46 @@ def test_language_model_learns_from_all(spark):
     assert len(got) == 2 and all(x > -8 for _, x in got)  # 21 tokens; the unigram score is about -19
 
 
+def test_language_model_is_a_distribution():
+    """Class-factored probabilities of the words and of the class of other words sum to 1, and gradients are those of the loss."""
+    net, r = N.Network(30), np.random.default_rng(2)
+    states = r.uniform(-1, 1, (5, N.STATE)).astype(np.float32)
+    total = sum(np.exp(net.log_probs(states, np.full(5, w))[0]) for w in range(31))
+    assert np.allclose(total, 1, atol=1e-5)
+    words, holder = r.integers(0, 31, 5), np.zeros_like(net.flat)
+    _, back = net.log_probs(states, words, net.views(holder))
+    for name, at in (("c", (2, 3)), ("cb", (1,)), ("w", (int(words[0]) % 30, 4)), ("wb", (int(words[1]) % 30,))):
+        loss = []
+        for step in (1e-2, -1e-2):
+            net.p[name][at] += step
+            loss.append(-net.log_probs(states, words)[0].sum(dtype=np.float64))
+            net.p[name][at] -= step
+        assert net.views(holder)[name][at] == pytest.approx((loss[0] - loss[1]) / 2e-2, abs=2e-3)
+    moved = [-net.log_probs(states + np.float32(step) * (np.arange(N.STATE) == 3), words)[0] for step in (1e-2, -1e-2)]
+    assert np.allclose(back[:, 3], (moved[0] - moved[1]) / 2e-2, atol=2e-3)
+
+
+def test_language_model_scores_whole_documents():
+    """Scores by lanes and windows are those of one word after the other, the state carried through."""
+    net, r = N.Network(12), np.random.default_rng(4)
+    docs_ = [np.append(r.integers(0, 13, k), 3) for k in (0, 1, 5, 40, 700)]
+    got = net.score(docs_, 3)
+    for doc, found in zip(docs_, got, strict=True):
+        state, last, total = np.zeros((1, N.STATE), np.float32), 3, 0.0
+        for t, w in enumerate(doc):
+            if t and last == 3:
+                state = np.zeros_like(state)
+            state = net.step(net.p["x"][[last]], state)[0]
+            total += net.log_probs(state, np.array([w]))[0][0]
+            last = w
+        assert found == pytest.approx(total / np.log(10), rel=1e-4)
+
+
+def test_language_model_beats_counts_held_out(spark):
+    got = score_documents(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out").agg(F.avg("score"), F.avg("base_score")).first()
+    assert got[0] > got[1]
+
+
 def test_language_model_blocks():
     """Every token is trained on, whatever the blocks and lanes leave over."""
     net = N.Network(4)
@@ -352,13 +391,13 @@ def test_html_kinds():
     page = """<!DOCTYPE html><html><head><title>T</title></head><body><nav>menu</nav><div class="ad">buy</div><main><article><h1>Head &amp; tail</h1><p>One  <b>two</b>
     three<br>four<p>Five<aside>side</aside><form>f<input></form><script>var a="</p>";</script><!-- c --><ul><li>x<li>y</ul><section class="comments"><p>mine</p></section></article></main><footer>foot</footer>"""
     none = frozenset()
-    assert X.main_text(page, none, none) == "Head & tail\nOne two three four\nFive\nx\ny"
-    assert X.main_text("", none, none) == "" and X.main_text("a < b & c", none, none) == "a < b & c" and X.main_text("<p>open <!-- never", none, none) == "open"
+    assert X.main_text(page, none, none)[0] == "Head & tail\nOne two three four\nFive\nx\ny"
+    assert X.main_text("", none, none) == ("", False) and X.main_text("a < b & c", none, none)[0] == "a < b & c" and X.main_text("<p>open <!-- never", none, none)[0] == "open"
 
 
 def test_html_empty_main():
     none = frozenset()
-    assert X.main_text("<main> </main><div>Text</div>", none, none) == "Text" and X.main_text("<article><nav>menu</nav></article><p>Text", none, none) == "Text"
+    assert X.main_text("<main> </main><div>Text</div>", none, none)[0] == "Text" and X.main_text("<article><nav>menu</nav></article><p>Text", none, none)[0] == "Text"
 
 
 def test_html_template(spark):
@@ -386,6 +425,70 @@ def test_html_template_odd_pages(spark):
     }
 
 
+def page_of(i, comment=True):
+    """No telling tag or name: a menu of links that differ, a long article, a sidebar, reader comments, a footer."""
+    links = "".join(f"<li><a href='/{i}{k}'>Word{i * k} more</a></li>" for k in range(i % 4 + 3))
+    story = "".join(f"<p>Paragraph {k} of story {i} tells at length of <i>many</i> things, such as {i * 13 + k}.</p>" for k in range(i % 5 + 4))
+    return f"<html><body><div class=x1><ul>{links}</ul></div><div class=x2><div class=x3><h2>Title {i}</h2><div class='x4 v{i}'>{story}</div></div><div class=x5>Aside {i * 3} {i}</div></div><div class=x6>Foot {i}</div></body></html>"
+
+
+def story_of(i):
+    return "\n".join([f"Title {i}", *(f"Paragraph {k} of story {i} tells at length of many things, such as {i * 13 + k}." for k in range(i % 5 + 4))])
+
+
+def test_html_slots_without_lists(spark, monkeypatch):
+    """With every list of tags, names and roles emptied, the template's slot still gives the articles of the given hosts; nothing else marks them."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    want = {r["page_id"]: r["text"] for r in X.extract_pages(pages).where("from_template").collect()}
+    n = pages.count()
+    made = spark.createDataFrame([(i, "http://plain.com/x", page_of(i)) for i in range(30)], "page_id int, url string, html string")
+    assert {r["page_id"]: (r["text"], r["from_template"]) for r in X.extract_pages(made).collect()} == {i: (story_of(i), True) for i in range(30)}
+    large = X.extract_pages(spark.read.parquet("/root/testdata/sf0.1/pages.parquet")).groupBy("from_template").count().collect()
+    assert sum(r["count"] for r in large if r["from_template"]) >= 0.9 * sum(r["count"] for r in large) and len(want) >= 0.85 * n
+
+    slots = {r["host"]: {x["token"]: (x["text"], x["linked"], x["page_text"]) for x in r["slots"]} for r in X.templates(pages.withColumn("host", X.url_host(F.col("url"))), "host", "html").collect()}
+    for name in ("FURNITURE", "NAMES", "ROLES"):
+        monkeypatch.setattr(X, name, frozenset())
+    for r in pages.where(F.col("page_id").isin(list(want))).withColumn("host", X.url_host(F.col("url"))).collect():
+        assert X.main_text(r["html"], frozenset(), frozenset(), slots[r["host"]]) == (want[r["page_id"]], True)
+
+
+def test_html_classes_brute_force(spark):
+    """A host's template elements are those of classes with equal occurrence vectors, by plain counting."""
+    htmls = [page_of(i) if i % 6 else f"<html><body><section><b>Odd</b> {i}</section></body></html>" for i in range(24)]
+    pages = spark.createDataFrame([(i, "http://h.com/", h) for i, h in enumerate(htmls)], "page_id int, host string, html string")
+    got = {x["token"]: (x["text"], x["linked"], x["page_text"]) for x in X.templates(pages, "host", "html").first()["slots"]}
+    found = [X.runs(h) for h in htmls]
+    roles = sorted({x[0] for f in found for x in f if not x[2]})
+    vectors = {r: tuple(sum(x[0] == r and not x[2] for x in f) for f in found) for r in roles}
+    places = {r: np.mean([min(i for i, x in enumerate(f) if x[0] == r and not x[2]) for f, c in zip(found, vectors[r]) if c]) for r in roles}
+    support = {r: sum(c > 0 for c in vectors[r]) for r in roles}
+    classes = {}
+    for r in roles:
+        classes.setdefault(vectors[r], []).append(r)
+    span = [places[r] for r in classes[max(classes, key=lambda v: (sum(c > 0 for c in v), len(classes[v])))]]
+    want = set()
+    for vector, own in classes.items():
+        stands = sum(c > 0 for c in vector)
+        inside = min(places[r] for r in own) >= min(span) and max(places[r] for r in own) <= max(span)
+        if stands >= X.CLASS_PAGES and (stands >= 0.8 * len(htmls) or len(own) >= 2 and inside):
+            want |= set(own)
+    assert set(got) == {X._role(r) for r in want} and "/html/body" in want and "/html/body/div.x1/ul/li" not in want and "/html/body/div.x2/div.x3" in want
+    for r in want:
+        held = [X.masses(f) for f in found]
+        assert got[X._role(r)] == (sum(m.get(r, (0, 0))[0] for m, _ in held), sum(m.get(r, (0, 0))[1] for m, _ in held), sum(t for (_, t), c in zip(held, vectors[r]) if c))
+
+
+def test_html_odd_pages(spark):
+    """Very long, broken and repeated pages, ties and a clashing column keep a row each."""
+    odd_pages = ["<div>" * 20_000 + "deep", "<p>" + "long words " * 60_000 + "</p>", "<", "</p></p>", "<a href='x", "<!--", "<script>never", "&#0;&bogus;&amp;"]
+    rows = [(i, "http://o.com/", h) for i, h in enumerate(odd_pages)] + [(50, "http://o.com/", page_of(1))] * 5
+    frame = spark.createDataFrame(rows, "page_id int, url string, html string").withColumn("host", F.lit("clash")).withColumn("text", F.lit("clash")).withColumn("slots", F.lit(1))
+    got = X.extract_pages(frame).collect()
+    assert len(got) == len(rows) and len({r["text"] for r in got if r["page_id"] == 50}) == 1 and all(r["n_chars"] == len(r["text"]) for r in got)
+    assert next(r["n_chars"] for r in got if r["page_id"] == 1) == 60_000 * 11 - 1
+
+
 def test_pipeline_keeps_columns(spark):
     import corpus_pipeline
 

@@ -1,12 +1,14 @@
 """HTML extraction by equivalence classes of tokens over the pages of a host.
 
-A page is a sequence of tokens: its elements and its runs of text, each in its role (the path of
-open elements). Tokens of a host with the same occurrence vector over the host's pages form a class;
-Spark sums a digest of (page, occurrences), so equal sums are equal vectors and no host is gathered.
+A page is a sequence of tokens: its elements, each in its role (the path of open elements with their classes
+and ids), and its runs of text. Tokens of a host with the same occurrence vector over the host's pages form a
+class; Spark sums a digest of (page, occurrences), so equal sums are equal vectors and no host is gathered.
 The class of elements on the most pages is the template's skeleton; classes of several tokens that
-stand on enough pages and lie inside the skeleton's span nest in it. Text runs of the template are
-furniture. The slots that remain are extracted from the article, or, in pages that mark none, from
-everywhere outside of elements that are furniture by their kind.
+stand on enough pages and lie inside the skeleton's span nest in it. Their elements delimit the slots, and for
+each Spark sums how much of a page's text stands in it, links apart. The innermost element that holds most
+of the text of its pages is the article's slot; it is widened to an element around it that adds a heading and little
+else. A page's text is what stands in that slot, less the text runs of the template. Lists of
+tags and names only take furniture away inside the slot, and stand in for pages without a template.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ import html as entities
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,11 +28,13 @@ from .common import fresh, materialise
 from .url_filter import url_host
 
 #: A class nests in the template from so many tokens, pages and share of the host's pages on.
-CLASS_TOKENS, CLASS_PAGES, CLASS_SHARE = 2, 4, 0.3
+CLASS_TOKENS, CLASS_PAGES, CLASS_SHARE = 2, 3, 0.3
 #: The skeleton stands on at least this share of the host's pages that have elements.
 SKELETON_SHARE = 0.5
 #: What stands on this share of the pages needs no company in its class; from so many pages on, this also holds inside an article.
 WHOLE_SHARE, ARTICLE_PAGES = 0.8, 8
+#: The article's slot holds this share of its pages' text; it is widened while that adds at most this share.
+MAIN_SHARE, WIDER_SHARE = 0.6, 0.25
 #: Templates are broadcast only up to so many tokens.
 BROADCAST_TOKENS = 500_000
 
@@ -43,11 +48,16 @@ NAMES = frozenset(
     "newsletter notice notices popup promo promoted promotion related share sharing sidebar social sponsor sponsored subscribe subscription toolbar topbar widget disqus reply replies respond".split()
 )
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar toolbar form".split())
+#: Elements of text, which hold parts of an article but are none.
+TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd blockquote pre figure figcaption table thead tbody tfoot tr td th caption".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Beyond these a slot is not widened.
+OUTERMOST = ("", "/html", "/html/body")
 
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>")
 _ATTRIBUTE = re.compile(r"([^\s=/\"']+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _NAME = re.compile(r"[a-z]+")
+_SIGN = re.compile(r"[0-9]{2,}|[^a-z0-9-]+")
 _SPACE = re.compile(r"\s+")
 
 
@@ -67,18 +77,25 @@ def _furniture(tag: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
-def runs(page: str) -> list[tuple[str, int, str, int]]:
-    """(role, area, text, block) of elements (text '') and text runs in page order.
+def _sign(attributes: str) -> str:
+    """Classes and id of an element, numbers apart, so that an element keeps its role from page to page."""
+    signs = [_SIGN.sub(".", "".join(values).lower()) for name, *values in _ATTRIBUTE.findall(attributes) if name.lower() in ("class", "id")]
+    return "".join(f".{x}" for x in signs)
 
-    Areas: 0 furniture, 1 plain, 2 inside an article or main element. Runs of one block share its number.
+
+def runs(page: str) -> list[tuple[str, int, str, int, int]]:
+    """(role, area, text, block, within) of elements (text '') and text runs in page order.
+
+    Areas: 0 furniture, 1 plain, 2 inside an article or main element. Runs of one block share its number. ``within`` is
+    the length of the role of the innermost element that is furniture by its kind, 0 outside of any.
     """
-    out: list[tuple[str, int, str, int]] = []
-    stack: list[tuple[str, str, int]] = [("", "", 1)]
+    out: list[tuple[str, int, str, int, int]] = []
+    stack: list[tuple[str, str, int, int]] = [("", "", 1, 0)]
     at, block, n = 0, 0, len(page)
 
     def text(upto: int) -> None:
         if upto > at:
-            out.append((stack[-1][1], stack[-1][2], page[at:upto], block))
+            out.append((stack[-1][1], stack[-1][2], page[at:upto], block, stack[-1][3]))
 
     while at < n:
         lt = page.find("<", at)
@@ -120,27 +137,25 @@ def runs(page: str) -> list[tuple[str, int, str, int]]:
                 break
             if tag in ("li", "tr", "td", "th", "dt", "dd", "option") and stack[-1][0] == tag:
                 stack.pop()
-        _, role, area = stack[-1]
-        if area and _furniture(tag, attributes, area == 2):
-            area = 0
+        _, role, area, within = stack[-1]
+        role = f"{role}/{tag}{_sign(attributes) if attributes else ''}"
+        if _furniture(tag, attributes, area == 2):
+            area, within = 0, len(role)
         elif area == 1 and (tag in ("article", "main") or 'role="main"' in attributes):
             area = 2
-        role = f"{role}/{tag}"
-        out.append((role, area, "", block))
+        out.append((role, area, "", block, within))
         if tag == "br":
-            out.append((role, stack[-1][2], " ", block))
+            out.append((role, stack[-1][2], " ", block, within))
         elif tag in RAW:
             low = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(page, at)
             end = low.start() if low else n
-            if not area and tag in ("script", "style"):
-                at = end
-            else:
-                stack.append((tag, role, 0))
+            if tag not in ("script", "style"):
+                stack.append((tag, role, 0, len(role)))
                 text(end)
                 stack.pop()
-                at = end
+            at = end
         elif tag not in VOID and not attributes.endswith("/"):
-            stack.append((tag, role, area))
+            stack.append((tag, role, area, within))
     return out
 
 
@@ -148,64 +163,115 @@ def _digest(role: str, text: str) -> int:
     return int.from_bytes(hashlib.blake2b(f"{role}\n{text}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
+@lru_cache(1 << 16)
+def _role(role: str) -> int:
+    return _digest(role, "")
+
+
 def _clean(text: str) -> str:
     return _SPACE.sub(" ", entities.unescape(text)).strip()
 
 
-def main_text(page: str, everywhere: frozenset[int], in_article: frozenset[int]) -> str:
-    """Blocks of the slots: of the article where the page marks one that holds text, else of all that is not furniture."""
+def masses(found: list[tuple[str, int, str, int, int]]) -> tuple[dict[str, list[int]], int]:
+    """Characters of text inside each role, and how many of them stand in links; and those of the page that do not."""
+    own: dict[str, int] = {}
+    for role, _, text, _, _ in found:
+        own[role] = own.get(role, 0) + len(text.strip())
+    inside: dict[str, list[int]] = {}
+    total = 0
+    for role, size in own.items():
+        linked = size if "/a/" in f"{role}/" or "/a." in role else 0
+        total += size - linked
+        while role:
+            held = inside.setdefault(role, [0, 0])
+            held[0] += size
+            held[1] += linked
+            role = role.rpartition("/")[0]
+    return inside, total
+
+
+def main_role(roles: set[str], slots: dict[int, tuple[int, int, int]]) -> str | None:
+    """Of a page's roles the one of the article's slot; ``slots``: (text, linked text, text of the pages outside of links) of template elements.
+
+    The innermost slot, no text element, with MAIN_SHARE of its pages' text; then the elements around it while each adds
+    a heading, at most WIDER_SHARE to it in all, and mostly no links."""
+    known = {r: slots[_role(r)] for r in roles if _role(r) in slots}
+    fit = [r for r, (text, linked, pages) in known.items() if text > linked and text - linked >= MAIN_SHARE * pages and not TEXTUAL.intersection(x.partition(".")[0] for x in r.split("/"))]
+    if not fit:
+        return None
+    # Of equally deep ones the one with most text.
+    best = max(fit, key=lambda r: (r.count("/"), known[r][0], r))
+    while (outer := best.rpartition("/")[0]) in known and outer not in OUTERMOST:
+        more, links = known[outer][0] - known[best][0], known[outer][1] - known[best][1]
+        headed = any(r.startswith(f"{outer}/") and not r.startswith(f"{best}/") and r.rpartition("/")[2].partition(".")[0] in HEADINGS for r in known)
+        if not headed or more > WIDER_SHARE * known[best][0] or 2 * links > more:
+            break
+        best = outer
+    return best if best not in OUTERMOST else None  # the whole body is no slot
+
+
+def main_text(page: str, everywhere: frozenset[int], in_article: frozenset[int], slots: dict[int, tuple[int, int, int]] | None = None) -> tuple[str, bool]:
+    """The blocks of the article, and whether the template's slot gave them.
+
+    Without such a slot: of the article that the page marks, if it holds text, else of all that is not furniture."""
     found = runs(page)
-    for wanted, known in ((2, in_article), (1, everywhere)):
-        blocks: list[list[str]] = []
+    main = main_role({x[0] for x in found if not x[2]}, slots) if slots else None
+    for wanted, known in ((3, in_article), (2, in_article), (1, everywhere)):
+        if wanted == 3 and not main:
+            continue
+        blocks: list[list[tuple[str, bool]]] = []
         last = None
-        for role, area, text, block in found:
-            if area != wanted or not text:
-                continue
-            if known and text.strip() and _digest(role, _clean(text)) in known:
+        for role, area, text, block, within in found:
+            if not text or (area != wanted if wanted < 3 else within > len(main) or not (role == main or role.startswith(f"{main}/"))):
                 continue
             if block != last:
                 blocks.append([])
                 last = block
-            blocks[-1].append(text)
-        lines = [x for x in (_clean("".join(b)) for b in blocks) if x]
+            blocks[-1].append((text, not text.strip() or bool(known) and _digest(role, _clean(text)) in known))
+        # A block goes if all of it is the template's: a repeated word in emphasis is no furniture.
+        lines = [x for x in (_clean("".join(t for t, _ in b)) for b in blocks if not all(of for _, of in b)) if x]
         if lines:
-            return "\n".join(lines)
-    return ""
+            return "\n".join(lines), wanted == 3
+    return "", False
 
 
 def templates(pages: DataFrame, host: str, html: str) -> DataFrame:
-    """(host, everywhere, in_article): digests of the text runs of each host's template."""
+    """(host, everywhere, in_article, slots): digests of the text runs of each host's template, and its elements with their text."""
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["page", "token", "times", "place", "kind", "text", "linked", "page_text"]
         for batch in batches:
-            hosts, keys, codes, times, places, kinds = [], [], [], [], [], []
+            hosts, rows = [], []
             for h, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 key = int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
                 first: dict[tuple[int, int], int] = {}
                 counts: Counter = Counter()
                 found = runs(text)
-                for i, (role, area, run, _) in enumerate(found):
-                    run = _clean(run)
-                    code = _digest(role, run)
+                held, total = masses(found)
+                inside: dict[int, list[int]] = {}
+                for i, (role, area, run, _, _) in enumerate(found):
+                    if run and not (run := _clean(run)):
+                        continue
+                    code = _digest(role, run) if run else _role(role)
                     kind = (area or 4 if run else 0, code)  # elements 0, text of furniture 4, else its area
                     counts[kind] += 1
                     first.setdefault(kind, i)
-                if any(not run for _, _, run, _ in found):
+                    if not run:
+                        inside[code] = held.get(role, [0, 0])
+                if inside:
                     counts[(3, 0)] = 1  # the root, on every page with elements
                     first.setdefault((3, 0), 0)
                 for (kind, code), c in counts.items():
                     hosts.append(h)
-                    keys.append(key)
-                    codes.append(code)
-                    times.append(c)
-                    places.append(first[kind, code])
-                    kinds.append(kind)
-            kinds64 = pa.int64()
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), *[pa.array(x, kinds64) for x in (keys, codes, times, places, kinds)]], ["host", "page", "token", "times", "place", "kind"])
-
-    found = pages.select(F.col(host).alias("host"), F.col(html).alias("html")).where("html is not null").mapInArrow(tokens, "host string, page long, token long, times long, place long, kind long")
+                    rows.append((key, code, c, first[kind, code], kind, *(inside[code] if not kind else (0, 0)), total))
+            columns = zip(*rows, strict=True) if rows else [[] for _ in names]
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), *[pa.array(x, pa.int64()) for x in columns]], ["host", *names])
+
+    schema = "host string, page long, token long, times long, place long, kind long, text long, linked long, page_text long"
+    found = pages.select(F.col(host).alias("host"), F.col(html).alias("html")).where("html is not null").mapInArrow(tokens, schema)
     vectors = found.groupBy("host", "kind", "token").agg(
         F.sum(F.xxhash64("page", "times").cast("decimal(20,0)")).alias("vector"), F.count("*").alias("pages"), F.avg("place").alias("place"),
+        *[F.sum(c).alias(c) for c in ("text", "linked", "page_text")],
         F.max(F.when(F.col("kind") == 3, F.col("page"))).alias("high"), F.min(F.when(F.col("kind") == 3, F.col("page"))).alias("low"),
     )
     vectors = materialise(vectors.where((F.col("pages") >= CLASS_PAGES) & ((F.col("kind") != 3) | (F.col("high") != F.col("low")))))
@@ -223,30 +289,42 @@ def templates(pages: DataFrame, host: str, html: str) -> DataFrame:
         .where(whole | (F.col("members") >= CLASS_TOKENS) & (F.col("first") >= F.col("span.first")) & (F.col("last") <= F.col("span.last")))
         .select("host", "vector", "all_pages", whole.alias("whole"))
     )
-    members = vectors.where("kind in (1, 2, 4)").join(nested, ["host", "vector"]).where(F.col("pages") >= F.col("all_pages") * CLASS_SHARE)
-    in_article = (F.col("kind") == 2) & F.col("whole") & (F.col("all_pages") >= ARTICLE_PAGES)
-    return members.groupBy("host").agg(F.collect_set(F.when(F.col("kind") != 2, F.col("token"))).alias("everywhere"), F.collect_set(F.when(in_article, F.col("token"))).alias("in_article"))
+    members = vectors.where("kind <> 3").join(nested, ["host", "vector"])
+    often = F.col("pages") >= F.col("all_pages") * CLASS_SHARE
+    in_article = (F.col("kind") != 0) & F.col("whole") & (F.col("all_pages") >= ARTICLE_PAGES)
+    slot = F.when(F.col("kind") == 0, F.struct("token", "text", "linked", "page_text"))
+    return members.groupBy("host").agg(
+        F.collect_set(F.when(often & F.col("kind").isin(1, 4), F.col("token"))).alias("everywhere"),
+        F.collect_set(F.when(often & in_article, F.col("token"))).alias("in_article"), F.collect_list(slot).alias("slots"),
+    )
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """page_id, url, text, n_chars of every page: the article's blocks, one line each.
+    """page_id, url, text, n_chars, from_template of every page: the article's blocks, one line each.
 
-    A null html is empty; its text is empty. Pages whose url has no host are one host.
-    Hosts with fewer than ``CLASS_PAGES`` pages, or with one page repeated, have no template. Repeated rows
-    keep a row each; an empty table gives no rows; other columns are not carried.
+    ``from_template`` tells whether the template's slot gave the text. A null html is empty; its text is empty. Pages
+    whose url has no host are one host. Hosts with fewer than ``CLASS_PAGES`` pages, or with one page repeated, have
+    no template. Repeated rows keep a row each; an empty table gives no rows; other columns are not carried.
     """
     host = fresh(pages, "page_host")
     keyed = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), url_host(F.col(url_col)).alias(host))
     known = materialise(templates(keyed, host, "html"))
-    if (known.agg(F.sum(F.size("everywhere") + F.size("in_article"))).first()[0] or 0) <= BROADCAST_TOKENS:
+    if (known.agg(F.sum(F.size("everywhere") + F.size("in_article") + 4 * F.size("slots"))).first()[0] or 0) <= BROADCAST_TOKENS:
         known = F.broadcast(known)
-    joined = keyed.join(known, keyed[host] == known["host"], "left").select("page_id", "url", "html", "everywhere", "in_article")
+    joined = keyed.join(known, keyed[host] == known["host"], "left").select("page_id", "url", "html", F.col(known.columns[0]).alias("host"), "everywhere", "in_article", "slots")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in (2, 3, 4)]
-            texts = [main_text(h or "", frozenset(e or ()), frozenset(a or ())) for h, e, a in zip(*columns, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+            told: dict[str | None, tuple] = {None: (frozenset(), frozenset(), None)}
+            found = []
+            for i, (html, h) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+                if h not in told:
+                    everywhere, in_article, slots = (batch.column(k)[i].as_py() for k in (4, 5, 6))
+                    told[h] = frozenset(everywhere), frozenset(in_article), {x["token"]: (x["text"], x["linked"], x["page_text"]) for x in slots}
+                found.append(main_text(html or "", *told[h]))
+            texts = [t for t, _ in found]
+            columns = [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array([by for _, by in found], pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "text", "n_chars", "from_template"])
 
     kind = dict(keyed.dtypes)["page_id"]
-    return joined.mapInArrow(extract, f"page_id {kind}, url string, text string, n_chars long")
+    return joined.mapInArrow(extract, f"page_id {kind}, url string, text string, n_chars long, from_template boolean")
