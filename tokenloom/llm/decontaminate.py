@@ -106,29 +106,29 @@ def contamination(
         # Windows with a shingle that stands nowhere are out; the rarest shingle is the prefix.
         ranked = placed.join(rarity, "shingle").groupBy("window", "len", "size").agg(F.count("*").alias("present"), F.min(F.struct("df", "shingle", "off")).alias("rarest"))
         whole = F.col("len") - F.col("size") + 1
-        prefixes = ranked.where(F.col("present") == whole).select("window", "len", F.col("rarest.shingle").alias("shingle"), F.col("rarest.off").alias("off"))
+        prefixes = ranked.where(F.col("present") == whole).select("len", F.col("rarest.shingle").alias("shingle"), F.col("rarest.off").alias("off")).distinct()
         start = F.col("pos") - F.col("off")
         candidates = (
             stream(text_key, "k").join(_small(prefixes), "shingle")
             .where((start >= 0) & (start + F.col("len") <= F.col("n")))
-            .select("k", "window", "len", start.alias("start")).distinct()
+            .select("k", start.alias("start"), "len").distinct()
         )
-        # A text's candidates are at most its positions for each length of window.
-        by_text = candidates.groupBy("k").agg(F.collect_list(F.struct("start", "len", "window")).alias("found"))
-        stands = F.filter("found", lambda c: F.array_join(F.slice("w", c["start"] + 1, c["len"]), " ") == c["window"])
-        verified = (
+        # A text's candidates are at most its positions for each length of window, and two numbers each.
+        by_text = candidates.groupBy("k").agg(F.collect_list(F.struct("start", "len")).alias("found"))
+        stands = F.transform("found", lambda c: F.struct(c["start"].alias("start"), (c["start"] + c["len"]).alias("end"), F.array_join(F.slice("w", c["start"] + 1, c["len"]), " ").alias("window")))
+        placed_words = (
             docs.select(text_key.alias("k"), F.col(text_col).alias("t")).join(_small(by_text, F.size("found")), "k")
             .select("k", "found", words(F.col("t")).alias("w"))
-            .select("k", F.explode(stands).alias("c"))
-            .select("k", "c.window", "c.start", (F.col("c.start") + F.col("c.len")).alias("end")).distinct()
+            .select("k", F.inline(stands)).distinct()
         )
-        verified = materialise(verified)
+        # The words that stand there are an item's window, or they are none.
+        verified = materialise(placed_words.join(_small(windows.select("window").distinct()), "window", "left_semi").select("k", "window", "start", "end"))
         before = F.max("end").over(W.partitionBy("k").orderBy("start", "end").rowsBetween(W.unboundedPreceding, -1))
         spans = verified.select("k", "start", "end").distinct().withColumn("before", F.coalesce(before, F.lit(0)))
         covered = spans.groupBy("k").agg(F.sum(F.greatest(F.lit(0), F.col("end") - F.greatest("before", "start"))).cast("long").alias("n_hit"))
         listed = (
             verified.select("k", "window").distinct()
-            .join(windows, "window")
+            .join(_small(windows), "window")
             .where("item is not null")
             .select("k", "item").distinct()
             .groupBy("k").agg(F.collect_list("item").alias("items"))
