@@ -21,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, materialise
+from .common import LOWER, UPPER, materialise
 from .language_id import fold
 
-#: The network's words, their classes and the state's size; the words with counts that workers hold are at most so many.
-WORDS, CLASSES, STATE, DICTIONARY = 4096, 64, 16, 160_000
+#: The network's words and the state's size; the words with counts that workers hold are at most so many.
+WORDS, STATE, DICTIONARY = 4096, 16, 160_000
 #: A worker trains on about so many tokens, and holds so many of them at once.
 WORKER_TOKENS, BLOCK_TOKENS = 2_000_000, 262_144
 #: The share of the training documents and the learning rate of each round; every document is in one.
@@ -47,12 +47,16 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 class Network:
-    """Vocabulary 0..v-1 in classes of equal size by falling count; v stands for all other words."""
+    """Vocabulary 0..v-1 by falling count; v stands for all other words.
+
+    Class k holds the words from k * k on, so the few frequent words are in small classes; the last class is v alone."""
 
     def __init__(self, v: int, weights: np.ndarray | None = None):
         h = STATE
-        self.v, self.width = v, max(1, -(-v // CLASSES))
-        self.classes = -(-v // self.width) + 1  # the last: other words
+        self.v = v
+        self.class_of = np.append(np.sqrt(np.arange(v)).astype(np.int64), 0)
+        self.classes = int(self.class_of.max()) + 1 + (v > 0)
+        self.class_of[v] = self.classes - 1
         self.shapes = {"x": (v + 1, 3 * h), "u": (h, 3 * h), "c": (self.classes, h), "cb": (self.classes,), "w": (v + 1, h), "wb": (v + 1,)}
         size = sum(int(np.prod(s)) for s in self.shapes.values())
         self.flat = np.array(np.random.default_rng(5).normal(0, 0.1, size) if weights is None else weights, np.float32)
@@ -67,9 +71,6 @@ class Network:
             at += n
         return out
 
-    def class_of(self, words: np.ndarray) -> np.ndarray:
-        return np.where(words < self.v, words // self.width, self.classes - 1)
-
     def step(self, x: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, ...]:
         """The next state from the last word's row of ``x`` and the state, and what training needs of the step."""
         h = STATE
@@ -104,12 +105,12 @@ class Network:
         """Natural logs of the words' probabilities; with ``grad``, also the gradient at the states."""
         order = np.argsort(words.astype(np.uint16), kind="stable")  # by class, as classes are runs of words
         states, words = states[order], words[order]
-        c = self.class_of(words)
+        c = self.class_of[words]
         probs, back = self._softmax(self.p["c"], self.p["cb"], states, c, grad and (grad["c"], grad["cb"]))
         bounds = np.searchsorted(c, np.arange(self.classes))
         for k in range(self.classes - 1):
             if (mine := slice(bounds[k], bounds[k + 1])).start < mine.stop:
-                part = slice(k * self.width, min(self.v, (k + 1) * self.width))
+                part = slice(k * k, min(self.v, (k + 1) ** 2))
                 inside, more = self._softmax(self.p["w"][part], self.p["wb"][part], states[mine], words[mine] - part.start, grad and (grad["w"][part], grad["wb"][part]))
                 probs[mine] *= inside
                 if back is not None:
@@ -229,7 +230,9 @@ class Network:
 
 
 def _words(docs: DataFrame) -> DataFrame:
-    return docs.select(F.explode(F.split(ascii_lower(F.col("text")), r"[\x20\x09-\x0D]+")).alias("word")).where("word <> ''")
+    # White space becomes blanks in the same pass that lower-cases: splitting at one character needs no regular expression.
+    plain = F.translate("text", UPPER + "\t\n\x0b\x0c\r", LOWER + " " * 5)
+    return docs.select(F.explode(F.split(plain, " ")).alias("word")).where("word <> ''")
 
 
 def _dictionary(counts: DataFrame) -> tuple[list[bytes], np.ndarray]:
@@ -293,19 +296,40 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = spark.sparkContext.broadcast(({w: i for i, w in enumerate(vocabulary)}, top_counts))
     rest_n, rest_v = n - int(top_counts[:size].sum()), v - size
 
+    spare, rest = np.log10(n + 0.5 * (v + 1)), np.log10(rest_n + 0.5 * (rest_v + 1))
+
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Words outside the network's vocabulary need no dictionary here.
-        ids = {w: i for w, i in shared.value[0].items() if i < size}
+        from pyspark import TaskContext
+
+        (ids, known), row = shared.value, TaskContext.get().partitionId() << 40
+        logs = np.log10(np.append(known, 0) + 0.5)
         for batch in batches:
-            found = []
-            for text in batch.column(1):
+            coded, base, extra, n_tokens, n_known, tails = [], [], [], [], [], []
+            for text in batch.column(3):
                 words = (text.as_py() or b"").lower().split()
-                found.append(np.fromiter(map(ids.get, words, repeat(size)), np.uint16, len(words)).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["key", "words"])
-
-    # Dealt by a hash of the row, in a fixed order, so that the weights do not depend on the files' layout.
-    keyed = train.select(F.xxhash64("doc_id", "text", F.lit(3)).alias("key"), F.col("text").cast("binary").alias("text"))
-    spread = materialise(keyed.mapInArrow(code, "key long, words binary")) if n_docs else None
+                at = np.fromiter(map(ids.get, words, repeat(-1)), np.int64, len(words))
+                tails.append(list(Counter([words[i] for i in np.flatnonzero(at < 0).tolist()]).items()))
+                coded.append(np.where(at < 0, size, np.minimum(at, size)).astype(np.uint16).tobytes())
+                at = at[at >= 0]
+                base.append(logs[at].sum() - spare * len(at) + (logs[end] if n_docs else np.log10(0.5)) - spare)
+                # Words of the dictionary outside the vocabulary: their share of the class of other words.
+                outside = at[at >= size]
+                extra.append(logs[outside].sum() - rest * len(outside))
+                n_tokens.append(len(words) + 1)
+                n_known.append(len(at) + bool(n_docs))
+            rows = np.arange(row, row + len(base))
+            row += len(base)
+            lengths = np.cumsum([0, *map(len, tails)])
+            flat = [x for t in tails for x in t]
+            words = pa.StructArray.from_arrays([pa.array([x[0].decode("utf-8", "replace") for x in flat], pa.string()), pa.array([x[1] for x in flat], pa.int64())], ["word", "tf"])
+            columns = [pa.array(rows), *batch.columns[:3], pa.array(coded, pa.binary()), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64())]
+            columns += [pa.array(base, pa.float64()), pa.array(extra, pa.float64()), pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), words)]
+            yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "held_out", "key", "words", "n_tokens", "n_known", "base_score", "extra", "tail"])
+
+    # Every text is split and looked up once; training and scoring read the codes.
+    kind = dict(texts.dtypes)["doc_id"]
+    schema = f"row long, doc_id {kind}, held_out boolean, key long, words binary, n_tokens long, n_known long, base_score double, extra double, tail array<struct<word string, tf long>>"
+    coded = materialise(texts.select("doc_id", "held_out", F.xxhash64("doc_id", "text", F.lit(3)).alias("key"), F.col("text").cast("binary").alias("text")).mapInArrow(code, schema))
     weights, dealt = Network(size).flat, 0.0
     for share, rate in ROUNDS if n_docs else ():
         start = spark.sparkContext.broadcast(weights)
@@ -320,60 +344,37 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 yield pd.DataFrame({"worker": [TaskContext.get().partitionId()], "tokens": [tokens], "weights": [(net.flat * np.float64(tokens)).tobytes()]})
 
         place = (F.pmod(F.xxhash64("key"), F.lit(1_000_000)) + 0.5) / 1_000_000
-        mine = spread.where((place >= dealt) & (place < dealt + share)).repartition(workers, "key").sortWithinPartitions("key", "words").coalesce(workers)
+        # Dealt by a hash of the row, in a fixed order, so that the weights do not depend on the files' layout.
+        mine = coded.where(~F.col("held_out") & (place >= dealt) & (place < dealt + share)).select("key", "words").repartition(workers, "key").sortWithinPartitions("key", "words").coalesce(workers)
         found = materialise(mine.mapInPandas(learn, "worker int, tokens long, weights binary"))
         if found.limit(1).count():  # few documents need not reach every round
             weights = _gathered(found, workers)
         dealt += share
         start.destroy()
     start = spark.sparkContext.broadcast(weights)
-    spare = np.log10(n + 0.5 * (v + 1))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        (ids, known), net, row = shared.value, Network(size, start.value), TaskContext.get().partitionId() << 40
-        logs = np.log10(np.append(known, 0) + 0.5) - spare
-        # Words of the dictionary outside the vocabulary: their share of the class of other words.
-        inside = np.log10(np.append(known, 0) + 0.5) - np.log10(rest_n + 0.5 * (rest_v + 1))
-        inside[:size] = 0
+        net, last = Network(size, start.value), end if n_docs else size
         for batch in batches:
-            coded_docs, base, extra, n_known, tails = [], [], [], [], []
-            for text in batch.column(2):
-                words = (text.as_py() or b"").lower().split()
-                at = np.fromiter(map(ids.get, words, repeat(-1)), np.int64, len(words))
-                tails.append(list(Counter([words[i] for i in np.flatnonzero(at < 0).tolist()]).items()))
-                coded_docs.append(np.append(np.where(at < 0, size, np.minimum(at, size)), end if n_docs else size))
-                at = at[at >= 0]
-                base.append(logs[at].sum() + (logs[end] if n_docs else -spare + np.log10(0.5)))
-                extra.append(inside[at].sum())
-                n_known.append(len(at) + bool(n_docs))
-            scores = net.score(coded_docs, end if n_docs else -1) + np.array(extra)
-            rows = np.arange(row, row + len(base))
-            row += len(base)
-            lengths = np.cumsum([0, *map(len, tails)])
-            flat = [x for t in tails for x in t]
-            words = pa.StructArray.from_arrays([pa.array([x[0].decode("utf-8", "replace") for x in flat], pa.string()), pa.array([x[1] for x in flat], pa.int64())], ["word", "tf"])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(rows), batch.column(0), batch.column(1), pa.array([len(c) for c in coded_docs], pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(scores, pa.float64()), pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), words)],
-                ["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "tail"],
-            )
+            docs = [np.append(np.frombuffer(w, np.uint16).astype(np.int64), last) for w in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(net.score(docs, end if n_docs else -1)), *batch.columns[2:]], names=scores)
 
-    schema = f"row long, doc_id {dict(texts.dtypes)['doc_id']}, held_out boolean, n_tokens long, n_known long, base_score double, score double, tail array<struct<word string, tf long>>"
-    scored = materialise(texts.withColumn("text", F.col("text").cast("binary")).mapInArrow(score, schema))
+    carried = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "extra"]
+    scores = ["row", "score", *carried]
+    scored = coded.select("row", "words", *carried).mapInArrow(score, f"row long, score double, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, extra double")
     # The counts of rarer words are not broadcast: documents' words are joined to them.
     c = F.coalesce("c", F.lit(0))
     tail = (
-        scored.select("row", F.inline("tail")).join(counts, "word", "left")
+        coded.select("row", F.inline("tail")).join(counts, "word", "left")
         .select("row", "tf", c.alias("c"))
         .groupBy("row").agg(
             F.sum(F.col("tf") * (F.log10(F.col("c") + 0.5) - float(spare))).alias("tail_base"),
-            F.sum(F.col("tf") * (F.log10(F.col("c") + 0.5) - float(np.log10(rest_n + 0.5 * (rest_v + 1))))).alias("tail_score"),
+            F.sum(F.col("tf") * (F.log10(F.col("c") + 0.5) - float(rest))).alias("tail_score"),
             F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("tail_known"),
         )
     )
     zero = F.lit(0)
-    return scored.drop("tail").join(tail, "row", "left").select(
+    return scored.join(tail, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("tail_known", zero)).alias("n_known"), F.lit(int(n)).cast("long").alias("train_tokens"),
-        (F.col("base_score") + F.coalesce("tail_base", zero)).alias("base_score"), (F.col("score") + F.coalesce("tail_score", zero)).alias("score"),
+        (F.col("base_score") + F.coalesce("tail_base", zero)).alias("base_score"), (F.col("score") + F.col("extra") + F.coalesce("tail_score", zero)).alias("score"),
     )
