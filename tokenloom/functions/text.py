@@ -83,11 +83,6 @@ def summary_sentences(text: Column) -> Column:
     return F.filter(F.transform(parts, lambda s: F.regexp_replace(s, "^[ \\-•]+|[ \\-•]+$", "")), lambda s: F.char_length(s) >= 12)
 
 
-def long_sentences(text: Column, least: int = 40) -> Column:
-    parts = F.split(F.coalesce(text, F.lit("")), rf"(?<=[.!?]){SPACE}+")
-    return F.filter(F.transform(parts, strip), lambda s: F.char_length(s) > least)
-
-
 def salience(role: Column, sentence: Column) -> Column:
     weight = F.coalesce(F.create_map(*[F.lit(x) for kv in ROLE_WEIGHT.items() for x in kv])[role], F.lit(1.0))
     return weight * (1 + 1.5 * F.regexp_count(sentence, F.lit(IDENTIFIER)) + 2.0 * F.regexp_count(sentence, F.lit(SIGNAL)))

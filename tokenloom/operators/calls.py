@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.folds import next_fit
 from ..functions.text import COUNTERS, Counter, call_cost, lines, normalise_ws, per_thousand, render_page, token_count
+from .pages import render_pages
 
 # Model profiles (prices in USD per million tokens, null where there is none).
 PROFILES = [
@@ -80,15 +81,131 @@ def plan_routed(routed: DataFrame, packs: DataFrame, tasks: list[str], models: D
 
 
 def covered_fields(calls: DataFrame, evidence: DataFrame, keys: tuple[str, ...] = ("call_id",)) -> DataFrame:
-    """(call, field_key, covered): whether all of a field's phrases stand in the call, white space apart."""
+    """(call, field_key): the fields all of whose phrases stand in the call, white space apart.
+
+    A text that holds a phrase holds its inner words as words of its own, so calls and phrases meet on a phrase's
+    longest inner word and few pairs are compared; only phrases of fewer than three words meet every call of their pack."""
     text = calls.select("pack_id", *keys, normalise_ws(F.col("text")).alias("t"))
-    phrases = evidence.select("pack_id", "field_key", normalise_ws(F.col("phrase")).alias("p"))
-    return text.join(phrases, "pack_id").groupBy("pack_id", *keys, "field_key").agg(F.bool_and(F.contains("t", "p")).alias("covered"))
+    inner = F.split(F.col("p"), " ")
+    inner = F.when(F.size(inner) >= 3, F.slice(inner, F.lit(2), F.size(inner) - 2)).otherwise(F.array(F.lit("")))
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.char_length(w).alias("n"), w.alias("w"))))["w"]
+    phrases = evidence.select("pack_id", "field_key", normalise_ws(F.col("phrase")).alias("p")).distinct().withColumn("anchor", longest)
+    needed = phrases.groupBy("pack_id", "field_key").agg(F.count("*").alias("needed"))
+    anchors = phrases.select("pack_id", "anchor").distinct()
+    words = text.select("pack_id", *keys, F.explode(F.array_union(F.array(F.lit("")), F.split("t", " "))).alias("anchor"))
+    # Texts are read again for the pairs that meet, not carried with every word.
+    met = words.join(anchors, ["pack_id", "anchor"], "left_semi").join(phrases, ["pack_id", "anchor"]).select("pack_id", *keys, "field_key", "p")
+    held = met.join(text, ["pack_id", *keys]).where(F.contains("t", "p")).groupBy("pack_id", *keys, "field_key").agg(F.count_distinct("p").alias("held"))
+    return held.join(needed, ["pack_id", "field_key"]).where(F.col("held") == F.col("needed")).select("pack_id", *keys, "field_key")
+
+
+def field_task(evidence: DataFrame, groups: dict[str, dict[str, list[str] | None]]) -> DataFrame:
+    """Adds ``task``: the first whose groups own the field, else ``?``.
+
+    A key is ``group.sub``; ``groups`` names for each task its groups, each with the subs it owns, or None for all."""
+    group, sub = F.substring_index("field_key", ".", 1), F.regexp_extract("field_key", r"^[^.]*\.?(?s)(.*)$", 1)
+    owned = [
+        F.when((group == g.removesuffix("[]")) & (F.lit(True) if only is None else sub.isin(only)), F.lit(task)) for task, owns in groups.items() for g, only in owns.items()
+    ]
+    return evidence.withColumn("task", F.coalesce(*owned, F.lit("?")))
+
+
+def leaf_tokens(key: Column, value: Column, wrapped: bool) -> Column:
+    """Tokens of a field in a reference answer, its comma included; counts add up over punctuation."""
+    quoted = F.concat(F.lit('"'), value, F.lit('"'))
+    if wrapped:
+        quoted = F.concat(F.lit('{"value":'), quoted, F.lit(',"source_quote":'), quoted, F.lit(',"confidence":0.95}'))
+    return token_count(F.concat(F.lit('"'), key, F.lit('":'), quoted, F.lit(",")))
+
+
+def answer_tokens(fields: DataFrame, by: list[str], wrapped: bool) -> DataFrame:
+    """(by, tokens_out): the size of each reference answer over its ``fields(*by, field_key, value)``; no field, no row."""
+    return fields.groupBy(*by).agg((F.sum(leaf_tokens(F.col("field_key"), F.col("value"), wrapped)) + 1).alias("tokens_out"))
+
+
+#: The size of an answer without any field.
+EMPTY_ANSWER = 2
+CALL = ("pack_id", "model_key", "call_no", "task", "tokens_in", "tokens_out", "max_out", "fits", "covers")
+
+
+def _answered(calls: DataFrame, covered: DataFrame, values: DataFrame, wrapped: bool) -> DataFrame:
+    """Adds covers (sorted keys) and tokens_out to calls, from ``covered(pack_id, model_key, call_no, field_key)``."""
+    at = ["pack_id", "model_key", "call_no"]
+    sized = answer_tokens(covered.join(values, ["pack_id", "field_key"]), at, wrapped)
+    listed = covered.groupBy(*at).agg(F.array_sort(F.collect_set("field_key")).alias("covers"))
+    found = calls.join(listed, at, "left").join(sized, at, "left")
+    return found.withColumn("covers", F.coalesce("covers", F.array().cast("array<string>"))).withColumn("tokens_out", F.coalesce("tokens_out", F.lit(EMPTY_ANSWER)).cast("long"))
+
+
+def full_calls(pages: DataFrame, models: DataFrame, evidence: DataFrame, prompt_tokens: int) -> DataFrame:
+    """The calls of the full pipeline, with text: one for a pack that fits the window, else chunks and a merge.
+
+    Columns: pack_id, model_key, call_no, task, tokens_in, tokens_out, max_out, fits, covers, text. Chunks are
+    next-fit over pages cut to the room; a chunk's answer holds the fields it covers, the merge call reads all answers
+    and covers what some chunk covers whole. A pack for which the prompt leaves no room has one call that does not fit.
+    The reply's size is that of the wrapped reference answer. A pack's text becomes rows, so packs are to be of bounded size."""
+    values = evidence.groupBy("pack_id", "field_key").agg(F.min("phrase").alias("value"))
+    sized = models.withColumn("room", F.col("context_window") - F.col("max_out") - prompt_tokens - FRAME)
+    whole = pages.groupBy("pack_id").agg(F.sum(token_count(F.col("text"))).alias("t"))
+    planned = whole.crossJoin(F.broadcast(sized.select("model_key", "room", "max_out"))).withColumn("one", F.col("t") <= F.col("room"))
+    single = planned.where("one").select("pack_id", "model_key", F.lit(1).cast("long").alias("call_no"), F.lit("all").alias("task"), F.col("t").alias("tokens"), "max_out", F.lit(True).alias("fits"))
+    stuck = planned.where(~F.col("one") & (F.col("room") < LEAST_ROOM)).select(
+        "pack_id", "model_key", F.lit(1).cast("long").alias("call_no"), F.lit("no_room").alias("task"), F.col("t").alias("tokens"), "max_out", F.lit(False).alias("fits")
+    )
+    cut = planned.where(~F.col("one") & (F.col("room") >= LEAST_ROOM)).select("pack_id", "model_key", "room", "max_out")
+    pieces = split_oversize_pages(pages.join(cut, "pack_id"), F.col("room"), ("model_key", "room"))
+    order = F.array_sort(F.collect_list(F.struct("page_no", "piece_no", "tokens", "text")))
+    binned = pieces.groupBy("pack_id", "model_key", "room").agg(order.alias("p")).withColumn("bins", next_fit(F.transform("p", lambda x: x["tokens"]), F.col("room")))
+    rows = binned.select("pack_id", "model_key", "p", F.posexplode("bins").alias("at", "b"))
+    text = F.array_join(F.transform(F.slice("p", F.col("b.first") + 1, F.col("b.n")), lambda x: x["text"]), "\n\n")
+    chunks = rows.select("pack_id", "model_key", (F.col("at") + 1).cast("long").alias("call_no"), F.col("b.tokens").alias("tokens"), text.alias("text")).join(F.broadcast(models.select("model_key", "max_out", "context_window")), "model_key")
+    # One over-long line stays whole, so a chunk may not fit.
+    fits = F.col("tokens") + prompt_tokens + FRAME + F.col("max_out") <= F.col("context_window")
+    chunks = chunks.select("pack_id", "model_key", "call_no", F.concat(F.lit("chunk "), F.col("call_no").cast("string")).alias("task"), "tokens", "max_out", fits.alias("fits"), "text")
+    texts = pages.groupBy("pack_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_no", "text"))), lambda x: x["text"]), "\n\n").alias("text"))
+    # The same pack's text goes to every model it fits, so its coverage is found once.
+    at = ("model_key", "call_no")
+    ones = covered_fields(texts.withColumn("call_no", F.lit(1).cast("long")), evidence, ("call_no",)).join(single.select("pack_id", "model_key"), "pack_id").select("pack_id", *at, "field_key")
+    parts = covered_fields(chunks, evidence, at)
+    last = chunks.groupBy("pack_id", "model_key").agg((F.max("call_no") + 1).alias("call_no"))
+    merged = parts.select("pack_id", "model_key", "field_key").distinct().join(last, ["pack_id", "model_key"]).select("pack_id", *at, "field_key")
+    told = _answered(chunks, parts, values, True)
+    merges = told.groupBy("pack_id", "model_key").agg(F.sum("tokens_out").alias("tokens")).join(last, ["pack_id", "model_key"]).join(F.broadcast(models.select("model_key", "max_out", "context_window")), "model_key")
+    merges = merges.select("pack_id", "model_key", "call_no", F.lit("merge").alias("task"), "tokens", "max_out", fits.alias("fits"), F.lit(None).cast("string").alias("text"))
+    direct = _answered(single.unionByName(stuck).join(texts, "pack_id", "left"), ones, values, True)
+    calls = direct.unionByName(told).unionByName(_answered(merges, merged, values, True))
+    return calls.withColumn("tokens_in", F.col("tokens") + prompt_tokens + FRAME).select(*CALL, "text")
+
+
+def routed_calls(routed: DataFrame, packs: DataFrame, evidence: DataFrame, groups: dict[str, dict[str, list[str] | None]], models: DataFrame, prompt_tokens: int) -> DataFrame:
+    """The calls of the routed pipeline: for every pack, model and task its pages, and the task's own fields that they cover.
+
+    The reply's size is that of the plain reference answer with all fields of the task."""
+    owned = field_task(evidence, groups)
+    planned = plan_routed(routed, packs, sorted(groups), models, prompt_tokens)
+    numbers = {t: i + 1 for i, t in enumerate(sorted(groups))}
+    number = F.create_map(*[F.lit(x) for kv in numbers.items() for x in kv])
+    texts = render_pages(routed, ("pack_id", "task")).withColumnRenamed("rendered", "text")
+    covered = covered_fields(texts, evidence, ("task",)).join(owned.select("pack_id", "field_key", "task").distinct(), ["pack_id", "field_key", "task"])
+    listed = covered.groupBy("pack_id", "task").agg(F.array_sort(F.collect_set("field_key")).alias("covers"))
+    values = owned.groupBy("pack_id", "task", "field_key").agg(F.min("phrase").alias("value"))
+    sized = answer_tokens(values, ["pack_id", "task"], False)
+    rows = planned.join(listed, ["pack_id", "task"], "left").join(sized, ["pack_id", "task"], "left").join(texts, ["pack_id", "task"], "left")
+    return rows.withColumn("covers", F.coalesce("covers", F.array().cast("array<string>"))).withColumn("tokens_out", F.coalesce("tokens_out", F.lit(EMPTY_ANSWER)).cast("long")).withColumn(
+        "call_no", number[F.col("task")].cast("long")
+    ).select(*CALL, "text")
 
 
 def final_coverage(covered: DataFrame, by: tuple[str, ...]) -> DataFrame:
     """Distinct covered fields over the calls of each key."""
-    return covered.where("covered").select(*by, "field_key").distinct()
+    return covered.select(*by, "field_key").distinct()
+
+
+def produced_fields(full: DataFrame, routed: DataFrame) -> DataFrame:
+    """(pack_id, model_key, pipeline, field_key): what each pipeline's result can hold: the covers of the last full call, of any routed one."""
+    last = full.groupBy("pack_id", "model_key").agg(F.max_by("covers", "call_no").alias("covers"))
+    rows = last.withColumn("pipeline", F.lit("full")).unionByName(routed.select("pack_id", "model_key", "covers").withColumn("pipeline", F.lit("routed")))
+    return rows.select("pack_id", "model_key", "pipeline", F.explode("covers").alias("field_key")).distinct()
 
 
 def missed_fields(evidence: DataFrame, final: DataFrame) -> DataFrame:
@@ -101,16 +218,26 @@ def model_cost(calls: DataFrame, models: DataFrame) -> DataFrame:
 
 
 def pipeline_report(calls: DataFrame, fields: DataFrame, models: DataFrame) -> DataFrame:
-    """Per model and pipeline: calls, tokens, cost, covered fields, fields per 1,000 tokens, saving against ``full``.
-
-    ``calls(model_key, pipeline, n_calls, tokens_in, tokens_out)``; ``fields(model_key, pipeline, fields)``."""
-    sums = calls.groupBy("model_key", "pipeline").agg(F.sum("n_calls").alias("calls"), F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"))
-    rows = model_cost(sums, models).join(fields, ["model_key", "pipeline"], "left").withColumn("fields", F.coalesce("fields", F.lit(0)).cast("long"))
-    rows = rows.withColumn("tokens", F.col("tokens_in") + F.col("tokens_out"))
-    full = rows.where("pipeline = 'full'").select("model_key", F.col("tokens").alias("full_tokens"))
-    return rows.join(full, "model_key", "left").select(
-        "model_key", "pipeline", "calls", "tokens_in", "tokens_out", "tokens", F.round("cost", 6).alias("cost"), "fields", per_thousand(F.col("fields"), F.col("tokens")).alias("fields_per_1k"),
-        F.round(1 - F.col("tokens") / F.col("full_tokens"), 6).alias("saving"),
+    """Per model and pipeline: packs, failed packs, calls, tokens, cost, covered fields, fields per 1,000 tokens, saving against ``full``.
+
+    ``calls(pack_id, model_key, pipeline, tokens_in, tokens_out, fits)`` has a row per call, ``fields(pack_id, model_key,
+    pipeline, field_key)`` what results hold. A pack with a call that does not fit cannot be done: it counts as failed and in nothing else.
+    The saving is over the packs that both pipelines can do."""
+    at = ["pack_id", "model_key", "pipeline"]
+    packs = calls.groupBy(*at).agg(F.bool_and("fits").alias("fits"), F.count("*").alias("calls"), F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"))
+    held = fields.groupBy(*at).agg(F.count("*").alias("fields"))
+    packs = packs.join(held, at, "left").fillna(0, ["fields"])
+    done = F.col("fits")
+    sums = packs.groupBy("model_key", "pipeline").agg(
+        F.count("*").alias("packs"), F.count_if(~done).alias("failed"), *[F.coalesce(F.sum(F.when(done, F.col(c))), F.lit(0)).cast("long").alias(c) for c in ("calls", "tokens_in", "tokens_out", "fields")]
+    )
+    tokens = packs.where(done).select("pack_id", "model_key", "pipeline", (F.col("tokens_in") + F.col("tokens_out")).alias("own"))
+    both = tokens.join(tokens.where("pipeline = 'full'").select("pack_id", "model_key", F.col("own").alias("base")), ["pack_id", "model_key"])
+    saved = both.groupBy("model_key", "pipeline").agg(F.round(1 - F.sum("own") / F.sum("base"), 6).alias("saving"))
+    rows = model_cost(sums, models).join(saved, ["model_key", "pipeline"], "left").withColumn("tokens", F.col("tokens_in") + F.col("tokens_out"))
+    return rows.select(
+        "model_key", "pipeline", "packs", "failed", "calls", "tokens_in", "tokens_out", "tokens", F.round("cost", 6).alias("cost"), "fields",
+        per_thousand(F.col("fields"), F.col("tokens")).alias("fields_per_1k"), "saving",
     )
 
 

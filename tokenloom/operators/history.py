@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.folds import greedy_skip
 from ..functions.text import render_message, salience, summary_sentences, terms, token_count
 
+# The tags around notes; the wording of a cleared result is in ``stub``.
 MEMORY_TAGS = "<memory>\n</memory>"
 
 
@@ -16,22 +17,23 @@ def note_line() -> Column:
     return F.concat(F.lit("- (turn "), F.col("turn").cast("string"), F.lit(") "), F.col("text"))
 
 
-def select_notes(requests: DataFrame, notes: DataFrame, budget: int = 500) -> DataFrame:
+def select_notes(requests: DataFrame, notes: DataFrame, budget: int | Column = 500) -> DataFrame:
     """(conv_id, request_id, n_notes, memory): notes by shared terms, then turn, while they fit.
 
     ``requests(conv_id, request_id, as_of, inclusive, query)``, ``notes(conv_id, note_seq, turn, text)``.
-    A request sees notes of turns before ``as_of``, or up to it when inclusive; a null ``as_of`` sees all."""
+    A request sees notes of turns before ``as_of``, or up to it when inclusive; a null ``as_of`` sees all. The
+    budget is one for all, or a column of ``requests``."""
     lined = notes.select("conv_id", "note_seq", "turn", note_line().alias("line"), F.array_distinct(terms(F.col("text"))).alias("nt"))
     lined = lined.withColumn("cost", token_count(F.col("line")) + 1)
-    asked = requests.select("conv_id", "request_id", "as_of", "inclusive", F.array_distinct(terms(F.col("query"))).alias("qt"))
+    asked = requests.select("conv_id", "request_id", "as_of", "inclusive", F.array_distinct(terms(F.col("query"))).alias("qt"), (F.lit(budget) if isinstance(budget, int) else budget).cast("long").alias("allowed"))
     seen = F.col("as_of").isNull() | (F.col("turn") < F.col("as_of")) | (F.col("inclusive") & (F.col("turn") == F.col("as_of")))
     start = token_count(F.lit(MEMORY_TAGS))
     ranked = (
-        asked.join(lined, "conv_id").where(seen).where(F.col("cost") + start <= budget)
-        .groupBy("conv_id", "request_id")
+        asked.join(lined, "conv_id").where(seen).where(F.col("cost") + start <= F.col("allowed"))
+        .groupBy("conv_id", "request_id", "allowed")
         .agg(F.array_sort(F.collect_list(F.struct((-F.size(F.array_intersect("qt", "nt"))).alias("shared"), (-F.col("turn")).alias("back"), "note_seq", "turn", "line", "cost"))).alias("ranked"))
     )
-    kept = ranked.withColumn("kept", greedy_skip(F.col("ranked"), lambda x: x["cost"], F.lit(budget), start))
+    kept = ranked.withColumn("kept", greedy_skip(F.col("ranked"), lambda x: x["cost"], F.col("allowed"), start))
     shown = F.transform(F.array_sort(F.transform("kept", lambda x: F.struct(x["turn"].alias("turn"), x["line"].alias("line")))), lambda x: x["line"])
     body = F.concat(F.lit("<memory>\n"), F.array_join(shown, "\n"), F.lit("\n</memory>"))
     chosen = kept.select("conv_id", "request_id", F.size("kept").cast("long").alias("n_notes"), F.when(F.size("kept") > 0, body).otherwise("").alias("memory"))
@@ -41,6 +43,7 @@ def select_notes(requests: DataFrame, notes: DataFrame, budget: int = 500) -> Da
 
 
 def stub(content: Column, tool_call: Column) -> Column:
+    # Fixed value: what stands in place of a cleared result.
     return F.concat(
         F.lit("[cleared "), token_count(content).cast("string"), F.lit("-token result of "), F.coalesce(tool_call, F.lit("None")),
         F.lit("; key findings are in the assistant reply that followed. Re-run the tool if raw output is needed.]"),

@@ -54,17 +54,24 @@ def bm25_search(queries: DataFrame, chunks: DataFrame, k1: float = 1.4, b: float
     return scored.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "doc_id", "chunk_no")).cast("long"))
 
 
-def pack_chunks(ranked: DataFrame, chunks: DataFrame, budget: int, min_relative: float = 0.6, max_chunks: int = 4, min_score: float = 2.0) -> DataFrame:
+def pack_chunks(ranked: DataFrame, chunks: DataFrame, budget: int | DataFrame, min_relative: float = 0.6, max_chunks: int = 4, min_score: float = 2.0) -> DataFrame:
     """(query_id, doc_id, chunk_no, score, tokens, pick): greedy by rank, skipping chunks that do not fit.
 
-    Nothing when the best score is under ``min_score``; chunks under ``min_relative`` of it are out."""
+    Nothing when the best score is under ``min_score``; chunks under ``min_relative`` of it are out. The budget is one for
+    all, or a frame (query_id, allowed) whose further columns tell several budgets of a query apart and are kept."""
     top = F.max("score").over(W.partitionBy("query_id"))
     near = ranked.withColumn("top", top).where((F.col("top") >= min_score) & (F.col("score") >= F.round(F.col("top") * min_relative, 6)))
+    keys = ["query_id"]
+    if isinstance(budget, int):
+        near = near.withColumn("allowed", F.lit(budget))
+    else:
+        keys = [c for c in budget.columns if c != "allowed"]
+        near = near.join(budget, "query_id")
     # A chunk over the budget is never taken, so it is dropped before lists are made.
-    sized = near.join(chunks.select("doc_id", "chunk_no", "tokens"), ["doc_id", "chunk_no"]).where(F.col("tokens") + WRAPPER <= budget)
-    lists = sized.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "doc_id", "chunk_no", "score", "tokens"))).alias("ranked"))
-    picked = lists.select("query_id", F.posexplode(greedy_skip(F.col("ranked"), lambda x: x["tokens"] + WRAPPER, F.lit(budget), F.lit(0), max_chunks)).alias("pick", "c"))
-    return picked.select("query_id", "c.doc_id", "c.chunk_no", "c.score", "c.tokens", (F.col("pick") + 1).cast("long").alias("pick"))
+    sized = near.join(chunks.select("doc_id", "chunk_no", "tokens"), ["doc_id", "chunk_no"]).where(F.col("tokens") + WRAPPER <= F.col("allowed"))
+    lists = sized.groupBy(*keys, "allowed").agg(F.array_sort(F.collect_list(F.struct("rank", "doc_id", "chunk_no", "score", "tokens"))).alias("ranked"))
+    picked = lists.select(*keys, F.posexplode(greedy_skip(F.col("ranked"), lambda x: x["tokens"] + WRAPPER, F.col("allowed"), F.lit(0), max_chunks)).alias("pick", "c"))
+    return picked.select(*keys, "c.doc_id", "c.chunk_no", "c.score", "c.tokens", (F.col("pick") + 1).cast("long").alias("pick"))
 
 
 def prefill_documents(chunks: DataFrame, budget: int) -> DataFrame:

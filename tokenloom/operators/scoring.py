@@ -2,21 +2,49 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import json_body, normalise_loose, per_thousand, plain_value, values_match
 
 
-def reference_answers(rows: DataFrame, keys: list[str], fields: list[str], wrapped: bool = False, only: set[str] | None = None) -> DataFrame:
-    """Adds ``answer``: minified JSON of the fields, or every leaf as {value, source_quote, confidence}."""
-    def leaf(name: str) -> Column:
-        value = F.col(name)
-        if wrapped:
-            value = F.struct(value.alias("value"), value.cast("string").alias("source_quote"), F.lit(0.95).alias("confidence"))
-        return value.alias(name)
+# Fixed value: the fields of a wrapped leaf.
+LEAF = ("value", "source_quote", "confidence")
+
+
+def _mapped(value: Column, kind: T.DataType, leaf) -> Column:
+    """A value of that type with ``leaf(column, type)`` in place of its leaves, whatever structs and arrays they are in."""
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: _mapped(x, kind.elementType, leaf))
+    if isinstance(kind, T.StructType):
+        return F.when(value.isNotNull(), F.struct(*[_mapped(value[f.name], f.dataType, leaf).alias(f.name) for f in kind.fields]))
+    return leaf(value, kind)
+
+
+def wrap_leaves(value: Column, kind: T.DataType) -> Column:
+    """Every leaf as {value, source_quote, confidence}."""
+    return _mapped(value, kind, lambda x, _: F.struct(x.alias("value"), x.cast("string").alias("source_quote"), F.lit(0.95).alias("confidence")))
+
+
+def unwrap(value: Column, kind: T.DataType) -> Column:
+    """The plain value: a struct of no other fields than {value, source_quote, confidence} is its value, at every depth."""
+    if isinstance(kind, T.StructType):
+        if "value" in kind.names and set(kind.names) <= set(LEAF):
+            return unwrap(value["value"], kind["value"].dataType)
+        return F.when(value.isNotNull(), F.struct(*[unwrap(value[f.name], f.dataType).alias(f.name) for f in kind.fields]))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: unwrap(x, kind.elementType))
+    return value
 
-    return rows.select(*keys, F.to_json(F.struct(*[leaf(f) for f in fields if only is None or f in only])).alias("answer"))
+
+def reference_answers(rows: DataFrame, keys: list[str], fields: list[str], wrapped: bool = False, only: set[str] | None = None) -> DataFrame:
+    """Adds ``answer``: minified JSON of the fields, or every leaf as {value, source_quote, confidence}; fields may be nested."""
+    kinds = {f.name: f.dataType for f in rows.schema.fields}
+    chosen = [(wrap_leaves(F.col(f), kinds[f]) if wrapped else F.col(f)).alias(f) for f in fields if only is None or f in only]
+    return rows.select(*keys, F.to_json(F.struct(*chosen)).alias("answer"))
 
 
 def first_valid_reply(replies: DataFrame, schema: str, retries: int = 1) -> DataFrame:
@@ -30,22 +58,23 @@ def first_valid_reply(replies: DataFrame, schema: str, retries: int = 1) -> Data
     return summed.withColumn("reply", F.from_json("body", schema))
 
 
-def unwrap_leaves(reply: Column, fields: list[str]) -> Column:
-    """Plain values of a struct whose leaves are {value, source_quote, confidence}."""
-    return F.struct(*[reply[f]["value"].alias(f) for f in fields])
-
-
 def merge_task_results(parts: DataFrame) -> DataFrame:
     """(pack_id, grp, field, value): the latest task's value of each field (ties: the largest); ``parts`` also has task_no."""
     return parts.groupBy("pack_id", "grp", "field").agg(F.max_by("value", F.struct("task_no", "value")).alias("value"))
 
 
-def usage_report(usage: DataFrame, by: tuple[str, ...] = ("pipeline",)) -> DataFrame:
-    """Tokens, reasoning tokens, retries, and right fields per 1,000 tokens. ``usage`` has a row per attempt."""
+def usage_report(usage: DataFrame, by: tuple[str, ...] = ("pipeline",), missed: DataFrame | None = None) -> DataFrame:
+    """Tokens, reasoning tokens, retries, right fields per 1,000 tokens, and the missed keys of each run.
+
+    ``usage`` has a row per attempt; ``missed(*by, field_key)`` the keys that a run got wrong or not at all."""
     sums = usage.groupBy(*by).agg(
         F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"), F.sum("reasoning_tokens").alias("reasoning_tokens"), F.count_if(F.col("attempt") > 1).alias("retries"), F.sum("correct").alias("correct")
     )
-    return sums.withColumn("correct_per_1k", per_thousand(F.col("correct"), F.col("tokens_in") + F.col("tokens_out")))
+    sums = sums.withColumn("correct_per_1k", per_thousand(F.col("correct"), F.col("tokens_in") + F.col("tokens_out")))
+    if missed is None:
+        return sums
+    keys = missed.groupBy(*by).agg(F.array_join(F.array_sort(F.collect_set("field_key")), ",").alias("missed"))
+    return sums.join(keys, list(by), "left").fillna("", ["missed"])
 
 
 def score_scalars(truth: DataFrame, got: DataFrame, keys: list[str], kinds: dict[str, str]) -> DataFrame:
@@ -93,6 +122,22 @@ def score_codes(truth: DataFrame, got: DataFrame, key: str, items: str, code: st
     return joined.select(key, F.col(f"x.{code}").alias("field_key"), F.coalesce(F.exists("g", fits), F.lit(False)).alias("correct"))
 
 
+def score_fields(
+    truth: DataFrame, got: DataFrame, superseded: DataFrame, scalars: dict[str, str], codes: dict[str, tuple[str, str | None, dict[str, list[str]] | None]], key: str = "pack_id"
+) -> DataFrame:
+    """(pack, field_key, correct) over all groups: scalars by kind, coded items, invoices and that none is superseded.
+
+    ``codes`` names arrays of structs: (code field, primary field or None, accepted synonyms or None). An array's keys
+    are ``items.code``, as in ``diagnoses.J18``; ``truth`` and ``got`` have a row per pack."""
+    parts = [score_scalars(truth, got, [key], scalars)] if scalars else []
+    for items, (code, primary, synonyms) in codes.items():
+        scored = score_codes(truth, got, key, items, code, primary, synonyms)
+        parts.append(scored.withColumn("field_key", F.concat(F.lit(f"{items}."), F.col("field_key").cast("string"))))
+    invoices = score_invoices(truth, got, superseded, key)
+    parts.append(invoices.withColumn("field_key", F.concat(F.lit("invoices."), "field_key")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def supersessions(pages: DataFrame) -> DataFrame:
     """(pack_id, invoice_number, replaced_by) from sentences of the form "Invoice A replaces B"."""
     found = F.regexp_extract_all("text", F.lit(r"Invoice \S+ replaces \S+"), F.lit(0))
@@ -111,10 +156,13 @@ def current_invoice_totals(invoices: DataFrame, superseded: DataFrame, approved:
 def fact_checks(contexts: DataFrame, questions: DataFrame, keys: tuple[str, ...] = ("qid",)) -> DataFrame:
     """Facts of each question that stand in its context, and whether it can be answered there.
 
-    ``contexts`` has keys, text and within; ``questions`` has keys and must_contain."""
-    found = F.size(F.filter("must_contain", lambda f: F.contains(F.col("text"), f))).cast("long")
+    ``contexts`` has keys, text and within; ``questions`` has keys and must_contain. A context over its budget cannot be
+    sent, so its text may be null: then no facts are told and nothing is answerable."""
+    found = F.when(F.col("text").isNotNull(), F.size(F.filter("must_contain", lambda f: F.contains(F.col("text"), f)))).cast("long")
     rows = contexts.join(questions, list(keys)).withColumn("found", found).withColumn("needed", F.size("must_contain").cast("long"))
-    return rows.withColumn("facts_present", F.round(F.when(F.col("needed") > 0, F.col("found") / F.col("needed")).otherwise(1.0), 6)).withColumn("answerable", (F.col("found") == F.col("needed")) & F.col("within")).drop("text", "must_contain")
+    present = F.when(F.col("text").isNull(), None).when(F.col("needed") > 0, F.col("found") / F.col("needed")).otherwise(1.0)
+    answerable = F.coalesce(F.col("found") == F.col("needed"), F.lit(False)) & F.col("within")
+    return rows.withColumn("facts_present", F.round(present, 6)).withColumn("answerable", answerable).drop("text", "must_contain")
 
 
 def answer_check(answers: DataFrame, questions: DataFrame, key: str = "qid") -> DataFrame:
@@ -123,18 +171,22 @@ def answer_check(answers: DataFrame, questions: DataFrame, key: str = "qid") ->
     return answers.join(questions, key).select(key, F.coalesce(right, F.lit(False)).alias("right"))
 
 
-def strategy_summary(contexts: DataFrame, checks: DataFrame, budget: int) -> DataFrame:
-    """Per strategy: requests, tokens, peak, over budget, and how many questions can be answered."""
+def strategy_summary(contexts: DataFrame, checks: DataFrame, budget: int, new_session: DataFrame | None = None) -> DataFrame:
+    """Per strategy: requests, tokens, peak, over budget, how many questions can be answered, and how many of a new session's as ``n/m``."""
     sums = contexts.groupBy("strategy").agg(
         F.count("*").alias("requests"), F.sum("tokens").alias("total"), F.bround(F.avg("tokens")).cast("long").alias("mean"), F.max("tokens").alias("peak"), F.count_if(F.col("tokens") > budget).alias("over"),
     )
     last = contexts.groupBy("conv_id", "strategy").agg(F.max("compactions").alias("c")).groupBy("strategy").agg(F.sum("c").alias("compactions"))
     asked = checks.groupBy("strategy").agg(F.count("*").alias("questions"), F.count_if("answerable").alias("answerable"))
     rows = sums.join(last, "strategy").join(asked, "strategy", "left").fillna(0, ["questions", "answerable"])
-    return rows.withColumn("answerable_pct", F.when(F.col("questions") > 0, F.bround(100 * F.col("answerable") / F.col("questions"), 1)).otherwise(F.lit(0.0)))
+    rows = rows.withColumn("answerable_pct", F.when(F.col("questions") > 0, F.bround(100 * F.col("answerable") / F.col("questions"), 1)).otherwise(F.lit(0.0)))
+    if new_session is None:
+        return rows
+    fresh = new_session.groupBy("strategy").agg(F.concat_ws("/", F.count_if("answerable").cast("string"), F.count("*").cast("string")).alias("new_session"))
+    return rows.join(fresh, "strategy", "left").fillna("0/0", ["new_session"])
 
 
-def question_matrix(checks: DataFrame, strategies: list[str]) -> DataFrame:
-    """Question by strategy: ``over``, ``yes`` or ``-``. ``checks(qid, strategy, within, answerable)``."""
+def question_matrix(checks: DataFrame, strategies: list[str], keys: tuple[str, ...] = ("qid",)) -> DataFrame:
+    """Question by strategy: ``over``, ``yes`` or ``-``. ``checks(*keys, strategy, within, answerable)``; keys may add a question's kind."""
     cell = F.when(~F.col("within"), "over").when(F.col("answerable"), "yes").otherwise("-")
-    return checks.groupBy("qid").pivot("strategy", strategies).agg(F.first(cell))
+    return checks.groupBy(*keys).pivot("strategy", strategies).agg(F.first(cell))

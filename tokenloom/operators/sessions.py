@@ -7,11 +7,11 @@ between micro-batches; both use the same code. Sections' token counts add up ove
 
 from __future__ import annotations
 
-
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -209,78 +209,124 @@ def allocate_slots(requests: DataFrame, plan: Plan, system_tokens: int) -> DataF
     )
 
 
-def _prefilled(chunks: DataFrame, budget: int) -> tuple[int, int]:
-    """Chunks and tokens of the prefilled documents slot; one small row."""
+def kb_prefix(chunks: DataFrame, budget: int) -> DataFrame:
+    """One row: ``prefix``, the chunks of the prefilled documents slot in order, as structs (running, total, text).
+
+    ``running`` is the cost that the slot is filled by, ``total`` the tokens as rendered so far. At most budget / WRAPPER structs."""
     from .retrieval import prefill_documents
 
-    row = prefill_documents(chunks, budget).agg(F.count("*"), F.coalesce(F.sum(token_count(render_chunk(F.col("chunk_id"), F.col("title"), F.col("text")))), F.lit(0))).first()
-    return int(row[0]), int(row[1])
+    rendered = render_chunk(F.col("chunk_id"), F.col("title"), F.col("text"))
+    head = prefill_documents(chunks, budget).select("running", token_count(rendered).alias("t"), rendered.alias("text"))
+    listed = head.agg(F.array_sort(F.collect_list(F.struct("running", "t", "text"))).alias("p"))
+    upto = F.transform("p", lambda x, i: F.aggregate(F.slice("p", F.lit(1), i + 1), F.lit(0).cast("long"), lambda a, y: a + y["t"]))
+    return listed.select(F.zip_with("p", upto, lambda x, total: F.struct(x["running"].alias("running"), total.alias("total"), x["text"].alias("text"))).alias("prefix"))
 
 
-def assemble_unbounded(messages: DataFrame, requests: DataFrame, chunks: DataFrame, system_tokens: int) -> DataFrame:
-    """Everything: system, all chunks, the whole visible history and the query."""
-    kb = chunks.agg(F.coalesce(F.sum(token_count(render_chunk(F.col("chunk_id"), F.col("title"), F.col("text")))), F.lit(0)).alias("documents"))
-    seen = request_history(messages, requests)
-    tags = F.when(F.col("n_messages") > 0, F.lit(TAG_TOKENS["conversation"])).otherwise(0)
-    rows = requests.join(seen, ["conv_id", "request_id"]).crossJoin(F.broadcast(kb))
-    return _sections(rows, "unbounded", F.lit(system_tokens), F.lit(0), F.col("documents"), F.col("history_tokens") + tags, F.lit(0))
+def _filled(grant: Column) -> Column:
+    """Of ``prefix`` what fits the grant: (tokens, text)."""
+    kept = F.filter("prefix", lambda x: x["running"] <= grant)
+    return F.struct(F.coalesce(F.array_max(F.transform(kept, lambda x: x["total"])), F.lit(0)).cast("long").alias("tokens"), F.array_join(F.transform(kept, lambda x: x["text"]), "\n").alias("text"))
 
 
-def _sections(rows: DataFrame, strategy: str, system, memory, documents, history, compactions) -> DataFrame:
+def _sections(rows: DataFrame, strategy: str, system, memory, documents, history, compactions, *more) -> DataFrame:
     named = {"system": system, "memory": memory, "documents": documents, "history": history, "query": query_tokens()}
     slots = {f"slot_{k}": v.cast("long") for k, v in named.items()}
     total = sum((v for v in slots.values()), F.lit(0))
-    return rows.select("conv_id", "request_id", F.lit(strategy).alias("strategy"), *[v.alias(k) for k, v in slots.items()], total.cast("long").alias("tokens"), compactions.cast("long").alias("compactions"))
+    return rows.select("conv_id", "request_id", F.lit(strategy).alias("strategy"), *[v.alias(k) for k, v in slots.items()], total.cast("long").alias("tokens"), compactions.cast("long").alias("compactions"), *more)
+
+
+#: What a context shows, besides its slots' sizes: the run of messages, and the texts of notes and documents.
+SHOWN = ("first_seq", "n_messages", "summary", "memory", "documents")
+
+
+def _shown(first: Column, n: Column, documents: Column) -> list[Column]:
+    return [first.cast("long").alias("first_seq"), n.cast("long").alias("n_messages"), F.lit("").alias("summary"), F.lit("").alias("memory"), documents.alias("documents")]
+
 
+def assemble_unbounded(messages: DataFrame, requests: DataFrame, chunks: DataFrame, system_tokens: int, budget: int | None = None) -> DataFrame:
+    """Everything: system, all chunks, the whole visible history and the query.
 
-def assemble_truncated(messages: DataFrame, requests: DataFrame, chunks: DataFrame, plan: Plan, system_tokens: int) -> DataFrame:
+    With a ``budget`` also what is shown; the chunks' text only where all of them fit it, as else no such context can be sent."""
+    kb = chunks.agg(F.coalesce(F.sum(token_count(render_chunk(F.col("chunk_id"), F.col("title"), F.col("text")))), F.lit(0)).alias("all_documents"))
+    seen = request_history(messages, requests)
+    tags = F.when(F.col("n_messages") > 0, F.lit(TAG_TOKENS["conversation"])).otherwise(0)
+    rows = requests.join(seen, ["conv_id", "request_id"]).crossJoin(F.broadcast(kb))
+    more: list[Column] = []
+    if budget is not None:
+        rows = rows.crossJoin(F.broadcast(kb_prefix(chunks, budget)))
+        more = _shown(F.lit(0), F.col("n_messages"), F.when(F.col("all_documents") <= budget, _filled(F.lit(budget))["text"]))
+    return _sections(rows, "unbounded", F.lit(system_tokens), F.lit(0), F.col("all_documents"), F.col("history_tokens") + tags, F.lit(0), *more)
+
+
+def assemble_truncated(messages: DataFrame, requests: DataFrame, chunks: DataFrame, plan: Plan, system_tokens: int, shown: bool = False) -> DataFrame:
     """Documents prefilled to their share, then the newest messages that fit."""
-    _, documents = _prefilled(chunks, int(plan.budget * plan.kb_share))
+    share = int(plan.budget * plan.kb_share)
     seen = request_history(messages, requests)
-    room = F.lit(plan.budget - system_tokens - documents - WRAP) - query_tokens()
-    asked = requests.join(seen, ["conv_id", "request_id"]).withColumn("room", room)
+    asked = requests.join(seen, ["conv_id", "request_id"]).crossJoin(F.broadcast(kb_prefix(chunks, share).select(_filled(F.lit(share)).alias("kb"))))
+    asked = asked.withColumn("room", F.lit(plan.budget - system_tokens - WRAP) - F.col("kb.tokens") - query_tokens())
     # The cut is where the session's running sum passes the visible sum less the room.
     order = W.partitionBy("conv_id").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
-    sums = messages.select("conv_id", "seq", token_count(render_message(F.col("role"), F.col("content"), F.col("tool_call"))).alias("t")).select("conv_id", F.sum("t").over(order).alias("upto"))
+    sums = messages.select("conv_id", "seq", token_count(render_message(F.col("role"), F.col("content"), F.col("tool_call"))).alias("t"))
+    sums = sums.select("conv_id", F.sum("t").over(order).alias("upto"), F.count("*").over(order).alias("nth"))
     dropped = F.col("history_tokens") - F.col("room")
-    cut = asked.where(dropped > 0).join(sums, "conv_id").where(F.col("upto") >= dropped).groupBy("conv_id", "request_id").agg(F.min("upto").alias("gone"))
-    rows = asked.join(cut, ["conv_id", "request_id"], "left").withColumn("kept", F.greatest(F.lit(0), F.col("history_tokens") - F.coalesce("gone", F.lit(0))))
+    cut = asked.where(dropped > 0).join(sums, "conv_id").where(F.col("upto") >= dropped).groupBy("conv_id", "request_id").agg(F.min(F.struct("upto", "nth")).alias("gone"))
+    rows = asked.join(cut, ["conv_id", "request_id"], "left").withColumn("kept", F.greatest(F.lit(0), F.col("history_tokens") - F.coalesce("gone.upto", F.lit(0))))
     tags = F.when(F.col("kept") > 0, F.lit(TAG_TOKENS["conversation"])).otherwise(0)
-    return _sections(rows, "truncated", F.lit(system_tokens), F.lit(0), F.lit(documents), F.col("kept") + tags, F.lit(0))
+    first = F.least(F.coalesce("gone.nth", F.lit(0)), F.col("n_messages"))
+    more = _shown(first, F.col("n_messages") - first, F.col("kb.text")) if shown else []
+    return _sections(rows, "truncated", F.lit(system_tokens), F.lit(0), F.col("kb.tokens"), F.col("kept") + tags, F.lit(0), *more)
 
 
 ABLATIONS = {
     "engineered": {}, "no_retrieval": {"retrieval": False}, "no_clearing": {"clearing": False}, "no_compaction": {"compaction": False}, "no_memory": {"memory": False},
 }
+STRATEGIES = ("unbounded", "truncated", *ABLATIONS)
 
 
-def assemble_engineered(messages: DataFrame, requests: DataFrame, notes: DataFrame, chunks: DataFrame, plan: Plan, system_tokens: int, ablations: dict[str, dict[str, bool]] = ABLATIONS) -> DataFrame:
-    """Notes, retrieved documents, cleared and compacted history: one row per request and strategy."""
+def assemble_engineered(
+    messages: DataFrame, requests: DataFrame, notes: DataFrame, chunks: DataFrame, plan: Plan, system_tokens: int, ablations: dict[str, dict[str, bool]] = ABLATIONS, shown: bool = False
+) -> DataFrame:
+    """Notes, retrieved documents, cleared and compacted history: one row per request and strategy.
+
+    System and query are charged first; notes, then documents are granted their ceiling or what is left, if that is
+    less; history gets the rest. ``overflow`` marks a request whose fixed parts alone exceed the budget."""
     from .retrieval import bm25_search, pack_chunks
 
-    memory = select_notes(requests, notes, plan.memory).select("conv_id", "request_id", token_count(F.col("memory")).alias("memory_tokens"))
-    asked = requests.withColumn("query_id", F.concat_ws(":", "conv_id", "request_id"))
-    picked = pack_chunks(bm25_search(asked.select("query_id", F.col("query").alias("text")), chunks), chunks, plan.documents)
-    rendered = picked.join(chunks.select("doc_id", "chunk_no", token_count(render_chunk(F.col("chunk_id"), F.col("title"), F.col("text"))).alias("t")), ["doc_id", "chunk_no"])
-    documents = rendered.groupBy("query_id").agg(F.sum("t").alias("document_tokens"))
-    base = asked.join(memory, ["conv_id", "request_id"]).join(documents, "query_id", "left")
-    _, prefilled = _prefilled(chunks, int(plan.budget * plan.kb_share)) if any(not a.get("retrieval", True) for a in ablations.values()) else (0, 0)
+    # Searched, sized and rendered: made once.
+    chunks = chunks.persist(StorageLevel.DISK_ONLY)
+    at = ["conv_id", "request_id"]
     names = {k: {"retrieval": True, "clearing": True, "compaction": True, "memory": True} | v for k, v in ablations.items()}
-    zero = F.lit(0)
-    slots = F.explode(F.array(*[
-        F.struct(
-            F.lit(k).alias("strategy"), (F.col("memory_tokens") if v["memory"] else zero).cast("long").alias("slot_memory"),
-            (F.coalesce("document_tokens", zero) if v["retrieval"] else F.lit(prefilled)).cast("long").alias("slot_documents"),
-        ) for k, v in names.items()
-    ]))
-    rows = base.withColumn("slot_query", query_tokens()).select("conv_id", "request_id", "as_of", "inclusive", "slot_query", slots.alias("s")).select("*", "s.*").drop("s")
+    grant = lambda most, left: F.greatest(F.lit(0), F.least(F.lit(most), left)).cast("long")
+    asked = requests.withColumn("query_id", F.concat_ws(":", *at)).withColumn("slot_query", query_tokens()).withColumn("left", F.lit(plan.budget - system_tokens) - F.col("slot_query"))
+    noted = select_notes(asked.withColumn("allowed_memory", grant(plan.memory, F.col("left"))), notes, F.col("allowed_memory"))
+    asked = asked.join(noted.select(*at, "memory", token_count(F.col("memory")).alias("memory_tokens")), at)
+    # Without notes more is left for documents, so a query has a budget with and one without.
+    noting = sorted({v["memory"] for v in names.values()})
+    by_notes = asked.select("*", F.explode(F.array(*[F.lit(x) for x in noting])).alias("noting")).withColumn("left", F.col("left") - F.when(F.col("noting"), F.col("memory_tokens")).otherwise(0))
+    allowed = by_notes.select("query_id", "noting", grant(plan.documents, F.col("left")).alias("allowed"))
+    picked = pack_chunks(bm25_search(asked.select("query_id", F.col("query").alias("text")), chunks), chunks, allowed)
+    rendered = render_chunk(F.col("chunk_id"), F.col("title"), F.col("text"))
+    texts = picked.join(chunks.select("doc_id", "chunk_no", token_count(rendered).alias("t"), rendered.alias("r")), ["doc_id", "chunk_no"])
+    found = texts.groupBy("query_id", "noting").agg(F.sum("t").alias("tokens"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pick", "r"))), lambda x: x["r"]), "\n").alias("text"))
+    base = by_notes.join(found, ["query_id", "noting"], "left")
+    share = int(plan.budget * plan.kb_share)
+    filled = F.struct(F.lit(0).cast("long").alias("tokens"), F.lit("").alias("text"))
+    if any(not v["retrieval"] for v in names.values()):
+        base, filled = base.crossJoin(F.broadcast(kb_prefix(chunks, share))), _filled(grant(share, F.col("left")))
+    retrieved = F.struct(F.coalesce("tokens", F.lit(0)).cast("long").alias("tokens"), F.coalesce("text", F.lit("")).alias("text"))
+    kinds = F.array(*[F.struct(F.lit(k).alias("strategy"), F.lit(v["retrieval"]).alias("retrieval"), F.lit(v["memory"]).alias("memory")) for k, v in names.items()])
+    rows = base.select("*", F.explode(F.filter(kinds, lambda k: k["memory"] == F.col("noting"))).alias("s")).withColumn("kb", F.when(F.col("s.retrieval"), retrieved).otherwise(filled))
+    rows = rows.select(
+        *at, "as_of", "inclusive", "slot_query", "s.strategy", F.when(F.col("noting"), F.col("memory_tokens")).otherwise(0).cast("long").alias("slot_memory"), F.col("kb.tokens").alias("slot_documents"),
+        F.when(F.col("noting"), F.col("memory")).otherwise("").alias("memory"), F.col("kb.text").alias("documents"),
+    )
     rows = rows.withColumn("remaining", F.lit(plan.budget - system_tokens) - F.col("slot_query") - F.col("slot_memory") - F.col("slot_documents"))
-    sent = replay(messages, rows.select("conv_id", "request_id", "as_of", "inclusive", "strategy", "remaining"), plan, {k: {"clearing": v["clearing"], "compaction": v["compaction"]} for k, v in names.items()})
-    joined = rows.join(sent, ["conv_id", "request_id", "strategy"])
+    sent = replay(messages, rows.select(*at, "as_of", "inclusive", "strategy", "remaining"), plan, {k: {"clearing": v["clearing"], "compaction": v["compaction"]} for k, v in names.items()})
+    joined = rows.join(sent, [*at, "strategy"])
     total = F.lit(system_tokens) + F.col("slot_query") + F.col("slot_memory") + F.col("slot_documents") + F.col("history_tokens")
     return joined.select(
-        "conv_id", "request_id", "strategy", F.lit(system_tokens).cast("long").alias("slot_system"), "slot_memory", "slot_documents", F.col("history_tokens").alias("slot_history"), "slot_query",
-        total.cast("long").alias("tokens"), "compactions", "first_seq", "n_messages", "summary",
+        *at, "strategy", F.lit(system_tokens).cast("long").alias("slot_system"), "slot_memory", "slot_documents", F.col("history_tokens").alias("slot_history"), "slot_query",
+        total.cast("long").alias("tokens"), "compactions", "first_seq", "n_messages", "summary", (F.col("remaining") < 0).alias("overflow"), *(["memory", "documents"] if shown else []),
     )
 
 
@@ -290,15 +336,37 @@ def slot_breakdown(contexts: DataFrame) -> DataFrame:
     return contexts.unpivot(["conv_id", "request_id", "strategy"], [f"slot_{s}" for s in slots], "slot", "tokens").withColumn("slot", F.substring("slot", 6, 20))
 
 
-def context_texts(contexts: DataFrame, messages: DataFrame, requests: DataFrame) -> DataFrame:
-    """The history and query text that a context shows: its summary and verbatim messages, in order."""
-    rendered = messages.select("conv_id", "seq", render_message(F.col("role"), F.col("content"), F.col("tool_call")).alias("r"))
-    shown = (
-        contexts.select("conv_id", "request_id", "strategy", "first_seq", "n_messages").where("n_messages > 0").join(rendered, "conv_id")
-        .where((F.col("seq") >= F.col("first_seq")) & (F.col("seq") < F.col("first_seq") + F.col("n_messages")))
-        .groupBy("conv_id", "request_id", "strategy").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "r"))), lambda x: x["r"]), "\n\n").alias("verbatim"))
+def context_texts(contexts: DataFrame, messages: DataFrame, requests: DataFrame, system: str, plan: Plan, clearing: tuple[str, ...]) -> DataFrame:
+    """Adds ``text`` to contexts with what they show: system, notes, documents, summary and messages, query; empty sections are left out.
+
+    Contexts over the plan's budget cannot be sent and have no text, so texts are as long as the budget at most. In the ``clearing``
+    strategies all but the last visible tool results are stubs, as they are counted. A session's messages count from 0 in order."""
+    order = W.partitionBy("conv_id").orderBy("seq")
+    raw = render_message(F.col("role"), F.col("content"), F.col("tool_call"))
+    cleared = render_message(F.col("role"), stub(F.col("content"), F.col("tool_call")), F.col("tool_call"))
+    rendered = messages.select(
+        "conv_id", (F.row_number().over(order) - 1).cast("long").alias("i"), raw.alias("raw"), cleared.alias("stub"), (F.col("role") == "tool").alias("tool"), F.count_if(F.col("role") == "tool").over(order).alias("tools")
     )
-    parts = [F.when(F.col("summary") != "", F.concat(F.lit("<conversation_summary>\n"), F.col("summary"), F.lit("\n</conversation_summary>"))), F.concat(F.lit("<conversation>\n"), F.col("verbatim"), F.lit("\n</conversation>")), F.concat(F.lit("<current_request>\n"), F.col("query"), F.lit("\n</current_request>"))]
-    return contexts.join(shown, ["conv_id", "request_id", "strategy"], "left").join(requests.select("conv_id", "request_id", "query"), ["conv_id", "request_id"]).select(
-        "conv_id", "request_id", "strategy", F.concat_ws("\n\n", *parts).alias("text")
+    at = ["conv_id", "request_id", "strategy"]
+    sent = contexts.where((F.col("tokens") <= plan.budget) & (F.col("n_messages") > 0)).select(*at, "first_seq", "n_messages")
+    lined = sent.join(rendered, "conv_id").where((F.col("i") >= F.col("first_seq")) & (F.col("i") < F.col("first_seq") + F.col("n_messages"))).groupBy(*at).agg(
+        F.max("tools").alias("tools"), F.array_sort(F.collect_list(F.struct("i", "raw", "stub", "tool", "tools"))).alias("ms")
     )
+    stubs = F.col("strategy").isin(*clearing)
+    line = lambda m: F.when(stubs & m["tool"] & (m["tools"] <= F.col("tools") - plan.keep_tools), m["stub"]).otherwise(m["raw"])
+    verbatim = lined.select(*at, F.array_join(F.transform("ms", line), "\n\n").alias("verbatim"))
+    told = lambda tag, text: F.when(F.coalesce(text, F.lit("")) != "", F.concat(F.lit(f"<{tag}>\n"), text, F.lit(f"\n</{tag}>")))
+    some = lambda text: F.when(text != "", text)
+    parts = [some(F.lit(system)), some(F.col("memory")), some(F.col("documents")), told("conversation_summary", F.col("summary")), told("conversation", F.col("verbatim")), told("current_request", F.col("query"))]
+    rows = contexts.join(verbatim, at, "left").join(requests.select("conv_id", "request_id", "query"), ["conv_id", "request_id"])
+    return rows.select(*contexts.columns, F.when(F.col("tokens") <= plan.budget, F.concat_ws("\n\n", *parts)).alias("text"))
+
+
+def all_contexts(messages: DataFrame, requests: DataFrame, notes: DataFrame, chunks: DataFrame, plan: Plan, system: str) -> DataFrame:
+    """Every strategy's contexts with their whole text: conv_id, request_id, strategy, slots, tokens, compactions, what is shown, text."""
+    size = _heuristic(system)
+    chunks = chunks.persist(StorageLevel.DISK_ONLY)
+    built = assemble_engineered(messages, requests, notes, chunks, plan, size, shown=True).drop("overflow")
+    for other in (assemble_unbounded(messages, requests, chunks, size, plan.budget), assemble_truncated(messages, requests, chunks, plan, size, shown=True)):
+        built = built.unionByName(other)
+    return context_texts(built, messages, requests, system, plan, tuple(k for k, v in ABLATIONS.items() if v.get("clearing", True)))

@@ -10,8 +10,8 @@ from ..operators import pages as P
 from ..operators import scoring as G
 from ..operators import sessions as Z
 from . import sqltext as S
-from .pages_catalog import _CLASSIFIED, _ROUTES, ROUTES, _classified, packs, read
-from .sessions_catalog import PLAN, assemble_truncated, assemble_unbounded, engineered, messages, requests
+from .pages_catalog import _CLASSIFIED, _ROUTES, ROUTES, _classified, chunks, packs, read
+from .sessions_catalog import PLAN, SYSTEM, messages, notes, requests
 
 PROMPT = 300
 FIELDS = {"o_orderstatus": "text", "o_totalprice": "number", "o_orderdate": "date"}
@@ -78,7 +78,7 @@ def _full_coverage(spark, sf_dir):
 
 
 def covered_fields(spark, sf_dir):
-    return _full_coverage(spark, sf_dir).where("covered").select("pack_id", "call_id", "field_key")
+    return _full_coverage(spark, sf_dir).select("pack_id", "call_id", "field_key")
 
 
 def final_coverage(spark, sf_dir):
@@ -89,14 +89,39 @@ def missed_fields(spark, sf_dir):
     return C.missed_fields(_evidence(spark, sf_dir), final_coverage(spark, sf_dir))
 
 
+#: Packs of calls are runs of so many pages, so that a pack's text stays small at any size of the table.
+PACK_PAGES = 40
+#: Which task owns which fields: ``group.sub`` keys by group.
+GROUPS = {"western": {"a": None}, "central": {"b[]": None}, "any": {"c": ["2", "5", "8", "11", "14", "17", "20"]}}
+
+
+def _bounded(pages):
+    return pages.withColumn("pack_id", F.concat(F.lit("p"), F.floor(F.col("page_no") / PACK_PAGES).cast("string")))
+
+
+def _keyed_evidence(spark, sf_dir):
+    """Every pack looks for all benchmark passages, under keys of three groups."""
+    group = F.element_at(F.array(F.lit("a."), F.lit("b."), F.lit("c.")), (F.col("item_id") % 3 + 1).cast("int"))
+    items = read(spark, sf_dir, "benchmark").select(F.concat(group, F.col("item_id").cast("string")).alias("field_key"), F.col("text").alias("phrase"))
+    return _bounded(packs(spark, sf_dir)).select("pack_id").distinct().crossJoin(F.broadcast(items))
+
+
+def _both_pipelines(spark, sf_dir):
+    models, evidence, raw = C.profiles(spark), _keyed_evidence(spark, sf_dir), _bounded(packs(spark, sf_dir))
+    full = C.full_calls(raw, models, evidence, PROMPT)
+    return full, C.routed_calls(_bounded(_routed(spark, sf_dir)), raw, evidence, GROUPS, models, PROMPT), models
+
+
+def planned_calls(spark, sf_dir):
+    full, routed, _ = _both_pipelines(spark, sf_dir)
+    both = full.withColumn("pipeline", F.lit("full")).unionByName(routed.withColumn("pipeline", F.lit("routed")))
+    return both.select("pack_id", "model_key", "pipeline", "call_no", "task", "tokens_in", "tokens_out", "max_out", "fits", F.array_join("covers", ",").alias("covers"))
+
+
 def pipeline_report(spark, sf_dir):
-    models = C.profiles(spark)
-    full = C.plan_full(packs(spark, sf_dir), models, PROMPT).select("model_key", F.lit("full").alias("pipeline"), F.lit(1).alias("n_calls"), "tokens_in", F.lit(2000).cast("long").alias("tokens_out"))
-    routed = plan_routed(spark, sf_dir).select("model_key", F.lit("routed").alias("pipeline"), F.lit(1).alias("n_calls"), "tokens_in", F.lit(200).cast("long").alias("tokens_out"))
-    counted = lambda cov, name: cov.agg(F.count("*").alias("fields")).crossJoin(F.broadcast(models.select("model_key"))).select("model_key", F.lit(name).alias("pipeline"), "fields")
-    live = _routed(spark, sf_dir).select("pack_id", F.col("page_no").alias("call_id"), "text").distinct()
-    narrow = C.final_coverage(C.covered_fields(live, _evidence(spark, sf_dir)), ("pack_id",))
-    return C.pipeline_report(full.union(routed), counted(final_coverage(spark, sf_dir), "full").union(counted(narrow, "routed")), models)
+    full, routed, models = _both_pipelines(spark, sf_dir)
+    calls = full.withColumn("pipeline", F.lit("full")).unionByName(routed.withColumn("pipeline", F.lit("routed"))).select("pack_id", "model_key", "pipeline", "tokens_in", "tokens_out", "fits")
+    return C.pipeline_report(calls, C.produced_fields(full, routed), models)
 
 
 def counter_effect(spark, sf_dir):
@@ -116,7 +141,8 @@ _REPLY = "struct<custkey:struct<value:bigint,confidence:double>,status:struct<va
 
 
 def first_valid_reply(spark, sf_dir):
-    valid = G.first_valid_reply(_replies(spark, sf_dir), _REPLY).withColumn("u", G.unwrap_leaves(F.col("reply"), ["custkey", "status"]))
+    valid = G.first_valid_reply(_replies(spark, sf_dir), _REPLY)
+    valid = valid.withColumn("u", G.unwrap(F.col("reply"), valid.schema["reply"].dataType))
     return valid.select("call_id", F.col("attempt").cast("long").alias("attempt"), "attempts", F.col("u.custkey").alias("custkey"), F.col("u.status").alias("status"))
 
 
@@ -133,7 +159,8 @@ def usage_report(spark, sf_dir):
         F.when(F.col("call_id") % 5 == 0, "full").otherwise("routed").alias("pipeline"), "attempt", T.token_count(F.col("text")).alias("tokens_in"), F.lit(50).cast("long").alias("tokens_out"),
         (F.col("call_id") % 10).cast("long").alias("reasoning_tokens"), F.when(F.col("call_id") % 7 == 0, 0).otherwise(2).cast("long").alias("correct"),
     )
-    return G.usage_report(usage)
+    missed = rows.where("call_id % 7 = 0").select(F.when(F.col("call_id") % 5 == 0, "full").otherwise("routed").alias("pipeline"), F.concat(F.lit("key"), (F.col("call_id") % 70).cast("string")).alias("field_key"))
+    return G.usage_report(usage, missed=missed)
 
 
 def _invoices(spark, sf_dir, wrong=False):
@@ -156,22 +183,78 @@ def score_fields(spark, sf_dir):
     return G.score_invoices(_listed(_invoices(spark, sf_dir)), _listed(_invoices(spark, sf_dir, True)), _superseded(spark, sf_dir))
 
 
+#: Codes that are accepted for others.
+SYNONYMS = {"K1": ["K7", "k-8"], "K2": ["K9"]}
+
+
+def _claims(spark, sf_dir, got=False):
+    """An order as a claim: its status and price, its lines as diagnoses (the first is primary), procedures and invoices.
+
+    As extracted, every 5th order's diagnoses are all unmarked and lower-cased, every 3rd line's procedure is written by another code."""
+    lines = read(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("pack_id"), F.col("l_linenumber").alias("n"), F.concat(F.lit("K"), (F.col("l_partkey") % 10).cast("string")).alias("code"),
+        F.concat_ws("-", F.lit("INV"), "l_linenumber", "l_partkey", "l_suppkey").alias("invoice_number"), F.col("l_extendedprice").cast("double").alias("amount"),
+    )
+    fifth, third = F.col("pack_id") % 5 == 0, F.col("n") % 3 == 0
+    diagnosis = F.concat(F.lit("D"), F.col("n").cast("string"), F.lit("."), F.col("code"))
+    if got:
+        lines = lines.withColumn("amount", F.col("amount") + F.when((F.col("pack_id") + F.col("n")) % 11 == 0, 5).otherwise(0))
+        diagnosis = F.when(fifth, F.lower(diagnosis)).otherwise(diagnosis)
+        written = F.when(third & (F.col("code") == "K1"), "K8").when(third & (F.col("code") == "K2"), "K3").otherwise(F.col("code"))
+    else:
+        written = F.col("code")
+    primary = (F.col("n") == 1) & ~(fifth & F.lit(got))
+    listed = lines.groupBy("pack_id").agg(
+        F.array_sort(F.collect_list(F.struct(diagnosis.alias("icd10"), primary.alias("primary")))).alias("diagnoses"), F.array_sort(F.collect_set(F.struct(written.alias("code")))).alias("procedures"),
+        F.array_sort(F.collect_list(F.struct("invoice_number", "amount"))).alias("invoices"),
+    )
+    orders = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("pack_id"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").cast("double").alias("total"))
+    if got:
+        orders = orders.withColumn("total", F.format_number(F.col("total") + F.when(F.col("pack_id") % 7 == 0, 1).otherwise(0), 2))
+    return orders.join(listed, "pack_id")
+
+
+def score_claims(spark, sf_dir):
+    scored = G.score_fields(
+        _claims(spark, sf_dir), _claims(spark, sf_dir, True), _superseded(spark, sf_dir), {"status": "text", "total": "number"},
+        {"diagnoses": ("icd10", "primary", None), "procedures": ("code", None, SYNONYMS)},
+    )
+    return scored.select("pack_id", "field_key", "correct")
+
+
 def current_invoice_totals(spark, sf_dir):
     approved = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("pack_id"), F.col("o_totalprice").cast("double").alias("approved_amount"))
     money = _invoices(spark, sf_dir).withColumn("amount", F.col("amount").cast("decimal(18,2)"))
     return G.current_invoice_totals(money, _superseded(spark, sf_dir), approved)
 
 
+#: The request that a new session makes: the same question, no history.
+NEW_SESSION = -1
+
+
+def _asked(spark, sf_dir):
+    """All requests, and for each session its last question once more in a new session, which sees notes only."""
+    asked = requests(spark, sf_dir)
+    last = asked.groupBy("conv_id").agg(F.max_by("query", "request_id").alias("query"))
+    fresh = last.select("conv_id", F.lit(NEW_SESSION).cast(asked.schema["request_id"].dataType).alias("request_id"), F.lit(None).cast(asked.schema["as_of"].dataType).alias("as_of"), F.lit(False).alias("inclusive"), "query")
+    return asked.unionByName(fresh)
+
+
 def _facts(spark, sf_dir):
-    """A request asks for the first 24 characters of its session's earlier messages of turns 0 and 1."""
+    """A request asks for the first 24 characters of its session's messages of turns 0 and 1."""
     early = messages(spark, sf_dir).where("turn < 2").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.substring("content", 1, 24))).alias("must_contain"))
-    return requests(spark, sf_dir).select("conv_id", "request_id").join(early, "conv_id")
+    return _asked(spark, sf_dir).select("conv_id", "request_id").join(early, "conv_id")
+
 
+def _contexts(spark, sf_dir):
+    """All seven strategies, with text where the budget holds."""
+    asked, told, kb = _asked(spark, sf_dir), messages(spark, sf_dir), chunks(spark, sf_dir)
+    return Z.all_contexts(told, asked, notes(spark, sf_dir), kb, PLAN, SYSTEM)
 
-def _checked(spark, sf_dir):
-    contexts = engineered(spark, sf_dir)
-    texts = Z.context_texts(contexts, messages(spark, sf_dir), requests(spark, sf_dir)).join(contexts.select("conv_id", "request_id", "strategy", (F.col("tokens") <= PLAN.budget).alias("within")), ["conv_id", "request_id", "strategy"])
-    return G.fact_checks(texts, _facts(spark, sf_dir), ("conv_id", "request_id"))
+
+def _checked(contexts, spark, sf_dir):
+    kept = contexts.select("conv_id", "request_id", "strategy", "text", (F.col("tokens") <= PLAN.budget).alias("within"))
+    return G.fact_checks(kept, _facts(spark, sf_dir), ("conv_id", "request_id"))
 
 
 def fact_checks(spark, sf_dir):
@@ -189,21 +272,22 @@ def answer_check(spark, sf_dir):
 
 
 def strategy_summary(spark, sf_dir):
-    contexts = engineered(spark, sf_dir).select("conv_id", "request_id", "strategy", "tokens", "compactions")
-    others = [f(spark, sf_dir).select(*contexts.columns) for f in (assemble_unbounded, assemble_truncated)]
-    return G.strategy_summary(contexts.union(others[0]).union(others[1]), _checked(spark, sf_dir), PLAN.budget)
+    contexts = _contexts(spark, sf_dir)
+    checks, fresh = _checked(contexts, spark, sf_dir), F.col("request_id") == NEW_SESSION
+    return G.strategy_summary(contexts.where(~fresh), checks.where(~fresh), PLAN.budget, checks.where(fresh))
 
 
 def question_matrix(spark, sf_dir):
-    checks = _checked(spark, sf_dir).withColumn("qid", F.concat_ws(":", "conv_id", "request_id"))
-    return G.question_matrix(checks, list(Z.ABLATIONS))
+    checks = _checked(_contexts(spark, sf_dir), spark, sf_dir).withColumn("qid", F.concat_ws(":", "conv_id", "request_id"))
+    kind = F.when(F.col("request_id") == NEW_SESSION, "new session").otherwise("in session")
+    return G.question_matrix(checks.withColumn("kind", kind), list(Z.STRATEGIES), ("qid", "kind"))
 
 
 QUERIES = {
     f.__name__: f
     for f in (
         lenient_match, model_cost, reference_answers, plan_full, split_oversize_pages, chunk_packs, plan_routed, covered_fields, final_coverage, missed_fields, pipeline_report, counter_effect, first_valid_reply,
-        merge_task_results, usage_report, score_fields, current_invoice_totals, fact_checks, answer_check, strategy_summary, question_matrix,
+        merge_task_results, usage_report, score_fields, score_claims, planned_calls, current_invoice_totals, fact_checks, answer_check, strategy_summary, question_matrix,
     )
 }
 
@@ -228,7 +312,71 @@ lw AS (SELECT pack_id, page_no, model_key, i, room, 0 AS piece_no, t AS used FRO
 pieces AS MATERIALIZED (SELECT pack_id, page_no, model_key, any_value(lt.room) AS room, piece_no, string_agg(l, chr(10) ORDER BY i) AS text, sum(t)::BIGINT AS tokens FROM lt JOIN lw USING (pack_id, page_no, model_key, i) GROUP BY pack_id, page_no, model_key, piece_no)"""
 
 
+_KEY = "CASE item_id % 3 WHEN 0 THEN 'a.' WHEN 1 THEN 'b.' ELSE 'c.' END || item_id"
+_PACK = f"'p' || (doc_id // {PACK_PAGES})"
+_LEAF = {
+    True: S.tokens("""'"' || field_key || '":{"value":"' || phrase || '","source_quote":"' || phrase || '","confidence":0.95},'"""),
+    False: S.tokens("""'"' || field_key || '":"' || phrase || '",'"""),
+}
+_DOC = S.tokens("'<doc type=' || chr(34) || kind || chr(34) || ' page=' || chr(34) || page_no || chr(34) || '>' || chr(10) || text || chr(10) || '</doc>'")
+_OVER = PROMPT + C.FRAME
+_OWNED = " OR ".join(f"task = '{t}' AND split_part(field_key, '.', 1) = '{g.removesuffix('[]')}'" + ("" if only is None else f" AND split_part(field_key, '.', 2) IN ({', '.join(repr(x) for x in only)})") for t, owns in GROUPS.items() for g, only in owns.items())
+_CALLS = f"""WITH RECURSIVE {_PROFILES}, sized AS (SELECT *, context_window - max_out - {_OVER} AS room FROM profiles), {_pieces(_PACK, 'sized')},
+ev AS (SELECT {_KEY} AS field_key, text AS phrase, {_WS('text')} AS p FROM benchmark),
+pk0 AS (SELECT {_PACK} AS pack_id, sum({S.tokens("coalesce(text, '')")})::BIGINT AS t, {_WS("string_agg(coalesce(text, ''), chr(10) || chr(10) ORDER BY doc_id)")} AS body FROM documents GROUP BY ALL),
+planned AS MATERIALIZED (SELECT pack_id, model_key, room, max_out, context_window, t, t <= room AS one FROM pk0, sized),
+pk AS MATERIALIZED (SELECT pieces.*, row_number() OVER (PARTITION BY pack_id, model_key ORDER BY page_no, piece_no) AS k FROM pieces JOIN planned USING (pack_id, model_key) WHERE NOT one AND planned.room >= {C.LEAST_ROOM}),
+pw AS (SELECT pack_id, model_key, k, 1 AS c, tokens AS used FROM pk WHERE k = 1 UNION ALL
+  SELECT p.pack_id, p.model_key, p.k, CASE WHEN w.used + p.tokens > p.room THEN w.c + 1 ELSE w.c END, CASE WHEN w.used + p.tokens > p.room THEN p.tokens ELSE w.used + p.tokens END
+  FROM pw w JOIN pk p ON p.pack_id = w.pack_id AND p.model_key = w.model_key AND p.k = w.k + 1),
+ch AS MATERIALIZED (SELECT pack_id, model_key, c::BIGINT AS call_no, sum(tokens)::BIGINT AS t, {_WS("string_agg(text, chr(10) || chr(10) ORDER BY k)")} AS body FROM pk JOIN pw USING (pack_id, model_key, k) GROUP BY ALL),
+cov AS MATERIALIZED (SELECT pack_id, model_key, call_no, field_key, {_LEAF[True]} AS leaf FROM ch, ev WHERE contains(body, p)),
+cova AS (SELECT pack_id, field_key, {_LEAF[True]} AS leaf FROM pk0, ev WHERE contains(body, p)),
+told AS (SELECT ch.pack_id, ch.model_key, ch.call_no, any_value(t) AS t, coalesce(1 + sum(leaf), {C.EMPTY_ANSWER})::BIGINT AS tokens_out, coalesce(string_agg(field_key, ',' ORDER BY field_key), '') AS covers
+  FROM ch LEFT JOIN cov USING (pack_id, model_key, call_no) GROUP BY ALL),
+un AS (SELECT DISTINCT pack_id, model_key, field_key, leaf FROM cov),
+unl AS (SELECT pack_id, model_key, 1 + sum(leaf) AS o, string_agg(field_key, ',' ORDER BY field_key) AS covers FROM un GROUP BY ALL),
+mg AS (SELECT pack_id, model_key, max(call_no) + 1 AS call_no, sum(tokens_out)::BIGINT AS t FROM told GROUP BY ALL),
+direct AS (SELECT pack_id, model_key, any_value(t) AS t, coalesce(1 + sum(leaf), {C.EMPTY_ANSWER})::BIGINT AS tokens_out, coalesce(string_agg(field_key, ',' ORDER BY field_key), '') AS covers
+  FROM planned LEFT JOIN cova USING (pack_id) WHERE one GROUP BY ALL),
+fc AS (SELECT pack_id, model_key, 1::BIGINT AS call_no, 'all' AS task, t, tokens_out, covers, true AS ok FROM direct
+  UNION ALL SELECT pack_id, model_key, 1, 'no_room', t, {C.EMPTY_ANSWER}, '', false FROM planned WHERE NOT one AND room < {C.LEAST_ROOM}
+  UNION ALL SELECT pack_id, model_key, call_no, 'chunk ' || call_no, t, tokens_out, covers, true FROM told
+  UNION ALL SELECT pack_id, model_key, call_no, 'merge', t, coalesce(o, {C.EMPTY_ANSWER})::BIGINT, coalesce(unl.covers, ''), true FROM mg LEFT JOIN unl USING (pack_id, model_key)),
+fullc AS (SELECT pack_id, model_key, 'full' AS pipeline, call_no, task, t + {_OVER} AS tokens_in, tokens_out, max_out, ok AND t + {_OVER} + max_out <= context_window AS fits, covers FROM fc JOIN profiles USING (model_key)),
+{_CLASSIFIED.replace('pages AS', 'lpages AS').replace('FROM pages', 'FROM lpages')}, {_ROUTES},
+rp AS MATERIALIZED (SELECT 'p' || (page_no // {PACK_PAGES}) AS pack_id, task, page_no, {_DOC} AS t, '<doc type=' || chr(34) || kind || chr(34) || ' page=' || chr(34) || page_no || chr(34) || '>' || chr(10) || text || chr(10) || '</doc>' AS r
+  FROM classified JOIN routes USING (kind) WHERE dropped_reason IS NULL),
+rt AS MATERIALIZED (SELECT pack_id, task, sum(t)::BIGINT AS t, {_WS("string_agg(r, chr(10) ORDER BY page_no)")} AS body FROM rp GROUP BY ALL),
+tk AS (SELECT DISTINCT task FROM routes),
+own AS (SELECT task, field_key, p, {_LEAF[False]} AS leaf FROM tk, ev WHERE {_OWNED}),
+osz AS (SELECT task, 1 + sum(leaf) AS o FROM own GROUP BY task),
+rcov AS (SELECT pack_id, task, string_agg(field_key, ',' ORDER BY field_key) AS covers FROM rt JOIN own USING (task) WHERE contains(body, p) GROUP BY ALL),
+routedc AS (SELECT pk0.pack_id, model_key, 'routed' AS pipeline, (row_number() OVER (PARTITION BY pk0.pack_id, model_key ORDER BY tk.task))::BIGINT AS call_no, tk.task, coalesce(rt.t, 0) + {_OVER} AS tokens_in,
+  coalesce(o, {C.EMPTY_ANSWER})::BIGINT AS tokens_out, {C.ROUTED_OUT}::BIGINT AS max_out, coalesce(rt.t, 0) + {_OVER + C.ROUTED_OUT} <= context_window AS fits, coalesce(covers, '') AS covers
+  FROM pk0 CROSS JOIN tk CROSS JOIN profiles LEFT JOIN rt ON rt.pack_id = pk0.pack_id AND rt.task = tk.task LEFT JOIN osz ON osz.task = tk.task LEFT JOIN rcov ON rcov.pack_id = pk0.pack_id AND rcov.task = tk.task),
+calls AS MATERIALIZED (SELECT * FROM fullc UNION ALL SELECT * FROM routedc)"""
+
+
 ORACLE_SQL = {
+    "planned_calls": f"{_CALLS} SELECT * FROM calls",
+    "pipeline_report": f"""{_CALLS}, pks AS (SELECT pack_id, model_key, pipeline, bool_and(fits) AS fits, count(*) AS calls, sum(tokens_in) AS ti, sum(tokens_out) AS tout FROM calls GROUP BY ALL),
+made AS (SELECT pack_id, model_key, pipeline, covers FROM calls WHERE pipeline = 'routed' UNION ALL SELECT pack_id, model_key, pipeline, max_by(covers, call_no) FROM calls WHERE pipeline = 'full' GROUP BY ALL),
+fld AS (SELECT pack_id, model_key, pipeline, count(DISTINCT f) AS fields FROM (SELECT *, unnest(string_split(covers, ',')) AS f FROM made WHERE covers <> '') GROUP BY ALL),
+pf AS MATERIALIZED (SELECT pks.*, coalesce(fields, 0) AS fields FROM pks LEFT JOIN fld USING (pack_id, model_key, pipeline)),
+sm AS (SELECT model_key, pipeline, count(*) AS packs, count(*) FILTER (NOT fits) AS failed, coalesce(sum(calls) FILTER (fits), 0)::BIGINT AS calls, coalesce(sum(ti) FILTER (fits), 0)::BIGINT AS tokens_in, coalesce(sum(tout) FILTER (fits), 0)::BIGINT AS tokens_out,
+  coalesce(sum(fields) FILTER (fits), 0)::BIGINT AS fields FROM pf GROUP BY ALL),
+sv AS (SELECT a.model_key, a.pipeline, round(1 - sum(a.ti + a.tout) / sum(b.ti + b.tout), 6) AS saving FROM pf a JOIN pf b ON a.pack_id = b.pack_id AND a.model_key = b.model_key AND b.pipeline = 'full' WHERE a.fits AND b.fits GROUP BY ALL)
+SELECT model_key, pipeline, packs, failed, calls, tokens_in, tokens_out, tokens_in + tokens_out AS tokens, round((tokens_in * price_in + tokens_out * price_out) / 1e6, 6) AS cost, fields,
+  CASE WHEN tokens_in + tokens_out > 0 THEN round_even(1000 * fields / (tokens_in + tokens_out), 3) ELSE 0 END AS fields_per_1k, saving FROM sm JOIN profiles USING (model_key) LEFT JOIN sv USING (model_key, pipeline)""",
+    "score_claims": f"""WITH {_INV.replace('inv AS', 'inv0 AS')}, l AS (SELECT l_orderkey AS pack_id, l_linenumber AS n, 'K' || l_partkey % 10 AS code FROM lineitem),
+e AS (SELECT DISTINCT pack_id, code FROM l), g AS (SELECT DISTINCT pack_id, CASE WHEN n % 3 = 0 AND code = 'K1' THEN 'K8' WHEN n % 3 = 0 AND code = 'K2' THEN 'K3' ELSE code END AS code FROM l),
+ok(code, fit) AS (VALUES ('K1', 'K7'), ('K1', 'K8'), ('K2', 'K9'))
+SELECT o_orderkey AS pack_id, 'status' AS field_key, true AS correct FROM orders WHERE o_orderkey IN (SELECT pack_id FROM l) UNION ALL SELECT o_orderkey, 'total', o_orderkey % 7 <> 0 FROM orders WHERE o_orderkey IN (SELECT pack_id FROM l)
+UNION ALL SELECT pack_id, 'diagnoses.D' || n || '.' || code, NOT (n = 1 AND pack_id % 5 = 0) FROM l
+UNION ALL SELECT pack_id, 'procedures.' || code, EXISTS (SELECT 1 FROM g WHERE g.pack_id = e.pack_id AND (g.code = e.code OR EXISTS (SELECT 1 FROM ok WHERE ok.code = e.code AND ok.fit = g.code))) FROM e
+UNION ALL SELECT pack_id, 'invoices.' || invoice_number, bool_or(abs(got - amount) < 0.01) FROM inv0 GROUP BY ALL
+UNION ALL SELECT pack_id, 'invoices.no_superseded', NOT bool_or(pack_id % 4 = 0 AND invoice_number LIKE 'INV-2-%') FROM inv0 GROUP BY pack_id""",
     "lenient_match": """WITH g AS (SELECT *, o_orderkey % 7 = 0 AS bad FROM orders)
 SELECT o_orderkey, unnest(['o_orderstatus', 'o_totalprice', 'o_orderdate']) AS field_key, unnest([true, NOT bad, NOT bad]) AS correct FROM g""",
     "model_cost": f"""WITH {_PROFILES} SELECT doc_id AS call_id, model_key, {S.tokens('text')} AS tokens_in, 100::BIGINT AS tokens_out, round(({S.tokens('text')} * price_in + 100 * price_out) / 1e6, 9) AS cost FROM documents, profiles""",
@@ -258,8 +406,9 @@ SELECT pack_id, task, model_key, coalesce(t, 0) + {PROMPT + C.FRAME} AS tokens_i
     "first_valid_reply": """SELECT o_orderkey AS call_id, CASE WHEN o_orderkey % 3 = 0 THEN 2 ELSE 1 END::BIGINT AS attempt, 2::BIGINT AS attempts, o_custkey AS custkey, o_orderstatus AS status FROM orders""",
     "merge_task_results": "SELECT l_orderkey AS pack_id, 'item' AS grp, l_returnflag AS field, max_by(l_linestatus, l_linenumber * 1000 + ascii(l_linestatus)) AS value FROM lineitem GROUP BY ALL",
     "usage_report": f"""WITH {_REPLIES}, u AS (SELECT *, CASE WHEN call_id % 5 = 0 THEN 'full' ELSE 'routed' END AS pipeline, {S.tokens('text')} AS tin FROM replies WHERE attempt = 1 OR call_id % 3 = 0),
-s AS (SELECT pipeline, sum(tin)::BIGINT AS tokens_in, (50 * count(*))::BIGINT AS tokens_out, sum(call_id % 10)::BIGINT AS reasoning_tokens, count(*) FILTER (attempt > 1) AS retries, sum(CASE WHEN call_id % 7 = 0 THEN 0 ELSE 2 END)::BIGINT AS correct FROM u GROUP BY ALL)
-SELECT *, round_even(1000 * correct / (tokens_in + tokens_out), 3) AS correct_per_1k FROM s""",
+s AS (SELECT pipeline, sum(tin)::BIGINT AS tokens_in, (50 * count(*))::BIGINT AS tokens_out, sum(call_id % 10)::BIGINT AS reasoning_tokens, count(*) FILTER (attempt > 1) AS retries, sum(CASE WHEN call_id % 7 = 0 THEN 0 ELSE 2 END)::BIGINT AS correct FROM u GROUP BY ALL),
+k AS (SELECT pipeline, string_agg(key, ',' ORDER BY key) AS missed FROM (SELECT DISTINCT pipeline, 'key' || call_id % 70 AS key FROM u WHERE call_id % 7 = 0) GROUP BY pipeline)
+SELECT s.*, round_even(1000 * correct / (tokens_in + tokens_out), 3) AS correct_per_1k, coalesce(missed, '') AS missed FROM s LEFT JOIN k USING (pipeline)""",
     "score_fields": f"""WITH {_INV} SELECT pack_id, invoice_number AS field_key, bool_or(abs(got - amount) < 0.01) AS correct FROM inv GROUP BY ALL
 UNION ALL SELECT pack_id, 'no_superseded', NOT bool_or(pack_id % 4 = 0 AND invoice_number LIKE 'INV-2-%') FROM inv GROUP BY pack_id""",
     "current_invoice_totals": f"""WITH {_INV}, c AS (SELECT pack_id, invoice_number, min(amount) AS amount FROM inv WHERE NOT (pack_id % 4 = 0 AND invoice_number LIKE 'INV-2-%') GROUP BY ALL)

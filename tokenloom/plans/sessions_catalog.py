@@ -10,6 +10,11 @@ from . import sqltext as S
 from .pages_catalog import CHUNKS, chunks, read
 
 PLAN = Z.Plan(window=1200, reserve=200, margin=0.05, memory=100, documents=200, trigger=0.75, keep_messages=2, keep_tools=1, summary=120)
+#: The instructions of every request.
+SYSTEM = (
+    "You are the assistant of a long session. Answer the current request from the notes, documents and messages given here, and from nothing else. "
+    "Quote names, numbers and dates as they stand. Be very brief."
+)
 SYSTEM_TOKENS = 60
 
 

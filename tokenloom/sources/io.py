@@ -33,11 +33,13 @@ def evidence(truth: DataFrame) -> DataFrame:
     return keyed.select("pack_id", "field_key", F.explode("phrases").alias("phrase"))
 
 
-def read_notes(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(NOTES).json(path, multiLine=True)
+def read_notes(spark: SparkSession, path: str, arrays: bool = False) -> DataFrame:
+    """(turn, text) of notes: JSON lines as ``append_notes`` writes them, or with ``arrays`` files that each hold one JSON array."""
+    return spark.read.schema(NOTES).json(path, multiLine=arrays)
 
 
 def append_notes(notes: DataFrame, path: str) -> None:
+    """Adds a line of JSON for each note; what is there already stays."""
     notes.select("turn", "text").write.mode("append").json(path)
 
 
