@@ -61,11 +61,15 @@ def clean_pages(pages: DataFrame, ratio: float = 0.5) -> DataFrame:
 
 
 def drop_duplicate_pages(pages: DataFrame) -> DataFrame:
-    """Adds dropped_reason: the pack's first page with the same text, stamp lines apart, keeps; rows stay."""
+    """Adds dropped_reason: the pack's first page with the same text, stamp lines apart, keeps; rows stay.
+
+    First pages are found by a partial aggregate, so a text that many pages share (an empty one, say) is no task's burden."""
     key = F.array_join(F.filter(lines(F.col("text")), lambda x: ~F.contains(F.lower(x), F.lit("duplicate"))), "\n")
-    first = F.min("page_no").over(W.partitionBy("pack_id", "dup_key"))
+    keyed = pages.withColumn("dup_key", F.sha2(key, 256))
+    firsts = keyed.groupBy("pack_id", "dup_key").agg(F.min("page_no").alias("first_no"), F.count("*").alias("same")).where("same > 1").drop("same")
+    first = F.col("first_no")
     reason = F.when(F.col("page_no") > first, F.concat(F.lit("duplicate of page "), first.cast("string")))
-    return pages.withColumn("dup_key", F.sha2(key, 256)).withColumn("dropped_reason", reason).drop("dup_key")
+    return keyed.join(firsts, ["pack_id", "dup_key"], "left").withColumn("dropped_reason", reason).select(*pages.columns, "dropped_reason")
 
 
 def classify_pages(pages: DataFrame, rules: list[tuple[str, str]] = CLAIM_RULES) -> DataFrame:
