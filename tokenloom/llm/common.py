@@ -23,11 +23,14 @@ def ascii_lower(text: Column) -> Column:
 def shared_folder(spark: SparkSession) -> str:
     """A new folder that driver and executors share, below spark.checkpoint.dir.
 
-    The setting is read from the session; only where it is unset (tests, local mode) is a
-    folder below the warehouse used.
+    The setting is read from the session; where it is unset, local mode (as in tests) has a folder below the
+    warehouse, and a cluster, whose machines need not share the warehouse's disk, is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
