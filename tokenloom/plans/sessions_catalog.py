@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.text import summary_sentences
 from ..operators import history as H
 from ..operators import sessions as Z
 from . import sqltext as S
@@ -33,9 +34,9 @@ def requests(spark, sf_dir):
 
 
 def notes(spark, sf_dir):
-    return read(spark, sf_dir, "conversations").where("role = 'assistant'").select(
-        "conv_id", F.col("turn").alias("note_seq"), "turn", F.element_at(F.split(F.coalesce("text", F.lit("")), "\n"), 1).alias("text")
-    )
+    """Every sentence of an assistant message is a note."""
+    told = read(spark, sf_dir, "conversations").where("role = 'assistant'").select("conv_id", "turn", F.posexplode(summary_sentences(F.coalesce("text", F.lit("")))).alias("i", "text"))
+    return told.select("conv_id", (F.col("turn") * 1000 + F.col("i")).alias("note_seq"), "turn", "text")
 
 
 def select_notes(spark, sf_dir):

@@ -57,4 +57,7 @@ MESSAGES = (
     "CASE WHEN role = 'assistant' AND turn % 3 <> 0 THEN 'call-' || turn END AS tool_call FROM conversations"
 )
 REQUESTS = "SELECT conv_id, turn AS request_id, turn AS as_of, false AS inclusive, coalesce(text, '') AS query FROM conversations WHERE role = 'user'"
-NOTES = "SELECT conv_id, turn AS note_seq, turn, string_split(coalesce(text, ''), chr(10))[1] AS text FROM conversations WHERE role = 'assistant'"
+NOTES = (
+    "SELECT conv_id, turn * 1000 + i AS note_seq, turn, s AS text FROM (SELECT conv_id, turn, unnest(range(0, len(ss))) AS i, unnest(ss) AS s "
+    f"FROM (SELECT conv_id, turn, {sentences("coalesce(text, '')")} AS ss FROM conversations WHERE role = 'assistant'))"
+)
