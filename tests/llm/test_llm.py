@@ -375,6 +375,33 @@ def test_media(spark, odd, empty):
     assert M.media_columns(empty).count() == 0
 
 
+def grey_samples(image):
+    """The samples of an 8-bit grey PNG, by the format's rules alone: chunks with checksums, one filter byte before each row."""
+    assert image[:8] == b"\x89PNG\r\n\x1a\n"
+    at, parts, head = 8, [], None
+    while at < len(image):
+        size, kind = int.from_bytes(image[at : at + 4], "big"), image[at + 4 : at + 8]
+        body = image[at + 8 : at + 8 + size]
+        assert int.from_bytes(image[at + 8 + size : at + 12 + size], "big") == zlib.crc32(kind + body)
+        head, parts, at = (body if kind == b"IHDR" else head), parts + [body] * (kind == b"IDAT"), at + 12 + size
+    width, height = int.from_bytes(head[:4], "big"), int.from_bytes(head[4:8], "big")
+    assert head[8] == 8 and head[9] == 0
+    raw = zlib.decompress(b"".join(parts))
+    rows = [raw[i * (width + 1) : (i + 1) * (width + 1)] for i in range(height)]
+    out, before = [], bytes(width)
+    for row in rows:
+        assert row[0] in (0, 2)
+        before = bytes((x + y) % 256 for x, y in zip(row[1:], before)) if row[0] == 2 else row[1:]
+        out.append(before)
+    return b"".join(out)
+
+
+def test_media_round_trip_by_the_format():
+    for text in ("", "a", "é漢字" * 100, "x" * 576, "y" * 5000):
+        payload = M.padded(text.encode())
+        assert len(payload) % 576 == 0 and payload.startswith(text.encode()) and set(payload[len(text.encode()) :]) <= {255} and grey_samples(M.to_image(payload)) == payload
+
+
 def test_media_bad_member(spark, tmp_path):
     folder = M.write_archives(docs(spark, ["one", "two", "three"]).coalesce(1))
     import glob
@@ -501,3 +528,24 @@ def test_pipeline_keeps_columns(spark):
         assert after.columns == frame.columns and 0 < after.count() <= frame.count(), name
         frame = after
     assert corpus_pipeline.STAGES[-1][1](spark, frame, d).select("doc_id").distinct().count() == frame.count()
+
+
+def test_pipeline_odd_tables(spark, tmp_path):
+    """Nulls in every column, empty and long texts, repeated rows, clashing columns and an empty table pass every stage."""
+    import corpus_pipeline
+
+    from tokenloom.llm.common import materialise
+
+    d = "/root/testdata/sf0.001"
+    extra = {c: F.lit("clash") for c in ("host", "text_key", "judged_text", "k", "node", "rejected", "n_dropped", "n_words", "contaminated", "label")}
+    frame = spark.read.parquet(f"{d}/documents.parquet").limit(60)
+    nulls = spark.createDataFrame([(None, None, None, None, None), (9001, "", "en", None, 0), (9002, "word " * 30_000, None, "s", None), (9003, "\n\n", "en", "s", 2), (None, "some words that nobody else wrote here", "en", "s", 5)], "doc_id long, text string, lang string, source string, n_chars long")
+    both = frame.select("doc_id", "text", "lang", "source", "n_chars").unionByName(nulls)
+    for table in (both.union(both.limit(5)).withColumns(extra), both.limit(0)):
+        docs = materialise(table)
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            after = materialise(stage(spark, docs, d))
+            assert after.columns == docs.columns and after.count() <= docs.count() and (name != "lines" or after.count() == docs.count()), name
+            docs = after
+        packed = corpus_pipeline.STAGES[-1][1](spark, docs, d)
+        assert packed.where("start = 0").count() == docs.count()
