@@ -14,14 +14,19 @@ from tokenloom.llm.common import materialise, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language cannot be told go."""
+    """Documents whose language cannot be told go: null, empty and letterless texts, and texts unlike every learned language.
+
+    Rows without an id are judged like others but never learned from; without any label every document goes. Repeated
+    rows are judged alike; an empty table stays empty."""
     from tokenloom.llm.language_id import identify_language
 
     return identify_language(docs).where("not rejected").select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that too many documents of the same source hold go; documents stay."""
+    """Lines that too many documents of the same source hold go; documents stay, with null and empty texts as they are.
+
+    Documents without a source are judged together; an empty table stays empty."""
     from tokenloom.llm.line_dedup import drop_boilerplate_lines
 
     kept = drop_boilerplate_lines(docs)
@@ -30,21 +35,23 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id stays."""
+    """Of each group of linked documents the one with the smallest id stays.
+
+    Texts without words are linked with nothing; rows without an id stay; of rows that repeat an id one stays."""
     from tokenloom.llm.jaccard_join import keep_one
 
     return keep_one(docs)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
+    """Documents that hold a window of a benchmark item go; null and empty texts hold none, repeated rows are judged alike."""
     from tokenloom.llm.decontaminate import decontaminate
 
     return decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of at most 4096 tokens."""
+    """Pieces of documents in sequences of at most 4096 tokens; a null or empty text is its end token, an empty table has no pieces."""
     import public_tokenizers
 
     from tokenloom.llm.packing import pack_documents
