@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -120,6 +121,8 @@ def planned_calls(spark, sf_dir):
 
 def pipeline_report(spark, sf_dir):
     full, routed, models = _both_pipelines(spark, sf_dir)
+    # Calls are read for their sizes and for their covers; their texts are not kept.
+    full, routed = (c.drop("text").persist(StorageLevel.DISK_ONLY) for c in (full, routed))
     calls = full.withColumn("pipeline", F.lit("full")).unionByName(routed.withColumn("pipeline", F.lit("routed"))).select("pack_id", "model_key", "pipeline", "tokens_in", "tokens_out", "fits")
     return C.pipeline_report(calls, C.produced_fields(full, routed), models)
 
@@ -249,7 +252,8 @@ def _facts(spark, sf_dir):
 def _contexts(spark, sf_dir):
     """All seven strategies, with text where the budget holds."""
     asked, told, kb = _asked(spark, sf_dir), messages(spark, sf_dir), chunks(spark, sf_dir)
-    return Z.all_contexts(told, asked, notes(spark, sf_dir), kb, PLAN, SYSTEM)
+    # Summed and checked: built once.
+    return Z.all_contexts(told, asked, notes(spark, sf_dir), kb, PLAN, SYSTEM).persist(StorageLevel.DISK_ONLY)
 
 
 def _checked(contexts, spark, sf_dir):
