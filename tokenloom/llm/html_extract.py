@@ -33,6 +33,8 @@ CLASS_TOKENS, CLASS_PAGES, CLASS_SHARE = 2, 3, 0.3
 SKELETON_SHARE = 0.5
 #: What stands on this share of the pages needs no company in its class; from so many pages on, this also holds inside an article.
 WHOLE_SHARE, ARTICLE_PAGES = 0.8, 8
+#: Elements on fewer than this share of a host's pages delimit no slots, so a host has at most so many times a page's elements.
+SLOT_SHARE = 0.01
 #: The article's slot holds this share of its pages' text; it is widened while that adds at most this share.
 MAIN_SHARE, WIDER_SHARE = 0.6, 0.25
 #: Templates are broadcast only up to so many tokens.
@@ -64,7 +66,8 @@ _SPACE = re.compile(r"\s+")
 def _furniture(tag: str, attributes: str, in_article: bool) -> bool:
     if tag in FURNITURE and not (tag == "header" and in_article):
         return True
-    if not attributes or tag in ("html", "body", "article", "main") and "comment" not in attributes.lower():
+    low = attributes.lower()
+    if not any(x in low for x in ("class", "id", "role", "hidden")) or tag in ("html", "body", "article", "main") and "comment" not in low:
         return False
     if re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", attributes):
         return True
@@ -79,6 +82,9 @@ def _furniture(tag: str, attributes: str, in_article: bool) -> bool:
 
 def _sign(attributes: str) -> str:
     """Classes and id of an element, numbers apart, so that an element keeps its role from page to page."""
+    low = attributes.lower()
+    if "class" not in low and "id" not in low:
+        return ""
     signs = [_SIGN.sub(".", "".join(values).lower()) for name, *values in _ATTRIBUTE.findall(attributes) if name.lower() in ("class", "id")]
     return "".join(f".{x}" for x in signs)
 
@@ -292,7 +298,7 @@ def templates(pages: DataFrame, host: str, html: str) -> DataFrame:
     members = vectors.where("kind <> 3").join(nested, ["host", "vector"])
     often = F.col("pages") >= F.col("all_pages") * CLASS_SHARE
     in_article = (F.col("kind") != 0) & F.col("whole") & (F.col("all_pages") >= ARTICLE_PAGES)
-    slot = F.when(F.col("kind") == 0, F.struct("token", "text", "linked", "page_text"))
+    slot = F.when((F.col("kind") == 0) & (F.col("pages") >= F.col("all_pages") * SLOT_SHARE), F.struct("token", "text", "linked", "page_text"))
     return members.groupBy("host").agg(
         F.collect_set(F.when(often & F.col("kind").isin(1, 4), F.col("token"))).alias("everywhere"),
         F.collect_set(F.when(often & in_article, F.col("token"))).alias("in_article"), F.collect_list(slot).alias("slots"),
