@@ -10,6 +10,7 @@ lengths and checksums are shuffled, never tokens.
 from __future__ import annotations
 
 import random
+import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -20,55 +21,75 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import give_back
+
 #: The tokenizer lower-cases, drops white space and never joins across it, so a text's ids are those
 #: of its blank-separated chunks, and a chunk's ids those of its letter runs, digits and symbol runs.
-PIECE = r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
-CACHE_ENTRIES = 400_000
+PIECE, ASCII_PIECE = r"\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+", re.compile(rb"[a-z]+|[0-9]|[^a-z0-9]+")
+#: The cache holds at most two generations of so many chunks.
+CACHE_ENTRIES = 200_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _WHOLE = 1 << 62
+#: Byte-level vocabularies name a byte by its Latin-1 character where that is visible, else by the next free one from 256 on.
+_VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_NAMES = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _VISIBLE)}
 
 
 class CachedTokenizer:
-    """Ids of whole texts as little-endian 32-bit bytes, by a bounded cache of chunks."""
+    """Ids of whole texts as little-endian 32-bit bytes, by a bounded cache of chunks.
+
+    Bytes that are no UTF-8 count as U+FFFD."""
 
     def __init__(self, path: str):
         import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.pieces = regex.compile(PIECE)
-        self.chunks: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.id_bytes = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
     def _direct(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _part(self, piece: str) -> bytes:
-        ids = self.parts.get(piece)
-        if ids is None:
-            if len(self.parts) >= CACHE_ENTRIES:
-                self.parts.clear()
-            ids = self.parts[piece] = self._direct(piece)
-        return ids
+    def _merged(self, piece: bytes) -> bytes:
+        """A normalised piece, by the merges alone: the whole tokenizer takes several times as long for a word."""
+        name = piece.decode("ascii") if piece.isalnum() else piece.decode("latin-1").translate(_BYTE_NAMES)
+        id_bytes = self.id_bytes
+        return b"".join([id_bytes[t.id] for t in self.model.tokenize(name)])
 
     def _chunk(self, chunk: bytes) -> bytes:
-        text = chunk.decode()
-        if "'" in text or not unicodedata.is_normalized("NFC", text):
-            ids = self._direct(text)
-        else:
-            ids = b"".join([self._part(p) for p in self.pieces.findall(text)])
-        if len(self.chunks) >= CACHE_ENTRIES:
-            self.chunks.clear()
-        self.chunks[chunk] = ids
+        """The ids of a chunk that the young generation lacks."""
+        ids = self.old.get(chunk)
+        if ids is None:
+            if chunk.isalpha():  # ASCII letters
+                ids = self._merged(chunk)
+            elif b"'" in chunk:  # contractions
+                ids = self._direct(chunk.decode("utf-8", "replace"))
+            elif chunk.isascii():
+                ids = b"".join([self.young.get(p) or self._merged(p) for p in ASCII_PIECE.findall(chunk)])
+            else:
+                text = chunk.decode("utf-8", "replace")
+                # Letters beyond Latin, and what is not yet normal or lower-cased: the whole tokenizer.
+                if max(text) > "\u024f" or text != text.lower() or not unicodedata.is_normalized("NFC", text):
+                    ids = self._direct(text)
+                else:
+                    ids = b"".join([self.young.get(p) or self._merged(p) for p in map(str.encode, self.pieces.findall(text))])
+        if len(self.young) >= CACHE_ENTRIES:
+            self.old, self.young = self.young, {}
+        self.young[chunk] = ids
         return ids
 
     def encode(self, utf8: bytes) -> bytes:
         if b"<|" in utf8:  # the vocabulary's special strings are matched before lower-casing
-            return self._direct(utf8.decode())
-        get, miss, words = self.chunks.get, self._chunk, utf8.lower().split()
-        found = [get(w) for w in words]
+            return self._direct(utf8.decode("utf-8", "replace"))
+        words = utf8.lower().split()
+        found = list(map(self.young.get, words))
         if None in found:
-            found = [ids if ids is not None else miss(w) for w, ids in zip(words, found, strict=True)]
+            get, miss = self.young.get, self._chunk
+            found = [ids if ids is not None else get(w) or miss(w) for w, ids in zip(words, found, strict=True)]
         return b"".join(found)
 
 
@@ -135,6 +156,8 @@ def pack_documents(
             if rows:
                 names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "group"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names)
+        del tokenizer
+        give_back()
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         rest = pdf["sequence_id"].isna().to_numpy()
