@@ -29,13 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import batches_of, give_back, materialise
 
 #: The order of frequent shingles is a broadcast of at most so many; the bar rises until it fits.
 FREQUENT_LIMIT = 1_000_000
 FREQUENT_FROM = 4
 #: Counted while reading: shingles seen at least so often within a buffer of BUFFER shingles.
-LOCAL_FROM, BUFFER = 2, 8_000_000
+LOCAL_FROM, BUFFER = 2, 1_000_000
 #: Prefixes are longer than one common element needs, by n / SHARED_PART, and pairs must share so many more.
 SHARED_PART = 24
 #: Rounds in which nodes meet leaders only, and the share of the needed common elements asked for there.
@@ -44,9 +44,11 @@ LEADER_ROUNDS, LEADER_SHARE = 2, 0.3
 HUB_FROM = 64
 #: Candidates of one leader that are walked in one task.
 BLOCK = 512
+#: Texts that a worker gets at once.
+BATCH_ROWS = 1000
 #: Lists of nodes are broadcast only up to so many entries.
 BROADCAST_NODES = 500_000
-_TEXT_BLOCK = 1 << 20
+_TEXT_BLOCK = 1 << 18
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _RNG = np.random.Generator(np.random.PCG64(20260711))
@@ -240,6 +242,8 @@ def _frequent(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
                     held, n = [], 0
         if held:
             yield flush()
+        held.clear()
+        give_back()
 
     counted = materialise(docs.select("text").mapInArrow(count, "hash long, times long").groupBy("hash").agg(F.sum("times").alias("df")).where(F.col("df") >= FREQUENT_FROM))
     bar = FREQUENT_FROM
@@ -263,8 +267,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     nothing. Repeated rows keep a row each; a row without doc_id is linked with equal sets only, and names no
     component, which is null if it has no other member. Other columns are not carried. An empty table gives no rows.
     """
-    spark = docs.sparkSession
-    texts = _texts(docs, id_col, text_col)
+    with batches_of(docs.sparkSession, BATCH_ROWS):
+        return _joined(_texts(docs, id_col, text_col), size, percent)
+
+
+def _joined(texts: DataFrame, size: int, percent: int) -> DataFrame:
+    spark = texts.sparkSession
     order = spark.sparkContext.broadcast(_frequent(texts, size))
 
     def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,6 +286,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))], ["doc_id", "node", "n", "prefix"]
             )
+        give_back()
 
     signed = materialise(texts.mapInArrow(signatures, "doc_id long, node long, n long, prefix array<long>"))
     nodes = signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
@@ -324,6 +333,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                             rows = []
                 if rows:
                     yield sent(rows)
+            give_back()
 
         def sent(rows: list[tuple]) -> pa.RecordBatch:
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary())
@@ -403,9 +413,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         links = materialise(links.union(differing.where("linked").select("hub", "node")))
         joined = materialise(components(links))
         differing = differing.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        differing = differing.select("hub", "node", "n", F.size("tokens").cast("long").alias("size"), "least", "component", F.explode("tokens").alias("token"))
+        differing = materialise(differing.select("hub", "node", "n", F.size("tokens").cast("long").alias("size"), "least", "component", F.explode("tokens").alias("token")))
         # Rarest differences of the hub's nodes first; only prefixes are kept.
-        differing = differing.withColumn("df", F.count("*").over(W.partitionBy("hub", "token"))).withColumn("pos", F.row_number().over(W.partitionBy("hub", "node").orderBy("df", "token")) - 1)
+        # Counted before it is shuffled: a difference that most nodes of a hub have would else be one task's.
+        held = materialise(differing.groupBy("hub", "token").agg(F.count("*").alias("df")).where("df > 1"))
+        if held.count() <= BROADCAST_NODES:
+            held = F.broadcast(held)
+        differing = differing.join(held, ["hub", "token"], "left").withColumn("df", F.coalesce("df", F.lit(1))).withColumn("pos", F.row_number().over(W.partitionBy("hub", "node").orderBy("df", "token")) - 1)
         differing = materialise(differing.where("size - pos >= least"))
         a, b = differing.alias("a"), differing.alias("b")
         both = (F.col("a.size") + F.col("b.size")) * (100 + percent) - (F.col("a.n") + F.col("b.n")) * (100 - percent)
@@ -425,6 +439,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     named = nodes.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     labels = named.join(least, "component").select("node", "component_id")
+    order.destroy()  # what is returned only reads written tables
     return signed.select("doc_id", "node", F.col("n").alias("n_shingles")).join(labels, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 

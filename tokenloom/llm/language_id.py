@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh
+from .common import fresh, give_back
 
 ORDER = 4
 #: The labelled sample of each language: about so many documents, and at most so many characters.
@@ -26,9 +26,12 @@ FIT_DOCS, FIT_CHARS = 600, 4_000_000
 #: A text is rejected beyond so many times the largest deviation in the calibration texts, if its
 #: cross-entropy also is nearer to that of random letters than to the language's mean.
 REJECT_AT = 2.0
+#: A score is the share of the best language among exp(-s x nats per character), for the s of these under which the
+#: calibration texts' own languages are likeliest.
+SHARPNESS = (1.0, 2.0, 5.0, 10.0, 20.0, 50.0, 100.0, 200.0)
 UNKNOWN = "und"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_BLOCK = 1 << 20
+_BLOCK = 1 << 18
 _LETTER: list[np.ndarray] = []
 _PARTS = ("keys", "contexts", "suffixes", "probs", "context_keys", "gammas")
 MODEL = "lang string, k int, floor double, " + ", ".join(f"{p} binary" for p in _PARTS)
@@ -196,16 +199,20 @@ def _deviation(ce: np.ndarray, n: np.ndarray, stats: np.ndarray) -> np.ndarray:
     return (ce - mean) / np.sqrt(spread + noise / np.maximum(n, 1))
 
 
-def _calibrated(models: Models, labelled: DataFrame) -> np.ndarray:
-    """For each language: mean bits, variance between texts, variance of one character, largest deviation."""
+def _calibrated(models: Models, labelled: DataFrame) -> tuple[np.ndarray, float]:
+    """For each language: mean bits, variance between texts, variance of one character, largest deviation; and the scores' sharpness."""
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             bits, n = models.score(list(pdf["text"]))
             own = [models.langs.index(x) for x in pdf["lang"]]
-            yield pd.DataFrame({"lang": pdf["lang"], "ce": bits[np.arange(len(own)), own], "n": n})
+            rows = np.arange(len(own))
+            logs = {f"log{i}": -np.log(np.exp(-s * np.log(2) * (bits - bits[rows, own][:, None])).sum(axis=1)) for i, s in enumerate(SHARPNESS)}
+            yield pd.DataFrame({"lang": pdf["lang"], "ce": bits[rows, own], "n": n} | logs)
 
-    found = labelled.where(F.col("lang").isin(models.langs)).mapInPandas(measure, "lang string, ce double, n long").toPandas()
+    logs = [f"log{i}" for i in range(len(SHARPNESS))]
+    found = labelled.where(F.col("lang").isin(models.langs)).mapInPandas(measure, "lang string, ce double, n long, " + ", ".join(f"{x} double" for x in logs)).toPandas()
+    sharp = SHARPNESS[int(np.argmax(found[logs].mean()))] if len(found) else SHARPNESS[0]
     out = []
     for lang in models.langs:
         ce, n = found.loc[found["lang"] == lang, ["ce", "n"]].to_numpy().T
@@ -217,7 +224,7 @@ def _calibrated(models: Models, labelled: DataFrame) -> np.ndarray:
         (spread, noise), *_ = np.linalg.lstsq(np.stack([np.ones_like(inverse), inverse], 1), square, rcond=None)
         stats = np.array([mean, max(spread, 1e-3), max(noise, 1.0)])
         out.append((*stats, max(3.0, float(_deviation(ce, n, stats).max()))))
-    return np.array(out)
+    return np.array(out), sharp
 
 
 def fold(id_col: str, parts: int) -> Column:
@@ -232,7 +239,7 @@ def identify_language(
     Models learn from text and non-null label of rows whose crc32(id as text) mod ``parts`` is not
     ``held_out_part``: a sample of about ``FIT_DOCS`` documents (at most ``FIT_CHARS`` characters) for
     each language, and as many others for calibration. Every row is judged by its whole text. ``score`` is the
-    share of the best language among exp(-20 x nats per character).
+    share of the best language among exp(-s x nats per character), s calibrated.
 
     A null text or one without a letter is ``und``, score 0, and rejected; so is everything when
     nothing can be learned. Ties go to the first language by name. A null id is held out.
@@ -251,8 +258,8 @@ def identify_language(
         .where(F.col("text").rlike(r"\p{L}"))
     )
     models = _fitted(sample.where("key % 2 = 0"))
-    stats = _calibrated(models, sample.where("key % 2 = 1")) if models else None
-    shared = docs.sparkSession.sparkContext.broadcast((models, stats))
+    stats, sharp = _calibrated(models, sample.where("key % 2 = 1")) if models else (None, 1.0)
+    shared = docs.sparkSession.sparkContext.broadcast((models, stats, sharp))
     text_key = fresh(docs, "judged_text")
     columns = docs.select(*[F.col(c) for c in carry], held_out.alias("held_out"), F.col(text_col).alias(text_key))
     schema = T.StructType(
@@ -260,7 +267,7 @@ def identify_language(
     )
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models, stats = shared.value
+        models, stats, sharp = shared.value
         for batch in batches:
             texts = batch.column(batch.num_columns - 1).to_pylist()
             # Only the padding is left of a text without letters.
@@ -268,7 +275,7 @@ def identify_language(
             known = (n > 1) & bool(models)
             best = bits.argmin(axis=1)
             ce = bits[np.arange(len(bits)), best]
-            score = 1 / np.exp(-20 * np.log(2) * (bits - ce[:, None])).sum(axis=1)
+            score = 1 / np.exp(-sharp * np.log(2) * (bits - ce[:, None])).sum(axis=1)
             far = np.ones(len(bits), bool)
             if models:
                 halfway = (stats[best, 0] + models.uniform) / 2
@@ -276,5 +283,6 @@ def identify_language(
             lang = [models.langs[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)]
             new = [pa.array(lang), pa.array(np.where(known, score, 0.0)), pa.array(np.where(known, ce, np.nan), mask=~known), pa.array(far | ~known)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], names=[f.name for f in schema.fields])
+        give_back()
 
     return columns.mapInArrow(judge, schema)
