@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 
@@ -80,6 +81,23 @@ def op10_neural_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import ascii_lower
+    from .merkle import folded, manifest, path_digest
+
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.when(F.crc32(docs["doc_id"].cast("string").cast("binary")) % 5 == 0, ascii_lower(docs["text"])).otherwise(docs["text"])
+    found = manifest(docs, claims={"text": tampered}).withColumn("folded_root", folded(F.col("claim"), F.col("path")))
+    verified = (F.col("folded_root") == F.col("root")).alias("verified")
+    return found.select("doc_id", "leaf", "subroot", "root", path_digest(F.col("path")).alias("proof_sha256"), "folded_root", verified)
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spelling import count_words, variant_groups
+
+    return variant_groups(count_words(table(spark, sf_dir, "documents"), damage=("doc_id", 97)))
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_language_id": op2_language_id,
@@ -91,10 +109,33 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_neural_lm": op10_neural_lm,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: CRC-32: a table of 256 entries by eight steps each, then a fold over the bytes; the start and the end invert all bits.
+_CRC_TABLE = """crc_steps(i, v, k) AS (SELECT i, i, 0 FROM range(256) r(i) UNION ALL SELECT i, CASE WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1 FROM crc_steps WHERE k < 8),
+crc AS (SELECT list(v ORDER BY i) AS tab FROM crc_steps WHERE k = 8)"""
+
+
+def _crc(octets: str) -> str:
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {octets}), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+def _field(value: str) -> str:
+    return f"CASE WHEN {value} IS NULL THEN '-' ELSE strlen(({value})::VARCHAR) || ':' || ({value})::VARCHAR END"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(_field(x) for x in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+def _tree(name: str, leaves: str) -> str:
+    """Levels of the trees of ``leaves(tree, i, d, n)``: (tree, l, i, d, n)."""
+    return f"""{name}(tree, l, i, d, n) AS (SELECT tree, 0, i, d, n FROM {leaves}
+  UNION ALL SELECT tree, l + 1, i // 16, sha256(string_agg(d, '' ORDER BY i)), (n + 15) // 16 FROM {name} WHERE n > 1 GROUP BY tree, l, i // 16, n)"""
 
 ORACLE_SQL = {
     "op9_jaccard_join": rf"""
@@ -136,4 +177,43 @@ its AS (SELECT doc_id, count(*) AS n_items, string_agg(it, ',' ORDER BY it) AS i
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)""",
+    "op11_merkle_manifest": f"""
+WITH RECURSIVE {_CRC_TABLE},
+d AS (SELECT *, {_crc("list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)")} % 5 = 0 AS hit FROM documents, crc),
+lv AS (SELECT doc_id, coalesce('=' || source, '') AS tree, {_leaf('text')} AS leaf, {_leaf(f"CASE WHEN hit THEN translate(text, '{_UP}', '{_LOW}') ELSE text END")} AS claim FROM d),
+base AS (SELECT doc_id, tree, leaf AS d, claim, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf, claim) - 1 AS i, count(*) OVER (PARTITION BY tree) AS n FROM lv),
+{_tree('inner_tree', 'base')},
+sub AS (SELECT '' AS tree, tree AS name, d, row_number() OVER (ORDER BY encode(tree)) - 1 AS i, count(*) OVER () AS n FROM inner_tree WHERE n = 1),
+{_tree('outer_tree', 'sub')},
+top AS (SELECT d AS root FROM outer_tree WHERE n = 1),
+sibling AS (
+  SELECT b.doc_id, 0 AS part, t.l, t.i < b.i // 16::BIGINT ** t.l AS before, t.i, t.d FROM base b JOIN inner_tree t ON t.tree = b.tree AND t.n > 1
+    AND t.i // 16 = b.i // (16::BIGINT ** (t.l + 1))::BIGINT AND t.i <> b.i // (16::BIGINT ** t.l)::BIGINT
+  UNION ALL
+  SELECT b.doc_id, 1, t.l, t.i < s.i // 16::BIGINT ** t.l, t.i, t.d FROM base b JOIN sub s ON s.name = b.tree JOIN outer_tree t ON t.n > 1
+    AND t.i // 16 = s.i // (16::BIGINT ** (t.l + 1))::BIGINT AND t.i <> s.i // (16::BIGINT ** t.l)::BIGINT),
+steps AS (SELECT DISTINCT b.doc_id, 0 AS part, t.l FROM base b JOIN inner_tree t ON t.tree = b.tree AND t.n > 1 UNION ALL SELECT b.doc_id, 1, o.l FROM base b, (SELECT DISTINCT l FROM outer_tree WHERE n > 1) o),
+sided AS (SELECT t.doc_id, t.part, t.l, row_number() OVER (PARTITION BY t.doc_id ORDER BY t.part, t.l) AS k,
+  coalesce(string_agg(s.d, '' ORDER BY s.i) FILTER (WHERE s.before), '') AS lft, coalesce(string_agg(s.d, '' ORDER BY s.i) FILTER (WHERE NOT s.before), '') AS rgt
+  FROM steps t LEFT JOIN sibling s USING (doc_id, part, l) GROUP BY t.doc_id, t.part, t.l),
+fold(doc_id, k, d) AS (SELECT doc_id, 0, claim FROM base UNION ALL SELECT f.doc_id, s.k, sha256(s.lft || f.d || s.rgt) FROM fold f JOIN sided s ON s.doc_id = f.doc_id AND s.k = f.k + 1),
+ends AS (SELECT doc_id, max_by(d, k) AS folded_root FROM fold GROUP BY doc_id),
+proof AS (SELECT doc_id, sha256(string_agg(lft || rgt, '' ORDER BY k)) AS p FROM sided GROUP BY doc_id)
+SELECT b.doc_id, b.d AS leaf, s.d AS subroot, top.root, coalesce(p.p, sha256('')) AS proof_sha256, e.folded_root, e.folded_root = top.root AS verified
+FROM base b JOIN sub s ON s.name = b.tree JOIN ends e ON e.doc_id = b.doc_id LEFT JOIN proof p ON p.doc_id = b.doc_id, top""",
+    "op13_spelling_variants": rf"""
+WITH RECURSIVE {_CRC_TABLE},
+r AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '[A-Za-zÀ-ÿ]+')) AS w FROM documents),
+dw AS (SELECT doc_id, w, count(*) AS n FROM r GROUP BY ALL),
+h AS (SELECT doc_id, w, n, {_crc("flatten(list_transform(string_split(doc_id || ':' || w, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] ELSE [195::BIGINT, unicode(x)::BIGINT - 64] END))")} AS h FROM dw, crc),
+k AS (SELECT CASE WHEN h % 97 = 0 THEN substr(w, 1, (h % length(w))::BIGINT) || substr(w, (h % length(w))::BIGINT + 2) ELSE w END AS word, n FROM h),
+words AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM k WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+dels AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS d FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+pairs AS (SELECT a.word, a.n, b.word AS near, b.n AS near_n FROM dels a JOIN dels b ON a.d = b.d AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, a.n, w.word, w.n FROM dels a JOIN words w ON w.word = a.d UNION SELECT w.word, w.n, a.word, a.n FROM dels a JOIN words w ON w.word = a.d),
+best AS (SELECT word, count(*) AS n_near, first(near ORDER BY near_n DESC, encode(near)) AS near, max(near_n) AS near_n FROM pairs GROUP BY word),
+f AS (SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.near_n >= 2 * w.n THEN b.near END AS form, CASE WHEN b.near_n >= 2 * w.n THEN b.near_n END AS form_n FROM words w LEFT JOIN best b USING (word)),
+walk(word, goal) AS (SELECT word, word FROM f UNION ALL SELECT walk.word, f.form FROM walk JOIN f ON f.word = walk.goal WHERE f.form IS NOT NULL),
+ends AS (SELECT walk.word, walk.goal AS root FROM walk JOIN f ON f.word = walk.goal WHERE f.form IS NULL)
+SELECT f.word, f.form, ends.root, f.n, f.n_near, f.form_n FROM f JOIN ends USING (word)""",
 }
