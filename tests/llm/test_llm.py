@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -485,7 +486,9 @@ def test_html_classes_brute_force(spark):
     htmls = [page_of(i) if i % 6 else f"<html><body><section><b>Odd</b> {i}</section></body></html>" for i in range(24)]
     pages = spark.createDataFrame([(i, "http://h.com/", h) for i, h in enumerate(htmls)], "page_id int, host string, html string")
     got = {x["token"]: (x["text"], x["linked"], x["page_text"]) for x in X.templates(pages, "host", "html").first()["slots"]}
-    found = [X.runs(h) for h in htmls]
+    parsed = [X.runs(h) for h in htmls]
+    found = [[("".join(f"/{x}" for x in roles.path(role)), *rest) for role, *rest in f] for f, roles in parsed]
+    digests = {"".join(f"/{x}" for x in roles.path(n)): roles.digest[n] for _, roles in parsed for n in range(1, len(roles))}
     roles = sorted({x[0] for f in found for x in f if not x[2]})
     vectors = {r: tuple(sum(x[0] == r and not x[2] for x in f) for f in found) for r in roles}
     places = {r: np.mean([min(i for i, x in enumerate(f) if x[0] == r and not x[2]) for f, c in zip(found, vectors[r]) if c]) for r in roles}
@@ -500,10 +503,13 @@ def test_html_classes_brute_force(spark):
         inside = min(places[r] for r in own) >= min(span) and max(places[r] for r in own) <= max(span)
         if stands >= X.CLASS_PAGES and (stands >= 0.8 * len(htmls) or len(own) >= 2 and inside):
             want |= set(own)
-    assert set(got) == {X._role(r) for r in want} and "/html/body" in want and "/html/body/div.x2/div.x3" in want
+    assert set(got) == {digests[r] for r in want} and len(set(digests.values())) == len(digests) and "/html/body" in want and "/html/body/div.x2/div.x3" in want
+    held = []
+    for f, of in parsed:
+        inside, total = X.masses(f, of)
+        held.append(({"".join(f"/{x}" for x in of.path(n)): inside[n] for n in range(1, len(of))}, total))
     for r in want:
-        held = [X.masses(f) for f in found]
-        assert got[X._role(r)] == (sum(m.get(r, (0, 0))[0] for m, _ in held), sum(m.get(r, (0, 0))[1] for m, _ in held), sum(t for (_, t), c in zip(held, vectors[r]) if c))
+        assert got[digests[r]] == (sum(m.get(r, (0, 0))[0] for m, _ in held), sum(m.get(r, (0, 0))[1] for m, _ in held), sum(t for (_, t), c in zip(held, vectors[r]) if c))
 
 
 def test_html_odd_pages(spark):
@@ -516,6 +522,29 @@ def test_html_odd_pages(spark):
     assert next(r["n_chars"] for r in got if r["page_id"] == 1) == 60_000 * 11 - 1
 
 
+@pytest.mark.parametrize("page", ["<div>" * 50_000, "<b>" * 50_000 + "<div>x" * 50_000, "<i>" * 50_000 + "</x>" * 50_000, "<p><b>" * 50_000 + "</b>" * 50_000, "<div class=a>" * 20_000 + "<h1>t</h1>" * 20_000], ids=range(5))
+def test_html_hostile_pages_take_linear_time(page):
+    began = time.process_time()
+    found, roles = X.runs(page)
+    inside, _ = X.masses(found, roles)
+    # Every role is a slot, so widening goes as far as it can.
+    X.main_text(page, frozenset(), frozenset(), {d: (10, 0, 10) for d in roles.digest[1:]})
+    assert len(inside) == len(roles) and time.process_time() - began < 10
+
+
+def test_html_templates_beside_the_pages(spark, monkeypatch):
+    """Templates that are too large for a broadcast travel in front of their pages and give the same texts."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    rows = [(i, f"http://{'h' if i % 3 else 'k'}.com/", page_of(i)) for i in range(60)] + [(900, None, None), (901, "http://one.com/", "<p>x")]
+    made = spark.createDataFrame(rows, "page_id int, url string, html string")
+    for frame in (pages, made.union(made.where("page_id < 3"))):
+        want = sorted(map(tuple, X.extract_pages(frame).collect()))
+        with monkeypatch.context() as m:
+            m.setattr(X, "BROADCAST_TOKENS", -1)
+            m.setattr(X, "PART_PAGES", 7)
+            assert sorted(map(tuple, X.extract_pages(frame).collect())) == want
+
+
 def test_pipeline_keeps_columns(spark):
     import corpus_pipeline
 

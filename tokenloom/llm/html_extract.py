@@ -13,7 +13,6 @@ tags and names only take furniture away inside the slot, and stand in for pages
 
 from __future__ import annotations
 
-import hashlib
 import html as entities
 import re
 from collections import Counter
@@ -21,6 +20,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,12 +33,10 @@ CLASS_TOKENS, CLASS_PAGES, CLASS_SHARE = 2, 3, 0.3
 SKELETON_SHARE = 0.5
 #: What stands on this share of the pages needs no company in its class; from so many pages on, this also holds inside an article.
 WHOLE_SHARE, ARTICLE_PAGES = 0.8, 8
-#: Elements on fewer than this share of a host's pages delimit no slots, so a host has at most so many times a page's elements.
-SLOT_SHARE = 0.01
 #: The article's slot holds this share of its pages' text; it is widened while that adds at most this share.
 MAIN_SHARE, WIDER_SHARE = 0.6, 0.25
-#: Templates are broadcast only up to so many tokens.
-BROADCAST_TOKENS = 500_000
+#: Templates are broadcast only up to so many tokens; beyond, a host's pages go to tasks so many at a time, its template before them.
+BROADCAST_TOKENS, PART_PAGES = 500_000, 4_096
 
 # Fixed values of the HTML standard and common class names.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -54,7 +52,7 @@ ROLES = frozenset("navigation banner contentinfo complementary search dialog ale
 TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd blockquote pre figure figcaption table thead tbody tfoot tr td th caption".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Beyond these a slot is not widened.
-OUTERMOST = ("", "/html", "/html/body")
+OUTERMOST = ((), ("html",), ("html", "body"))
 
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>")
 _ATTRIBUTE = re.compile(r"([^\s=/\"']+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
@@ -89,14 +87,52 @@ def _sign(attributes: str) -> str:
     return "".join(f".{x}" for x in signs)
 
 
-def runs(page: str) -> list[tuple[str, int, str, int, int]]:
-    """(role, area, text, block, within) of elements (text '') and text runs in page order.
+class Roles:
+    """The roles of a page's elements, numbered as they first come up: a role is its parent's number and a step (tag and sign).
+
+    The root is 0; parents have smaller numbers than what is in them. A role's digest comes from its parent's."""
+
+    def __init__(self) -> None:
+        self.parent, self.step, self.depth, self.digest, self.linked, self.textual = [0], [""], [0], [0], [False], [False]
+        self._known: dict[tuple[int, str], int] = {}
+
+    def __len__(self) -> int:
+        return len(self.parent)
+
+    def number(self, parent: int, step: str) -> int:
+        n = self._known.get((parent, step))
+        if n is None:
+            n = self._known[parent, step] = len(self.parent)
+            tag = step.partition(".")[0]
+            self.parent.append(parent)
+            self.step.append(step)
+            self.depth.append(self.depth[parent] + 1)
+            self.digest.append(_step_digest(self.digest[parent], step))
+            self.linked.append(self.linked[parent] or tag == "a")
+            self.textual.append(self.textual[parent] or tag in TEXTUAL)
+        return n
+
+    def path(self, n: int) -> tuple[str, ...]:
+        steps = []
+        while n:
+            steps.append(self.step[n])
+            n = self.parent[n]
+        return tuple(reversed(steps))
+
+    def outermost(self, n: int) -> bool:
+        return self.depth[n] <= 2 and self.path(n) in OUTERMOST
+
+
+def runs(page: str) -> tuple[list[tuple[int, int, str, int, int]], Roles]:
+    """(role, area, text, block, within) of elements (text '') and text runs in page order, and the page's roles.
 
     Areas: 0 furniture, 1 plain, 2 inside an article or main element. Runs of one block share its number. ``within`` is
-    the length of the role of the innermost element that is furniture by its kind, 0 outside of any.
+    the depth of the innermost element that is furniture by its kind, 0 outside of any. Time and memory are linear in the page.
     """
-    out: list[tuple[str, int, str, int, int]] = []
-    stack: list[tuple[str, str, int, int]] = [("", "", 1, 0)]
+    out: list[tuple[int, int, str, int, int]] = []
+    roles = Roles()
+    stack: list[tuple[str, int, int, int]] = [("", 0, 1, 0)]
+    opened: Counter = Counter()  # so that an end tag without a start costs no search
     at, block, n = 0, 0, len(page)
 
     def text(upto: int) -> None:
@@ -129,24 +165,21 @@ def runs(page: str) -> list[tuple[str, int, str, int, int]]:
         if tag not in INLINE and tag != "br":
             block += 1
         if closing:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
+            while opened[tag]:
+                opened[last := stack.pop()[0]] -= 1
+                if last == tag:
                     break
             continue
         if tag not in INLINE and tag not in VOID:
-            for k in range(len(stack) - 1, 0, -1):  # a block ends an open paragraph and what is in it
-                if stack[k][0] == "p":
-                    del stack[k:]
-                elif stack[k][0] in INLINE:
-                    continue
-                break
+            if opened["p"]:  # a block ends an open paragraph and what is in it; only inline elements are open inside
+                while opened["p"] and (stack[-1][0] == "p" or stack[-1][0] in INLINE):
+                    opened[stack.pop()[0]] -= 1
             if tag in ("li", "tr", "td", "th", "dt", "dd", "option") and stack[-1][0] == tag:
-                stack.pop()
+                opened[stack.pop()[0]] -= 1
         _, role, area, within = stack[-1]
-        role = f"{role}/{tag}{_sign(attributes) if attributes else ''}"
+        role = roles.number(role, f"{tag}{_sign(attributes) if attributes else ''}")
         if _furniture(tag, attributes, area == 2):
-            area, within = 0, len(role)
+            area, within = 0, roles.depth[role]
         elif area == 1 and (tag in ("article", "main") or 'role="main"' in attributes):
             area = 2
         out.append((role, area, "", block, within))
@@ -156,84 +189,102 @@ def runs(page: str) -> list[tuple[str, int, str, int, int]]:
             low = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(page, at)
             end = low.start() if low else n
             if tag not in ("script", "style"):
-                stack.append((tag, role, 0, len(role)))
+                stack.append((tag, role, 0, roles.depth[role]))
                 text(end)
                 stack.pop()
             at = end
         elif tag not in VOID and not attributes.endswith("/"):
             stack.append((tag, role, area, within))
-    return out
+            opened[tag] += 1
+    return out, roles
 
 
-def _digest(role: str, text: str) -> int:
-    return int.from_bytes(hashlib.blake2b(f"{role}\n{text}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+def _digest(seed: int, text: str) -> int:
+    """64 bits with a sign, as Spark's long."""
+    found = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"), seed & 0xFFFFFFFFFFFFFFFF)
+    return found - (found >> 63 << 64)
 
 
 @lru_cache(1 << 16)
-def _role(role: str) -> int:
-    return _digest(role, "")
+def _known_step(parent: int, step: str) -> int:
+    return _digest(parent, step)
+
+
+def _step_digest(parent: int, step: str) -> int:
+    # Long attributes are not kept in a worker that lives on.
+    return _known_step(parent, step) if len(step) <= 64 else _digest(parent, step)
 
 
 def _clean(text: str) -> str:
     return _SPACE.sub(" ", entities.unescape(text)).strip()
 
 
-def masses(found: list[tuple[str, int, str, int, int]]) -> tuple[dict[str, list[int]], int]:
+def masses(found: list[tuple[int, int, str, int, int]], roles: Roles) -> tuple[list[list[int]], int]:
     """Characters of text inside each role, and how many of them stand in links; and those of the page that do not."""
-    own: dict[str, int] = {}
-    for role, _, text, _, _ in found:
-        own[role] = own.get(role, 0) + len(text.strip())
-    inside: dict[str, list[int]] = {}
+    inside = [[0, 0] for _ in range(len(roles))]
     total = 0
-    for role, size in own.items():
-        linked = size if "/a/" in f"{role}/" or "/a." in role else 0
-        total += size - linked
-        while role:
-            held = inside.setdefault(role, [0, 0])
-            held[0] += size
-            held[1] += linked
-            role = role.rpartition("/")[0]
+    for role, _, text, _, _ in found:
+        size = len(text.strip())
+        inside[role][0] += size
+        if roles.linked[role]:
+            inside[role][1] += size
+        else:
+            total += size
+    for role in range(len(roles) - 1, 0, -1):  # what is in a role comes after it
+        up = inside[roles.parent[role]]
+        up[0] += inside[role][0]
+        up[1] += inside[role][1]
     return inside, total
 
 
-def main_role(roles: set[str], slots: dict[int, tuple[int, int, int]]) -> str | None:
+def main_role(roles: Roles, slots: dict[int, tuple[int, int, int]]) -> int | None:
     """Of a page's roles the one of the article's slot; ``slots``: (text, linked text, text of the pages outside of links) of template elements.
 
-    The innermost slot, no text element, with MAIN_SHARE of its pages' text; then the elements around it while each adds
-    a heading, at most WIDER_SHARE to it in all, and mostly no links."""
-    known = {r: slots[_role(r)] for r in roles if _role(r) in slots}
-    fit = [r for r, (text, linked, pages) in known.items() if text > linked and text - linked >= MAIN_SHARE * pages and not TEXTUAL.intersection(x.partition(".")[0] for x in r.split("/"))]
+    The innermost slot, no text element, with MAIN_SHARE of its pages' text; of equally deep ones the one with most text, then
+    the largest digest. Then the elements around it while each adds a heading, at most WIDER_SHARE to it in all, and mostly no links."""
+    known = {r: slots[roles.digest[r]] for r in range(1, len(roles)) if roles.digest[r] in slots}
+    fit = [r for r, (text, linked, pages) in known.items() if text > linked and text - linked >= MAIN_SHARE * pages and not roles.textual[r]]
     if not fit:
         return None
-    # Of equally deep ones the one with most text.
-    best = max(fit, key=lambda r: (r.count("/"), known[r][0], r))
-    while (outer := best.rpartition("/")[0]) in known and outer not in OUTERMOST:
+    best = max(fit, key=lambda r: (roles.depth[r], known[r][0], roles.digest[r]))
+    # Where the way down to a role leaves the way down to the slot.
+    way, leaves = [False] * len(roles), [0] * len(roles)
+    r = best
+    while r:
+        way[r], r = True, roles.parent[r]
+    for r in range(1, len(roles)):
+        leaves[r] = r if way[r] else leaves[roles.parent[r]]
+    headed = {leaves[r] for r in known if not way[r] and roles.step[r].partition(".")[0] in HEADINGS}
+    while (outer := roles.parent[best]) in known and not roles.outermost(outer):
         more, links = known[outer][0] - known[best][0], known[outer][1] - known[best][1]
-        headed = any(r.startswith(f"{outer}/") and not r.startswith(f"{best}/") and r.rpartition("/")[2].partition(".")[0] in HEADINGS for r in known)
-        if not headed or more > WIDER_SHARE * known[best][0] or 2 * links > more:
+        if outer not in headed or more > WIDER_SHARE * known[best][0] or 2 * links > more:
             break
         best = outer
-    return best if best not in OUTERMOST else None  # the whole body is no slot
+    return best if not roles.outermost(best) else None  # the whole body is no slot
 
 
 def main_text(page: str, everywhere: frozenset[int], in_article: frozenset[int], slots: dict[int, tuple[int, int, int]] | None = None) -> tuple[str, bool]:
     """The blocks of the article, and whether the template's slot gave them.
 
     Without such a slot: of the article that the page marks, if it holds text, else of all that is not furniture."""
-    found = runs(page)
-    main = main_role({x[0] for x in found if not x[2]}, slots) if slots else None
+    found, roles = runs(page)
+    main = main_role(roles, slots) if slots else None
+    inside = [False] * len(roles)
+    if main:
+        for r in range(main, len(roles)):
+            inside[r] = r == main or inside[roles.parent[r]]
     for wanted, known in ((3, in_article), (2, in_article), (1, everywhere)):
         if wanted == 3 and not main:
             continue
         blocks: list[list[tuple[str, bool]]] = []
         last = None
         for role, area, text, block, within in found:
-            if not text or (area != wanted if wanted < 3 else within > len(main) or not (role == main or role.startswith(f"{main}/"))):
+            if not text or (area != wanted if wanted < 3 else within > roles.depth[main] or not inside[role]):
                 continue
             if block != last:
                 blocks.append([])
                 last = block
-            blocks[-1].append((text, not text.strip() or bool(known) and _digest(role, _clean(text)) in known))
+            blocks[-1].append((text, not text.strip() or bool(known) and _digest(roles.digest[role], _clean(text)) in known))
         # A block goes if all of it is the template's: a repeated word in emphasis is no furniture.
         lines = [x for x in (_clean("".join(t for t, _ in b)) for b in blocks if not all(of for _, of in b)) if x]
         if lines:
@@ -249,21 +300,21 @@ def templates(pages: DataFrame, host: str, html: str) -> DataFrame:
         for batch in batches:
             hosts, rows = [], []
             for h, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                key = int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+                key = _digest(0, text)
                 first: dict[tuple[int, int], int] = {}
                 counts: Counter = Counter()
-                found = runs(text)
-                held, total = masses(found)
+                found, roles = runs(text)
+                held, total = masses(found, roles)
                 inside: dict[int, list[int]] = {}
                 for i, (role, area, run, _, _) in enumerate(found):
                     if run and not (run := _clean(run)):
                         continue
-                    code = _digest(role, run) if run else _role(role)
+                    code = _digest(roles.digest[role], run) if run else roles.digest[role]
                     kind = (area or 4 if run else 0, code)  # elements 0, text of furniture 4, else its area
                     counts[kind] += 1
                     first.setdefault(kind, i)
                     if not run:
-                        inside[code] = held.get(role, [0, 0])
+                        inside[code] = held[role]
                 if inside:
                     counts[(3, 0)] = 1  # the root, on every page with elements
                     first.setdefault((3, 0), 0)
@@ -298,7 +349,7 @@ def templates(pages: DataFrame, host: str, html: str) -> DataFrame:
     members = vectors.where("kind <> 3").join(nested, ["host", "vector"])
     often = F.col("pages") >= F.col("all_pages") * CLASS_SHARE
     in_article = (F.col("kind") != 0) & F.col("whole") & (F.col("all_pages") >= ARTICLE_PAGES)
-    slot = F.when((F.col("kind") == 0) & (F.col("pages") >= F.col("all_pages") * SLOT_SHARE), F.struct("token", "text", "linked", "page_text"))
+    slot = F.when(F.col("kind") == 0, F.struct("token", "text", "linked", "page_text"))
     return members.groupBy("host").agg(
         F.collect_set(F.when(often & F.col("kind").isin(1, 4), F.col("token"))).alias("everywhere"),
         F.collect_set(F.when(often & in_article, F.col("token"))).alias("in_article"), F.collect_list(slot).alias("slots"),
@@ -315,22 +366,62 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     host = fresh(pages, "page_host")
     keyed = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), url_host(F.col(url_col)).alias(host))
     known = materialise(templates(keyed, host, "html"))
-    if (known.agg(F.sum(F.size("everywhere") + F.size("in_article") + 4 * F.size("slots"))).first()[0] or 0) <= BROADCAST_TOKENS:
-        known = F.broadcast(known)
-    joined = keyed.join(known, keyed[host] == known["host"], "left").select("page_id", "url", "html", F.col(known.columns[0]).alias("host"), "everywhere", "in_article", "slots")
-
-    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            told: dict[str | None, tuple] = {None: (frozenset(), frozenset(), None)}
-            found = []
-            for i, (html, h) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                if h not in told:
-                    everywhere, in_article, slots = (batch.column(k)[i].as_py() for k in (4, 5, 6))
-                    told[h] = frozenset(everywhere), frozenset(in_article), {x["token"]: (x["text"], x["linked"], x["page_text"]) for x in slots}
-                found.append(main_text(html or "", *told[h]))
-            texts = [t for t, _ in found]
-            columns = [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array([by for _, by in found], pa.bool_())]
-            yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "text", "n_chars", "from_template"])
-
     kind = dict(keyed.dtypes)["page_id"]
-    return joined.mapInArrow(extract, f"page_id {kind}, url string, text string, n_chars long, from_template boolean")
+    schema = f"page_id {kind}, url string, text string, n_chars long, from_template boolean"
+    keyed = keyed.select("page_id", "url", "html", F.col(host).alias("host"))
+    if (known.agg(F.sum(F.size("everywhere") + F.size("in_article") + 4 * F.size("slots"))).first()[0] or 0) <= BROADCAST_TOKENS:
+        sent = pages.sparkSession.sparkContext.broadcast({r["host"]: _template(r["everywhere"], r["in_article"], r["slots"]) for r in known.collect()})
+
+        def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield _extracted(batch, [sent.value.get(h, NO_TEMPLATE) for h in batch.column(3).to_pylist()])
+
+        return keyed.mapInArrow(extract, schema)
+    return _with_templates(keyed, known).mapInArrow(_follow, schema)
+
+
+NO_TEMPLATE = (frozenset(), frozenset(), None)
+
+
+def _template(everywhere: list, in_article: list, slots: list) -> tuple[frozenset[int], frozenset[int], dict[int, tuple[int, int, int]]]:
+    return frozenset(everywhere), frozenset(in_article), {x["token"]: (x["text"], x["linked"], x["page_text"]) for x in slots}
+
+
+def _extracted(batch: pa.RecordBatch, told: list[tuple]) -> pa.RecordBatch:
+    """The result of pages (page_id, url, html) with a template for each."""
+    found = [main_text(html or "", *t) for html, t in zip(batch.column(2).to_pylist(), told, strict=True)]
+    texts = [t for t, _ in found]
+    columns = [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array([by for _, by in found], pa.bool_())]
+    return pa.RecordBatch.from_arrays(columns, ["page_id", "url", "text", "n_chars", "from_template"])
+
+
+def _with_templates(keyed: DataFrame, known: DataFrame) -> DataFrame:
+    """Pages dealt to parts of PART_PAGES of a host, with the host's template in front of each part's pages."""
+    parts = keyed.groupBy("host").agg(F.ceil(F.count("*") / F.lit(PART_PAGES)).alias("parts")).where("parts > 1")
+    columns = ["host", "part", "first", "page_id", "url", "html", "everywhere", "in_article", "slots"]
+    no = {c: F.lit(None).cast(dict(known.dtypes)[c]).alias(c) for c in ("everywhere", "in_article", "slots")}
+    dealt = keyed.withColumn("row", F.monotonically_increasing_id()).join(parts, "host", "left")
+    dealt = dealt.select("host", F.coalesce(F.pmod("row", "parts"), F.lit(0)).alias("part"), F.lit(1).alias("first"), "page_id", "url", "html", *no.values())
+    fronts = known.join(parts, "host", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1)))
+    none = [F.lit(None).cast(dict(keyed.dtypes)[c]).alias(c) for c in ("page_id", "url", "html")]
+    fronts = fronts.select("host", "part", F.lit(0).alias("first"), *none, "everywhere", "in_article", "slots")
+    both = fronts.unionByName(dealt).repartition("host", "part").sortWithinPartitions("host", "part", "first")
+    return both.select("page_id", "url", "html", *[c for c in columns if c not in ("page_id", "url", "html")])
+
+
+def _follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pages in the order of ``_with_templates``: one template is held at a time."""
+    of, template = None, NO_TEMPLATE
+    for batch in batches:
+        first, hosts = batch.column(5).to_pylist(), batch.column(3).to_pylist()
+        rows, told = [], []
+        for i, (f, h) in enumerate(zip(first, hosts, strict=True)):
+            if h != of:
+                of, template = h, NO_TEMPLATE
+            if f:
+                rows.append(i)
+                told.append(template)
+            else:
+                template = _template(*(batch.column(k)[i].as_py() for k in (6, 7, 8)))
+        if rows:
+            yield _extracted(batch.take(pa.array(rows)), told)

@@ -26,7 +26,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import batches_of, give_back, materialise
@@ -258,65 +259,33 @@ def _frequent(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     return hashes[by_hash], rank[by_hash]
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id.
+def _opened(block: pd.DataFrame) -> tuple[int, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """A block's query and its set, its candidates and theirs; rows that repeat a doc_id and a text count once."""
+    query = block["b"].isna().to_numpy()
+    own = np.frombuffer(block["elements"][query].iloc[0], np.uint64)
+    rest = block[~query].drop_duplicates("node")
+    return int(block["a"].iloc[0]), own, rest["node"].to_numpy(), [np.frombuffer(x, np.uint64) for x in rest["elements"]]
 
-    Two documents link when ``100 * intersection >= percent * union`` of their shingle sets;
-    ``component_id`` is the smallest doc_id reachable by links, the document included. Texts with
-    fewer than ``size`` words are one shingle; null, empty or blank texts have none and are linked with
-    nothing. Repeated rows keep a row each; a row without doc_id is linked with equal sets only, and names no
-    component, which is null if it has no other member. Other columns are not carried. An empty table gives no rows.
-    """
-    with batches_of(docs.sparkSession, BATCH_ROWS):
-        return _joined(_texts(docs, id_col, text_col), size, percent)
 
+class Sets:
+    """Shingle sets of nodes, made from their texts where they are compared.
 
-def _joined(texts: DataFrame, size: int, percent: int) -> DataFrame:
-    spark = texts.sparkSession
-    order = spark.sparkContext.broadcast(_frequent(texts, size))
+    ``texts(doc_id, text)`` and ``nodes(node, doc_id)``; ``order`` is a broadcast of the frequent shingles and their ranks."""
 
-    def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, rank = order.value
-        for batch in batches:
-            nodes, sizes, prefixes = [], [], []
-            for s in shingle_sets(batch.column(1).to_pylist(), size):
-                nodes.append(_node(s) if len(s) else None)
-                sizes.append(len(s))
-                prefixes.append(_ordered(s, frequent, rank)[: prefix_length(len(s), percent)].view(np.int64) if len(s) else [])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))], ["doc_id", "node", "n", "prefix"]
-            )
-        give_back()
-
-    signed = materialise(texts.mapInArrow(signatures, "doc_id long, node long, n long, prefix array<long>"))
-    nodes = signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-
-    from pyspark.sql import Window as W
-
-    token = W.partitionBy("token")
-    postings = (
-        signed.where("node is not null and doc_id is not null").select("node", "n", F.posexplode("prefix").alias("pos", "token"))
-        .repartition("token").distinct()
-        .withColumn("low", F.min("node").over(token)).withColumn("high", F.max("node").over(token)).where("low <> high")
-    )
-    postings = materialise(postings.select("token", "node", "n", "pos"))
+    def __init__(self, texts: DataFrame, nodes: DataFrame, size: int, percent: int, order):
+        self.texts, self.nodes, self.size, self.percent, self.order = texts, nodes, size, percent, order
 
-    def possible(a, b):
-        """Length and positional bounds for two nodes that hold a common element at their positions."""
-        need = F.ceil((a["n"] + b["n"]) * F.lit(percent) / F.lit(100 + percent))
-        reach = F.least(a["pos"], b["pos"]) + 1 + F.least(a["n"] - a["pos"], b["n"] - b["pos"]) - 1
-        return (F.least(a["n"], b["n"]) * 100 >= F.greatest(a["n"], b["n"]) * percent) & (reach >= need)
-
-    def by_block(pairs: DataFrame):
+    def by_block(self, pairs: DataFrame):
         """The sets of pairs (a, b), grouped into blocks of candidates b with their query a.
 
         A text is read once and its set sent to every block where it is the query (b is null) or
         a candidate."""
+        size, order = self.size, self.order
         blocks = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
         queries = blocks.select(F.col("a").alias("node"), F.col("a"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(None).cast("long").alias("b"))
         candidates = pairs.join(blocks, "a").select(F.col("b").alias("node"), "a", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block"), "b")
         places = queries.union(candidates).groupBy("node").agg(F.collect_list(F.struct("a", "block", "b")).alias("places"))
-        named = materialise(places.join(nodes, "node").select("doc_id", "node", "places"))
+        named = materialise(places.join(self.nodes, "node").select("doc_id", "node", "places"))
         if (named.agg(F.sum(F.size("places") + 1)).first()[0] or 0) <= BROADCAST_NODES:
             named = F.broadcast(named)
 
@@ -339,77 +308,49 @@ def _joined(texts: DataFrame, size: int, percent: int) -> DataFrame:
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["a", "block", "b", "elements"])
 
-        sets = texts.join(named, "doc_id").select("node", "places", "text").mapInArrow(send, "a long, block int, b long, elements binary")
+        sets = self.texts.join(named, "doc_id").select("node", "places", "text").mapInArrow(send, "a long, block int, b long, elements binary")
         # Pandas reads a column with nulls as doubles, so candidates' ids travel in a column without.
         return sets.withColumn("node", F.coalesce("b", "a")).groupBy("a", "block")
 
-    def opened(block: pd.DataFrame) -> tuple[int, np.ndarray, np.ndarray, list[np.ndarray]]:
-        """A block's query and its set, its candidates and theirs; rows that repeat a doc_id and a text count once."""
-        query = block["b"].isna().to_numpy()
-        own = np.frombuffer(block["elements"][query].iloc[0], np.uint64)
-        rest = block[~query].drop_duplicates("node")
-        return int(block["a"].iloc[0]), own, rest["node"].to_numpy(), [np.frombuffer(x, np.uint64) for x in rest["elements"]]
-
-    def verified(pairs: DataFrame) -> DataFrame:
+    def verified(self, pairs: DataFrame) -> DataFrame:
         """Of pairs (a, b), those at or above the threshold."""
+        percent = self.percent
 
         def check(block: pd.DataFrame) -> pd.DataFrame:
-            a, own, ids, sets = opened(block)
+            a, own, ids, sets = _opened(block)
             return pd.DataFrame({"a": a, "b": ids[walk(own, sets, percent)]}, dtype="int64")
 
-        return materialise(by_block(pairs).applyInPandas(check, "a long, b long").distinct())
+        return materialise(self.by_block(pairs).applyInPandas(check, "a long, b long").distinct())
 
-    def from_hubs(members: DataFrame) -> DataFrame:
+    def from_hubs(self, members: DataFrame) -> DataFrame:
         """For pairs (a, b) of hub and node: the node's differences from the hub."""
+        percent = self.percent
 
         def differ(block: pd.DataFrame) -> pd.DataFrame:
-            a, own, ids, sets = opened(block)
+            a, own, ids, sets = _opened(block)
             found = [differences(own, s, percent) for s in sets]
             columns = {"tokens": [t.view(np.int64) for t, _, _ in found], "least": [k for _, k, _ in found], "linked": [x for _, _, x in found]}
             return pd.DataFrame({"hub": a, "node": ids, "n": [len(s) for s in sets], **columns})
 
         kinds = "hub long, node long, n long, tokens array<long>, least long, linked boolean"
-        return materialise(by_block(members).applyInPandas(differ, kinds))
+        return materialise(self.by_block(members).applyInPandas(differ, kinds))
 
-    def pairs_of(met: DataFrame, share: float) -> DataFrame:
-        """Pairs with at least that share of the common elements that two such prefixes must have."""
-        need = 1 + F.floor(F.least("na", "nb") / F.lit(SHARED_PART))
-        counted = met.groupBy("a", "b").agg(F.count("*").alias("common"), F.min("na").alias("na"), F.min("nb").alias("nb"))
-        return counted.where(F.col("common") >= need * F.lit(share)).select("a", "b")
 
-    def apart(joined: DataFrame) -> DataFrame:
-        """Postings of the shingles that more than one component holds."""
-        placed = postings.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        placed = placed.withColumn("low", F.min("component").over(token)).withColumn("high", F.max("component").over(token))
-        return placed.where("low <> high").select("token", "node", "n", "pos", "component")
+def by_hubs(sets: Sets, common: DataFrame, weight: Column, links: DataFrame, joined: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links, components and pairs still to be verified of ``common(token, node, n)``: tokens that many nodes hold.
 
-    joined = spark.createDataFrame([], "node long, component long")
-    links = spark.createDataFrame([], "a long, b long")
-    tried = links
-    for r in range(LEADER_ROUNDS):
-        # The leader of a shingle is its node with the most links so far.
-        degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
-        placed = apart(joined).join(degree, "node", "left")
-        lead = F.max(F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), F.xxhash64("node", F.lit(r)).alias("draw"), "node", "n", "pos", "component")).over(token)
-        placed = placed.withColumn("lead", lead).where(F.col("component") != F.col("lead.component"))
-        own, other = ({"n": F.col(f"{x}n"), "pos": F.col(f"{x}pos")} for x in ("", "lead."))
-        met = placed.where(possible(other, own)).select(F.col("lead.node").alias("a"), F.col("node").alias("b"), F.col("lead.n").alias("na"), F.col("n").alias("nb"))
-        pairs = materialise(pairs_of(met, LEADER_SHARE).join(tried, ["a", "b"], "left_anti"))
-        tried = materialise(tried.union(pairs).union(pairs.select("b", "a")))
-        links = materialise(links.union(verified(pairs)))
-        joined = materialise(components(links))
-    placed = materialise(apart(joined).withColumn("df", F.count("*").over(token)))
+    ``weight`` tells of a node's rows in ``common`` how apt it is as a hub; ``links(a, b)`` and ``joined(node, component)`` are what is known."""
     # The hub of a shingle is the node with the largest share of common shingles: the fewest of its own.
-    common = placed.where(F.col("df") > HUB_FROM)
-    share = common.groupBy("node").agg((F.count("*") / F.first("n")).alias("share"))
+    percent = sets.percent
+    share = common.groupBy("node").agg(weight.alias("share"))
     hubs = common.join(share, "node").groupBy("token").agg(F.max(F.struct("share", F.xxhash64("node").alias("draw"), "node")).alias("hub"))
     # A hub need not hold the shingle: that of all shingles of the first choice is taken, so a group has few hubs.
     better = common.join(hubs, "token").groupBy("node").agg(F.max("hub").alias("better"))
     hubs = hubs.join(better, F.col("hub.node") == F.col("node")).select("token", F.col("better").alias("hub"))
     members = materialise(common.join(hubs, "token").select(F.col("hub.node").alias("a"), F.col("node").alias("b")).where("a <> b").distinct())
-    near = tried.limit(0)
+    near = members.limit(0)
     if members.limit(1).count():
-        differing = from_hubs(members)
+        differing = sets.from_hubs(members)
         links = materialise(links.union(differing.where("linked").select("hub", "node")))
         joined = materialise(components(links))
         differing = differing.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -428,6 +369,87 @@ def _joined(texts: DataFrame, size: int, percent: int) -> DataFrame:
         same = (F.col("a.hub") == F.col("b.hub")) & (F.col("a.token") == F.col("b.token"))
         met = a.join(b, same & (F.col("a.node") < F.col("b.node")) & (F.col("a.component") != F.col("b.component")) & within)
         near = met.select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
+    return links, joined, near
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id.
+
+    Two documents link when ``100 * intersection >= percent * union`` of their shingle sets;
+    ``component_id`` is the smallest doc_id reachable by links, the document included. Texts with
+    fewer than ``size`` words are one shingle; null, empty or blank texts have none and are linked with
+    nothing. Repeated rows keep a row each; a row without doc_id is linked with equal sets only, and names no
+    component, which is null if it has no other member. Other columns are not carried. An empty table gives no rows.
+    """
+    with batches_of(docs.sparkSession, BATCH_ROWS):
+        return _joined(_texts(docs, id_col, text_col), size, percent)
+
+
+def _joined(texts: DataFrame, size: int, percent: int) -> DataFrame:
+    spark = texts.sparkSession
+    order = spark.sparkContext.broadcast(_frequent(texts, size))
+
+    def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent, rank = order.value
+        for batch in batches:
+            nodes, sizes, prefixes = [], [], []
+            for s in shingle_sets(batch.column(1).to_pylist(), size):
+                nodes.append(_node(s) if len(s) else None)
+                sizes.append(len(s))
+                prefixes.append(_ordered(s, frequent, rank)[: prefix_length(len(s), percent)].view(np.int64) if len(s) else [])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))], ["doc_id", "node", "n", "prefix"]
+            )
+        give_back()
+
+    signed = materialise(texts.mapInArrow(signatures, "doc_id long, node long, n long, prefix array<long>"))
+    nodes = signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+
+    sets = Sets(texts, nodes, size, percent, order)
+    token = W.partitionBy("token")
+    postings = (
+        signed.where("node is not null and doc_id is not null").select("node", "n", F.posexplode("prefix").alias("pos", "token"))
+        .repartition("token").distinct()
+        .withColumn("low", F.min("node").over(token)).withColumn("high", F.max("node").over(token)).where("low <> high")
+    )
+    postings = materialise(postings.select("token", "node", "n", "pos"))
+
+    def possible(a, b):
+        """Length and positional bounds for two nodes that hold a common element at their positions."""
+        need = F.ceil((a["n"] + b["n"]) * F.lit(percent) / F.lit(100 + percent))
+        reach = F.least(a["pos"], b["pos"]) + 1 + F.least(a["n"] - a["pos"], b["n"] - b["pos"]) - 1
+        return (F.least(a["n"], b["n"]) * 100 >= F.greatest(a["n"], b["n"]) * percent) & (reach >= need)
+
+    def pairs_of(met: DataFrame, share: float) -> DataFrame:
+        """Pairs with at least that share of the common elements that two such prefixes must have."""
+        need = 1 + F.floor(F.least("na", "nb") / F.lit(SHARED_PART))
+        counted = met.groupBy("a", "b").agg(F.count("*").alias("common"), F.min("na").alias("na"), F.min("nb").alias("nb"))
+        return counted.where(F.col("common") >= need * F.lit(share)).select("a", "b")
+
+    def apart(joined: DataFrame) -> DataFrame:
+        """Postings of the shingles that more than one component holds."""
+        placed = postings.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        placed = placed.withColumn("low", F.min("component").over(token)).withColumn("high", F.max("component").over(token))
+        return placed.where("low <> high").select("token", "node", "n", "pos", "component")
+
+    joined = spark.createDataFrame([], "node long, component long")
+    links = spark.createDataFrame([], "a long, b long")
+    tried = links
+    for r in range(LEADER_ROUNDS):
+        # The leader of a shingle is its node with the most links so far.
+        degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
+        placed = apart(joined).join(degree, "node", "left")
+        lead = F.max(F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), F.xxhash64("node", F.lit(r)).alias("draw"), "node", "n", "pos", "component")).over(token)
+        placed = placed.withColumn("lead", lead).where(F.col("component") != F.col("lead.component"))
+        own, other = ({"n": F.col(f"{x}n"), "pos": F.col(f"{x}pos")} for x in ("", "lead."))
+        met = placed.where(possible(other, own)).select(F.col("lead.node").alias("a"), F.col("node").alias("b"), F.col("lead.n").alias("na"), F.col("n").alias("nb"))
+        pairs = materialise(pairs_of(met, LEADER_SHARE).join(tried, ["a", "b"], "left_anti"))
+        tried = materialise(tried.union(pairs).union(pairs.select("b", "a")))
+        links = materialise(links.union(sets.verified(pairs)))
+        joined = materialise(components(links))
+    placed = materialise(apart(joined).withColumn("df", F.count("*").over(token)))
+    share = F.count("*") / F.first("n")
+    links, joined, near = by_hubs(sets, placed.where(F.col("df") > HUB_FROM).select("token", "node", "n"), share, links, joined)
     placed = placed.where(F.col("df") <= HUB_FROM).select("token", "node", "n", "pos").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     a, b = placed.alias("a"), placed.alias("b")
     sides = [{"n": F.col(f"{x}.n"), "pos": F.col(f"{x}.pos")} for x in "ab"]
@@ -435,7 +457,7 @@ def _joined(texts: DataFrame, size: int, percent: int) -> DataFrame:
     met = met.select(F.col("a.node").alias("a"), F.col("b.node").alias("b"), F.col("a.n").alias("na"), F.col("b.n").alias("nb"))
     rest = materialise(pairs_of(met, 1.0).union(near.select("a", "b")).distinct().join(tried, ["a", "b"], "left_anti"))
     if rest.limit(1).count():
-        joined = materialise(components(links.union(verified(rest))))
+        joined = materialise(components(links.union(sets.verified(rest))))
     named = nodes.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     labels = named.join(least, "component").select("node", "component_id")

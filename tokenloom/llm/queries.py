@@ -92,6 +92,12 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "leaf", "subroot", "root", path_digest(F.col("path")).alias("proof_sha256"), "folded_root", verified)
 
 
+def op12_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash_forest import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .spelling import count_words, variant_groups
 
@@ -110,6 +116,7 @@ QUERIES = {
     "op9_jaccard_join": op9_jaccard_join,
     "op10_neural_lm": op10_neural_lm,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_minhash_forest": op12_minhash_forest,
     "op13_spelling_variants": op13_spelling_variants,
 }
 
@@ -137,16 +144,22 @@ def _tree(name: str, leaves: str) -> str:
     return f"""{name}(tree, l, i, d, n) AS (SELECT tree, 0, i, d, n FROM {leaves}
   UNION ALL SELECT tree, l + 1, i // 16, sha256(string_agg(d, '' ORDER BY i)), (n + 15) // 16 FROM {name} WHERE n > 1 GROUP BY tree, l, i // 16, n)"""
 
-ORACLE_SQL = {
-    "op9_jaccard_join": rf"""
+def _links(k: int, percent: int) -> str:
+    """(doc_id, n_shingles, component_id) by all pairs of documents with a common ``k``-word shingle."""
+    return rf"""
 WITH RECURSIVE d AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, '{_UP}', '{_LOW}'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
-s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-      ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM d),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {k} THEN [array_to_string(w, ' ')]
+      ELSE list_transform(range(1, len(w) - {k - 2}), lambda i: array_to_string(w[i:i + {k - 1}], ' ')) END) AS g FROM d),
 e AS (SELECT doc_id, len(g) AS n, unnest(g) AS g FROM s),
 p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id
-      GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
-r(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a)
-SELECT s.doc_id, len(g)::BIGINT AS n_shingles, c.component_id FROM s JOIN (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a) c USING (doc_id)""",
+      GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= {percent} * (a.n + b.n - count(*))),
+r(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a),
+linked AS (SELECT s.doc_id, len(g)::BIGINT AS n_shingles, c.component_id FROM s JOIN (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a) c USING (doc_id))"""
+
+
+ORACLE_SQL = {
+    "op9_jaccard_join": f"{_links(5, 75)} SELECT * FROM linked",
+    "op12_minhash_forest": f"{_links(4, 80)} SELECT *, doc_id = component_id AS kept FROM linked",
     "op1_url_filter": f"""
 WITH rules(h, p, a) AS (VALUES {', '.join(str(r) for r in URL_RULES)}),
 u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
