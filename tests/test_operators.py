@@ -191,9 +191,13 @@ def test_context_texts_hold_what_is_counted(spark):
         assert r["text"] is None or r["n"] == r["tokens"], (r["strategy"], r["n"], r["tokens"], r["text"])
     fresh = [r for r in got if r["request_id"] == S.NEW_SESSION]
     assert fresh and all(r["n_messages"] == 0 and not r["summary"] for r in fresh) and any(r["memory"] for r in fresh)
-    # Facts of the first turns: more can be answered with everything than without notes, and none where nothing can be sent.
+    # Engineered contexts cost less than truncated ones and answer more of the questions; nothing can be sent where all is.
     rows = {r["strategy"]: r for r in entry.queries()["strategy_summary"](spark, d).collect()}
-    assert rows["engineered"]["answerable"] >= rows["no_memory"]["answerable"] and rows["unbounded"]["answerable"] == 0 and rows["truncated"]["questions"] > 0
+    engineered, truncated = rows["engineered"], rows["truncated"]
+    assert engineered["total"] < truncated["total"] and engineered["answerable"] > truncated["answerable"] and engineered["over"] == truncated["over"] == 0
+    assert rows["unbounded"]["answerable"] == 0 and rows["unbounded"]["over"] > 0 and truncated["questions"] > 0
+    # Only notes outlive a session.
+    assert int(engineered["new_session"].split("/")[0]) > 0
     assert rows["no_memory"]["new_session"].startswith("0/") and {r["new_session"].split("/")[1] for r in rows.values()} == {str(len({r["conv_id"] for r in fresh}))}
 
 

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.folds import next_fit
+from ..functions.scan import next_fit_bins
 from ..functions.text import COUNTERS, Counter, call_cost, lines, normalise_ws, per_thousand, render_page, token_count
+from ..sources.scratch import written
 from .pages import render_pages
 
 # Model profiles (prices in USD per million tokens, null where there is none).
@@ -48,16 +50,18 @@ def chunk_packs(pages: DataFrame, models: DataFrame, overhead: int, output_share
 
     Room is the window less the output and the prompt; under 200 tokens the status is ``no_room``. A chunk's
     reply is reckoned at ``output_share`` of its text; the merge call holds all replies and must fit
-    too, else ``merge_too_big``. Only piece sizes are gathered for a pack, never its text."""
+    too, else ``merge_too_big``. A page's tokens are counted once for all models, and only pages over a model's room are
+    split for it; pieces are put into calls by ``next_fit_bins``, so a pack may be as long as the table."""
     sized = models.withColumn("room", F.col("context_window") - F.col("max_out") - overhead)
-    fit = sized.where(F.col("room") >= LEAST_ROOM)
-    per = pages.crossJoin(F.broadcast(fit.select("model_key", "room")))
-    pieces = split_oversize_pages(per, F.col("room"), ("model_key", "room")).select("model_key", F.col("room"), "pack_id", "page_no", "piece_no", "tokens")
-    lists = pieces.groupBy("pack_id", "model_key", "room").agg(F.transform(F.array_sort(F.collect_list(F.struct("page_no", "piece_no", "tokens"))), lambda x: x["tokens"]).alias("t"))
-    binned = lists.select("pack_id", "model_key", next_fit(F.col("t"), F.col("room")).alias("bins"))
-    out = lambda b: F.ceil(b["tokens"] * output_share).cast("long")
-    total = lambda f: F.aggregate("bins", F.lit(0).cast("long"), lambda a, b: a + f(b))
-    called = binned.select("pack_id", "model_key", F.size("bins").cast("long").alias("n_chunks"), (total(lambda b: b["tokens"] + overhead)).alias("chunks_in"), total(out).alias("chunks_out"))
+    fit = sized.where(F.col("room") >= LEAST_ROOM).select("model_key", F.col("room").cast("long").alias("room"))
+    counted = written(pages.select("pack_id", "page_no", token_count(F.col("text")).alias("tokens"))).crossJoin(F.broadcast(fit))
+    over = counted.where(F.col("tokens") > F.col("room")).select("pack_id", "page_no", "model_key", "room")
+    cut = split_oversize_pages(pages.select("pack_id", "page_no", "text").join(over, ["pack_id", "page_no"]), F.col("room"), ("model_key", "room"))
+    whole = counted.where(F.col("tokens") <= F.col("room")).withColumn("piece_no", F.lit(0))
+    columns = ["pack_id", "model_key", "room", "page_no", "piece_no", "tokens"]
+    bins = next_fit_bins(whole.select(*columns).unionByName(cut.select(*columns)), ["pack_id", "model_key"], ["page_no", "piece_no"], "tokens", "room")
+    out = F.ceil(F.col("tokens") * output_share).cast("long")
+    called = bins.groupBy("pack_id", "model_key").agg(F.count("*").alias("n_chunks"), F.sum(F.col("tokens") + overhead).alias("chunks_in"), F.sum(out).alias("chunks_out"))
     rows = pages.select("pack_id").distinct().crossJoin(F.broadcast(sized)).join(called, ["pack_id", "model_key"], "left")
     merge_in = F.col("chunks_out") + overhead
     status = F.when(F.col("room") < LEAST_ROOM, "no_room").when(F.col("n_chunks") <= 1, "one_call").when(merge_in + F.col("max_out") > F.col("context_window"), "merge_too_big").otherwise("merged")

@@ -6,11 +6,12 @@ import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.scan import sums_before
 from ..functions.text import SPACE, line_shape, lines, normalise_ws, render_page, rstrip, strip, token_count
+from ..sources.scratch import written
 
 # The ordered rules for claim packs (first match wins), routes and boilerplate kinds.
 CLAIM_RULES = [
@@ -65,7 +66,7 @@ def drop_duplicate_pages(pages: DataFrame) -> DataFrame:
 
     First pages are found by a partial aggregate, so a text that many pages share (an empty one, say) is no task's burden."""
     key = F.array_join(F.filter(lines(F.col("text")), lambda x: ~F.contains(F.lower(x), F.lit("duplicate"))), "\n")
-    keyed = pages.withColumn("dup_key", F.sha2(key, 256))
+    keyed = written(pages.withColumn("dup_key", F.sha2(key, 256)))  # cleaning, say, is not done once more for the first pages
     firsts = keyed.groupBy("pack_id", "dup_key").agg(F.min("page_no").alias("first_no"), F.count("*").alias("same")).where("same > 1").drop("same")
     first = F.col("first_no")
     reason = F.when(F.col("page_no") > first, F.concat(F.lit("duplicate of page "), first.cast("string")))
@@ -80,18 +81,17 @@ def classify_pages(pages: DataFrame, rules: list[tuple[str, str]] = CLAIM_RULES)
 def boilerplate_sentences(pages: DataFrame, kinds: tuple[str, ...] = BOILERPLATE_KINDS, least: int = 40) -> DataFrame:
     """Distinct (pack_id, sentence) over the pack's boilerplate pages joined in page order.
 
-    A sentence may run over a page's end, so its pieces are numbered by a running sum over the pack
-    and put together; the pack's text is never gathered."""
-    order = W.partitionBy("pack_id").orderBy("page_no")
+    A sentence may run over a page's end, so pieces are numbered through the pack: a page's first piece goes on with the last
+    of the page before, and what earlier pages hold is a sum by blocks of pages (``sums_before``). A pack's pages are never
+    in one task, nor its text."""
     source = pages.where(F.col("kind").isin(*kinds)).select("pack_id", "page_no", normalise_ws(F.col("text")).alias("flat"))
-    last = F.lead("page_no").over(order).isNull()
-    source = source.withColumn("flat", F.when(last, F.col("flat")).otherwise(F.concat("flat", F.lit(" "))))
+    ends = source.groupBy("pack_id").agg(F.max("page_no").alias("last_no"))
+    source = source.join(ends, "pack_id").withColumn("flat", F.when(F.col("page_no") == F.col("last_no"), F.col("flat")).otherwise(F.concat("flat", F.lit(" "))))
     source = source.withColumn("flat", F.regexp_replace("flat", rf"(?<![\p{{L}}\p{{N}}_])\p{{Nd}}+\.{SPACE}", ""))
-    pieces = source.select("pack_id", "page_no", F.posexplode(F.split("flat", rf"(?<=[.!?]){SPACE}+")).alias("i", "piece"))
-    by_piece = W.partitionBy("pack_id").orderBy("page_no", "i")
     # A page that ends after .!? leaves an empty last piece, so the next page's first piece begins anew there.
-    starts = F.when(F.col("i") > 0, 1).otherwise(0)
-    numbered = pieces.withColumn("s", F.sum(starts).over(by_piece.rowsBetween(W.unboundedPreceding, 0)))
+    split = written(source.select("pack_id", "page_no", F.split("flat", rf"(?<=[.!?]){SPACE}+").alias("pieces")))
+    starts = sums_before(split.select("pack_id", "page_no", (F.size("pieces") - 1).alias("more")), ["pack_id"], ["page_no"], {"before": "more"})
+    numbered = split.join(starts, ["pack_id", "page_no"]).select("pack_id", "page_no", "before", F.posexplode("pieces").alias("i", "piece")).withColumn("s", F.col("before") + F.col("i"))
     whole = numbered.groupBy("pack_id", "s").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_no", "i", "piece"))), lambda x: x["piece"]), "").alias("sentence"))
     return whole.select("pack_id", strip(F.col("sentence")).alias("sentence")).where(F.char_length("sentence") > least).distinct()
 
@@ -111,6 +111,7 @@ def strip_boilerplate(pages: DataFrame, kinds: tuple[str, ...] = BOILERPLATE_KIN
 
     A page can only hold a sentence whose inner words it holds in a row, so sentences and pages meet
     on up to three inner words; longer sentences are removed first."""
+    pages = written(pages)
     sentences = boilerplate_sentences(pages, kinds, least)
     words = F.split(strip(F.col("sentence")), rf"{SPACE}+")
     inner = F.slice(words, 2, 3)
@@ -151,15 +152,11 @@ def prepare(pages: DataFrame, ratio: float = 0.5, rules=CLAIM_RULES, kinds=BOILE
 
 
 def tokens_by_kind(raw: DataFrame, cleaned: DataFrame, routes: dict[str, list[str]], by: tuple[str, ...] = ()) -> DataFrame:
-    """Per kind: pages, raw tokens, and tokens of the routed pages."""
-    routed = route_pages(cleaned, routes).select("pack_id", "page_no").distinct().withColumn("routed", F.lit(True))
-    joined = (
-        cleaned.select("pack_id", "page_no", "kind", token_count(F.col("text")).alias("clean"))
-        .join(raw.select("pack_id", "page_no", token_count(F.col("text")).alias("raw")), ["pack_id", "page_no"])
-        .join(routed, ["pack_id", "page_no"], "left")
-    )
-    sent = F.when(F.col("routed"), F.col("clean")).otherwise(0)
-    return joined.groupBy(*by, "kind").agg(F.count("*").alias("pages"), F.sum("raw").alias("raw_tokens"), F.sum(sent).alias("sent_tokens"))
+    """Per kind: pages, raw tokens, and tokens of the routed pages: those of a kind that some route takes, not dropped."""
+    routed = F.col("dropped_reason").isNull() & F.col("kind").isin(*sorted({k for kinds in routes.values() for k in kinds}))
+    sent = F.when(routed, token_count(F.col("text"))).otherwise(0).alias("sent")
+    joined = cleaned.select("pack_id", "page_no", "kind", sent).join(raw.select("pack_id", "page_no", token_count(F.col("text")).alias("raw")), ["pack_id", "page_no"])
+    return joined.groupBy(*by, "kind").agg(F.count("*").alias("pages"), F.sum("raw").alias("raw_tokens"), F.sum("sent").alias("sent_tokens"))
 
 
 def render_pages(pages: DataFrame, keys: tuple[str, ...]) -> DataFrame:

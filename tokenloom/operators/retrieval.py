@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.folds import greedy_skip, next_fit
 from ..functions.text import strip, terms, token_count
+from ..sources.scratch import small, written
 
 #: Tokens that the wrapper of a chunk is reckoned with.
 WRAPPER = 12
@@ -27,31 +28,100 @@ def chunk_documents(docs: DataFrame, max_tokens: int = 350, sep: str = "\n\n", d
     )
 
 
-def bm25_index(chunks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """postings(term, doc_id, chunk_no, tf, dl), idf(term, df, idf) and one row of statistics."""
-    with_terms = chunks.select("doc_id", "chunk_no", terms(F.concat(F.col("title"), F.lit(" "), F.col("text"))).alias("t"))
+def bm25_index(chunks: DataFrame, wanted: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """postings(term, doc_id, chunk_no, tf, dl), idf(term, df, idf) and one row of statistics.
+
+    With ``wanted(term)`` only these terms' postings are made; a chunk's length still counts all its terms. The chunks' terms
+    are written once, as lengths, frequencies and postings all come from them."""
+    with_terms = written(chunks.select("doc_id", "chunk_no", terms(F.concat(F.col("title"), F.lit(" "), F.col("text"))).alias("t")))
     stats = with_terms.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("avg_dl"))
-    postings = with_terms.select("doc_id", "chunk_no", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("term", "doc_id", "chunk_no", "dl").agg(F.count("*").alias("tf"))
+    rows = with_terms.select("doc_id", "chunk_no", F.size("t").alias("dl"), F.explode("t").alias("term"))
+    if wanted is not None:
+        rows = rows.join(small(wanted), "term", "left_semi")
+    postings = rows.groupBy("term", "doc_id", "chunk_no", "dl").agg(F.count("*").alias("tf"))
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     idf = df.crossJoin(F.broadcast(stats.select("n"))).select("term", "df", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     return postings, idf, stats
 
 
+def _weighed(queries: DataFrame, chunks: DataFrame, k1: float, b: float) -> tuple[DataFrame, DataFrame]:
+    """postings(term, doc_id, chunk_no, norm) of the queries' terms and weights(query_id, term, weight, most), both written.
+
+    A posting adds weight * norm to a query's score, at most ``most``."""
+    query_terms = written(queries.select("query_id", F.explode(terms(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf")))
+    made, _, stats = bm25_index(chunks, written(query_terms.select("term").distinct()))
+    # A chunk's postings are to lie together: what a query gets from them is summed before it is shuffled.
+    made = made.repartition("doc_id", "chunk_no").crossJoin(F.broadcast(stats.select("avg_dl")))
+    postings = written(made.select("term", "doc_id", "chunk_no", (F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avg_dl")))).alias("norm")))
+    lists = postings.groupBy("term").agg(F.count("*").alias("df"), F.max("norm").alias("largest")).crossJoin(F.broadcast(stats.select("n")))
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weights = query_terms.join(lists, "term").select("query_id", "term", (F.col("qtf") * idf).alias("weight"), (F.col("qtf") * idf * F.col("largest")).alias("most"))
+    return postings, written(weights)
+
+
+AT = ["query_id", "doc_id", "chunk_no"]
+
+
+def _part(postings: DataFrame, weights: DataFrame) -> DataFrame:
+    """(query_id, doc_id, chunk_no, part): what the weights' terms add to each chunk's score."""
+    return postings.join(small(weights), "term").groupBy(*AT).agg(F.sum(F.col("weight") * F.col("norm")).alias("part"))
+
+
+def _ranked(scored: DataFrame) -> DataFrame:
+    return scored.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "doc_id", "chunk_no")).cast("long"))
+
+
 def bm25_search(queries: DataFrame, chunks: DataFrame, k1: float = 1.4, b: float = 0.75) -> DataFrame:
     """(query_id, doc_id, chunk_no, score, rank) of all chunks with a query term.
 
-    ``queries(query_id, text)``. Only postings of query terms are made, so the index is cut at its source; a
-    chunk's length still counts all its terms. Scores are rounded to 6 places before ranking."""
-    query_terms = queries.select("query_id", F.explode(terms(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    postings, idf, stats = bm25_index(chunks)
-    wanted = query_terms.select("term").distinct()
-    scored = (
-        postings.join(wanted, "term", "left_semi").join(idf, "term").join(query_terms, "term").crossJoin(F.broadcast(stats.select("avg_dl")))
-        .withColumn("norm", F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avg_dl"))))
-        .groupBy("query_id", "doc_id", "chunk_no").agg(F.round(F.sum(F.col("qtf") * F.col("idf") * F.col("norm")), 6).alias("score"))
-        .where("score > 0")
-    )
-    return scored.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "doc_id", "chunk_no")).cast("long"))
+    ``queries(query_id, text)``. Scores are rounded to 6 places before ranking. All chunks that share any term with a query are
+    ranked: where only the best are wanted, ``bm25_near`` finds them without scoring the others."""
+    postings, weights = _weighed(queries, chunks, k1, b)
+    return _ranked(_part(postings, weights).select(*AT, F.round("part", 6).alias("score")).where("score > 0"))
+
+
+#: A query's terms of largest bounds and its best chunks by them, which give a first bound on its best score.
+SEED_TERMS, SEED_CHUNKS = 4, 4
+
+
+def _completed(found: DataFrame, postings: DataFrame, weights: DataFrame) -> DataFrame:
+    """``found(query_id, doc_id, chunk_no, part)`` with what the weights' terms add; only postings of found chunks are met."""
+    held = postings.join(small(found.select("doc_id", "chunk_no").distinct()), ["doc_id", "chunk_no"], "left_semi")
+    more = held.join(small(found.select(*AT)), ["doc_id", "chunk_no"]).join(small(weights.select("query_id", "term", "weight")), ["query_id", "term"])
+    more = more.groupBy(*AT).agg(F.sum(F.col("weight") * F.col("norm")).alias("more"))
+    return found.join(more, AT, "left").withColumn("part", F.col("part") + F.coalesce("more", F.lit(0.0))).drop("more")
+
+
+def near_candidates(postings: DataFrame, weights: DataFrame, min_relative: float, min_score: float) -> DataFrame:
+    """(query_id, doc_id, chunk_no, part): the chunks that can be near a query's best, with their whole scores.
+
+    Every term adds at most its weight times the largest posting of its list. A query's terms with the largest bounds give some
+    chunks, whose whole scores bound the best score from below, and so the score that a chunk needs. Terms that cannot reach it together
+    are spare: a chunk with no other term of the query is out, so the postings of frequent terms are not read for it. Of the
+    others those stay whose score can still reach what is needed, and only they are scored whole."""
+    slack = 2e-6  # of scores that are rounded to 6 places
+    by_bound = W.partitionBy("query_id").orderBy(F.desc("most"), "term")
+    first = weights.withColumn("r", F.row_number().over(by_bound)).where(F.col("r") <= SEED_TERMS).drop("r")
+    # A rank that is bounded is cut in every task before it is shuffled.
+    best = _part(postings, written(first)).withColumn("r", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("part"), "doc_id", "chunk_no"))).where(F.col("r") <= SEED_CHUNKS).drop("r")
+    best = _completed(written(best.withColumn("part", F.lit(0.0))), postings, weights)
+    bar = best.groupBy("query_id").agg((F.greatest(F.max("part"), F.lit(min_score)) * min_relative - slack).alias("bar"))
+    upward = W.partitionBy("query_id").orderBy("most", "term").rowsBetween(W.unboundedPreceding, 0)
+    marked = written(weights.join(bar, "query_id").withColumn("needed", F.sum("most").over(upward) >= F.col("bar")))
+    rest = marked.groupBy("query_id").agg(F.coalesce(F.sum(F.when(~F.col("needed"), F.col("most"))), F.lit(0.0)).alias("rest"), F.first("bar").alias("bar"))
+    found = _part(postings, written(marked.where("needed"))).join(small(written(rest)), "query_id").where(F.col("part") + F.col("rest") >= F.col("bar"))
+    return _completed(written(found.select(*AT, "part")), postings, written(marked.where(~F.col("needed"))))
+
+
+def bm25_near(queries: DataFrame, chunks: DataFrame, min_relative: float = 0.6, min_score: float = 2.0, k1: float = 1.4, b: float = 0.75) -> DataFrame:
+    """The rows of ``bm25_search`` whose score is at least ``min_relative`` of their query's best, of queries whose best is at least ``min_score``.
+
+    Found by bounds on scores, see ``near_candidates``; ranks are those of the full search."""
+    postings, weights = _weighed(queries, chunks, k1, b)
+    scored = near_candidates(postings, weights, min_relative, min_score).select(*AT, F.round("part", 6).alias("score")).where("score > 0")
+    top = F.max("score").over(W.partitionBy("query_id"))
+    near = scored.withColumn("top", top).where((F.col("top") >= min_score) & (F.col("score") >= F.round(F.col("top") * min_relative, 6))).drop("top")
+    return _ranked(near)
 
 
 def pack_chunks(ranked: DataFrame, chunks: DataFrame, budget: int | DataFrame, min_relative: float = 0.6, max_chunks: int = 4, min_score: float = 2.0) -> DataFrame:

@@ -11,12 +11,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import render_chunk, render_message, salience, summary_sentences, token_count
+from ..sources.scratch import written
 from .history import select_notes, stub
 from .retrieval import WRAPPER
 
@@ -284,16 +284,16 @@ STRATEGIES = ("unbounded", "truncated", *ABLATIONS)
 
 
 def assemble_engineered(
-    messages: DataFrame, requests: DataFrame, notes: DataFrame, chunks: DataFrame, plan: Plan, system_tokens: int, ablations: dict[str, dict[str, bool]] = ABLATIONS, shown: bool = False
+    messages: DataFrame, requests: DataFrame, notes: DataFrame, chunks: DataFrame, plan: Plan, system_tokens: int, ablations: dict[str, dict[str, bool]] = ABLATIONS, shown: bool = False, stored: bool = False
 ) -> DataFrame:
     """Notes, retrieved documents, cleared and compacted history: one row per request and strategy.
 
     System and query are charged first; notes, then documents are granted their ceiling or what is left, if that is
     less; history gets the rest. ``overflow`` marks a request whose fixed parts alone exceed the budget."""
-    from .retrieval import bm25_search, pack_chunks
+    from .retrieval import bm25_near, pack_chunks
 
-    # Searched, sized and rendered: made once.
-    chunks = chunks.persist(StorageLevel.DISK_ONLY)
+    # Searched, sized and rendered: made once, here or (``stored``) by the caller.
+    chunks = chunks if stored else written(chunks)
     at = ["conv_id", "request_id"]
     names = {k: {"retrieval": True, "clearing": True, "compaction": True, "memory": True} | v for k, v in ablations.items()}
     grant = lambda most, left: F.greatest(F.lit(0), F.least(F.lit(most), left)).cast("long")
@@ -304,7 +304,7 @@ def assemble_engineered(
     noting = sorted({v["memory"] for v in names.values()})
     by_notes = asked.select("*", F.explode(F.array(*[F.lit(x) for x in noting])).alias("noting")).withColumn("left", F.col("left") - F.when(F.col("noting"), F.col("memory_tokens")).otherwise(0))
     allowed = by_notes.select("query_id", "noting", grant(plan.documents, F.col("left")).alias("allowed"))
-    picked = pack_chunks(bm25_search(asked.select("query_id", F.col("query").alias("text")), chunks), chunks, allowed)
+    picked = pack_chunks(bm25_near(asked.select("query_id", F.col("query").alias("text")), chunks), chunks, allowed)
     rendered = render_chunk(F.col("chunk_id"), F.col("title"), F.col("text"))
     texts = picked.join(chunks.select("doc_id", "chunk_no", token_count(rendered).alias("t"), rendered.alias("r")), ["doc_id", "chunk_no"])
     found = texts.groupBy("query_id", "noting").agg(F.sum("t").alias("tokens"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pick", "r"))), lambda x: x["r"]), "\n").alias("text"))
@@ -365,8 +365,8 @@ def context_texts(contexts: DataFrame, messages: DataFrame, requests: DataFrame,
 def all_contexts(messages: DataFrame, requests: DataFrame, notes: DataFrame, chunks: DataFrame, plan: Plan, system: str) -> DataFrame:
     """Every strategy's contexts with their whole text: conv_id, request_id, strategy, slots, tokens, compactions, what is shown, text."""
     size = _heuristic(system)
-    chunks = chunks.persist(StorageLevel.DISK_ONLY)
-    built = assemble_engineered(messages, requests, notes, chunks, plan, size, shown=True).drop("overflow")
+    chunks = written(chunks)
+    built = assemble_engineered(messages, requests, notes, chunks, plan, size, shown=True, stored=True).drop("overflow")
     for other in (assemble_unbounded(messages, requests, chunks, size, plan.budget), assemble_truncated(messages, requests, chunks, plan, size, shown=True)):
         built = built.unionByName(other)
     return context_texts(built, messages, requests, system, plan, tuple(k for k, v in ABLATIONS.items() if v.get("clearing", True)))

@@ -110,8 +110,12 @@ def bm25_search(spark, sf_dir):
     return R.bm25_search(queries(spark, sf_dir), chunks(spark, sf_dir)).select("query_id", "doc_id", F.col("chunk_no").cast("long").alias("chunk_no"), "score", "rank")
 
 
+def bm25_near(spark, sf_dir):
+    return R.bm25_near(queries(spark, sf_dir), chunks(spark, sf_dir)).select("query_id", "doc_id", F.col("chunk_no").cast("long").alias("chunk_no"), "score", "rank")
+
+
 def pack_chunks(spark, sf_dir):
-    found = R.bm25_search(queries(spark, sf_dir), chunks(spark, sf_dir))
+    found = R.bm25_near(queries(spark, sf_dir), chunks(spark, sf_dir))
     return R.pack_chunks(found, chunks(spark, sf_dir), 1000).select("query_id", "doc_id", F.col("chunk_no").cast("long").alias("chunk_no"), "score", "tokens", "pick")
 
 
@@ -123,7 +127,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         token_count, terms, sentences, sentence_salience, repeated_lines, clean_pages, duplicate_pages, classify_pages, strip_boilerplate, route_pages, prepare_packs,
-        tokens_by_kind, chunk_documents, bm25_index, bm25_search, pack_chunks, prefill_documents,
+        tokens_by_kind, chunk_documents, bm25_index, bm25_search, bm25_near, pack_chunks, prefill_documents,
     )
 }
 
@@ -191,6 +195,8 @@ FROM classified c JOIN pages p USING (pack_id, page_no) LEFT JOIN routed r USING
     "bm25_index": f"""WITH RECURSIVE {_INDEX} SELECT term, df, round(any_value(idf), 6) AS idf, sum(tf)::BIGINT AS cf, max(tf) AS max_tf, sum(dl)::BIGINT AS dl_sum
 FROM postings JOIN idf USING (term) GROUP BY term, df""",
     "bm25_search": f"WITH RECURSIVE {_SEARCH} SELECT query_id, doc_id, chunk_no::BIGINT AS chunk_no, score, rank FROM ranked",
+    "bm25_near": f"""WITH RECURSIVE {_SEARCH}, topped AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS top FROM ranked)
+SELECT query_id, doc_id, chunk_no::BIGINT AS chunk_no, score, rank FROM topped WHERE top >= 2 AND score >= round(top * 0.6, 6)""",
     "pack_chunks": f"""WITH RECURSIVE {_SEARCH},
 near AS MATERIALIZED (SELECT r.*, c.tokens, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS k FROM
   (SELECT *, max(score) OVER (PARTITION BY query_id) AS top FROM ranked) r JOIN chunks c USING (doc_id, chunk_no) WHERE top >= 2 AND score >= round(top * 0.6, 6) AND tokens + 12 <= 1000),
