@@ -78,3 +78,53 @@ def test_bounded_search_is_the_full_one(spark, relative, least):
     if relative >= 0.6:
         postings, weighed = R._weighed(queries, chunks, 1.4, 0.75)
         assert len(want) <= R.near_candidates(postings, weighed, relative, least).count() < 0.5 * len(full)
+
+
+def made_phrases():
+    rng = random.Random(7)
+    texts = [" ".join(rng.choice(["aa", "ab", "ba", "b", "a\nb", "é", "aab"]) for _ in range(rng.randrange(0, 25))) for _ in range(120)]
+    phrases = {t[i : i + rng.randrange(1, 14)] for t in texts for i in [rng.randrange(max(1, len(t)))]} | {"a", "aa", "a b", "a  b", "zz", "", "ab ba", "b aa b", "\n"}
+    return texts, sorted(phrases)
+
+
+@pytest.mark.parametrize("limit", [20_000_000, -1])
+@pytest.mark.parametrize("short", [True, False])
+def test_phrases_in(spark, monkeypatch, limit, short):
+    """Phrases of one, two and more words, at words' edges and inside, by the automaton and by rare tokens."""
+    from tokenloom.functions import phrases as H
+
+    monkeypatch.setattr(H, "AUTOMATON_CHARS", limit)
+    texts, phrases = made_phrases()
+    phrases = [p for p in phrases if short or len(p) >= 3 and p.count(" ") >= 2 or not p]
+    rows = [(i, "xy"[i % 2], t, "kept") for i, t in enumerate(texts)] + [(900, "x", None, ""), (901, "x", "", "")]
+    of = [("x", p) for p in phrases] + [("y", p) for p in phrases[::2]]
+    got = H.phrases_in(spark.createDataFrame(rows, "id int, k string, text string, more string"), spark.createDataFrame(of, "k string, phrase string"), ("k",))
+    assert got.columns == ["id", "k", "more", "phrase"]
+    assert sorted((r["id"], r["phrase"]) for r in got.collect()) == sorted((i, p) for i, k, t, _ in rows for q, p in of if t and p and q == k and p in t)
+    bare = H.phrases_in(spark.createDataFrame(rows[:5], "id int, k string, text string, more string"), spark.createDataFrame([("",)], "phrase string"))
+    assert bare.count() == 0
+
+
+def test_phrases_meet_on_their_rarest_token(spark):
+    from tokenloom.functions import phrases as H
+
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(2000)]
+    texts = [" ".join(rng.choices(words, [1 / (i + 1) for i in range(2000)], k=80)) for _ in range(300)]
+    phrases = [" ".join(rng.choice(texts).split(" ")[3:9]) for _ in range(100)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
+    places, anchored = H.anchors(frame, spark.createDataFrame([(p,) for p in set(phrases)], "phrase string"), (), "text", "phrase")
+    held = [set(t.split(" ")) for t in texts]
+    want = sum(min(sum(w in h for h in held) for w in p.split(" ")[1:-1]) for p in set(phrases))
+    assert places.join(anchored, "token").count() == want < 0.2 * len(texts) * len(set(phrases))
+
+
+def test_fact_hits_are_the_checks_with_a_fact(spark):
+    from tokenloom.operators import scoring as G
+
+    texts, phrases = made_phrases()
+    contexts = spark.createDataFrame([(i, "p", t, i % 3 > 0) for i, t in enumerate(texts)] + [(900, "p", None, True)], "doc_id int, pack_id string, text string, within boolean")
+    rng = random.Random(5)
+    questions = spark.createDataFrame([(q, "p", [p for p in rng.sample(phrases, 4) if p] + (["aa", "aa"] if q % 4 == 0 else [])) for q in range(30)], "item_id int, pack_id string, must_contain array<string>")
+    want = G.fact_checks(contexts, questions, ("pack_id",)).where("found > 0").select("doc_id", "item_id", "found", "needed", "facts_present", "answerable").collect()
+    assert sorted(map(tuple, G.fact_hits(contexts, questions, ("pack_id",), ("doc_id",), ("item_id",)).collect())) == sorted(map(tuple, want))

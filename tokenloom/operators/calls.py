@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.folds import next_fit
+from ..functions.phrases import phrases_in
 from ..functions.scan import next_fit_bins
 from ..functions.text import COUNTERS, Counter, call_cost, lines, normalise_ws, per_thousand, render_page, token_count
 from ..sources.scratch import written
@@ -87,19 +88,14 @@ def plan_routed(routed: DataFrame, packs: DataFrame, tasks: list[str], models: D
 def covered_fields(calls: DataFrame, evidence: DataFrame, keys: tuple[str, ...] = ("call_id",)) -> DataFrame:
     """(call, field_key): the fields all of whose phrases stand in the call, white space apart.
 
-    A text that holds a phrase holds its inner words as words of its own, so calls and phrases meet on a phrase's
-    longest inner word and few pairs are compared; only phrases of fewer than three words meet every call of their pack."""
-    text = calls.select("pack_id", *keys, normalise_ws(F.col("text")).alias("t"))
-    inner = F.split(F.col("p"), " ")
-    inner = F.when(F.size(inner) >= 3, F.slice(inner, F.lit(2), F.size(inner) - 2)).otherwise(F.array(F.lit("")))
-    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.char_length(w).alias("n"), w.alias("w"))))["w"]
-    phrases = evidence.select("pack_id", "field_key", normalise_ws(F.col("phrase")).alias("p")).distinct().withColumn("anchor", longest)
+    Calls are read once for all phrases, see ``phrases_in``; phrases of any length are found, at words' edges and inside of them."""
+    text = calls.select("pack_id", *keys, normalise_ws(F.col("text")).alias("text"))
+    phrases = written(evidence.select("pack_id", "field_key", normalise_ws(F.col("phrase")).alias("phrase")).distinct())
     needed = phrases.groupBy("pack_id", "field_key").agg(F.count("*").alias("needed"))
-    anchors = phrases.select("pack_id", "anchor").distinct()
-    words = text.select("pack_id", *keys, F.explode(F.array_union(F.array(F.lit("")), F.split("t", " "))).alias("anchor"))
-    # Texts are read again for the pairs that meet, not carried with every word.
-    met = words.join(anchors, ["pack_id", "anchor"], "left_semi").join(phrases, ["pack_id", "anchor"]).select("pack_id", *keys, "field_key", "p")
-    held = met.join(text, ["pack_id", *keys]).where(F.contains("t", "p")).groupBy("pack_id", *keys, "field_key").agg(F.count_distinct("p").alias("held"))
+    # An empty phrase stands in every call.
+    empty = phrases.where("phrase = ''").select("pack_id", "field_key").join(text.where("text is not null").select("pack_id", *keys), "pack_id")
+    found = phrases_in(text, phrases, ("pack_id",)).join(phrases, ["pack_id", "phrase"]).select("pack_id", *keys, "field_key", "phrase")
+    held = found.unionByName(empty.withColumn("phrase", F.lit(""))).groupBy("pack_id", *keys, "field_key").agg(F.count_distinct("phrase").alias("held"))
     return held.join(needed, ["pack_id", "field_key"]).where(F.col("held") == F.col("needed")).select("pack_id", *keys, "field_key")
 
 

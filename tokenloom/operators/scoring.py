@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.phrases import phrases_in
 from ..functions.text import json_body, normalise_loose, per_thousand, plain_value, values_match
+from ..sources.scratch import written
 
 
 # Fixed value: the fields of a wrapped leaf.
@@ -165,6 +167,20 @@ def fact_checks(contexts: DataFrame, questions: DataFrame, keys: tuple[str, ...]
     return rows.withColumn("facts_present", F.round(present, 6)).withColumn("answerable", answerable).drop("text", "must_contain")
 
 
+def fact_hits(contexts: DataFrame, questions: DataFrame, keys: tuple[str, ...], context_id: tuple[str, ...], question_id: tuple[str, ...]) -> DataFrame:
+    """The rows of ``fact_checks`` in which a fact is found: (*context_id, *question_id, found, needed, facts_present, answerable).
+
+    Facts and texts meet by ``phrases_in``, so a context does not meet every question of its keys. Empty facts stand in every text
+    and are counted, but give no row by themselves. Ids are unique in their table; a fact that a question repeats counts as often."""
+    asked = questions.select(*keys, *question_id, "must_contain", F.size("must_contain").cast("long").alias("needed"), F.size(F.filter("must_contain", lambda f: f == "")).cast("long").alias("empty"))
+    facts = written(asked.select(*keys, *question_id, "needed", "empty", F.explode("must_contain").alias("fact")).groupBy(*keys, *question_id, "needed", "empty", "fact").agg(F.count("*").alias("times")))
+    texts = contexts.select(*dict.fromkeys((*keys, *context_id)), "within", "text")
+    met = phrases_in(texts, facts, keys, "text", "fact").join(facts, [*keys, "fact"])
+    rows = met.groupBy(*dict.fromkeys((*keys, *context_id, *question_id)), "within", "needed", "empty").agg(F.sum("times").alias("hits")).withColumn("found", F.col("hits") + F.col("empty"))
+    present, answerable = F.round(F.col("found") / F.col("needed"), 6), (F.col("found") == F.col("needed")) & F.col("within")
+    return rows.select(*dict.fromkeys((*context_id, *question_id)), "found", "needed", present.alias("facts_present"), answerable.alias("answerable"))
+
+
 def answer_check(answers: DataFrame, questions: DataFrame, key: str = "qid") -> DataFrame:
     """(qid, right): all facts stand in the answer, case, white space and commas apart."""
     right = F.forall("must_contain", lambda f: F.contains(normalise_loose(F.col("answer")), normalise_loose(f)))

@@ -177,7 +177,34 @@ scored AS (SELECT query_id, doc_id, chunk_no, round(sum(qtf * idf * tf * 2.4 / (
   FROM qt JOIN postings USING (term) JOIN idf USING (term), stats GROUP BY ALL HAVING score > 0),
 ranked AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, chunk_no) AS rank FROM scored)"""
 
+
+
+def _stripped(source: str, kinds: tuple[str, ...], least: int = 40) -> str:
+    """stripped(pack_id, page_no, kind, dropped_reason, text, n_notes) of ``source(pack_id, page_no, kind, dropped_reason, text)``.
+
+    Expressions have no look-behind here, so numbers that follow each other are taken away in several passes."""
+    boiler = "kind IN (" + ", ".join(f"'{k}'" for k in kinds) + ")"
+    flat = "regexp_replace(text, '\\s+', ' ', 'g') || CASE WHEN page_no = last_no THEN '' ELSE ' ' END"
+    for _ in range(3):
+        flat = rf"regexp_replace({flat}, '(^|[^\p{{L}}\p{{N}}_])\p{{Nd}}+\.\s', '\1', 'g')"
+    return rf"""ends AS (SELECT *, max(page_no) OVER (PARTITION BY pack_id) AS last_no FROM {source} WHERE {boiler}),
+wholes AS (SELECT pack_id, string_agg({flat}, '' ORDER BY page_no) AS whole FROM ends GROUP BY pack_id),
+said AS (SELECT DISTINCT pack_id, trim(unnest(string_split(regexp_replace(whole, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)))) AS s FROM wholes),
+told AS MATERIALIZED (SELECT pack_id, list(s ORDER BY -length(s), encode(s)) AS ss FROM said WHERE length(s) > {least} GROUP BY pack_id),
+live AS (SELECT t.*, regexp_replace(text, '\s+', ' ', 'g') AS flat, ss FROM {source} t LEFT JOIN told USING (pack_id) WHERE NOT ({boiler}) AND dropped_reason IS NULL),
+cut AS (SELECT pack_id, page_no, text, list_reduce(list_concat([text], list_transform(list_filter(coalesce(ss, []), lambda s: contains(flat, s)),
+  lambda s: replace(regexp_escape(s), '\ ', '\s+'))), lambda t, p: regexp_replace(t, p, '', 'g')) AS rest FROM live),
+lined AS (SELECT pack_id, page_no, text, list_filter(string_split(rest, chr(10)), lambda x: NOT regexp_matches(x, '^\s*(\p{{Nd}}+\.)?\s*$')) AS kept FROM cut),
+shown AS (SELECT pack_id, page_no, array_to_string(list_transform(kept, lambda x: regexp_replace(x, '\s+$', '')), chr(10)) AS text,
+  (len(kept) <> CASE WHEN text = '' THEN 0 ELSE len(string_split(text, chr(10))) END)::BIGINT AS n_notes FROM lined),
+stripped AS (SELECT t.pack_id, t.page_no, kind, dropped_reason, CASE WHEN s.page_no IS NULL THEN t.text ELSE s.text END AS text, coalesce(n_notes, 0) AS n_notes
+  FROM {source} t LEFT JOIN shown s USING (pack_id, page_no))"""
+
+
 ORACLE_SQL = {
+    "strip_boilerplate": f"""WITH boiler AS (SELECT lang AS pack_id, doc_id AS page_no, CASE WHEN doc_id % 5 = 0 THEN 'terms' ELSE 'other' END AS kind, NULL AS dropped_reason, coalesce(text, '') AS text FROM documents),
+{_stripped('boiler', P.BOILERPLATE_KINDS)} SELECT pack_id, page_no, text, n_notes FROM stripped""",
+    "prepare_packs": f"WITH {_CLASSIFIED}, {_stripped('classified', ('license',))} SELECT pack_id, page_no, kind, dropped_reason, text FROM stripped",
     "token_count": f"SELECT doc_id, {S.tokens('text')} AS tokens FROM documents",
     "terms": f"SELECT doc_id, len(ts)::BIGINT AS n_terms, array_to_string(ts, ' ') AS terms FROM (SELECT doc_id, {S.terms('text')} AS ts FROM documents)",
     "sentences": f"SELECT doc_id, len(ss)::BIGINT AS n_sentences, array_to_string(ss, '|') AS sentences FROM (SELECT doc_id, {S.sentences('text')} AS ss FROM documents)",

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -10,6 +9,7 @@ from ..operators import calls as C
 from ..operators import pages as P
 from ..operators import scoring as G
 from ..operators import sessions as Z
+from ..sources.scratch import written
 from . import sqltext as S
 from .pages_catalog import _CLASSIFIED, _ROUTES, ROUTES, _classified, chunks, packs, read
 from .sessions_catalog import PLAN, SYSTEM, messages, notes, requests
@@ -122,7 +122,7 @@ def planned_calls(spark, sf_dir):
 def pipeline_report(spark, sf_dir):
     full, routed, models = _both_pipelines(spark, sf_dir)
     # Calls are read for their sizes and for their covers; their texts are not kept.
-    full, routed = (c.drop("text").persist(StorageLevel.DISK_ONLY) for c in (full, routed))
+    full, routed = (written(c.drop("text")) for c in (full, routed))
     calls = full.withColumn("pipeline", F.lit("full")).unionByName(routed.withColumn("pipeline", F.lit("routed"))).select("pack_id", "model_key", "pipeline", "tokens_in", "tokens_out", "fits")
     return C.pipeline_report(calls, C.produced_fields(full, routed), models)
 
@@ -203,12 +203,12 @@ def _claims(spark, sf_dir, got=False):
     if got:
         lines = lines.withColumn("amount", F.col("amount") + F.when((F.col("pack_id") + F.col("n")) % 11 == 0, 5).otherwise(0))
         diagnosis = F.when(fifth, F.lower(diagnosis)).otherwise(diagnosis)
-        written = F.when(third & (F.col("code") == "K1"), "K8").when(third & (F.col("code") == "K2"), "K3").otherwise(F.col("code"))
+        procedure = F.when(third & (F.col("code") == "K1"), "K8").when(third & (F.col("code") == "K2"), "K3").otherwise(F.col("code"))
     else:
-        written = F.col("code")
+        procedure = F.col("code")
     primary = (F.col("n") == 1) & ~(fifth & F.lit(got))
     listed = lines.groupBy("pack_id").agg(
-        F.array_sort(F.collect_list(F.struct(diagnosis.alias("icd10"), primary.alias("primary")))).alias("diagnoses"), F.array_sort(F.collect_set(F.struct(written.alias("code")))).alias("procedures"),
+        F.array_sort(F.collect_list(F.struct(diagnosis.alias("icd10"), primary.alias("primary")))).alias("diagnoses"), F.array_sort(F.collect_set(F.struct(procedure.alias("code")))).alias("procedures"),
         F.array_sort(F.collect_list(F.struct("invoice_number", "amount"))).alias("invoices"),
     )
     orders = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("pack_id"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").cast("double").alias("total"))
@@ -244,8 +244,9 @@ def _asked(spark, sf_dir):
 
 
 def _facts(spark, sf_dir):
-    """A request asks for the first 24 characters of its session's messages of turns 0 and 1."""
-    early = messages(spark, sf_dir).where("turn < 2").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.substring("content", 1, 24))).alias("must_contain"))
+    """A request asks for the first sentence of each of its session's messages of turns 0 and 1."""
+    told = messages(spark, sf_dir).where("turn < 2").select("conv_id", T.summary_sentences(F.col("content")).alias("s")).where(F.size("s") > 0)
+    early = told.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.col("s")[0])).alias("must_contain"))
     return _asked(spark, sf_dir).select("conv_id", "request_id").join(early, "conv_id")
 
 
@@ -253,7 +254,7 @@ def _contexts(spark, sf_dir):
     """All seven strategies, with text where the budget holds."""
     asked, told, kb = _asked(spark, sf_dir), messages(spark, sf_dir), chunks(spark, sf_dir)
     # Summed and checked: built once.
-    return Z.all_contexts(told, asked, notes(spark, sf_dir), kb, PLAN, SYSTEM).persist(StorageLevel.DISK_ONLY)
+    return written(Z.all_contexts(told, asked, notes(spark, sf_dir), kb, PLAN, SYSTEM))
 
 
 def _checked(contexts, spark, sf_dir):
@@ -263,16 +264,15 @@ def _checked(contexts, spark, sf_dir):
 
 def fact_checks(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select(F.col("lang").alias("pack_id"), "doc_id", "text", (F.length("text") < 20000).alias("within"))
-    halves = read(spark, sf_dir, "benchmark").select("item_id", F.array(F.substring("text", 1, 40), F.substring("text", 41, 40)).alias("must_contain"))
-    asked = halves.crossJoin(F.broadcast(spark.createDataFrame([("en",), ("de",), ("fr",), ("es",)], "pack_id string")))
-    return G.fact_checks(docs, asked, ("pack_id",)).where("found > 0").select("doc_id", "item_id", "found", "needed", "facts_present", "answerable")
+    items = read(spark, sf_dir, "benchmark").select("item_id", T.summary_sentences(F.col("text")).alias("must_contain"))
+    asked = items.crossJoin(F.broadcast(spark.createDataFrame([("en",), ("de",), ("fr",), ("es",)], "pack_id string")))
+    return G.fact_hits(docs, asked, ("pack_id",), ("doc_id",), ("item_id",))
 
 
 def answer_check(spark, sf_dir):
-    items = read(spark, sf_dir, "benchmark")
-    answers = items.select(F.col("item_id").alias("qid"), F.when(F.col("item_id") % 3 == 0, F.substring("text", 1, 60)).otherwise(F.lower("text")).alias("answer"))
-    facts = items.select(F.col("item_id").alias("qid"), F.array(F.substring("text", 1, 30), F.substring("text", 50, 30)).alias("must_contain"))
-    return G.answer_check(answers, facts)
+    items = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text", T.summary_sentences(F.col("text")).alias("must_contain"))
+    told = F.when(F.col("qid") % 3 == 0, F.element_at("must_contain", 1)).otherwise(F.lower("text"))
+    return G.answer_check(items.select("qid", told.alias("answer")), items.select("qid", "must_contain"))
 
 
 def strategy_summary(spark, sf_dir):
@@ -417,9 +417,9 @@ SELECT s.*, round_even(1000 * correct / (tokens_in + tokens_out), 3) AS correct_
 UNION ALL SELECT pack_id, 'no_superseded', NOT bool_or(pack_id % 4 = 0 AND invoice_number LIKE 'INV-2-%') FROM inv GROUP BY pack_id""",
     "current_invoice_totals": f"""WITH {_INV}, c AS (SELECT pack_id, invoice_number, min(amount) AS amount FROM inv WHERE NOT (pack_id % 4 = 0 AND invoice_number LIKE 'INV-2-%') GROUP BY ALL)
 SELECT pack_id, count(*) AS n_invoices, round(sum(amount::DECIMAL(18, 2))::DOUBLE, 2) AS total, round(sum(amount::DECIMAL(18, 2))::DOUBLE, 2) > any_value(o_totalprice)::DOUBLE AS exceeds FROM c JOIN orders ON o_orderkey = pack_id GROUP BY pack_id""",
-    "fact_checks": """WITH c AS (SELECT doc_id, item_id, contains(d.text, b.text[1:40])::BIGINT + contains(d.text, b.text[41:80])::BIGINT AS found, length(d.text) < 20000 AS within FROM documents d, benchmark b)
-SELECT doc_id, item_id, found, 2::BIGINT AS needed, found / 2 AS facts_present, found = 2 AND within AS answerable FROM c WHERE found > 0""",
-    "answer_check": r"""WITH a AS (SELECT item_id AS qid, text, CASE WHEN item_id % 3 = 0 THEN text[1:60] ELSE lower(text) END AS answer FROM benchmark),
-n AS (SELECT qid, regexp_replace(lower(answer), '[\s,]+', '', 'g') AS x, regexp_replace(lower(text[1:30]), '[\s,]+', '', 'g') AS f, regexp_replace(lower(text[50:79]), '[\s,]+', '', 'g') AS g FROM a)
-SELECT qid, contains(x, f) AND contains(x, g) AS "right" FROM n""",
+    "fact_checks": f"""WITH b AS (SELECT item_id, {S.sentences('text')} AS ss FROM benchmark),
+c AS (SELECT doc_id, item_id, len(list_filter(ss, lambda s: contains(d.text, s)))::BIGINT AS found, len(ss)::BIGINT AS needed, length(d.text) < 20000 AS within FROM documents d, b)
+SELECT doc_id, item_id, found, needed, round(found / needed, 6) AS facts_present, found = needed AND within AS answerable FROM c WHERE found > 0""",
+    "answer_check": rf"""WITH a AS (SELECT item_id AS qid, {S.sentences('text')} AS ss, CASE WHEN item_id % 3 = 0 THEN ({S.sentences('text')})[1] ELSE lower(text) END AS answer FROM benchmark)
+SELECT qid, coalesce(len(list_filter(ss, lambda s: NOT contains(regexp_replace(lower(answer), '[\s,]+', '', 'g'), regexp_replace(lower(s), '[\s,]+', '', 'g')))) = 0, false) AS "right" FROM a""",
 }
