@@ -24,7 +24,7 @@ from .common import LOWER, UPPER, batches_of, give_back, materialise
 
 GROUPS = 16
 #: Words of one subtree, and words that look for partners there, in one task.
-SUBTREE, SEEKERS = 8_000, 200_000
+SUBTREE, SEEKERS = 8_000, 20_000
 #: The trie's upper nodes are sent to all tasks, at most so many; subtrees grow until they fit.
 UPPER_NODES = 200_000
 #: Below so many pairs, vectors are compared at once instead of going further down.
@@ -257,6 +257,10 @@ def near_words(words: DataFrame, subtree: int = SUBTREE, seekers: int = SEEKERS)
         placed = materialise(placed.withColumn("block", F.explode(F.when(F.col("seeks"), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(own))).drop("blocks"))
     trie.destroy()
     crowds = placed.where("seeks").groupBy("subtree", "block").agg(F.ceil(F.count("*") / F.lit(seekers)).cast("int").alias("parts")).where("parts > 1")
+    # Broadcast, so that the rows of a crowded subtree are dealt by part and not first brought together.
+    crowds = materialise(crowds)
+    if crowds.count() <= UPPER_NODES:
+        crowds = F.broadcast(crowds)
     placed = placed.join(crowds, ["subtree", "block"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     # Where too many seek, they are dealt to parts, each with all entries of the block.
     part = F.when(F.col("seeks"), F.array(F.pmod(F.xxhash64("word"), F.col("parts")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
