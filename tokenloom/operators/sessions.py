@@ -348,10 +348,9 @@ def context_texts(contexts: DataFrame, messages: DataFrame, requests: DataFrame,
         "conv_id", (F.row_number().over(order) - 1).cast("long").alias("i"), raw.alias("raw"), cleared.alias("stub"), (F.col("role") == "tool").alias("tool"), F.count_if(F.col("role") == "tool").over(order).alias("tools")
     )
     at = ["conv_id", "request_id", "strategy"]
-    sent = contexts.where((F.col("tokens") <= plan.budget) & (F.col("n_messages") > 0)).select(*at, "first_seq", "n_messages")
-    lined = sent.join(rendered, "conv_id").where((F.col("i") >= F.col("first_seq")) & (F.col("i") < F.col("first_seq") + F.col("n_messages"))).groupBy(*at).agg(
-        F.max("tools").alias("tools"), F.array_sort(F.collect_list(F.struct("i", "raw", "stub", "tool", "tools"))).alias("ms")
-    )
+    # A context meets the messages that it shows and no others; over the budget it shows none, so they are few.
+    sent = contexts.where((F.col("tokens") <= plan.budget) & (F.col("n_messages") > 0)).select(*at, F.explode(F.sequence(F.col("first_seq"), F.col("first_seq") + F.col("n_messages") - 1)).alias("i"))
+    lined = sent.join(rendered, ["conv_id", "i"]).groupBy(*at).agg(F.max("tools").alias("tools"), F.array_sort(F.collect_list(F.struct("i", "raw", "stub", "tool", "tools"))).alias("ms"))
     stubs = F.col("strategy").isin(*clearing)
     line = lambda m: F.when(stubs & m["tool"] & (m["tools"] <= F.col("tools") - plan.keep_tools), m["stub"]).otherwise(m["raw"])
     verbatim = lined.select(*at, F.array_join(F.transform("ms", line), "\n\n").alias("verbatim"))

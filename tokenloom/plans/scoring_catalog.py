@@ -175,7 +175,21 @@ def _invoices(spark, sf_dir, wrong=False):
 
 
 def _superseded(spark, sf_dir):
-    return _invoices(spark, sf_dir).where("pack_id % 4 = 0 and invoice_number like 'INV-2-%'").select("pack_id", "invoice_number")
+    """Read from letters: every 4th order has one that replaces its second invoice."""
+    letters = _invoices(spark, sf_dir).where("pack_id % 4 = 0 and invoice_number like 'INV-2-%'")
+    text = F.concat(F.lit("Dear member,\nInvoice NEW-"), F.col("pack_id").cast("string"), F.lit(" replaces "), "invoice_number", F.lit(". Invoices replaced before stay so."))
+    return G.supersessions(letters.select("pack_id", text.alias("text"))).select("pack_id", "invoice_number")
+
+
+def supersessions(spark, sf_dir):
+    return _superseded(spark, sf_dir)
+
+
+def input_budgets(spark, sf_dir):
+    """What each model's window leaves for input, less a margin and the answer, and whether a source's texts fit it."""
+    models = C.profiles(spark).select("model_key", T.input_budget(F.col("context_window"), F.lit(0.05), F.col("max_out")).alias("input_budget"))
+    sizes = packs(spark, sf_dir, "source").groupBy("pack_id").agg(F.sum(T.token_count(F.col("text"))).alias("tokens"))
+    return sizes.crossJoin(F.broadcast(models)).select("pack_id", "model_key", "input_budget", "tokens", (F.col("tokens") <= F.col("input_budget")).alias("fits"))
 
 
 def _listed(df):
@@ -291,7 +305,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         lenient_match, model_cost, reference_answers, plan_full, split_oversize_pages, chunk_packs, plan_routed, covered_fields, final_coverage, missed_fields, pipeline_report, counter_effect, first_valid_reply,
-        merge_task_results, usage_report, score_fields, score_claims, planned_calls, current_invoice_totals, fact_checks, answer_check, strategy_summary, question_matrix,
+        merge_task_results, usage_report, score_fields, score_claims, planned_calls, supersessions, input_budgets, current_invoice_totals, fact_checks, answer_check, strategy_summary, question_matrix,
     )
 }
 
@@ -363,6 +377,9 @@ calls AS MATERIALIZED (SELECT * FROM fullc UNION ALL SELECT * FROM routedc)"""
 
 
 ORACLE_SQL = {
+    "supersessions": f"WITH {_INV} SELECT DISTINCT pack_id, invoice_number FROM inv WHERE pack_id % 4 = 0 AND invoice_number LIKE 'INV-2-%'",
+    "input_budgets": f"""WITH {_PROFILES}, p AS (SELECT source AS pack_id, sum({S.tokens('text')})::BIGINT AS tokens FROM documents GROUP BY source)
+SELECT pack_id, model_key, (floor(context_window * 0.95::DOUBLE) - max_out)::BIGINT AS input_budget, tokens, tokens <= floor(context_window * 0.95::DOUBLE) - max_out AS fits FROM p, profiles""",
     "planned_calls": f"{_CALLS} SELECT * FROM calls",
     "pipeline_report": f"""{_CALLS}, pks AS (SELECT pack_id, model_key, pipeline, bool_and(fits) AS fits, count(*) AS calls, sum(tokens_in) AS ti, sum(tokens_out) AS tout FROM calls GROUP BY ALL),
 made AS (SELECT pack_id, model_key, pipeline, covers FROM calls WHERE pipeline = 'routed' UNION ALL SELECT pack_id, model_key, pipeline, max_by(covers, call_no) FROM calls WHERE pipeline = 'full' GROUP BY ALL),

@@ -63,6 +63,23 @@ def request_history(spark, sf_dir):
     return Z.request_history(messages(spark, sf_dir), requests(spark, sf_dir))
 
 
+def _turn_end(spark, sf_dir):
+    """Requests of every third turn as they stand at its end: what the turn itself said is seen too."""
+    return requests(spark, sf_dir).where("request_id % 3 = 0").withColumn("inclusive", F.lit(True))
+
+
+def turn_end_history(spark, sf_dir):
+    return Z.request_history(messages(spark, sf_dir), _turn_end(spark, sf_dir))
+
+
+def turn_end_notes(spark, sf_dir):
+    return H.select_notes(_turn_end(spark, sf_dir), notes(spark, sf_dir), PLAN.memory)
+
+
+def turn_end_truncated(spark, sf_dir):
+    return Z.assemble_truncated(messages(spark, sf_dir), _turn_end(spark, sf_dir), _kb(spark, sf_dir), PLAN, SYSTEM_TOKENS)
+
+
 def _kb(spark, sf_dir):
     return chunks(spark, sf_dir)
 
@@ -95,7 +112,7 @@ def slot_breakdown(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (select_notes, clear_tool_results, fifo_fit, extractive_summary, compact_sessions, request_history, allocate_slots, assemble_unbounded, assemble_truncated, assemble_engineered, slot_breakdown)
+    for f in (select_notes, clear_tool_results, fifo_fit, extractive_summary, compact_sessions, request_history, turn_end_history, turn_end_notes, turn_end_truncated, allocate_slots, assemble_unbounded, assemble_truncated, assemble_engineered, slot_breakdown)
 }
 
 _M, _R, _N = f"m AS MATERIALIZED ({S.MESSAGES})", f"r AS MATERIALIZED ({S.REQUESTS})", f"n AS ({S.NOTES})"
@@ -131,7 +148,16 @@ fit AS (SELECT conv_id, request_id, max(tail) AS kept FROM tails WHERE tail <= r
 joined AS (SELECT roomy.*, coalesce(kept, 0) AS kept FROM roomy LEFT JOIN fit USING (conv_id, request_id))
 {_slots('truncated', 'documents', f'kept + CASE WHEN kept > 0 THEN {_TAG} ELSE 0 END', 'joined')}"""
 
+
+def _at_turn_end(sql: str) -> str:
+    """The same for requests of every third turn that see their turn's own messages and notes."""
+    return sql.replace("WHERE role = 'user')", "WHERE role = 'user' AND turn % 3 = 0)", 1).replace("turn < r.as_of", "turn <= r.as_of").replace("l.turn < a.as_of", "l.turn <= a.as_of").replace("mt.turn < r.request_id", "mt.turn <= r.request_id")
+
+
 ORACLE_SQL = {
+    "turn_end_history": _at_turn_end(f"WITH {_M}, {_R}, {_RENDERED}, {_SEEN} SELECT conv_id, request_id, n_messages, history_tokens FROM seen"),
+    "turn_end_notes": _at_turn_end(f"WITH RECURSIVE {_R}, {_N}, {_SELECTED} SELECT * FROM noted"),
+    "turn_end_truncated": _at_turn_end(_TRUNCATED),
     "select_notes": f"WITH RECURSIVE {_R}, {_N}, {_SELECTED} SELECT * FROM noted",
     "clear_tool_results": f"""WITH {_M}, k AS (SELECT *, role = 'tool' AND row_number() OVER (PARTITION BY conv_id, role = 'tool' ORDER BY seq DESC) > 1 AS cleared FROM m)
 SELECT conv_id, seq, role, cleared, CASE WHEN cleared THEN '[cleared ' || {S.tokens('content')} || '-token result of ' || tool_call ||
