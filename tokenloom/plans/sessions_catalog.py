@@ -148,6 +148,48 @@ fit AS (SELECT conv_id, request_id, max(tail) AS kept FROM tails WHERE tail <= r
 joined AS (SELECT roomy.*, coalesce(kept, 0) AS kept FROM roomy LEFT JOIN fit USING (conv_id, request_id))
 {_slots('truncated', 'documents', f'kept + CASE WHEN kept > 0 THEN {_TAG} ELSE 0 END', 'joined')}"""
 
+_STUB = f"""'[cleared ' || {S.tokens('content')} || '-token result of ' || coalesce(tool_call, 'None') || '; key findings are in the assistant reply that followed. Re-run the tool if raw output is needed.]'"""
+_SENT = f"struct_pack(text := s, score := {S.salience('role', 's')}, again := {S.salience(chr(39) + 'summary' + chr(39), 's')}, cost := {S.tokens('s')} + 2)"
+_KEPT = "STRUCT(ord BIGINT, text VARCHAR, again DOUBLE, cost BIGINT)[]"
+_PICK = "STRUCT(less DOUBLE, ord BIGINT, text VARCHAR, again DOUBLE, cost BIGINT)[]"
+
+
+def replay_sql(asked: str) -> str:
+    """sent(conv_id, request_id, strategy, history_tokens, first_seq, n_messages, summary, compactions) of ``asked(conv_id, request_id, as_of, inclusive, strategy, remaining,
+    clearing, compaction)``: sessions are replayed a request at a time by recursion, from lists of each session's messages."""
+    told = "coalesce(list_sum(list_transform(summary, lambda s: s.cost - 1)), 0)"
+    return f"""mc AS MATERIALIZED (SELECT conv_id, seq, turn, role, raw, cut, {S.tokens('raw')} AS tok, {S.tokens('cut')} AS stub, cleared, sents, count(*) FILTER (role = 'tool') OVER (PARTITION BY conv_id ORDER BY seq) AS nth FROM (
+  SELECT *, {S.render('role', 'content', 'tool_call')} AS raw, {S.render('role', f'({_STUB})', 'tool_call')} AS cut, starts_with(content, '[cleared') AS cleared,
+    list_transform({S.sentences('content')}, lambda s: {_SENT}) AS sents FROM m)),
+ml AS MATERIALIZED (SELECT conv_id, list(struct_pack(turn := turn, tool := role = 'tool', nth := nth, tok := tok, stub := stub, cleared := cleared, sents := sents, raw := raw, cut := cut) ORDER BY seq) AS ms FROM mc GROUP BY conv_id),
+seen AS (SELECT a.*, ms, len(list_filter(ms, lambda x: x.turn < as_of OR inclusive AND x.turn = as_of)) AS vis FROM {asked} a JOIN ml USING (conv_id) WHERE as_of IS NOT NULL),
+viewed AS MATERIALIZED (SELECT *, remaining - {Z.WRAP} AS hb, list_transform(ms[1:vis], lambda x: CASE WHEN clearing AND x.tool AND x.nth <= coalesce(ms[vis].nth, 0) - {PLAN.keep_tools} THEN x.stub ELSE x.tok END) AS ta,
+  row_number() OVER (PARTITION BY conv_id, strategy ORDER BY request_id) AS k FROM seen),
+st(conv_id, strategy, k, summary, upto, comps) AS (
+  SELECT DISTINCT conv_id, strategy, 0::BIGINT, []::{_KEPT}, 0::BIGINT, 0::BIGINT FROM viewed
+  UNION ALL
+  SELECT conv_id, strategy, k, CASE WHEN go THEN list_sort(list_transform(list_reduce(list_concat([struct_pack(used := 0::BIGINT, said := []::VARCHAR[], picks := []::{_PICK})],
+      list_transform(list_sort(list_transform(list_concat(list_transform(summary, lambda s: struct_pack(text := s.text, score := s.again, again := s.again, cost := s.cost)),
+        flatten(list_transform(list_filter(ms[upto + 1:vis - {PLAN.keep_messages}], lambda x: NOT x.cleared), lambda x: x.sents))), lambda s, i: struct_pack(less := -s.score, ord := i::BIGINT, text := s.text, again := s.again, cost := s.cost))),
+        lambda p: struct_pack(used := 0::BIGINT, said := []::VARCHAR[], picks := [p]))),
+      lambda acc, e: CASE WHEN list_contains(acc.said, lower(e.picks[1].text)) OR acc.used + e.picks[1].cost > {PLAN.summary} THEN acc
+        ELSE struct_pack(used := acc.used + e.picks[1].cost, said := list_append(acc.said, lower(e.picks[1].text)), picks := list_concat(acc.picks, e.picks)) END).picks,
+      lambda p: struct_pack(ord := p.ord, text := p.text, again := p.again, cost := p.cost))) ELSE summary END,
+    CASE WHEN go THEN vis - {PLAN.keep_messages} ELSE upto END, comps + go::BIGINT
+  FROM (SELECT v.conv_id, v.strategy, v.k, summary, upto, comps, vis, ms,
+      compaction AND coalesce(list_sum(ta[upto + 1:]), 0) + {told} > hb * {PLAN.trigger}::DOUBLE AND vis - upto > {PLAN.keep_messages} AS go
+    FROM st JOIN viewed v ON v.conv_id = st.conv_id AND v.strategy = st.strategy AND v.k = st.k + 1)),
+h0 AS (SELECT v.conv_id, request_id, v.strategy, remaining, vis, ta, ms, clearing, hb, comps, CASE WHEN compaction THEN summary ELSE [] END AS summary, CASE WHEN compaction THEN upto ELSE 0 END AS base
+  FROM viewed v JOIN st ON st.conv_id = v.conv_id AND st.strategy = v.strategy AND st.k = v.k),
+h1 AS (SELECT *, len(list_filter(range(1, vis - base + 1), lambda j: coalesce(list_sum(ta[vis - j + 1:]), 0) <= hb - {told} - CASE WHEN len(summary) > 0 THEN {Z.SUMMARY_WRAP} ELSE 0 END)) AS fit FROM h0),
+h2 AS (SELECT *, CASE WHEN vis > base THEN vis - fit ELSE vis END AS first_seq FROM h1),
+h3 AS (SELECT *, CASE WHEN first_seq < vis THEN coalesce(list_sum(ta[first_seq + 1:]), 0) + {Z.TAG_TOKENS['conversation']} ELSE 0 END AS msgs,
+  list_transform(range(0, len(summary) + 1), lambda d: CASE WHEN d < len(summary) THEN list_sum(list_transform(summary[d + 1:], lambda s: s.cost - 1)) + {Z.TAG_TOKENS['summary']} ELSE 0 END) AS tolds FROM h2),
+h4 AS (SELECT *, coalesce(list_filter(range(0, len(summary) + 1), lambda d: tolds[d + 1] + msgs <= remaining)[1], len(summary)) AS d FROM h3),
+sent AS MATERIALIZED (SELECT conv_id, request_id, strategy, (tolds[d + 1] + msgs)::BIGINT AS history_tokens, first_seq::BIGINT AS first_seq, (vis - first_seq)::BIGINT AS n_messages,
+  coalesce(array_to_string(list_transform(summary[d + 1:], lambda s: '- ' || s.text), chr(10)), '') AS summary, comps AS compactions, ms[first_seq + 1:vis] AS shown, coalesce(ms[vis].nth, 0) AS tools, clearing FROM h4
+  UNION ALL SELECT conv_id, request_id, strategy, 0, 0, 0, '', 0, [], 0, clearing FROM {asked} WHERE as_of IS NULL)"""
+
 
 def _at_turn_end(sql: str) -> str:
     """The same for requests of every third turn that see their turn's own messages and notes."""
@@ -155,6 +197,8 @@ def _at_turn_end(sql: str) -> str:
 
 
 ORACLE_SQL = {
+    "compact_sessions": f"""WITH RECURSIVE {_M}, {_R}, asked AS (SELECT conv_id, request_id, as_of, inclusive, 'compact' AS strategy, {PLAN.budget}::BIGINT AS remaining, true AS clearing, true AS compaction FROM r), {replay_sql('asked')}
+SELECT conv_id, request_id, history_tokens, first_seq, n_messages, summary, compactions FROM sent""",
     "turn_end_history": _at_turn_end(f"WITH {_M}, {_R}, {_RENDERED}, {_SEEN} SELECT conv_id, request_id, n_messages, history_tokens FROM seen"),
     "turn_end_notes": _at_turn_end(f"WITH RECURSIVE {_R}, {_N}, {_SELECTED} SELECT * FROM noted"),
     "turn_end_truncated": _at_turn_end(_TRUNCATED),
