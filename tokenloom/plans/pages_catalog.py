@@ -168,11 +168,11 @@ walked AS (SELECT doc_id, i, 0 AS chunk_no, t AS used FROM counted WHERE i = 1
   FROM walked w JOIN counted c ON c.doc_id = w.doc_id AND c.i = w.i + 1),
 chunks AS MATERIALIZED (SELECT doc_id, chunk_no, doc_id || '#' || chunk_no AS chunk_id, any_value(title) AS title, string_agg(para, chr(10) ORDER BY i) AS text, sum(t)::BIGINT AS tokens
   FROM counted JOIN walked USING (doc_id, i) GROUP BY doc_id, chunk_no)"""
-_INDEX = f"""{CHUNKS}, ct AS (SELECT doc_id, chunk_no, {S.terms("title || ' ' || text")} AS ts FROM chunks),
+INDEX = f"""{CHUNKS}, ct AS (SELECT doc_id, chunk_no, {S.terms("title || ' ' || text")} AS ts FROM chunks),
 stats AS (SELECT count(*) AS n, avg(len(ts)) AS avg_dl FROM ct),
 postings AS MATERIALIZED (SELECT term, doc_id, chunk_no, dl, count(*) AS tf FROM (SELECT doc_id, chunk_no, len(ts) AS dl, unnest(ts) AS term FROM ct) GROUP BY ALL),
 idf AS (SELECT term, count(*) AS df, ln(1 + (any_value(n) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM postings, stats GROUP BY term)"""
-_SEARCH = f"""{_INDEX}, qt AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest({S.terms('text')}) AS term FROM benchmark) GROUP BY ALL),
+_SEARCH = f"""{INDEX}, qt AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest({S.terms('text')}) AS term FROM benchmark) GROUP BY ALL),
 scored AS (SELECT query_id, doc_id, chunk_no, round(sum(qtf * idf * tf * 2.4 / (tf + 1.4 * (0.25 + 0.75 * dl / avg_dl))), 6) AS score
   FROM qt JOIN postings USING (term) JOIN idf USING (term), stats GROUP BY ALL HAVING score > 0),
 ranked AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, chunk_no) AS rank FROM scored)"""
@@ -219,7 +219,7 @@ ORACLE_SQL = {
 SELECT c.pack_id, kind, count(*) AS pages, sum({S.tokens('p.text')})::BIGINT AS raw_tokens, sum(CASE WHEN r.page_no IS NOT NULL THEN {S.tokens('c.text')} ELSE 0 END)::BIGINT AS sent_tokens
 FROM classified c JOIN pages p USING (pack_id, page_no) LEFT JOIN routed r USING (pack_id, page_no) GROUP BY c.pack_id, kind""",
     "chunk_documents": f"WITH RECURSIVE {CHUNKS} SELECT doc_id, chunk_no::BIGINT AS chunk_no, chunk_id, title, text, tokens FROM chunks",
-    "bm25_index": f"""WITH RECURSIVE {_INDEX} SELECT term, df, round(any_value(idf), 6) AS idf, sum(tf)::BIGINT AS cf, max(tf) AS max_tf, sum(dl)::BIGINT AS dl_sum
+    "bm25_index": f"""WITH RECURSIVE {INDEX} SELECT term, df, round(any_value(idf), 6) AS idf, sum(tf)::BIGINT AS cf, max(tf) AS max_tf, sum(dl)::BIGINT AS dl_sum
 FROM postings JOIN idf USING (term) GROUP BY term, df""",
     "bm25_search": f"WITH RECURSIVE {_SEARCH} SELECT query_id, doc_id, chunk_no::BIGINT AS chunk_no, score, rank FROM ranked",
     "bm25_near": f"""WITH RECURSIVE {_SEARCH}, topped AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS top FROM ranked)

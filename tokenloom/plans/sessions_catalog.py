@@ -8,7 +8,7 @@ from ..functions.text import summary_sentences
 from ..operators import history as H
 from ..operators import sessions as Z
 from . import sqltext as S
-from .pages_catalog import CHUNKS, chunks, read
+from .pages_catalog import CHUNKS, INDEX, chunks, read
 
 PLAN = Z.Plan(window=1200, reserve=200, margin=0.05, memory=100, documents=200, trigger=0.75, keep_messages=2, keep_tools=1, summary=120)
 #: The instructions of every request.
@@ -190,6 +190,49 @@ sent AS MATERIALIZED (SELECT conv_id, request_id, strategy, (tolds[d + 1] + msgs
   coalesce(array_to_string(list_transform(summary[d + 1:], lambda s: '- ' || s.text), chr(10)), '') AS summary, comps AS compactions, ms[first_seq + 1:vis] AS shown, coalesce(ms[vis].nth, 0) AS tools, clearing FROM h4
   UNION ALL SELECT conv_id, request_id, strategy, 0, 0, 0, '', 0, [], 0, clearing FROM {asked} WHERE as_of IS NULL)"""
 
+_RENDER = """'<document id="' || chunk_id || '" title="' || title || '">' || chr(10) || text || chr(10) || '</document>'"""
+_KINDS = ", ".join(
+    f"('{k}', {v.get('retrieval', True)}, {v.get('clearing', True)}, {v.get('compaction', True)}, {v.get('memory', True)})" for k, v in Z.ABLATIONS.items()
+)
+
+
+def engineered_sql(system_tokens: int) -> str:
+    """built(conv_id, request_id, strategy, slots, what is shown) of the requests ``r`` over notes ``n``, messages ``m`` and the index of chunks."""
+    share = int(PLAN.budget * PLAN.kb_share)
+    return f"""rq AS MATERIALIZED (SELECT *, {_Q} AS slot_query, {PLAN.budget} - {system_tokens} - {_Q} AS room FROM r),
+lined AS MATERIALIZED (SELECT *, {_LINE} AS line, {S.tokens(_LINE)} + 1 AS cost, list_distinct({S.terms('text')}) AS nt FROM n),
+note_asked AS (SELECT *, list_distinct({S.terms('query')}) AS qt, greatest(0, least({PLAN.memory}, room)) AS allowed FROM rq),
+cand AS MATERIALIZED (SELECT a.conv_id, a.request_id, allowed, l.turn, l.line, l.cost, row_number() OVER (PARTITION BY a.conv_id, a.request_id ORDER BY len(list_intersect(qt, nt)) DESC, l.turn DESC, note_seq) AS k
+  FROM note_asked a JOIN lined l ON a.conv_id = l.conv_id AND (as_of IS NULL OR l.turn < a.as_of OR inclusive AND l.turn = as_of) WHERE cost + {_TAGS} <= allowed),
+note_steps AS (SELECT conv_id, request_id, k, turn, line, {_TAGS} + cost AS used, true AS took FROM cand WHERE k = 1
+  UNION ALL SELECT c.conv_id, c.request_id, c.k, c.turn, c.line, CASE WHEN s.used + c.cost <= allowed THEN s.used + c.cost ELSE s.used END, s.used + c.cost <= allowed
+  FROM note_steps s JOIN cand c ON c.conv_id = s.conv_id AND c.request_id = s.request_id AND c.k = s.k + 1),
+chosen AS (SELECT conv_id, request_id, '<memory>' || chr(10) || string_agg(line, chr(10) ORDER BY turn, line) || chr(10) || '</memory>' AS memory FROM note_steps WHERE took GROUP BY ALL),
+noted AS MATERIALIZED (SELECT rq.*, coalesce(memory, '') AS memory, {S.tokens("coalesce(memory, '')")} AS memory_tokens FROM rq LEFT JOIN chosen USING (conv_id, request_id)),
+grants AS MATERIALIZED (SELECT *, greatest(0, least({PLAN.documents}, rest)) AS allowed FROM (SELECT noted.*, noting, room - CASE WHEN noting THEN memory_tokens ELSE 0 END AS rest FROM noted, (VALUES (true), (false)) v(noting))),
+qt AS (SELECT conv_id, request_id, term, count(*) AS qtf FROM (SELECT conv_id, request_id, unnest({S.terms('query')}) AS term FROM rq) GROUP BY ALL),
+scored AS MATERIALIZED (SELECT conv_id, request_id, doc_id, chunk_no, round(sum(qtf * idf * tf * 2.4 / (tf + 1.4 * (0.25 + 0.75 * dl / avg_dl))), 6) AS score FROM qt JOIN postings USING (term) JOIN idf USING (term), stats GROUP BY ALL HAVING score > 0),
+near AS (SELECT * FROM (SELECT *, max(score) OVER (PARTITION BY conv_id, request_id) AS top FROM scored) WHERE top >= 2 AND score >= round(top * 0.6, 6)),
+sized AS MATERIALIZED (SELECT g.conv_id, g.request_id, noting, allowed, doc_id, chunk_no, tokens, {S.tokens(_RENDER)} AS t, {_RENDER} AS body, row_number() OVER (PARTITION BY g.conv_id, g.request_id, noting ORDER BY score DESC, doc_id, chunk_no) AS k
+  FROM grants g JOIN near USING (conv_id, request_id) JOIN chunks USING (doc_id, chunk_no) WHERE tokens + 12 <= allowed),
+pick_steps AS (SELECT conv_id, request_id, noting, k, t, body, tokens + 12 AS used, 1 AS got, true AS took FROM sized WHERE k = 1
+  UNION ALL SELECT z.conv_id, z.request_id, z.noting, z.k, z.t, z.body, CASE WHEN s.got < 4 AND s.used + z.tokens + 12 <= allowed THEN s.used + z.tokens + 12 ELSE s.used END,
+  CASE WHEN s.got < 4 AND s.used + z.tokens + 12 <= allowed THEN s.got + 1 ELSE s.got END, s.got < 4 AND s.used + z.tokens + 12 <= allowed
+  FROM pick_steps s JOIN sized z ON z.conv_id = s.conv_id AND z.request_id = s.request_id AND z.noting = s.noting AND z.k = s.k + 1),
+picked AS (SELECT conv_id, request_id, noting, sum(t)::BIGINT AS t, string_agg(body, chr(10) ORDER BY k) AS body FROM pick_steps WHERE took GROUP BY ALL),
+heads AS MATERIALIZED (SELECT * FROM (SELECT doc_id, chunk_no, {S.tokens(_RENDER)} AS t, {_RENDER} AS body, sum(tokens + 12) OVER (ORDER BY doc_id, chunk_no) AS running FROM chunks) WHERE running <= {share}),
+prefilled AS (SELECT conv_id, request_id, noting, coalesce(sum(t), 0)::BIGINT AS t, coalesce(string_agg(body, chr(10) ORDER BY running), '') AS body
+  FROM grants LEFT JOIN heads ON running <= greatest(0, least({share}, rest)) GROUP BY ALL),
+kinds(strategy, retrieval, clearing, compaction, memory) AS (VALUES {_KINDS}),
+rows AS MATERIALIZED (SELECT g.conv_id, g.request_id, g.as_of, g.inclusive, g.query, slot_query, k.strategy, k.clearing, k.compaction, CASE WHEN g.noting THEN memory_tokens ELSE 0 END AS slot_memory, CASE WHEN g.noting THEN g.memory ELSE '' END AS memory,
+  CASE WHEN retrieval THEN coalesce(p.t, 0) ELSE f.t END AS slot_documents, CASE WHEN retrieval THEN coalesce(p.body, '') ELSE f.body END AS documents
+  FROM grants g JOIN kinds k ON k.memory = g.noting LEFT JOIN picked p ON p.conv_id = g.conv_id AND p.request_id = g.request_id AND p.noting = g.noting JOIN prefilled f ON f.conv_id = g.conv_id AND f.request_id = g.request_id AND f.noting = g.noting),
+engineered_asked AS MATERIALIZED (SELECT conv_id, request_id, as_of, inclusive, strategy, {PLAN.budget} - {system_tokens} - slot_query - slot_memory - slot_documents AS remaining, clearing, compaction FROM rows),
+{replay_sql('engineered_asked')},
+built AS MATERIALIZED (SELECT conv_id, request_id, strategy, {system_tokens}::BIGINT AS slot_system, slot_memory::BIGINT AS slot_memory, slot_documents::BIGINT AS slot_documents, history_tokens AS slot_history, slot_query,
+  ({system_tokens} + slot_query + slot_memory + slot_documents + history_tokens)::BIGINT AS tokens, compactions, first_seq, n_messages, summary, {PLAN.budget} - {system_tokens} - slot_query - slot_memory - slot_documents < 0 AS overflow,
+  memory, documents, shown, tools, sent.clearing, query FROM rows JOIN sent USING (conv_id, request_id, strategy))"""
+
 
 def _at_turn_end(sql: str) -> str:
     """The same for requests of every third turn that see their turn's own messages and notes."""
@@ -197,6 +240,8 @@ def _at_turn_end(sql: str) -> str:
 
 
 ORACLE_SQL = {
+    "assemble_engineered": f"""WITH RECURSIVE {INDEX}, {_M}, {_R}, {_N}, {engineered_sql(SYSTEM_TOKENS)}
+SELECT conv_id, request_id, strategy, slot_system, slot_memory, slot_documents, slot_history, slot_query, tokens, compactions, first_seq, n_messages, summary, overflow FROM built""",
     "compact_sessions": f"""WITH RECURSIVE {_M}, {_R}, asked AS (SELECT conv_id, request_id, as_of, inclusive, 'compact' AS strategy, {PLAN.budget}::BIGINT AS remaining, true AS clearing, true AS compaction FROM r), {replay_sql('asked')}
 SELECT conv_id, request_id, history_tokens, first_seq, n_messages, summary, compactions FROM sent""",
     "turn_end_history": _at_turn_end(f"WITH {_M}, {_R}, {_RENDERED}, {_SEEN} SELECT conv_id, request_id, n_messages, history_tokens FROM seen"),
