@@ -268,7 +268,8 @@ def assemble_truncated(messages: DataFrame, requests: DataFrame, chunks: DataFra
     order = W.partitionBy("conv_id").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
     sums = messages.select("conv_id", "seq", token_count(render_message(F.col("role"), F.col("content"), F.col("tool_call"))).alias("t"))
     sums = sums.select("conv_id", F.sum("t").over(order).alias("upto"), F.count("*").over(order).alias("nth"))
-    dropped = F.col("history_tokens") - F.col("room")
+    # At most all of it goes, also where there is no room at all.
+    dropped = F.least(F.col("history_tokens"), F.col("history_tokens") - F.col("room"))
     cut = asked.where(dropped > 0).join(sums, "conv_id").where(F.col("upto") >= dropped).groupBy("conv_id", "request_id").agg(F.min(F.struct("upto", "nth")).alias("gone"))
     rows = asked.join(cut, ["conv_id", "request_id"], "left").withColumn("kept", F.greatest(F.lit(0), F.col("history_tokens") - F.coalesce("gone.upto", F.lit(0))))
     tags = F.when(F.col("kept") > 0, F.lit(TAG_TOKENS["conversation"])).otherwise(0)

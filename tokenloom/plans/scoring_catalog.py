@@ -11,8 +11,8 @@ from ..operators import scoring as G
 from ..operators import sessions as Z
 from ..sources.scratch import written
 from . import sqltext as S
-from .pages_catalog import _CLASSIFIED, _ROUTES, ROUTES, _classified, chunks, packs, read
-from .sessions_catalog import PLAN, SYSTEM, messages, notes, requests
+from .pages_catalog import _CLASSIFIED, _ROUTES, INDEX, ROUTES, _classified, chunks, packs, read
+from .sessions_catalog import PLAN, RENDER, SYSTEM, engineered_sql, messages, notes, requests
 
 PROMPT = 300
 FIELDS = {"o_orderstatus": "text", "o_totalprice": "number", "o_orderdate": "date"}
@@ -376,7 +376,37 @@ routedc AS (SELECT pk0.pack_id, model_key, 'routed' AS pipeline, (row_number() O
 calls AS MATERIALIZED (SELECT * FROM fullc UNION ALL SELECT * FROM routedc)"""
 
 
+_TOLD = lambda tag, text: f"CASE WHEN {text} <> '' THEN '<{tag}>' || chr(10) || {text} || chr(10) || '</{tag}>' END"
+_SIZE = Z._heuristic(SYSTEM)
+_SYSTEM = "'" + SYSTEM.replace("'", "''") + "'"
+#: Contexts of all strategies, for all requests and each session's last question in a new session; with their text where the budget holds.
+_CONTEXTS = f"""WITH RECURSIVE {INDEX}, m AS MATERIALIZED ({S.MESSAGES}), r0 AS MATERIALIZED ({S.REQUESTS}),
+r AS MATERIALIZED (SELECT * FROM r0 UNION ALL SELECT conv_id, {NEW_SESSION}, NULL, false, max_by(query, request_id) FROM r0 GROUP BY conv_id), n AS ({S.NOTES}),
+{engineered_sql(_SIZE)},
+kb AS MATERIALIZED (SELECT *, sum(tokens + 12) OVER (ORDER BY doc_id, chunk_no) AS running FROM (SELECT doc_id, chunk_no, tokens, {S.tokens(RENDER)} AS t, {RENDER} AS body FROM chunks)),
+kb_all AS (SELECT coalesce(sum(t), 0)::BIGINT AS t, string_agg(body, chr(10) ORDER BY running) FILTER (running <= {PLAN.budget}) AS body FROM kb),
+kb_share AS (SELECT coalesce(sum(t), 0)::BIGINT AS t, coalesce(string_agg(body, chr(10) ORDER BY running), '') AS body FROM kb WHERE running <= {int(PLAN.budget * PLAN.kb_share)}),
+hist AS MATERIALIZED (SELECT rq.conv_id, request_id, query, slot_query, ms, CASE WHEN as_of IS NULL THEN 0 ELSE len(list_filter(ms, lambda x: x.turn < as_of)) END AS vis FROM rq LEFT JOIN ml USING (conv_id)),
+lengths AS MATERIALIZED (SELECT *, coalesce(list_sum(list_transform(ms[1:vis], lambda x: x.tok)), 0)::BIGINT AS history FROM hist),
+cut_at AS (SELECT l.*, kb_share.t AS kb, kb_share.body AS documents, coalesce(len(list_filter(range(1, vis + 1), lambda i: history - list_sum(list_transform(ms[1:i], lambda x: x.tok)) > {PLAN.budget} - {_SIZE} - {Z.WRAP} - kb_share.t - slot_query)), 0)
+  + (history > {PLAN.budget} - {_SIZE} - {Z.WRAP} - kb_share.t - slot_query)::BIGINT AS gone FROM lengths l, kb_share),
+truncated AS (SELECT *, least(gone, vis) AS first_seq, coalesce(list_sum(list_transform(ms[least(gone, vis) + 1:vis], lambda x: x.tok)), 0)::BIGINT AS kept FROM cut_at),
+contexts0 AS MATERIALIZED (
+  SELECT conv_id, request_id, strategy, tokens, compactions, query, memory, documents, summary, array_to_string(list_transform(shown, lambda x: CASE WHEN clearing AND x.tool AND x.nth <= tools - {PLAN.keep_tools} THEN x.cut ELSE x.raw END), chr(10) || chr(10)) AS said FROM built
+  UNION ALL SELECT conv_id, request_id, 'truncated', {_SIZE} + kb + kept + CASE WHEN kept > 0 THEN {Z.TAG_TOKENS['conversation']} ELSE 0 END + slot_query, 0, query, '', documents, '', array_to_string(list_transform(ms[first_seq + 1:vis], lambda x: x.raw), chr(10) || chr(10)) FROM truncated
+  UNION ALL SELECT conv_id, request_id, 'unbounded', {_SIZE} + kb_all.t + history + CASE WHEN vis > 0 THEN {Z.TAG_TOKENS['conversation']} ELSE 0 END + slot_query, 0, query, '', coalesce(kb_all.body, ''), '', array_to_string(list_transform(ms[1:vis], lambda x: x.raw), chr(10) || chr(10)) FROM lengths, kb_all),
+contexts AS MATERIALIZED (SELECT *, CASE WHEN tokens <= {PLAN.budget} THEN concat_ws(chr(10) || chr(10), {_SYSTEM}, nullif(memory, ''), nullif(documents, ''), {_TOLD('conversation_summary', 'summary')}, {_TOLD('conversation', "coalesce(said, '')")}, {_TOLD('current_request', 'query')}) END AS text FROM contexts0),
+facts AS (SELECT conv_id, list(s) AS must FROM (SELECT conv_id, ({S.sentences('content')})[1] AS s FROM m WHERE turn < 2) WHERE s IS NOT NULL GROUP BY conv_id),
+checks AS MATERIALIZED (SELECT conv_id, request_id, strategy, tokens <= {PLAN.budget} AS within, coalesce(len(list_filter(must, lambda f: contains(text, f))) = len(must), false) AND text IS NOT NULL AND tokens <= {PLAN.budget} AS answerable FROM contexts JOIN facts USING (conv_id))"""
+
 ORACLE_SQL = {
+    "strategy_summary": f"""{_CONTEXTS}, sums AS (SELECT strategy, count(*) AS requests, sum(tokens)::BIGINT AS total, round_even(avg(tokens), 0)::BIGINT AS mean, max(tokens)::BIGINT AS peak, count(*) FILTER (tokens > {PLAN.budget}) AS over FROM contexts WHERE request_id <> {NEW_SESSION} GROUP BY strategy),
+comp AS (SELECT strategy, sum(c)::BIGINT AS compactions FROM (SELECT conv_id, strategy, max(compactions) AS c FROM contexts WHERE request_id <> {NEW_SESSION} GROUP BY ALL) GROUP BY strategy),
+asks AS (SELECT strategy, count(*) FILTER (request_id <> {NEW_SESSION}) AS questions, count(*) FILTER (answerable AND request_id <> {NEW_SESSION}) AS answerable,
+  count(*) FILTER (answerable AND request_id = {NEW_SESSION}) || '/' || count(*) FILTER (request_id = {NEW_SESSION}) AS new_session FROM checks GROUP BY strategy)
+SELECT sums.*, compactions, questions, answerable, CASE WHEN questions > 0 THEN round_even(100 * answerable / questions, 1) ELSE 0 END AS answerable_pct, new_session FROM sums JOIN comp USING (strategy) JOIN asks USING (strategy)""",
+    "question_matrix": f"""{_CONTEXTS}, cells AS (SELECT conv_id || ':' || request_id AS qid, CASE WHEN request_id = {NEW_SESSION} THEN 'new session' ELSE 'in session' END AS kind, strategy, CASE WHEN NOT within THEN 'over' WHEN answerable THEN 'yes' ELSE '-' END AS cell FROM checks)
+SELECT qid, kind, {', '.join(f"any_value(cell) FILTER (strategy = '{k}') AS {k}" for k in Z.STRATEGIES)} FROM cells GROUP BY qid, kind""",
     "supersessions": f"WITH {_INV} SELECT DISTINCT pack_id, invoice_number FROM inv WHERE pack_id % 4 = 0 AND invoice_number LIKE 'INV-2-%'",
     "input_budgets": f"""WITH {_PROFILES}, p AS (SELECT source AS pack_id, sum({S.tokens('text')})::BIGINT AS tokens FROM documents GROUP BY source)
 SELECT pack_id, model_key, (floor(context_window * 0.95::DOUBLE) - max_out)::BIGINT AS input_budget, tokens, tokens <= floor(context_window * 0.95::DOUBLE) - max_out AS fits FROM p, profiles""",

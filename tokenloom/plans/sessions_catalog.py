@@ -190,7 +190,7 @@ sent AS MATERIALIZED (SELECT conv_id, request_id, strategy, (tolds[d + 1] + msgs
   coalesce(array_to_string(list_transform(summary[d + 1:], lambda s: '- ' || s.text), chr(10)), '') AS summary, comps AS compactions, ms[first_seq + 1:vis] AS shown, coalesce(ms[vis].nth, 0) AS tools, clearing FROM h4
   UNION ALL SELECT conv_id, request_id, strategy, 0, 0, 0, '', 0, [], 0, clearing FROM {asked} WHERE as_of IS NULL)"""
 
-_RENDER = """'<document id="' || chunk_id || '" title="' || title || '">' || chr(10) || text || chr(10) || '</document>'"""
+RENDER = """'<document id="' || chunk_id || '" title="' || title || '">' || chr(10) || text || chr(10) || '</document>'"""
 _KINDS = ", ".join(
     f"('{k}', {v.get('retrieval', True)}, {v.get('clearing', True)}, {v.get('compaction', True)}, {v.get('memory', True)})" for k, v in Z.ABLATIONS.items()
 )
@@ -213,14 +213,14 @@ grants AS MATERIALIZED (SELECT *, greatest(0, least({PLAN.documents}, rest)) AS
 qt AS (SELECT conv_id, request_id, term, count(*) AS qtf FROM (SELECT conv_id, request_id, unnest({S.terms('query')}) AS term FROM rq) GROUP BY ALL),
 scored AS MATERIALIZED (SELECT conv_id, request_id, doc_id, chunk_no, round(sum(qtf * idf * tf * 2.4 / (tf + 1.4 * (0.25 + 0.75 * dl / avg_dl))), 6) AS score FROM qt JOIN postings USING (term) JOIN idf USING (term), stats GROUP BY ALL HAVING score > 0),
 near AS (SELECT * FROM (SELECT *, max(score) OVER (PARTITION BY conv_id, request_id) AS top FROM scored) WHERE top >= 2 AND score >= round(top * 0.6, 6)),
-sized AS MATERIALIZED (SELECT g.conv_id, g.request_id, noting, allowed, doc_id, chunk_no, tokens, {S.tokens(_RENDER)} AS t, {_RENDER} AS body, row_number() OVER (PARTITION BY g.conv_id, g.request_id, noting ORDER BY score DESC, doc_id, chunk_no) AS k
+sized AS MATERIALIZED (SELECT g.conv_id, g.request_id, noting, allowed, doc_id, chunk_no, tokens, {S.tokens(RENDER)} AS t, {RENDER} AS body, row_number() OVER (PARTITION BY g.conv_id, g.request_id, noting ORDER BY score DESC, doc_id, chunk_no) AS k
   FROM grants g JOIN near USING (conv_id, request_id) JOIN chunks USING (doc_id, chunk_no) WHERE tokens + 12 <= allowed),
 pick_steps AS (SELECT conv_id, request_id, noting, k, t, body, tokens + 12 AS used, 1 AS got, true AS took FROM sized WHERE k = 1
   UNION ALL SELECT z.conv_id, z.request_id, z.noting, z.k, z.t, z.body, CASE WHEN s.got < 4 AND s.used + z.tokens + 12 <= allowed THEN s.used + z.tokens + 12 ELSE s.used END,
   CASE WHEN s.got < 4 AND s.used + z.tokens + 12 <= allowed THEN s.got + 1 ELSE s.got END, s.got < 4 AND s.used + z.tokens + 12 <= allowed
   FROM pick_steps s JOIN sized z ON z.conv_id = s.conv_id AND z.request_id = s.request_id AND z.noting = s.noting AND z.k = s.k + 1),
 picked AS (SELECT conv_id, request_id, noting, sum(t)::BIGINT AS t, string_agg(body, chr(10) ORDER BY k) AS body FROM pick_steps WHERE took GROUP BY ALL),
-heads AS MATERIALIZED (SELECT * FROM (SELECT doc_id, chunk_no, {S.tokens(_RENDER)} AS t, {_RENDER} AS body, sum(tokens + 12) OVER (ORDER BY doc_id, chunk_no) AS running FROM chunks) WHERE running <= {share}),
+heads AS MATERIALIZED (SELECT * FROM (SELECT doc_id, chunk_no, {S.tokens(RENDER)} AS t, {RENDER} AS body, sum(tokens + 12) OVER (ORDER BY doc_id, chunk_no) AS running FROM chunks) WHERE running <= {share}),
 prefilled AS (SELECT conv_id, request_id, noting, coalesce(sum(t), 0)::BIGINT AS t, coalesce(string_agg(body, chr(10) ORDER BY running), '') AS body
   FROM grants LEFT JOIN heads ON running <= greatest(0, least({share}, rest)) GROUP BY ALL),
 kinds(strategy, retrieval, clearing, compaction, memory) AS (VALUES {_KINDS}),
