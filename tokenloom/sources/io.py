@@ -20,10 +20,12 @@ def read_pages(spark: SparkSession, path: str, fmt: str = "parquet", pack: str =
     return load_pages(spark.read.format(fmt).load(path), pack, page_no, text)
 
 
-def read_ground_truth(spark: SparkSession, path: str) -> DataFrame:
-    """(pack, expected, evidence) from JSON files, one pack each; the pack is the file's name."""
+def read_ground_truth(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """(pack, expected, evidence) from JSON files, one pack each; the pack is the file's name. With ``lines`` every line is a pack and names it as ``pack_id``."""
     schema = f"expected struct<{', '.join(f'{n}:{t}' for n, t in (x.split(' ', 1) for x in EXPECTED.split(', ')))}>, evidence map<string,array<string>>"
     pack = F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.json)?$", 1)
+    if lines:
+        return spark.read.schema(f"pack_id string, {schema}").json(path)
     return spark.read.schema(schema).json(path, multiLine=True).select(pack.alias("pack_id"), "expected", "evidence")
 
 
