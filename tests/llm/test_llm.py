@@ -323,7 +323,7 @@ def test_secret_network_finds_what_rules_do_not(spark):
     flagged = {r["doc_id"]: [tuple(map(int, s.split(":")[1:])) for s in r["spans"].split(",") if s.startswith("model")] for r in got}
     found = sum(any(a <= s and e <= b for a, b in flagged.get(10_000_000 + i, [])) for i, (_, s, e) in enumerate(made))
     clean = sum(r["n_model"] for r in got if r["doc_id"] < 10_000_000)
-    assert found >= 0.9 * len(made) and clean <= 0.002 * frame.count() * 65  # of about 65 candidates a document
+    assert found >= 0.9 * len(made) and clean <= 0.0001 * frame.count() * 65, (found, clean)  # of about 65 candidates a document
 
 
 def found_in(texts, base=()):
@@ -578,3 +578,11 @@ def test_pipeline_odd_tables(spark, tmp_path):
             docs = after
         packed = corpus_pipeline.STAGES[-1][1](spark, docs, d)
         assert packed.where("start = 0").count() == docs.count()
+
+
+def test_secret_words_and_excerpts(spark):
+    """On the given table at most one word is flagged; labelled values of any length are read anywhere, not from their start only."""
+    assert E.scan_secrets(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")).agg(F.sum("n_model")).first()[0] <= 1
+    assert [E.wordlike(x) for x in ("UNDCHPFCH", "chschpfpf***", "en-pfpfVer", "Well-known/Word", "aB3dddddd", "xYzzy", "***")] == [True, True, False, True, False, False, True]
+    long = ["".join(random.Random(i).choices("abcdef0123456789", k=5000)) for i in range(40)]
+    assert all(len(E.excerpt(x)) == E.VALUE and E.excerpt(x) in x for x in long) and len({x.index(E.excerpt(x)) for x in long}) > 30 and E.excerpt("short") == "short"
