@@ -12,6 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tokenloom.llm import jaccard_join as J
 from tokenloom.llm import merkle as L
 from tokenloom.llm import minhash_forest as Z
 from tokenloom.llm import spelling as S
@@ -151,6 +152,27 @@ def test_forest_recall():
     assert shared_places >= 299 and abs(np.mean(agree) - 0.8) < 0.02
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_components_of_chains_and_stars(spark, monkeypatch, seed):
+    rng = random.Random(seed)
+    monkeypatch.setattr(J, "LINKS_AT_ONCE", 40)
+    chain = list(range(0, 900, 3))
+    rng.shuffle(chain)
+    links = [*itertools.pairwise(chain), *((1 + 3 * rng.randrange(100), 1 + 3 * rng.randrange(100)) for _ in range(120)), (5000, 2), (2, 2)]
+    parent = {x: x for pair in links for x in pair}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        a, b = sorted((find(a), find(b)))
+        parent[b] = a
+    got = {r["node"]: r["component"] for r in J.components(spark.createDataFrame(links, "a long, b long").repartition(4)).collect()}
+    assert got == {x: find(x) for x in parent if any(find(x) == find(y) and x != y for y in parent)}
+
+
 def test_forest_prefixes():
     keys = np.zeros((5, 9), np.uint8)
     keys[1, 8], keys[2, 8], keys[3, 4], keys[4, 0] = 1, 1, 1, 1

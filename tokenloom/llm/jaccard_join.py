@@ -47,6 +47,8 @@ HUB_FROM = 64
 BLOCK = 512
 #: Texts that a worker gets at once.
 BATCH_ROWS = 1000
+#: Links that a task makes stars of at once.
+LINKS_AT_ONCE = 200_000
 #: Lists of nodes are broadcast only up to so many entries.
 BROADCAST_NODES = 500_000
 _TEXT_BLOCK = 1 << 18
@@ -202,9 +204,46 @@ def differences(hub: np.ndarray, elements: np.ndarray, percent: int) -> tuple[np
     return found, max(1, -(-beyond // (2 * (100 + percent)))), beyond <= 0
 
 
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join what links a-b join: each node, but the least of its part, with that least node."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b, root = at[: len(a)], at[len(a) :], np.arange(len(ids))
+    while True:
+        before = root.copy()
+        low = np.minimum(root[a], root[b])
+        np.minimum.at(root, root[a], low)
+        np.minimum.at(root, root[b], low)
+        while (root[root] != root).any():
+            root = root[root]
+        if (root == before).all():
+            break
+    far = root != np.arange(len(ids))
+    return ids[far], ids[root[far]]
+
+
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stars of so many links at a time."""
+    held: list[pa.RecordBatch] = []
+
+    def flush() -> pa.RecordBatch:
+        a, b = (np.concatenate([x.column(i).to_numpy() for x in held]) for i in (0, 1))
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in stars(a, b)], ["u", "v"])
+
+    for batch in batches:
+        held.append(batch)
+        if sum(x.num_rows for x in held) >= LINKS_AT_ONCE:
+            yield flush()
+            held = []
+    if held:
+        yield flush()
+
+
 def components(links: DataFrame) -> DataFrame:
-    """(node, component): the least node reachable over ``links(a, b)``; alternating star contraction."""
-    edges = materialise(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    """(node, component): the least node reachable over ``links(a, b)``; alternating star contraction.
+
+    Each task first makes stars of its own links, so long chains are short before they are shuffled."""
+    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v")
+    edges = materialise(edges.mapInArrow(_contract, "u long, v long").distinct())
     seen = None
     while True:
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
