@@ -33,8 +33,8 @@ HASHES, TREES = 128, 40
 LEAST, DEEPEST = 3, 6
 #: Regions of more nodes are split, and at the lowest depth met by way of a hub.
 REGION = 64
-#: Trees whose neighbours are confirmed first, and then those of the others.
-FIRST_TREES = 4
+#: Trees whose neighbours are confirmed first.
+FIRST_TREES = 8
 #: Elements of sets that are hashed at once.
 ELEMENTS = 1 << 16
 _RNG = np.random.Generator(np.random.PCG64(20261128))
@@ -182,9 +182,8 @@ def minhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def _grown(texts: DataFrame, size: int, percent: int) -> DataFrame:
-    spark = texts.sparkSession
     none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    order = spark.sparkContext.broadcast(none)  # sets are compared in the order of their hashes
+    order = texts.sparkSession.sparkContext.broadcast(none)  # sets are compared in the order of their hashes
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -204,19 +203,10 @@ def _grown(texts: DataFrame, size: int, percent: int) -> DataFrame:
     def alike(a: str, b: str) -> Column:
         return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
-    joined = spark.createDataFrame([], "node long, component long")
-    links = tried = spark.createDataFrame([], "a long, b long")
-    beside = branched.where(F.col("before").isNotNull() & alike("n", "n_before")).select(F.least("before", "node").alias("a"), F.greatest("before", "node").alias("b"), F.conv(F.hex(F.substring("key", 1, 1)), 16, 10).cast("int").alias("tree"))
-    for r in range(2):
-        mine = (F.col("tree") < FIRST_TREES) if r == 0 else (F.col("tree") >= FIRST_TREES)
-        pairs = beside.where(mine).select("a", "b").distinct()
-        for side in "ab":
-            pairs = pairs.join(joined.select(F.col("node").alias(side), F.col("component").alias(f"c{side}")), side, "left")
-        pairs = pairs.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-        pairs = materialise(pairs.join(tried, ["a", "b"], "left_anti"))
-        tried = materialise(tried.union(pairs))
-        links = materialise(links.union(sets.verified(pairs)))
-        joined = materialise(components(links))
+    beside = branched.where(F.col("before").isNotNull() & alike("n", "n_before") & (F.substring("key", 1, 1) < F.lit(bytes([FIRST_TREES]))))
+    tried = materialise(beside.select(F.least("before", "node").alias("a"), F.greatest("before", "node").alias("b")).distinct())
+    links = sets.verified(tried)
+    joined = materialise(components(links))
     placed = materialise(regions(branched, joined))
     links, joined, near = by_hubs(sets, placed.where(F.col("size") > REGION).select("token", "node", "n"), F.count("*"), links, joined)
     a, b = (placed.where(F.col("size") <= REGION).drop("component").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node")).alias(x) for x in "ab")
