@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.folds import greedy_skip, next_fit
 from ..functions.text import strip, terms, token_count
-from ..sources.scratch import small, written
+from ..sources.scratch import BROADCAST_ROWS, small, written
 
 #: Tokens that the wrapper of a chunk is reckoned with.
 WRAPPER = 12
@@ -80,43 +87,78 @@ def bm25_search(queries: DataFrame, chunks: DataFrame, k1: float = 1.4, b: float
     return _ranked(_part(postings, weights).select(*AT, F.round("part", 6).alias("score")).where("score > 0"))
 
 
-#: A query's terms of largest bounds and its best chunks by them, which give a first bound on its best score.
-SEED_TERMS, SEED_CHUNKS = 4, 4
-
-
-def _completed(found: DataFrame, postings: DataFrame, weights: DataFrame) -> DataFrame:
-    """``found(query_id, doc_id, chunk_no, part)`` with what the weights' terms add; only postings of found chunks are met."""
-    held = postings.join(small(found.select("doc_id", "chunk_no").distinct()), ["doc_id", "chunk_no"], "left_semi")
-    more = held.join(small(found.select(*AT)), ["doc_id", "chunk_no"]).join(small(weights.select("query_id", "term", "weight")), ["query_id", "term"])
-    more = more.groupBy(*AT).agg(F.sum(F.col("weight") * F.col("norm")).alias("more"))
-    return found.join(more, AT, "left").withColumn("part", F.col("part") + F.coalesce("more", F.lit(0.0))).drop("more")
+#: A round scores about so many queries, with so many of their terms in all, by as many places (queries times chunks) and sums at a time.
+ROUND_QUERIES, ROUND_TERMS, PLACES = 16_384, BROADCAST_ROWS, 1_000_000
+#: Terms of a round that at least every so-many-th query has are multiplied as a matrix, at most so many.
+DENSE_SHARE, DENSE = 64, 256
+
+
+def _scored_round(lists: DataFrame, weights: DataFrame, min_relative: float, min_score: float, slack: float) -> DataFrame:
+    """``near_candidates`` for one round's queries: every chunk's scores for them are summed in the task that reads the chunk."""
+    got = weights.select("query_id", "term", "weight").toArrow().sort_by([("term", "ascending")])
+    coded = got.column("query_id").combine_chunks().dictionary_encode()
+    known = got.column("term").to_pandas().to_numpy()
+    names, starts = np.unique(known, return_index=True)
+    sent = lists.sparkSession.sparkContext.broadcast((coded.dictionary, names, np.append(starts, len(known)), coded.indices.to_numpy().astype(np.int64), got.column("weight").to_numpy()))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries, names, starts, query, weight = sent.value
+        terms, n, best = pd.Index(names), len(queries), np.full(len(queries), min_score)
+        # Terms that many queries have are a matrix, the others lists.
+        most = np.argsort(-np.diff(starts), kind="stable")[:DENSE]
+        most = most[np.diff(starts)[most] * DENSE_SHARE >= n]
+        row, dense = np.full(len(names), -1), np.zeros((len(most), n))
+        for i, t in enumerate(most):
+            row[t] = i
+            dense[i, query[starts[t] : starts[t + 1]]] = weight[starts[t] : starts[t + 1]]
+        step = max(1, PLACES // max(1, n))
+        for batch in (b.slice(i, step) for b in batches for i in range(0, b.num_rows, step)):
+            of = np.repeat(np.arange(batch.num_rows), pc.list_value_length(batch.column(2)).to_numpy(zero_copy_only=False))
+            term = terms.get_indexer(batch.column(2).flatten().to_pandas())
+            of, norm, term = of[term >= 0], batch.column(3).flatten().to_numpy()[term >= 0], term[term >= 0]
+            held = np.zeros((batch.num_rows, len(dense)))
+            often = row[term] >= 0
+            np.add.at(held, (of[often], row[term[often]]), norm[often])
+            scores, at = (held @ dense).ravel(), 0
+            of, norm, term = of[~often], norm[~often], term[~often]
+            pairs = starts[term + 1] - starts[term]
+            upto = np.cumsum(pairs)
+            while at < len(term):
+                end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PLACES, side="right")))
+                many = pairs[at:end]
+                whose = np.repeat(np.arange(at, end), many)
+                place = np.arange(len(whose)) - np.repeat(np.cumsum(many) - many, many) + starts[term[whose]]
+                scores += np.bincount(of[whose] * n + query[place], weight[place] * norm[whose], len(scores))
+                at = end
+            scores = scores.reshape(batch.num_rows, n)
+            best = np.maximum(best, scores.max(axis=0, initial=0))
+            chunk, q = np.nonzero((scores > 0) & (scores >= best * min_relative - slack))
+            taken = batch.select(["doc_id", "chunk_no"]).take(pa.array(chunk))
+            yield pa.RecordBatch.from_arrays([queries.take(pa.array(q)), *taken.columns, pa.array(scores[chunk, q])], [*AT, "part"])
+
+    kinds = dict(lists.dtypes) | dict(weights.dtypes)
+    return lists.mapInArrow(read, ", ".join([*(f"`{c}` {kinds[c]}" for c in AT), "part double"]))
 
 
 def near_candidates(postings: DataFrame, weights: DataFrame, min_relative: float, min_score: float) -> DataFrame:
-    """(query_id, doc_id, chunk_no, part): the chunks that can be near a query's best, with their whole scores.
+    """(query_id, doc_id, chunk_no, part): the chunks that are near a query's best, with their whole scores.
 
-    Every term adds at most its weight times the largest posting of its list. A query's terms with the largest bounds give some
-    chunks, whose whole scores bound the best score from below, and so the score that a chunk needs. Terms that cannot reach it together
-    are spare: a chunk with no other term of the query is out, so the postings of frequent terms are not read for it. Of the
-    others those stay whose score can still reach what is needed, and only they are scored whole."""
+    A chunk's postings are one row, and rounds of queries are sent to the tasks that read them, so no pair of a query and a chunk
+    is shuffled but those near the best that its task has seen. Every query meets every chunk; memory is bounded by the round."""
     slack = 2e-6  # of scores that are rounded to 6 places
-    by_bound = W.partitionBy("query_id").orderBy(F.desc("most"), "term")
-    first = weights.withColumn("r", F.row_number().over(by_bound)).where(F.col("r") <= SEED_TERMS).drop("r")
-    # A rank that is bounded is cut in every task before it is shuffled.
-    best = _part(postings, written(first)).withColumn("r", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("part"), "doc_id", "chunk_no"))).where(F.col("r") <= SEED_CHUNKS).drop("r")
-    best = _completed(written(best.withColumn("part", F.lit(0.0))), postings, weights)
-    bar = best.groupBy("query_id").agg((F.greatest(F.max("part"), F.lit(min_score)) * min_relative - slack).alias("bar"))
-    upward = W.partitionBy("query_id").orderBy("most", "term").rowsBetween(W.unboundedPreceding, 0)
-    marked = written(weights.join(bar, "query_id").withColumn("needed", F.sum("most").over(upward) >= F.col("bar")))
-    rest = marked.groupBy("query_id").agg(F.coalesce(F.sum(F.when(~F.col("needed"), F.col("most"))), F.lit(0.0)).alias("rest"), F.first("bar").alias("bar"))
-    found = _part(postings, written(marked.where("needed"))).join(small(written(rest)), "query_id").where(F.col("part") + F.col("rest") >= F.col("bar"))
-    return _completed(written(found.select(*AT, "part")), postings, written(marked.where(~F.col("needed"))))
+    lists = written(postings.groupBy("doc_id", "chunk_no").agg(F.collect_list("term").alias("terms"), F.collect_list("norm").alias("norms")))
+    sizes = weights.agg(F.count_distinct("query_id").alias("queries"), F.count("*").alias("terms")).first()
+    rounds = max(1, -(-sizes["queries"] // ROUND_QUERIES), -(-sizes["terms"] // ROUND_TERMS))
+    dealt = weights.withColumn("round", F.pmod(F.xxhash64("query_id"), F.lit(rounds)))
+    found = reduce(DataFrame.union, (_scored_round(lists, dealt.where(F.col("round") == r), min_relative, min_score, slack) for r in range(rounds)))
+    bar = F.greatest(F.max("part").over(W.partitionBy("query_id")), F.lit(min_score)) * min_relative - slack
+    return found.withColumn("bar", bar).where(F.col("part") >= F.col("bar")).drop("bar")
 
 
 def bm25_near(queries: DataFrame, chunks: DataFrame, min_relative: float = 0.6, min_score: float = 2.0, k1: float = 1.4, b: float = 0.75) -> DataFrame:
     """The rows of ``bm25_search`` whose score is at least ``min_relative`` of their query's best, of queries whose best is at least ``min_score``.
 
-    Found by bounds on scores, see ``near_candidates``; ranks are those of the full search."""
+    Only scores near the best are kept, see ``near_candidates``; ranks are those of the full search."""
     postings, weights = _weighed(queries, chunks, k1, b)
     scored = near_candidates(postings, weights, min_relative, min_score).select(*AT, F.round("part", 6).alias("score")).where("score > 0")
     top = F.max("score").over(W.partitionBy("query_id"))
@@ -131,14 +173,17 @@ def pack_chunks(ranked: DataFrame, chunks: DataFrame, budget: int | DataFrame, m
     all, or a frame (query_id, allowed) whose further columns tell several budgets of a query apart and are kept."""
     top = F.max("score").over(W.partitionBy("query_id"))
     near = ranked.withColumn("top", top).where((F.col("top") >= min_score) & (F.col("score") >= F.round(F.col("top") * min_relative, 6)))
+    # Room never grows, so of chunks of one size only the first ``max_chunks`` can be taken: lists are as long as sizes are many.
+    sized = near.join(chunks.select("doc_id", "chunk_no", "tokens"), ["doc_id", "chunk_no"])
+    sized = sized.withColumn("nth", F.row_number().over(W.partitionBy("query_id", "tokens").orderBy("rank"))).where(F.col("nth") <= max_chunks)
     keys = ["query_id"]
     if isinstance(budget, int):
-        near = near.withColumn("allowed", F.lit(budget))
+        sized = sized.withColumn("allowed", F.lit(budget))
     else:
         keys = [c for c in budget.columns if c != "allowed"]
-        near = near.join(budget, "query_id")
+        sized = sized.join(budget, "query_id")
     # A chunk over the budget is never taken, so it is dropped before lists are made.
-    sized = near.join(chunks.select("doc_id", "chunk_no", "tokens"), ["doc_id", "chunk_no"]).where(F.col("tokens") + WRAPPER <= F.col("allowed"))
+    sized = sized.where(F.col("tokens") + WRAPPER <= F.col("allowed"))
     lists = sized.groupBy(*keys, "allowed").agg(F.array_sort(F.collect_list(F.struct("rank", "doc_id", "chunk_no", "score", "tokens"))).alias("ranked"))
     picked = lists.select(*keys, F.posexplode(greedy_skip(F.col("ranked"), lambda x: x["tokens"] + WRAPPER, F.col("allowed"), F.lit(0), max_chunks)).alias("pick", "c"))
     return picked.select(*keys, "c.doc_id", "c.chunk_no", "c.score", "c.tokens", (F.col("pick") + 1).cast("long").alias("pick"))
