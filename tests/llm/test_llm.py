@@ -172,6 +172,19 @@ def test_packing(spark, odd, empty):
     assert K.pack_documents(empty, path).count() == 0
 
 
+
+def test_packing_reads_small_batches(spark, odd, monkeypatch):
+    """Texts used to come 10,000 at once, which took the executor's memory in the pipeline."""
+    import public_tokenizers
+
+    name, seen, write = "spark.sql.execution.arrow.maxRecordsPerBatch", [], K.materialise
+    before = spark.conf.get(name)
+    monkeypatch.setattr(K, "materialise", lambda df: (seen.append(int(spark.conf.get(name))), write(df))[1])
+    pieces = K.pack_documents(odd, public_tokenizers.path("word_bpe_49k.json"), group_docs=4)
+    assert seen == [K.BATCH] and spark.conf.get(name) == before
+    assert pieces.select("doc_id").distinct().count() == odd.select("doc_id").distinct().count()
+
+
 def test_first_fit_decreasing():
     r = np.random.default_rng(3)
     lengths = r.integers(1, 100, 200)

@@ -21,13 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back
+from .common import batches_of, give_back, materialise
 
 #: The tokenizer lower-cases, drops white space and never joins across it, so a text's ids are those
 #: of its blank-separated chunks, and a chunk's ids those of its letter runs, digits and symbol runs.
 PIECE, ASCII_PIECE = r"\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+", re.compile(rb"[a-z]+|[0-9]|[^a-z0-9]+")
 #: The cache holds at most two generations of so many chunks.
 CACHE_ENTRIES = 200_000
+#: Texts that a task tokenises at once: whole batches lie in the executor outside of its heap and in the worker.
+BATCH = 256
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _WHOLE = 1 << 62
 #: Byte-level vocabularies name a byte by its Latin-1 character where that is visible, else by the next free one from 256 on.
@@ -171,5 +173,6 @@ def pack_documents(
 
     cuts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(cut, PIECES + ", group long")
     # Pandas reads a column with nulls as doubles, so whole sequences' ids travel in a column without.
-    keyed = cuts.withColumn("sequence_key", F.coalesce("sequence_id", F.lit(0)))
+    with batches_of(docs.sparkSession, BATCH):
+        keyed = materialise(cuts.withColumn("sequence_key", F.coalesce("sequence_id", F.lit(0))))
     return keyed.groupBy("group").applyInPandas(pack, PIECES)
