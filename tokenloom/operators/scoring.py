@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -79,65 +77,101 @@ def usage_report(usage: DataFrame, by: tuple[str, ...] = ("pipeline",), missed:
     return sums.join(keys, list(by), "left").fillna("", ["missed"])
 
 
+def _scalar_checks(kinds: dict[str, str], e: str, g: str) -> Column:
+    """Array of (field_key, correct): scalar fields of the struct ``e`` against those of the struct ``g`` as text."""
+    return F.array(*[F.struct(F.lit(k).alias("field_key"), values_match(kind, F.col(f"{e}.{k}"), F.col(f"{g}.{k}").cast("string")).alias("correct")) for k, kind in kinds.items()])
+
+
+def _told(checks: DataFrame, keys: list[str], *arrays: Column) -> DataFrame:
+    """(keys, field_key, correct) of arrays of checks; a null array has none."""
+    none = F.array().cast("array<struct<field_key:string,correct:boolean>>")
+    return checks.select(*keys, F.explode(F.concat(*[F.coalesce(a, none) for a in arrays])).alias("c")).select(*keys, "c.field_key", "c.correct")
+
+
 def score_scalars(truth: DataFrame, got: DataFrame, keys: list[str], kinds: dict[str, str]) -> DataFrame:
     """(keys, field_key, correct): scalar fields of ``truth`` against the text fields of ``got``."""
-    joined = truth.select(*keys, F.struct(*kinds).alias("e")).join(got.select(*keys, F.struct(*[F.col(k).cast("string").alias(k) for k in kinds]).alias("g")), keys, "left")
-    checks = [F.struct(F.lit(k).alias("field_key"), values_match(kind, F.col(f"e.{k}"), F.col(f"g.{k}")).alias("correct")) for k, kind in kinds.items()]
-    return joined.select(*keys, F.explode(F.array(*checks)).alias("c")).select(*keys, "c.field_key", "c.correct")
+    joined = truth.select(*keys, F.struct(*kinds).alias("e")).join(got.select(*keys, F.struct(*kinds).alias("g")), keys, "left")
+    return _told(joined, keys, _scalar_checks(kinds, "e", "g"))
+
+
+def _plain(a: Column) -> Column:
+    return plain_value(a.cast("string"))
+
+
+def _plain_invoices(items: Column) -> Column:
+    """Each invoice with its plain number: made once an invoice, not once a pair."""
+    return F.transform(items, lambda i: F.struct(i["invoice_number"].cast("string").alias("key"), _plain(i["invoice_number"]).alias("number"), i["amount"].alias("amount")))
+
+
+def _invoice_checks(e: Column, g: Column, old: Column, prefix: str = "") -> list[Column]:
+    """Checks of the expected invoices ``e``, and that none is superseded; both as ``_plain_invoices`` gives them, ``old`` an array of plain numbers."""
+    each = F.transform(
+        e,
+        lambda x: F.struct(
+            F.concat(F.lit(prefix), x["key"]).alias("field_key"),
+            F.exists(g, lambda i: F.coalesce((i["number"] == x["number"]) & values_match("number", x["amount"], i["amount"].cast("string")), F.lit(False))).alias("correct"),
+        ),
+    )
+    none = F.coalesce((F.size(g) > 0) & ~F.exists(g, lambda i: F.coalesce(F.array_contains(old, i["number"]), F.lit(False))), F.lit(False))
+    return [each, F.array(F.struct(F.lit(f"{prefix}no_superseded").alias("field_key"), none.alias("correct")))]
 
 
-def _same(a: Column, b: Column) -> Column:
-    return plain_value(a.cast("string")) == plain_value(b.cast("string"))
+def _old_numbers(superseded: DataFrame, key: str) -> DataFrame:
+    return superseded.groupBy(key).agg(F.collect_set(_plain(F.col("invoice_number"))).alias("old"))
 
 
 def score_invoices(truth: DataFrame, got: DataFrame, superseded: DataFrame, key: str = "pack_id") -> DataFrame:
     """(pack, field_key, correct): each expected invoice's number and amount, and that none is superseded.
 
     ``truth`` and ``got`` have invoices array<struct<invoice_number, amount>>; ``superseded(pack, invoice_number)``."""
-    joined = truth.select(key, F.col("invoices").alias("e")).join(got.select(key, F.col("invoices").alias("g")), key, "left").withColumn("g", F.coalesce("g", F.expr("filter(e, x -> false)")))
-    each = joined.select(key, "g", F.explode("e").alias("x")).select(
-        key, F.col("x.invoice_number").cast("string").alias("field_key"),
-        F.exists("g", lambda i: F.coalesce(_same(i["invoice_number"], F.col("x.invoice_number")) & values_match("number", F.col("x.amount"), i["amount"].cast("string")), F.lit(False))).alias("correct"),
-    )
-    old = superseded.groupBy(key).agg(F.collect_set(plain_value(F.col("invoice_number").cast("string"))).alias("old"))
-    none = joined.join(old, key, "left").select(
-        key, F.lit("no_superseded").alias("field_key"),
-        ((F.size("g") > 0) & ~F.exists("g", lambda i: F.coalesce(F.array_contains("old", plain_value(i["invoice_number"].cast("string"))), F.lit(False)))).alias("correct"),
-    )
-    return each.union(none)
+    return score_fields(truth, got, superseded, {}, {}, key, "")
 
 
-def score_codes(truth: DataFrame, got: DataFrame, key: str, items: str, code: str, primary: str | None = None, synonyms: dict[str, list[str]] | None = None) -> DataFrame:
-    """(pack, field_key, correct): an item with the same code, or an accepted synonym, is there.
+def _plain_codes(items: Column, code: str, primary: str | None, synonyms: dict[str, list[str]] | None = None) -> Column:
+    """Each item with its plain code and those that are accepted for it: made once an item, not once a pair."""
+    known = F.create_map(*[F.lit(x) for k, v in synonyms.items() for x in (k, ",".join(v))]) if synonyms else None
+    accepted = lambda i: [F.transform(F.filter(F.split(F.coalesce(known[i[code]], F.lit("")), ","), lambda o: o != ""), _plain).alias("others")] if synonyms else []
+    return F.transform(items, lambda i: F.struct(i[code].cast("string").alias("key"), _plain(i[code]).alias("plain"), *([i[primary].alias("primary")] if primary else []), *accepted(i)))
 
-    With ``primary``, an expected primary item has to be marked primary too."""
-    accepted = F.create_map(*[F.lit(x) for k, v in (synonyms or {}).items() for x in (k, ",".join(v))]) if synonyms else None
-    joined = truth.select(key, F.explode(items).alias("x")).join(got.select(key, F.col(items).alias("g")), key, "left")
-    others = F.split(F.coalesce(accepted[F.col(f"x.{code}")], F.lit("")), ",") if accepted is not None else F.array(F.lit(""))
 
-    def fits(i: Column) -> Column:
-        same = _same(i[code], F.col(f"x.{code}")) | F.exists(others, lambda o: (o != "") & _same(i[code], o))
+def _code_checks(e: Column, g: Column, primary: str | None, synonyms: dict[str, list[str]] | None, prefix: str = "") -> Column:
+    """Checks of the expected items ``e``; both as ``_plain_codes`` gives them, ``e`` with what is accepted."""
+
+    def fits(x: Column, i: Column) -> Column:
+        same = i["plain"] == x["plain"]
+        if synonyms:
+            same = same | F.array_contains(x["others"], i["plain"])
         if primary:
-            same = same & (~F.col(f"x.{primary}") | i[primary])
+            same = same & (~x["primary"] | i["primary"])
         return F.coalesce(same, F.lit(False))
 
-    return joined.select(key, F.col(f"x.{code}").alias("field_key"), F.coalesce(F.exists("g", fits), F.lit(False)).alias("correct"))
+    return F.transform(e, lambda x: F.struct(F.concat(F.lit(prefix), x["key"]).alias("field_key"), F.coalesce(F.exists(g, lambda i: fits(x, i)), F.lit(False)).alias("correct")))
+
+
+def score_codes(truth: DataFrame, got: DataFrame, key: str, items: str, code: str, primary: str | None = None, synonyms: dict[str, list[str]] | None = None) -> DataFrame:
+    """(pack, field_key, correct): an item with the same code, or an accepted synonym, is there.
+
+    With ``primary``, an expected primary item has to be marked primary too."""
+    e, g = _plain_codes(F.col(items), code, primary, synonyms).alias("e"), _plain_codes(F.col(items), code, primary).alias("g")
+    return _told(truth.select(key, e).join(got.select(key, g), key, "left"), [key], _code_checks(F.col("e"), F.col("g"), primary, synonyms))
 
 
 def score_fields(
-    truth: DataFrame, got: DataFrame, superseded: DataFrame, scalars: dict[str, str], codes: dict[str, tuple[str, str | None, dict[str, list[str]] | None]], key: str = "pack_id"
+    truth: DataFrame, got: DataFrame, superseded: DataFrame, scalars: dict[str, str], codes: dict[str, tuple[str, str | None, dict[str, list[str]] | None]], key: str = "pack_id", invoices: str = "invoices."
 ) -> DataFrame:
     """(pack, field_key, correct) over all groups: scalars by kind, coded items, invoices and that none is superseded.
 
     ``codes`` names arrays of structs: (code field, primary field or None, accepted synonyms or None). An array's keys
-    are ``items.code``, as in ``diagnoses.J18``; ``truth`` and ``got`` have a row per pack."""
-    parts = [score_scalars(truth, got, [key], scalars)] if scalars else []
-    for items, (code, primary, synonyms) in codes.items():
-        scored = score_codes(truth, got, key, items, code, primary, synonyms)
-        parts.append(scored.withColumn("field_key", F.concat(F.lit(f"{items}."), F.col("field_key").cast("string"))))
-    invoices = score_invoices(truth, got, superseded, key)
-    parts.append(invoices.withColumn("field_key", F.concat(F.lit("invoices."), "field_key")))
-    return reduce(DataFrame.unionByName, parts)
+    are ``items.code``, as in ``diagnoses.J18``; ``truth`` and ``got`` have a row per pack. They meet once, whatever the number of
+    groups, so neither is made again for each; plain numbers and codes of ``got`` are made once a pack."""
+    named = F.struct(*scalars, *codes, "invoices")
+    joined = truth.select(key, named.alias("e")).join(got.select(key, named.alias("g")), key, "left").join(_old_numbers(superseded, key), key, "left")
+    made = {"ei": _plain_invoices(F.col("e.invoices")), "gi": F.coalesce(_plain_invoices(F.col("g.invoices")), F.array())}
+    arrays = [_scalar_checks(scalars, "e", "g")] if scalars else []
+    for n, (items, (code, primary, synonyms)) in enumerate(codes.items()):
+        made |= {f"e{n}": _plain_codes(F.col(f"e.{items}"), code, primary, synonyms), f"g{n}": _plain_codes(F.col(f"g.{items}"), code, primary)}
+        arrays.append(_code_checks(F.col(f"e{n}"), F.col(f"g{n}"), primary, synonyms, f"{items}."))
+    return _told(joined.withColumns(made), [key], *arrays, *_invoice_checks(F.col("ei"), F.col("gi"), F.col("old"), invoices))
 
 
 def supersessions(pages: DataFrame) -> DataFrame:
