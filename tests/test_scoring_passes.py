@@ -38,3 +38,25 @@ def test_score_fields_reads_each_table_once(claims):
         want += [(p, f"invoices.{x['invoice_number']}", any(y["invoice_number"] == x["invoice_number"] and y["amount"] == x["amount"] for y in mine)) for x in t["invoices"] or []]
         want.append((p, "invoices.no_superseded", bool(mine) and not (p in old and any(plain(y["invoice_number"]) == plain(old[p]["invoice_number"]) for y in mine))))
     assert sorted(map(tuple, scored.collect())) == sorted(want)
+
+
+def test_totals_are_dealt_to_as_many_tasks_as_they_need(spark, monkeypatch):
+    monkeypatch.setattr(G, "TASK_INVOICES", 50)
+    r = random.Random(4)
+    rows = [(r.choice([None, *range(12)]), r.choice([None, "a", "b", "c"]), r.randrange(100)) for _ in range(500)]
+    gone = [(1, "a"), (2, None), (None, "b"), (3, "c"), (3, "c"), (11, "z")]
+    invoices = spark.createDataFrame(rows, "pack_id long, invoice_number string, amount long")
+    approved = spark.createDataFrame([(p, 150.0) for p in range(11)], "pack_id long, approved_amount double")
+    got = G.current_invoice_totals(invoices, spark.createDataFrame(gone, "pack_id long, invoice_number string"), approved)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [pack_id" in plan and ", 10" in plan and plan.count("Join ") == 1
+    least: dict[tuple, int] = {}
+    for p, n, a in rows:
+        if (p, n) not in {g for g in gone if None not in g}:
+            least[p, n] = min(a, least.get((p, n), a))
+    want = []
+    for p in range(11):
+        mine = [a for (q, _), a in least.items() if q == p]
+        if mine:
+            want.append((p, len(mine), float(sum(mine)), sum(mine) > 150))
+    assert sorted(map(tuple, got.collect())) == want

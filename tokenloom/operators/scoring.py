@@ -181,10 +181,22 @@ def supersessions(pages: DataFrame) -> DataFrame:
     return rows.select("pack_id", F.regexp_replace(F.regexp_extract("s", r"replaces (\S+)", 1), r"[.,;]$", "").alias("invoice_number"), F.regexp_extract("s", r"Invoice (\S+) replaces", 1).alias("replaced_by")).distinct()
 
 
+#: Rows of invoices that one task counts.
+TASK_INVOICES = 1_000_000
+
+
 def current_invoice_totals(invoices: DataFrame, superseded: DataFrame, approved: DataFrame, key: str = "pack_id") -> DataFrame:
-    """(pack, n_invoices, total, exceeds): invoices once each and without superseded ones, against the approved amount."""
+    """(pack, n_invoices, total, exceeds): invoices once each and without superseded ones, against the approved amount.
+
+    Invoices and superseded numbers are dealt by pack once, to as many tasks as their rows need, so a task holds no more when they are
+    more; a number's group knows whether it is superseded, so nothing is sorted for a join."""
+    rows = invoices.select(key, "invoice_number", "amount", F.lit(False).alias("old"))
+    # As in a join, a missing key or number supersedes nothing.
+    gone = superseded.where(F.col(key).isNotNull() & F.col("invoice_number").isNotNull()).select(key, "invoice_number", F.lit(True).alias("old"))
+    parts = max(int(invoices.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-invoices.count() // TASK_INVOICES))
+    dealt = rows.unionByName(gone, allowMissingColumns=True).repartition(parts, key)
     # Of rows with one number the smallest amount counts, so the choice does not hang on row order.
-    current = invoices.join(superseded.select(key, "invoice_number"), [key, "invoice_number"], "left_anti").groupBy(key, "invoice_number").agg(F.min("amount").alias("amount"))
+    current = dealt.groupBy(key, "invoice_number").agg(F.min("amount").alias("amount"), F.max("old").alias("old")).where(~F.col("old"))
     sums = current.groupBy(key).agg(F.count("*").alias("n_invoices"), F.round(F.sum("amount").cast("double"), 2).alias("total"))
     return sums.join(approved, key).select(key, "n_invoices", "total", (F.col("total") > F.col("approved_amount")).alias("exceeds"))
 
