@@ -189,6 +189,16 @@ def pack_chunks(ranked: DataFrame, chunks: DataFrame, budget: int | DataFrame, m
     return picked.select(*keys, "c.doc_id", "c.chunk_no", "c.score", "c.tokens", (F.col("pick") + 1).cast("long").alias("pick"))
 
 
+def head_documents(docs: DataFrame, budget: int, sep: str = "\n\n", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents whose chunks ``prefill_documents`` can take from ``budget``, so that only they are cut into chunks.
+
+    It looks at the first budget / WRAPPER + 1 chunks; a document with a paragraph has at least one, so they are chunks of so many first
+    documents with a paragraph. Every document is read for that, and no other is counted."""
+    some = F.exists(F.split(F.coalesce(text, F.lit("")), sep), lambda p: strip(p) != "")
+    # Written, as else counting is pushed below the limit and all texts are sorted for it.
+    return written(docs.where(some).orderBy(doc_id).limit(budget // WRAPPER + 1))
+
+
 def prefill_documents(chunks: DataFrame, budget: int) -> DataFrame:
     """Chunks in stored order up to the first that does not fit, with the running cost.
 

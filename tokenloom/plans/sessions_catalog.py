@@ -8,7 +8,7 @@ from ..functions.text import summary_sentences
 from ..operators import history as H
 from ..operators import sessions as Z
 from . import sqltext as S
-from .pages_catalog import CHUNKS, INDEX, chunks, read
+from .pages_catalog import CHUNKS, INDEX, chunks, head_chunks, read
 
 PLAN = Z.Plan(window=1200, reserve=200, margin=0.05, memory=100, documents=200, trigger=0.75, keep_messages=2, keep_tools=1, summary=120)
 #: The instructions of every request.
@@ -77,13 +77,18 @@ def turn_end_notes(spark, sf_dir):
 
 
 def turn_end_truncated(spark, sf_dir):
-    return Z.assemble_truncated(messages(spark, sf_dir), _turn_end(spark, sf_dir), _kb(spark, sf_dir), PLAN, SYSTEM_TOKENS)
+    return Z.assemble_truncated(messages(spark, sf_dir), _turn_end(spark, sf_dir), _kb_head(spark, sf_dir), PLAN, SYSTEM_TOKENS)
 
 
 def _kb(spark, sf_dir):
     return chunks(spark, sf_dir)
 
 
+def _kb_head(spark, sf_dir):
+    """What a truncated context can be prefilled with."""
+    return head_chunks(spark, sf_dir, int(PLAN.budget * PLAN.kb_share))
+
+
 def allocate_slots(spark, sf_dir):
     noted = select_notes(spark, sf_dir).select("conv_id", "request_id", Z.token_count(F.col("memory")).alias("memory_tokens"))
     asked = requests(spark, sf_dir).join(noted, ["conv_id", "request_id"]).withColumn("document_tokens", F.lit(150))
@@ -95,7 +100,7 @@ def assemble_unbounded(spark, sf_dir):
 
 
 def assemble_truncated(spark, sf_dir):
-    return Z.assemble_truncated(messages(spark, sf_dir), requests(spark, sf_dir), _kb(spark, sf_dir), PLAN, SYSTEM_TOKENS)
+    return Z.assemble_truncated(messages(spark, sf_dir), requests(spark, sf_dir), _kb_head(spark, sf_dir), PLAN, SYSTEM_TOKENS)
 
 
 def engineered(spark, sf_dir):
