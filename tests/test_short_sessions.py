@@ -1,8 +1,10 @@
 from __future__ import annotations
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tokenloom.operators import sessions as Z
+from tokenloom.streaming.compaction import OUTPUT, Compaction
 
 PLAN = Z.Plan(window=400, reserve=100, keep_messages=2, keep_tools=1, summary=60)
 
@@ -29,3 +31,24 @@ def test_marks_are_looked_for_once_a_sentence(spark):
     assert counted._jdf.queryExecution().optimizedPlan().toString().count("root cause") == 1
     s = counted.first()["sentences"][0]
     assert (s["score"], s["summary_score"]) == (0.3 * 6.5, 2.5 * 6.5)
+
+
+class _Held:
+    """A state variable without a store."""
+
+    value = None
+    exists = lambda self: self.value is not None
+    get = lambda self: self.value
+    update = put = lambda self, value: setattr(self, "value", value)
+    appendList = lambda self, rows: setattr(self, "value", [*(self.value or []), *rows])
+
+
+def test_stream_takes_and_gives_rows():
+    """No frame is made for a session of a few messages."""
+    sentence = Row(text="Finding T-101 is confirmed", score=9.0, summary_score=9.0, cost=8)
+    told = [Row(conv_id=1, seq=i, turn=i, role="user", tokens=90, stub_tokens=9, cleared=False, sentences=[sentence]) for i in (1, 0, 3, 2)]
+    made = Compaction(PLAN, True)
+    made.held, made.counters = _Held(), _Held()
+    out = [r for part in (told[:2], told[2:]) for r in made.handleInputRows((1,), iter(part), None)]
+    assert all(isinstance(r, Row) and list(r.asDict()) == [c.split()[0] for c in OUTPUT.split(", ")] for r in out)
+    assert [(r["seq"], r["first_seq"] + r["n_messages"]) for r in out] == [(0, 0), (1, 1), (2, 2), (3, 3)]

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.sessions import Plan, Session, counted_messages, visible
@@ -18,7 +18,7 @@ OUTPUT = "conv_id long, seq long, as_of long, history_tokens long, first_seq lon
 HELD = "turn long, seq long, role string, tokens long, stub_tokens long, cleared boolean, sentences string"
 COUNTERS = "summary string, upto long, compactions long, folded_turn long, folded_seq long, expires long"
 STATE = "conv_id long, messages string, counters string"
-_NAMES = [c.split()[0] for c in HELD.split(", ")]
+_NAMES, _ROW = ([c.split()[0] for c in x.split(", ")] for x in (HELD, OUTPUT))
 #: Stands in the place of a folded message, so that positions stay.
 _GONE = {"role": "", "tokens": 0, "stub_tokens": 0, "cleared": False, "sentences": [], "turn": -1, "seq": -1}
 
@@ -60,10 +60,10 @@ def _plain(x):
     return x.item()
 
 
-def _told(frame: pd.DataFrame) -> list[dict]:
+def _told(messages: Iterable[dict]) -> list[dict]:
     """Messages in order, as plain values."""
     rows = []
-    for m in frame.sort_values(["turn", "seq"]).to_dict("records"):
+    for m in sorted(messages, key=lambda m: (m["turn"], m["seq"])):
         sentences = [dict(s.asDict() if hasattr(s, "asDict") else s) for s in m["sentences"]]
         rows.append({"turn": int(m["turn"]), "seq": int(m["seq"]), "role": m["role"], "tokens": int(m["tokens"]), "stub_tokens": int(m["stub_tokens"]), "cleared": bool(m["cleared"]), "sentences": sentences})
     return rows
@@ -104,25 +104,25 @@ class Compaction(StatefulProcessor):
         turn, seq = kept.folded or (None, None)
         self.counters.update((json.dumps(kept.summary, default=_plain), kept.upto, kept.compactions, turn, seq, expires))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         kept, expires = self._load()
         before, held = kept.upto, len(kept.messages)
-        out = kept.take(int(key[0]), _told(pd.concat(list(rows))), self.plan, self.clearing)
+        out = kept.take(int(key[0]), _told(r.asDict() for r in rows), self.plan, self.clearing)
         if self.idle_ms is not None:
             if expires is not None:
                 self.handle.deleteTimer(expires)
             expires = timerValues.getCurrentProcessingTimeInMs() + self.idle_ms
             self.handle.registerTimer(expires)
         self._store(kept, kept.messages[held:] if kept.upto == before else None, expires)
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in OUTPUT.split(", ")])
+        yield from (Row(**{c: x[c] for c in _ROW}) for x in out)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         self.held.clear()
         self.counters.clear()
         return iter(())
 
-    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        row = initialState.iloc[0]
+    def handleInitialState(self, key, initialState: Row, timerValues) -> None:
+        row = initialState
         counters = json.loads(row["counters"])
         kept = Kept(json.loads(row["messages"]), counters["summary"], counters["upto"], counters["compactions"], tuple(counters["folded"]) if counters["folded"] else None)
         self._store(kept, None, None)
@@ -136,7 +136,7 @@ def session_states(messages: DataFrame, plan: Plan, clearing: bool = True) -> Da
 
     def last(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         kept = Kept()
-        kept.take(int(key[0]), _told(frame), plan, clearing)
+        kept.take(int(key[0]), _told(frame.to_dict("records")), plan, clearing)
         state = asdict(kept)
         return pd.DataFrame({"conv_id": [key[0]], "messages": [json.dumps(state.pop("messages"), default=_plain)], "counters": [json.dumps(state, default=_plain)]})
 
@@ -147,7 +147,7 @@ def compact_stream(messages: DataFrame, plan: Plan, clearing: bool = True, idle_
     """A streaming DataFrame of one row per user message, equal to the batch replay of the session.
 
     ``state`` is what ``session_states`` gave for earlier messages; ``idle_ms`` ends sessions without messages. The state store has to be RocksDB's."""
-    return counted_messages(messages).groupBy("conv_id").transformWithStateInPandas(
+    return counted_messages(messages).groupBy("conv_id").transformWithState(
         statefulProcessor=Compaction(plan, clearing, idle_ms), outputStructType=OUTPUT, outputMode="Append", timeMode="None" if idle_ms is None else "ProcessingTime",
         initialState=None if state is None else state.groupBy("conv_id"),
     )
