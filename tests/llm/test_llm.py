@@ -173,6 +173,20 @@ def test_packing(spark, odd, empty):
 
 
 
+def test_packing_merges_short_pieces_once():
+    """A comma used to be merged again for every new word that it followed."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    cached, calls = K.CachedTokenizer(path), []
+    model = cached.model
+    cached.model = type("Counted", (), {"tokenize": lambda _, name: (calls.append(name), model.tokenize(name))[1]})()
+    text = "alphaq, betaq, gammaq, élanq, naïvetéq!! œuvreq, Éq, ßq7,"
+    assert cached.encode(text.encode()) == np.asarray(Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert calls.count(",") == 1
+
+
 def test_packing_reads_small_batches(spark, odd, monkeypatch):
     """Texts used to come 10,000 at once, which took the executor's memory in the pipeline."""
     import public_tokenizers

@@ -13,7 +13,7 @@ import random
 import re
 import unicodedata
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -26,6 +26,10 @@ from .common import batches_of, give_back, materialise
 #: The tokenizer lower-cases, drops white space and never joins across it, so a text's ids are those
 #: of its blank-separated chunks, and a chunk's ids those of its letter runs, digits and symbol runs.
 PIECE, ASCII_PIECE = r"\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+", re.compile(rb"[a-z]+|[0-9]|[^a-z0-9]+")
+#: Texts of ASCII and small Latin-1 letters, which are normal and lower-cased as they are, and their pieces.
+LATIN, LATIN_PIECE = re.compile("[\x00-\x7f\xdf-\xf6\xf8-\xff]+"), re.compile("[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a-z0-9\xdf-\xf6\xf8-\xff]+")
+#: Pieces of so few bytes, of which there are few, are kept for good, at most so many.
+SHORT, SHORT_ENTRIES = 3, 20_000
 #: The cache holds at most two generations of so many chunks.
 CACHE_ENTRIES = 200_000
 #: Texts that a task tokenises at once: whole batches lie in the executor outside of its heap and in the worker.
@@ -50,6 +54,7 @@ class CachedTokenizer:
         self.model = self.tokenizer.model
         self.pieces = regex.compile(PIECE)
         self.id_bytes = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
+        self.short: dict[bytes, bytes] = {}
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
@@ -60,25 +65,35 @@ class CachedTokenizer:
         """A normalised piece, by the merges alone: the whole tokenizer takes several times as long for a word."""
         name = piece.decode("ascii") if piece.isalnum() else piece.decode("latin-1").translate(_BYTE_NAMES)
         id_bytes = self.id_bytes
-        return b"".join([id_bytes[t.id] for t in self.model.tokenize(name)])
+        ids = b"".join([id_bytes[t.id] for t in self.model.tokenize(name)])
+        if len(piece) <= SHORT and len(self.short) < SHORT_ENTRIES:
+            self.short[piece] = ids
+        return ids
+
+    def _joined(self, pieces: Iterable[bytes]) -> bytes:
+        short, young, merged = self.short.get, self.young.get, self._merged
+        return b"".join([short(p) or young(p) or merged(p) for p in pieces])
 
     def _chunk(self, chunk: bytes) -> bytes:
         """The ids of a chunk that the young generation lacks."""
         ids = self.old.get(chunk)
         if ids is None:
             if chunk.isalpha():  # ASCII letters
-                ids = self._merged(chunk)
+                id_bytes = self.id_bytes
+                ids = b"".join([id_bytes[t.id] for t in self.model.tokenize(chunk.decode("ascii"))])
             elif b"'" in chunk:  # contractions
                 ids = self._direct(chunk.decode("utf-8", "replace"))
             elif chunk.isascii():
-                ids = b"".join([self.young.get(p) or self._merged(p) for p in ASCII_PIECE.findall(chunk)])
+                ids = self._joined(ASCII_PIECE.findall(chunk))
             else:
                 text = chunk.decode("utf-8", "replace")
+                if LATIN.fullmatch(text):
+                    ids = self._joined([p.encode() for p in LATIN_PIECE.findall(text)])
                 # Letters beyond Latin, and what is not yet normal or lower-cased: the whole tokenizer.
-                if max(text) > "\u024f" or text != text.lower() or not unicodedata.is_normalized("NFC", text):
+                elif max(text) > "\u024f" or text != text.lower() or not unicodedata.is_normalized("NFC", text):
                     ids = self._direct(text)
                 else:
-                    ids = b"".join([self.young.get(p) or self._merged(p) for p in map(str.encode, self.pieces.findall(text))])
+                    ids = self._joined(map(str.encode, self.pieces.findall(text)))
         if len(self.young) >= CACHE_ENTRIES:
             self.old, self.young = self.young, {}
         self.young[chunk] = ids
