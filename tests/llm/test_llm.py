@@ -613,3 +613,25 @@ def test_secret_words_and_excerpts(spark):
     assert [E.wordlike(x) for x in ("UNDCHPFCH", "chschpfpf***", "en-pfpfVer", "Well-known/Word", "aB3dddddd", "xYzzy", "***")] == [True, True, False, True, False, False, True]
     long = ["".join(random.Random(i).choices("abcdef0123456789", k=5000)) for i in range(40)]
     assert all(len(E.excerpt(x)) == E.VALUE and E.excerpt(x) in x for x in long) and len({x.index(E.excerpt(x)) for x in long}) > 30 and E.excerpt("short") == "short"
+
+
+def test_secret_network_learns_from_every_document(spark, monkeypatch):
+    """Rule matches outside of the sample used to teach nothing."""
+    r = random.Random(4)
+    words = ["".join(r.choices("abcdefghijklmnop", k=r.randint(8, 12))) for _ in range(600)]
+    texts = [f"{' '.join(r.choices(words, k=12))} secret={''.join(r.choices('0123456789abcdef', k=20))} {' '.join(r.choices(words, k=6))}" for _ in range(400)]
+    seen, learn = [], E.learn_whole
+    monkeypatch.setattr(E, "SAMPLE_DOCS", 100)
+    monkeypatch.setattr(E, "whole_findings", lambda *a, f=E.whole_findings: (seen.append(f(*a)), seen[-1])[1])
+    monkeypatch.setattr(E, "learn_whole", lambda net, t: (seen.append(net), learn(net, t))[1])
+    assert E.scan_secrets(docs(spark, texts)).count() == 400
+    found = seen[1].where("label").collect()
+    assert {x["value"] for x in found} == {t.split("secret=")[1].split(" ")[0] for t in texts} and {x["half"] for x in found} == {0, 1}
+
+
+def test_secret_calibration_by_counts():
+    out, label = np.arange(-50, 50) / 10.0, np.arange(100) >= 40
+    net, count = E.CharNet(), np.where(np.arange(100) == 40, 2.0, 1.0)
+    net.calibrate_counted(out, label, count)
+    scores = 1 / (1 + np.exp(-(net.scale * out + net.shift)))
+    assert (count * (label & (scores >= net.threshold - 1e-12))).sum() >= E.RECALL * count[label].sum()
