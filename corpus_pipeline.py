@@ -10,7 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenloom.llm.common import materialise, table
+from tokenloom.llm.common import batches_of, materialise, table
+
+#: Texts that a task judges at once: whole batches lie in the executor outside of its heap and in the worker.
+BATCH = 256
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,7 +23,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows are judged alike; an empty table stays empty."""
     from tokenloom.llm.language_id import identify_language
 
-    return identify_language(docs).where("not rejected").select(*docs.columns)
+    with batches_of(spark, BATCH):
+        return materialise(identify_language(docs).where("not rejected").select(*docs.columns))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -635,3 +635,15 @@ def test_secret_calibration_by_counts():
     net.calibrate_counted(out, label, count)
     scores = 1 / (1 + np.exp(-(net.scale * out + net.shift)))
     assert (count * (label & (scores >= net.threshold - 1e-12))).sum() >= E.RECALL * count[label].sum()
+
+
+def test_pipeline_judges_languages_in_small_batches(spark, odd, monkeypatch):
+    """Texts used to come 10,000 at once, which took the executor's memory in the pipeline."""
+    import corpus_pipeline
+
+    name, seen, write = "spark.sql.execution.arrow.maxRecordsPerBatch", [], corpus_pipeline.materialise
+    before = spark.conf.get(name)
+    monkeypatch.setattr(corpus_pipeline, "materialise", lambda df: (seen.append(int(spark.conf.get(name))), write(df))[1])
+    frame = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    assert corpus_pipeline.language(spark, frame, "").columns == frame.columns
+    assert seen == [corpus_pipeline.BATCH] and spark.conf.get(name) == before
