@@ -40,25 +40,34 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+@contextmanager
+def _set(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """The session's own setting comes back afterwards."""
+    before = spark.conf.get(name)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def materialise(df: DataFrame) -> DataFrame:
-    """Write once to the shared folder and read back: cuts lineage and survives lost executors."""
+    """Write once to the shared folder and read back: cuts lineage and survives lost executors.
+
+    What the job shuffled goes when it is written: else shuffle files of all steps pile up until the driver happens to collect its garbage."""
     path = shared_folder(df.sparkSession)
-    df.write.parquet(path)
+    with _set(df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 @contextmanager
 def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Jobs run inside send Python workers so many rows at once; the session's own setting comes back afterwards.
+    """Jobs run inside send Python workers so many rows at once.
 
     A batch is held several times over, by the JVM outside of its heap and by the worker, so rows of long texts are sent in small ones."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
-    try:
+    with _set(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(rows)):
         yield
-    finally:
-        spark.conf.set(name, before)
 
 
 def give_back() -> None:

@@ -26,6 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -51,6 +52,8 @@ BATCH_ROWS = 1000
 LINKS_AT_ONCE = 200_000
 #: Lists of nodes are broadcast only up to so many entries.
 BROADCAST_NODES = 500_000
+#: Prefix elements that a task of ``repeated`` reads, bits and hash functions of its filter for each that it finds twice, elements that are dealt out at once.
+DEALT, FILTER_BITS, FILTER_HASHES, DEAL_AT_ONCE = 1_000_000, 10, 5, 2_000_000
 _TEXT_BLOCK = 1 << 18
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -298,6 +301,79 @@ def _frequent(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     return hashes[by_hash], rank[by_hash]
 
 
+def _dealt(elements: np.ndarray, buckets: int) -> np.ndarray:
+    """Each element's bucket in the upper half, and 32 more of its bits in the lower."""
+    low = np.uint64(0xFFFFFFFF)
+    return (elements >> np.uint64(32)) % np.uint64(buckets) << np.uint64(32) | elements & low
+
+
+def _places(dealt: np.ndarray, sizes: np.ndarray | int) -> Iterator[np.ndarray]:
+    """The places of dealt elements in filters of such sizes in bits, one array for each hash function."""
+    x = _mix(dealt + np.uint64(1))
+    step = x >> np.uint64(32) | np.uint64(1)
+    for i in range(FILTER_HASHES):
+        yield ((x + np.uint64(i) * step) % np.asarray(sizes, np.uint64)).astype(np.int64)
+
+
+class Repeated:
+    """Filters, one for each bucket, of elements that stand in two rows at least; may hold others too."""
+
+    def __init__(self, filters: list[bytes]):
+        self.sizes = np.array([8 * len(f) for f in filters], np.uint64)
+        self.starts = np.concatenate([[0], np.cumsum(self.sizes[:-1])]).astype(np.int64)
+        self.bits = np.frombuffer(b"".join(filters), np.uint8)
+
+    def holds(self, elements: np.ndarray) -> np.ndarray:
+        dealt = _dealt(elements, len(self.sizes))
+        bucket = (dealt >> np.uint64(32)).astype(np.int64)
+        held = np.ones(len(elements), bool)
+        for at in _places(dealt, self.sizes[bucket]):
+            at += self.starts[bucket]
+            held &= self.bits[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1
+        return held
+
+
+def repeated(signed: DataFrame) -> Repeated:
+    """Which elements of ``signed(prefix)`` stand in two rows or more.
+
+    Most stand in one and would be shuffled with their node only to be dropped: here four bytes of each are shuffled, and filters come back."""
+    buckets = max(1, -(-(signed.agg(F.sum(F.size("prefix"))).first()[0] or 0) // DEALT))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def flush() -> pa.RecordBatch:
+            dealt = np.sort(_dealt(np.concatenate(held), buckets))
+            bounds = np.searchsorted(dealt, np.arange(buckets + 1, dtype=np.uint64) << np.uint64(32))
+            some = np.flatnonzero(np.diff(bounds))
+            low = dealt.astype(np.uint32)
+            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([low[bounds[b] : bounds[b + 1]].tobytes() for b in some], pa.binary())], ["bucket", "low"])
+
+        for batch in batches:
+            held.append(batch.column(0).flatten().to_numpy().view(np.uint64))
+            if sum(map(len, held)) >= DEAL_AT_ONCE:
+                yield flush()
+                held = []
+        if held:
+            yield flush()
+        held.clear()
+        give_back()
+
+    def sift(group: pd.DataFrame) -> pd.DataFrame:
+        bucket = int(group["bucket"].iloc[0])
+        low = np.sort(np.concatenate([np.frombuffer(x, np.uint32) for x in group["low"]]))
+        twice = np.unique(low[1:][low[1:] == low[:-1]]).astype(np.uint64) | np.uint64(bucket << 32)
+        size = 8 * (len(twice) * FILTER_BITS // 8 + 1)
+        bits = np.zeros(size, bool)
+        for at in _places(twice, size):
+            bits[at] = True
+        return pd.DataFrame({"bucket": [bucket], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
+
+    found = signed.select("prefix").mapInArrow(deal, "bucket int, low binary").groupBy("bucket").applyInPandas(sift, "bucket int, bits binary")
+    got = dict(materialise(found).toPandas().itertuples(index=False))
+    return Repeated([got.get(b, b"\0") for b in range(buckets)])
+
+
 def _opened(block: pd.DataFrame) -> tuple[int, np.ndarray, np.ndarray, list[np.ndarray]]:
     """A block's query and its set, its candidates and theirs; rows that repeat a doc_id and a text count once."""
     query = block["b"].isna().to_numpy()
@@ -446,12 +522,27 @@ def _joined(texts: DataFrame, size: int, percent: int) -> DataFrame:
 
     sets = Sets(texts, nodes, size, percent, order)
     token = W.partitionBy("token")
+    named = signed.where("node is not null and doc_id is not null")
+    often = spark.sparkContext.broadcast(repeated(named))
+
+    def met_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lengths = pc.list_value_length(batch.column(2)).to_numpy(zero_copy_only=False)
+            tokens = batch.column(2).flatten().to_numpy()
+            held = np.flatnonzero(often.value.holds(tokens.view(np.uint64)))
+            row = np.repeat(np.arange(batch.num_rows), lengths)
+            pos = np.arange(len(tokens)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            rows = batch.select(["node", "n"]).take(pa.array(row[held]))
+            yield pa.RecordBatch.from_arrays([pa.array(tokens[held]), *rows.columns, pa.array(pos[held], pa.int32())], ["token", "node", "n", "pos"])
+        give_back()
+
     postings = (
-        signed.where("node is not null and doc_id is not null").select("node", "n", F.posexplode("prefix").alias("pos", "token"))
+        named.select("node", "n", "prefix").mapInArrow(met_again, "token long, node long, n long, pos int")
         .repartition("token").distinct()
         .withColumn("low", F.min("node").over(token)).withColumn("high", F.max("node").over(token)).where("low <> high")
     )
     postings = materialise(postings.select("token", "node", "n", "pos"))
+    often.destroy()
 
     def possible(a, b):
         """Length and positional bounds for two nodes that hold a common element at their positions."""
@@ -497,9 +588,9 @@ def _joined(texts: DataFrame, size: int, percent: int) -> DataFrame:
     rest = materialise(pairs_of(met, 1.0).union(near.select("a", "b")).distinct().join(tried, ["a", "b"], "left_anti"))
     if rest.limit(1).count():
         joined = materialise(components(links.union(sets.verified(rest))))
-    named = nodes.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    labels = named.join(least, "component").select("node", "component_id")
+    placed = nodes.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    labels = placed.join(least, "component").select("node", "component_id")
     order.destroy()  # what is returned only reads written tables
     return signed.select("doc_id", "node", F.col("n").alias("n_shingles")).join(labels, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
