@@ -206,8 +206,13 @@ def fact_checks(contexts: DataFrame, questions: DataFrame, keys: tuple[str, ...]
 
     ``contexts`` has keys, text and within; ``questions`` has keys and must_contain. A context over its budget cannot be
     sent, so its text may be null: then no facts are told and nothing is answerable."""
+    return judged(contexts.join(questions, list(keys)))
+
+
+def judged(rows: DataFrame) -> DataFrame:
+    """``fact_checks`` of rows that have their text, within and must_contain already."""
     found = F.when(F.col("text").isNotNull(), F.size(F.filter("must_contain", lambda f: F.contains(F.col("text"), f)))).cast("long")
-    rows = contexts.join(questions, list(keys)).withColumn("found", found).withColumn("needed", F.size("must_contain").cast("long"))
+    rows = rows.withColumn("found", found).withColumn("needed", F.size("must_contain").cast("long"))
     present = F.when(F.col("text").isNull(), None).when(F.col("needed") > 0, F.col("found") / F.col("needed")).otherwise(1.0)
     answerable = F.coalesce(F.col("found") == F.col("needed"), F.lit(False)) & F.col("within")
     return rows.withColumn("facts_present", F.round(present, 6)).withColumn("answerable", answerable).drop("text", "must_contain")
