@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from tokenloom.operators import scoring as G
 from tokenloom.operators import sessions as Z
 from tokenloom.plans import scoring_catalog as S
@@ -21,6 +22,14 @@ def test_judged_contexts_keep_no_text(spark):
     assert kept.count() == texts.count()
 
 
+def test_matrix_is_made_of_judged_contexts(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(S, "written", lambda df: seen.append(df.columns) or df)
+    matrix = entry.queries()["question_matrix"](spark, SF)
+    assert seen and not any("text" in columns for columns in seen)
+    assert set(Z.STRATEGIES) < set(matrix.columns)
+
+
 def test_shown_messages_are_gathered_once(spark):
     """A request's strategies show runs of the same messages; an old result is a stub in some and its text in others."""
     plan = Z.Plan(window=400, reserve=0, margin=0, keep_tools=1)
