@@ -205,7 +205,7 @@ def _scored_round(lists: DataFrame, weights: DataFrame, norm, min_relative: floa
     kinds = dict(lists.dtypes) | dict(weights.dtypes)
     if most is not None:
         # Each task passes on its own best, so few tasks leave less to shuffle.
-        lists = lists.coalesce(2 * lists.sparkSession.sparkContext.defaultParallelism).sortWithinPartitions(F.when(F.col("tokens") > most, -1).otherwise(F.col("tokens")))
+        lists = lists.coalesce(lists.sparkSession.sparkContext.defaultParallelism).sortWithinPartitions(F.when(F.col("tokens") > most, -1).otherwise(F.col("tokens")))
     return lists.mapInArrow(read, ", ".join([*(f"`{c}` {kinds[c]}" for c in ("query_id", *shown)), "part double"]))
 
 
